@@ -11,6 +11,12 @@ from .common import inline_table, read
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_groups
+
+    return near_groups(read(spark, sf_dir, "documents"), threshold=85, width=3)
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_trees, read_loss, read_turns, threads
 
@@ -94,7 +100,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_chat, op4_fingerprint, op5_mixing, op6_urls, op9_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_chat, op4_fingerprint, op5_mixing, op6_urls, op9_exact_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
