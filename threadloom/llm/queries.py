@@ -54,6 +54,14 @@ FROM t GROUP BY conv_id
 """
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_texts
+
+    return encode_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import as_string, edit_probe, likeness
 
@@ -100,7 +108,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_chat, op4_fingerprint, op5_mixing, op6_urls, op9_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_chat, op3_bpe, op4_fingerprint, op5_mixing, op6_urls, op9_exact_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
