@@ -87,6 +87,25 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score
+
+    docs = read(spark, sf_dir, "documents")
+    out = score(docs, fit(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets_crf import fit, scan
+
+    docs = read(spark, sf_dir, "documents")
+    out = scan(docs, fit(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_groups
 
@@ -108,7 +127,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_chat, op3_bpe, op4_fingerprint, op5_mixing, op6_urls, op9_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_chat, op3_bpe, op4_fingerprint, op5_mixing, op6_urls, op7_toxicity, op8_secrets, op9_exact_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
