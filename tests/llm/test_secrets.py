@@ -1,5 +1,6 @@
 """Secret scan: base spans against plain loops, the field's added spans, edges."""
 
+import random
 import re
 
 import numpy as np
@@ -39,10 +40,17 @@ def test_documents(spark, sf, field):
         assert [x for x in got[r.doc_id] if x[0] != "crf"] == plain(r.text)
 
 
-def test_field_adds(field):
-    found = S.scan_text(field, "my pass phrase is 7602ad27cf5550de1c today")
-    assert [(k, e - s) for k, s, e in found] == [("crf", 18)]
-    assert not S.scan_text(field, "Nothing of that kind is here, only plain words and 12 numbers.")
+def test_field_adds():
+    rng = random.Random(2)
+    pool = "the of and thing or was there with plain word under over again".split()
+    say = lambda n: " ".join(rng.choices(pool, k=n))
+    code = lambda: f"{rng.getrandbits(80):020x}"
+    texts = [f"{say(30)} {rng.choice(['token', 'secret', 'api_key'])}={code()} {say(20)}" for _ in range(300)] + [f"{say(30)} {rng.randint(1, 10**7)} {say(9)}." for _ in range(300)]
+    field = S.train([w for t in texts for w in S.labelled_windows(t)])
+    bare = code()
+    text = f"{say(12)} {bare} {say(9)}"
+    assert S.scan_text(field, text) == [("crf", text.index(bare), text.index(bare) + 20)]
+    assert not S.scan_text(field, say(50) + " 1234567 " + say(5))
 
 
 def test_stretches_are_exact(field):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,13 +59,15 @@ def mix(
     source_col: str = "source",
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: Sequence[str] | None = None,
     alpha: float = 0.5,
     period: int = 1024,
     block_bytes: int = 1 << 16,
     per_bucket: int = 1000,
 ) -> DataFrame:
-    """``docs`` with ``_size, _block, _release, _deadline, _slot``; reading by
-    ``_slot`` interleaves the sources at their target weights.
+    """``row`` (struct of the ``carry`` columns; None: all), ``size, block,
+    release, deadline, slot, bucket, in_bucket``; reading by ``slot`` interleaves
+    the sources at their target weights.
 
     A block is ``block_bytes`` of one source: rows are laid end to end (a row's
     size is its UTF-8 bytes plus 1) and a row belongs to the block it starts in,
@@ -81,14 +83,14 @@ def mix(
     ``period`` or the number of sources) is broadcast.
 
     Nulls: a null source is a source of its own, a null text has size 1, a null
-    id is ordered first. Clashing columns named ``_...`` above are replaced.
+    id is ordered first. Columns of any name travel inside ``row``.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
     size = (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long")
     n = scaled(docs.count(), per_bucket, 16, 1 << 16)
     bucket = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")), F.lit(n)).cast("int")
-    rows = docs.withColumns({"_skey": key, "_bucket": bucket, "_size": size})
+    rows = docs.select(F.struct(*(docs.columns if carry is None else carry)).alias("row"), F.col(id_col).alias("_id"), key.alias("_skey"), bucket.alias("_bucket"), size.alias("_size"), F.xxhash64(text_col).alias("_tie"))
     sums = rows.groupBy("_skey", "_bucket").agg(F.sum("_size").alias("_sum"))
     starts = sums.select("_skey", "_bucket", (F.sum("_sum").over(Window.partitionBy("_skey").orderBy("_bucket")) - F.col("_sum")).alias("_start"))
     totals = {r[0]: r[1] for r in sums.groupBy("_skey").agg(F.sum("_sum")).collect()}  # a row per source
@@ -104,7 +106,7 @@ def mix(
     plan = [(s, quota[s], k, r, d, t) for s, k, r, d, t in pfair_period(quota)]
     table = inline_table(spark, plan, "p_skey string, p_quota int, p_k int, p_release int, p_deadline int, p_slot int")
     of = inline_table(spark, [(s, q) for s, q in quota.items()], "q_skey string, q_quota int")
-    order = Window.partitionBy("_skey", "_bucket").orderBy(F.col(id_col), F.col("_size"), F.xxhash64(F.col(text_col)))
+    order = Window.partitionBy("_skey", "_bucket").orderBy("_id", "_size", "_tie")
     run = rows.withColumn("_run", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
     run = run.join(starts.select(F.col("_skey").alias("b_skey"), F.col("_bucket").alias("b_bucket"), "_start"), (F.col("_skey") == F.col("b_skey")) & (F.col("_bucket") == F.col("b_bucket")))
     run = run.withColumn("_block", F.floor((F.col("_start") + F.col("_run")) / F.lit(block_bytes)))
@@ -112,11 +114,10 @@ def mix(
     cycle, k = F.floor(F.col("_block") / F.col("q_quota")), F.pmod(F.col("_block"), F.col("q_quota"))
     run = run.withColumns({"_cycle": cycle, "_k": k.cast("int")})
     run = run.join(F.broadcast(table), (F.col("_skey") == F.col("p_skey")) & (F.col("_k") == F.col("p_k")))
-    at = {f"_{x}": F.col("_cycle") * length + F.col(f"p_{x}") for x in ("release", "deadline", "slot")}
-    keep = [c for c in docs.columns if c not in {"_size", "_block", *at}]
-    return run.select(*keep, "_size", "_block", *[v.alias(c) for c, v in at.items()], F.col("_run").alias("_in_bucket"), "_bucket")
+    at = [(F.col("_cycle") * length + F.col(f"p_{x}")).alias(x) for x in ("release", "deadline", "slot")]
+    return run.select("row", F.col("_size").alias("size"), F.col("_block").alias("block"), *at, F.col("_bucket").alias("bucket"), F.col("_run").alias("in_bucket"))
 
 
 def mixed_order(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` in the order of the mix, with its own columns."""
-    return mix(docs, **kw).orderBy("_slot", "_bucket", "_in_bucket").select(*docs.columns)
+    return mix(docs, **kw).orderBy("slot", "bucket", "in_bucket").select("row.*")

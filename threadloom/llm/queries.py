@@ -77,8 +77,8 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    out = mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "source", F.col("_size").alias("size"), *[F.col(f"_{c}").alias(c) for c in ("block", "release", "deadline", "slot")])
+    out = mix(read(spark, sf_dir, "documents"), carry=["doc_id", "source"])
+    return out.select("row.*", "size", "block", "release", "deadline", "slot")
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
