@@ -174,6 +174,8 @@ def _groups(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str,
             if pa.types.is_list(col.type):
                 flat = col.flatten().to_numpy(zero_copy_only=False)
                 out[c] = flat.reshape(len(col), -1).view(U) if len(col) else flat.reshape(0, 1).view(U)
+            elif pa.types.is_binary(col.type):
+                out[c] = np.array([*col.to_pylist(), None], object)[:-1]
             else:
                 out[c] = col.to_numpy(zero_copy_only=False)
         return out
@@ -240,21 +242,82 @@ def _forests(plan: Plan):
     return run
 
 
-def _crossing(plan: Plan):
-    """All screened pairs between different components inside a block pair."""
+def _screen(plan: Plan, g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asking rows, other rows, which of their pairs may be links between
+    different components) of one block pair."""
+    q, r = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
+    if not len(q) or not len(r):
+        return q, r, np.zeros((len(q), len(r)), bool)
+    n, label = g["n"].astype(np.int64), g["label"]
+    ok = _flips(g["odd"][q], g["odd"][r]) <= plan.flips
+    ok &= label[q][:, None] != label[r]
+    ok &= 100 * np.minimum(n[q][:, None], n[r]) >= plan.threshold * np.maximum(n[q][:, None], n[r])
+    return q, r, ok
+
+
+def _involved(plan: Plan):
+    """The members that have a screened partner; at most all that came in."""
+
+    def run(it):
+        for g in _groups(it, ["bkey", "i", "j"]):
+            q, r, ok = _screen(plan, g)
+            rows = np.concatenate([q[ok.any(1)], r[ok.any(0)]])
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(g[c][rows]) for c in ("bkey", "i", "j", "side", "id", "label")], ["bkey", "i", "j", "side", "id", "label"])
+
+    return run
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray], ok: np.ndarray) -> np.ndarray:
+    """Exact intersection sizes where ``ok``: pair by pair, or as products of
+    membership matrices over a slice of the shared shingles at a time,
+    whichever costs less."""
+    out = np.zeros(ok.shape, np.int64)
+    kinds, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    ends = np.cumsum([0, *map(len, x), *map(len, y)])
+    width = 1 << 14
+    if ok.sum() * 20_000 < ok.size * len(kinds) / 4:
+        for i, j in zip(*np.nonzero(ok), strict=True):
+            out[i, j] = len(x[i]) + len(y[j]) - len(np.union1d(x[i], y[j]))
+        return out
+    for lo in range(0, len(kinds), width):
+        m = np.zeros((len(x) + len(y), min(width, len(kinds) - lo)), np.float32)
+        for k in range(len(m)):
+            own = at[ends[k] : ends[k + 1]] - lo
+            m[k, own[(own >= 0) & (own < width)]] = 1
+        out += np.rint(m[: len(x)] @ m[len(x) :].T).astype(np.int64)
+    return out
+
+
+def _linking(plan: Plan):
+    """Exact links between different components inside a block pair; of several
+    links that join the same components one is enough."""
 
     def run(it):
         for g in _groups(it, ["bkey", "i", "j"]):
-            q, r = g["side"] == 0, g["side"] == 1
-            if not q.any() or not r.any():
+            q, r, ok = _screen(plan, g)
+            if not ok.any():
                 continue
+            sets = [np.frombuffer(s, U) for s in g["set"]]
+            both = _common([sets[i] for i in q], [sets[i] for i in r], ok)
             n = g["n"].astype(np.int64)
-            ok = _flips(g["odd"][q], g["odd"][r]) <= plan.flips
-            ok &= g["label"][q][:, None] != g["label"][r]
-            ok &= 100 * np.minimum(n[q][:, None], n[r]) >= plan.threshold * np.maximum(n[q][:, None], n[r])
-            x, y = np.nonzero(ok)
-            if len(x):
-                yield _pairs([g["id"][q][x]], [g["id"][r][y]])
+            ok &= 100 * both >= plan.threshold * (n[q][:, None] + n[r] - both)
+            top: dict[int, int] = {}
+
+            def find(x: int, top=top) -> int:
+                while top.setdefault(x, x) != x:
+                    x = top[x]
+                return x
+
+            a, b = [], []
+            for x, y in zip(*np.nonzero(ok), strict=True):
+                u, v = find(int(g["label"][q[x]])), find(int(g["label"][r[y]]))
+                if u != v:
+                    top[max(u, v)] = min(u, v)
+                    a.append(g["id"][q[x] : q[x] + 1])
+                    b.append(g["id"][r[y] : r[y] + 1])
+            if a:
+                yield _pairs(a, b)
 
     return run
 
@@ -273,7 +336,9 @@ def near_groups(docs: DataFrame, threshold: int = 85, width: int = 3, id_col: st
     A bucket of two is its pair. A larger one first gives the spanning forest of
     its nearest sketches, block by block, so a large group of near copies costs
     a link per member; once those links are confirmed, only members outside the
-    bucket's main component are compared with the others, again in blocks.
+    bucket's main component are compared with the others, again in blocks and on
+    full sets inside the block's task, which hands on one link for each two
+    components it joins.
 
     Nulls: a null or empty text has no shingles and no links; a null id takes
     part in no link (``component_id`` null, ``kept`` true). Repeated rows are
@@ -297,7 +362,7 @@ def near_groups(docs: DataFrame, threshold: int = 85, width: int = 3, id_col: st
     members = cut(banded.join(buckets.where("n > 2").select("bkey", F.col("n").alias("size")), "bkey").select("bkey", "id", "size"))
     twos = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
     wanted = twos.select(F.col("a").alias("id")).unionByName(twos.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct()
-    sets = cut(ids.join(wanted, ids["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets(plan), "id bigint, n bigint, set binary, odd array<bigint>").where("n > 0"))
+    sets = cut(ids.join(wanted.hint("merge"), ids["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets(plan), "id bigint, n bigint, set binary, odd array<bigint>").where("n > 0"))
     odd = sets.select("id", "n", "odd")
 
     two = lambda df, side: df.select(*[F.col(c).alias(f"{c}{side}") for c in df.columns])
@@ -329,10 +394,11 @@ def near_groups(docs: DataFrame, threshold: int = 85, width: int = 3, id_col: st
     cols = ["bkey", "id", "n", "label", "odd"]
     asks = within.where("label <> main").select(*cols, F.lit(0).alias("side"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
     rest = within.select(*cols, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), j.alias("j"))
-    more = asks.unionByName(rest).repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j").mapInArrow(_crossing(plan), "a bigint, b bigint")
-    more = cut(more.distinct().join(tries, ["a", "b"], "left_anti"))
+    grouped = lambda df: df.repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
+    open_rows = grouped(asks.unionByName(rest)).mapInArrow(_involved(plan), "bkey bigint, i int, j int, side int, id bigint, label bigint")
+    more = cut(grouped(cut(open_rows).join(sets.hint("merge"), "id")).mapInArrow(_linking(plan), "a bigint, b bigint").distinct())
     if not more.isEmpty():
-        labels = components(links.unionByName(confirmed(more)))
+        labels = components(links.unionByName(more))
     found = classes.join(labels, classes["rep"] == labels["node"], "left").select("h", F.coalesce("label", "rep").alias("component_id"))
     out = sig.select("doc_id", "n", "h").join(cut(found), "h", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
@@ -342,4 +408,4 @@ def near_groups(docs: DataFrame, threshold: int = 85, width: int = 3, id_col: st
 def drop_near(docs: DataFrame, threshold: int = 80, width: int = 5, **kw) -> DataFrame:
     """``docs`` without the documents of a group that have not its smallest id."""
     losers = near_groups(docs, threshold, width, **kw).where("not kept").select(F.col("doc_id").alias("_loser")).distinct()
-    return docs.join(losers, docs[kw.get("id_col", "doc_id")] == losers["_loser"], "left_anti")
+    return docs.join(losers.hint("merge"), docs[kw.get("id_col", "doc_id")] == losers["_loser"], "left_anti")
