@@ -1,0 +1 @@
+"""Corpora over the test tables and the registered queries."""
