@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -86,63 +88,85 @@ def score_text(model: Model, scores: WordScores, text: str) -> float:
     return float(1 - np.exp(off))
 
 
-def choose_features(docs: list[list[set[str]]], labels: np.ndarray, least: int = 5, z: float = 5.0, most: int = 4000) -> list[str]:
+def _gains(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Standard errors by which a feature's share of positive documents is above
+    its share of the others."""
+    p = (c1 + c0 + 1) / (n1 + n0 + 2)
+    return (c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+
+
+def _doc_features(text: str) -> set[str]:
+    return {f for w in set(WORD.findall(text.lower())) for f in features(w)}
+
+
+def choose_features(texts: list[str], labels: np.ndarray, least: int = 5, z: float = 5.0, most: int = 4000, slots: int = 1 << 21) -> list[str]:
     """Features of at least ``least`` documents whose share among the positive
-    documents is ``z`` standard errors above the rest, strongest first."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for d, y in zip(docs, labels, strict=True):
-        seen[int(y)].update(set().union(*d) if d else ())
+    documents is ``z`` standard errors above the rest, strongest first.
+
+    Counted twice in bounded memory: by hash slot over all features, then by
+    name over those whose slot can pass."""
     n1 = max(1, int(labels.sum()))
     n0 = max(1, len(labels) - int(labels.sum()))
-    out = []
-    for f, c1 in seen[1].items():
-        c0 = seen[0].get(f, 0)
-        if c1 + c0 < least:
-            continue
-        p = (c1 + c0 + 1) / (n1 + n0 + 2)
-        gain = (c1 / n1 - c0 / n0) / (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5
-        if gain >= z:
-            out.append((-gain, f))
-    return [f for _, f in sorted(out)[:most]]
+    count = np.zeros((2, slots), np.int32)
+    slot = lambda f: crc32(f.encode("utf-8", "replace")) % slots
+    for t, y in zip(texts, labels, strict=True):
+        count[int(y)][list({slot(f) for f in _doc_features(t)})] += 1
+    # What shares a slot only adds to the counts, so the positive share decides.
+    able = (count[1] > 0) & (count.sum(0) >= least) & (_gains(count[1], np.zeros(slots), n1, n0) >= z)
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    for t, y in zip(texts, labels, strict=True):
+        seen[int(y)].update(f for f in _doc_features(t) if able[slot(f)])
+        if len(seen[0]) > 400_000:  # names that no positive document has are no use
+            for f in [f for f in seen[0] if f not in seen[1]]:
+                del seen[0][f]
+    names = [f for f, c in seen[1].items() if c + seen[0].get(f, 0) >= least]
+    c1 = np.array([seen[1][f] for f in names], float)
+    gain = _gains(c1, np.array([seen[0].get(f, 0) for f in names], float), n1, n0)
+    return [names[i] for i in sorted(range(len(names)), key=lambda i: (-gain[i], names[i])) if gain[i] >= z][:most]
 
 
 def train(texts: Iterable[str], labels: Iterable[int], rounds: int = 500, rate: float = 0.1, decay: float = 2e-5) -> Model:
     """Gradient ascent (Adam) on the likelihood of document labels under the
     noisy-or of sentence probabilities."""
-    labels = np.asarray(list(labels), float)
-    docs = [[{f for w in set(WORD.findall(m.group().lower())) for f in features(w)} for m in sentences(t)] or [set()] for t in texts]
+    pairs = sorted(zip(texts, labels, strict=True), key=lambda p: -p[1])  # positive documents first
+    texts, labels = [t for t, _ in pairs], np.asarray([y for _, y in pairs], float)
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model({}, float(np.log(share / (1 - share))))
-    names = choose_features(docs, labels)
+    names = choose_features(texts, labels)
     index = {f: i for i, f in enumerate(names)}
-    rows, cols, of, quiet = [], [], [], np.zeros(len(docs))
+    heads = {f.rstrip("*")[: PREFIXES[0]] for f in names}
+    rows, cols, of, quiet = array("i"), array("i"), array("i"), np.zeros(len(texts))
     n = 0
-    for d, sents in enumerate(docs):
-        for s in sents:
-            hits = [index[f] for f in s if f in index]
+    for d, t in enumerate(texts):
+        some = False
+        for m in sentences(t):
+            some = True
+            words = {w for w in WORD.findall(m.group().lower()) if w[: PREFIXES[0]] in heads}
+            hits = {index[f] for w in words for f in features(w) if f in index}
             if hits:
-                rows += [n] * len(hits)
-                cols += hits
+                rows.extend([n] * len(hits))
+                cols.extend(sorted(hits))
                 of.append(d)
                 n += 1
             else:
                 quiet[d] += 1
-    rows, cols, of = np.asarray(rows, int), np.asarray(cols, int), np.asarray(of, int)
+        quiet[d] += not some
+    rows, cols, of = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (rows, cols, of))
     theta = np.zeros(len(names) + 1)
     theta[-1] = -5.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         z = theta[-1] + np.bincount(rows, theta[cols], minlength=n)
         p, q = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-theta[-1]))
-        off = np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(docs)) + quiet * np.log1p(-q)
+        off = np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(texts)) + quiet * np.log1p(-q)
         doc = np.clip(1 - np.exp(off), 1e-9, 1 - 1e-9)
         pull = (labels - doc) / doc
         g = np.zeros_like(theta)
         each = p * pull[of]
         g[:-1] = np.bincount(cols, each[rows], minlength=len(names))
         g[-1] = each.sum() + (quiet * q * pull).sum()
-        g = g / len(docs) - decay * np.append(theta[:-1], 0)
+        g = g / len(texts) - decay * np.append(theta[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model({f: float(theta[i]) for f, i in index.items()}, float(theta[-1]))
@@ -164,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = 3000, negative: int
     some = marks.where("_y = 1").orderBy(*order).limit(positive).unionByName(marks.where("_y = 0").orderBy(*order).limit(negative))
     rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select("text", "_y", "_id")
-    got = sorted((r["_id"], r["text"], r["_y"]) for r in rows.toLocalIterator())
+    got = sorted((r["_id"], r["text"], r["_y"]) for r in rows.coalesce(8).toLocalIterator())
     return train([t for _, t, _ in got], [y for _, _, y in got])
 
 
