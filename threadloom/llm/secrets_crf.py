@@ -200,7 +200,7 @@ class _Sums(dict):
         return value
 
 
-def labelled_windows(text: str, reach: int = 24) -> list[tuple[list[list[int]], list[int]]]:
+def labelled_windows(text: str, reach: int = 24) -> list[tuple[np.ndarray, list[int]]]:
     """Training sequences of one text: features and tags around each base
     secret, or of stretches without any. Secrets also come a second time without
     the features of neighbours, so that their own shape counts by itself."""
@@ -230,14 +230,14 @@ def labelled_windows(text: str, reach: int = 24) -> list[tuple[list[list[int]],
     for c in centres[:8]:
         lo, hi = max(0, c - reach), min(len(words), c + reach)
         rows = [own_features(words[t]) + (side_features(words[t - 1], "<") if t else side_features("", "<")) + (side_features(words[t + 1], ">") if t + 1 < len(words) else side_features("", ">")) + file for t in range(lo, hi)]
-        out.append((rows, tags[lo:hi]))
+        out.append((np.asarray(rows, np.int32), tags[lo:hi]))
         if any(tags[lo:hi]):
             alone = side_features("", "<") + side_features("", ">")
-            out.append(([r[: len(OWN)] + (alone if tag else r[len(OWN) : -len(FILE)]) + file for r, tag in zip(rows, tags[lo:hi], strict=True)], tags[lo:hi]))
+            out.append((np.asarray([r[: len(OWN)] + (alone if tag else r[len(OWN) : -len(FILE)]) + file for r, tag in zip(rows, tags[lo:hi], strict=True)], np.int32), tags[lo:hi]))
     return out
 
 
-def train(windows: Iterable[tuple[list[list[int]], list[int]]], rounds: int = 80, rate: float = 0.25, decay: float = 1e-3) -> Crf:
+def train(windows: Iterable[tuple[np.ndarray, list[int]]], rounds: int = 80, rate: float = 0.25, decay: float = 1e-3) -> Crf:
     """Maximum likelihood by full-batch Adagrad; forward-backward over all
     sequences at once, in log space."""
     windows = [w for w in windows if w[1]]
@@ -259,7 +259,7 @@ def train(windows: Iterable[tuple[list[list[int]], list[int]]], rounds: int = 80
     lse = lambda a, axis: (top := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - top).sum(axis))
     ge, gm = np.full_like(emit, 1e-6), np.full_like(move, 1e-6)
     for _ in range(rounds):
-        e, m = emit[x].sum(2), move + allowed
+        e, m = sum(emit[x[:, :, j]] for j in range(k)), move + allowed
         a = np.empty((n, length, 3))
         a[:, 0] = e[:, 0] + np.array([0, 0, no])
         for t in range(1, length):
@@ -275,7 +275,7 @@ def train(windows: Iterable[tuple[list[list[int]], list[int]]], rounds: int = 80
             b[:, t] = np.where(on[:, None], lse(m + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2), 0)
         post = np.exp(np.minimum(a + b - z[:, None, None], 0)) * live[..., None]
         diff = (gold - post).reshape(-1, 3)
-        g = np.stack([np.bincount(flat.ravel(), np.repeat(diff[:, s], k), minlength=BUCKETS) for s in range(3)], 1) / n - decay * emit
+        g = np.stack([sum(np.bincount(flat[:, j], diff[:, s], minlength=BUCKETS) for j in range(k)) for s in range(3)], 1) / n - decay * emit
         h = (gold_move - pair) / n - decay * move
         ge, gm = ge + g * g, gm + h * h
         emit, move = emit + rate * g / np.sqrt(ge), move + rate * h / np.sqrt(gm)
@@ -287,11 +287,24 @@ def fit(docs: DataFrame, per_class: int = 800, most_chars: int = 20_000, id_col:
     texts with and as many without (by hash of the text, distinct, up to
     ``most_chars`` long) are the bounded training sample."""
     text = F.col(text_col)
-    rows = docs.where(text.isNotNull() & (F.length(text) <= most_chars)).select(text.alias("text"), F.xxhash64(text).alias("h"))
+    parts = 1 << 16
+    rows = docs.where(text.isNotNull() & (F.length(text) <= most_chars)).select(text.alias("text"), F.pmod(F.xxhash64(text), F.lit(parts)).alias("part"))
     rough = r"(?i)AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
-    marked = rows.withColumn("hit", F.col("text").rlike(rough))
-    picked = [r["text"] for hit in ("hit", "not hit") for r in marked.where(hit).orderBy("h", "text").limit(per_class).collect()]
-    return train([w for t in sorted(set(picked)) for w in labelled_windows(t)])
+    hit = F.col("text").rlike(rough)
+    # Where to stop follows from counts per slice of the hash range, so that no
+    # task hands on more texts than its share of the sample.
+    seen = {True: [0] * parts, False: [0] * parts}
+    for r in rows.select(hit.alias("hit"), "part").groupBy("hit", "part").count().collect():  # at most 2 x 65536 rows
+        seen[r["hit"]][r["part"]] = r["count"]
+    picked = []
+    for mark in (True, False):
+        total, stop = 0, 0
+        while stop < parts and total < per_class:
+            total += seen[mark][stop]
+            stop += 1
+        some = rows.where((F.col("part") < stop) & (hit == mark)).select("part", "text").distinct().collect()
+        picked += [t for _, t in sorted((r["part"], r["text"]) for r in some)[:per_class]]
+    return train([w for t in picked for w in labelled_windows(t)])
 
 
 def scan_text(field: Crf, text: str) -> list[tuple[str, int, int]]:
