@@ -68,13 +68,12 @@ def word_iou(pred: DataFrame, gold: DataFrame, key: str = PAIR) -> DataFrame:
 
 
 def segmentation_prf(pred: DataFrame, gold: DataFrame, tolerance: int = 1, key: str = PAIR) -> DataFrame:
-    """Matches over inner spans, per pair, averaged; pairs with no inner
-    span on one side score 0 there."""
+    """Matches between spans other than each side's last, over the number of
+    all spans, per pair, averaged."""
     m = matched_boundaries(pred, gold, tolerance, key=key).groupBy(F.col("p_key").alias(key)).agg(F.count(F.lit(1)).alias("m"))
-    n = lambda df, name: df.groupBy(key).agg((F.count(F.lit(1)) - 1).alias(name))
+    n = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
     both = n(pred, "np").join(n(gold, "ng"), key).join(m, key, "left").na.fill({"m": 0})
-    share = lambda d: F.when(F.col(d) > 0, F.col("m") / F.col(d)).otherwise(F.lit(0.0))
-    out = both.agg(F.avg(share("ng")).alias("recall"), F.avg(share("np")).alias("precision"))
+    out = both.agg(F.avg(F.col("m") / F.col("ng")).alias("recall"), F.avg(F.col("m") / F.col("np")).alias("precision"))
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 

@@ -85,8 +85,8 @@ def a13_word_iou(spark: Spark, d: str) -> DataFrame:
 def sql_segmentation(tolerance: int) -> str:
     return SQL_RUNS + f""", a AS (SELECT * FROM (SELECT *, max("end") OVER (PARTITION BY pair_index) AS l FROM runs) WHERE "end" < l), b AS (SELECT * FROM (SELECT *, max("end") OVER (PARTITION BY pair_index) AS l FROM gruns) WHERE "end" < l),
 m AS (SELECT p.pair_index, count(*) AS m FROM a p JOIN b g ON p.pair_index = g.pair_index AND (abs(p."end" - g."end") <= {tolerance} OR {SQL_IOU} > 0.5) GROUP BY 1),
-n AS (SELECT pair_index, np, ng, coalesce(m, 0) AS m FROM (SELECT pair_index, count(*) - 1 AS np FROM runs GROUP BY 1) JOIN (SELECT pair_index, count(*) - 1 AS ng FROM gruns GROUP BY 1) USING (pair_index) LEFT JOIN m USING (pair_index)),
-s AS (SELECT avg(CASE WHEN ng > 0 THEN m / ng ELSE 0 END) AS r, avg(CASE WHEN np > 0 THEN m / np ELSE 0 END) AS p FROM n) SELECT round(r, 6) AS recall, round(p, 6) AS precision, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM s"""
+n AS (SELECT pair_index, np, ng, coalesce(m, 0) AS m FROM (SELECT pair_index, count(*) AS np FROM runs GROUP BY 1) JOIN (SELECT pair_index, count(*) AS ng FROM gruns GROUP BY 1) USING (pair_index) LEFT JOIN m USING (pair_index)),
+s AS (SELECT avg(m / ng) AS r, avg(m / np) AS p FROM n) SELECT round(r, 6) AS recall, round(p, 6) AS precision, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM s"""
 
 
 @query(sql_segmentation(1))

@@ -1,0 +1,115 @@
+"""Queries of readers' parsing and of export formats."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadloom.operators import encode as E
+from threadloom.operators import segments as S
+from threadloom.sources import sinks, text
+
+from . import corpora as C
+from .corpora import SQL_EV, SQL_SRC, SQL_TRG
+from .registry import query
+from .relational import PAIR, SQL_RUNS
+
+Spark = SparkSession
+SQL_LINES = "ln AS (SELECT item_id AS i, text AS line FROM benchmark)"
+SQL_SPLIT = "list_filter(string_split_regex(trim(line), '\\s+'), lambda x: x <> '')"
+
+
+def bench_lines(spark: Spark, d: str) -> DataFrame:
+    return C.table(spark, d, "benchmark").select(F.col("item_id").alias("at"), F.col("text").alias("line"))
+
+
+@query(f"WITH {SQL_LINES}, w AS (SELECT i // 3 AS pair_index, {SQL_SPLIT} AS w FROM ln WHERE i % 3 = 1) SELECT pair_index, CAST(unnest(range(len(w))) AS BIGINT) AS pos, unnest(w) AS token FROM w")
+def s01_triples_source(spark: Spark, d: str) -> DataFrame:
+    return text.triples(bench_lines(spark, d))[0]
+
+
+@query(f"WITH {SQL_LINES}, w AS (SELECT i // 3 AS pair_index, list_concat(['NULL'], {SQL_SPLIT}) AS w FROM ln WHERE i % 3 = 0) SELECT pair_index, CAST(unnest(range(len(w))) AS BIGINT) AS pos, unnest(w) AS concept FROM w")
+def s01_triples_targets(spark: Spark, d: str) -> DataFrame:
+    return text.triples(bench_lines(spark, d))[1]
+
+
+@query(f"WITH {SQL_LINES}, w AS (SELECT i AS pair_index, {SQL_SPLIT} AS w FROM ln) SELECT pair_index, CAST(unnest(range(len(w))) AS BIGINT) AS pos, unnest(w) AS token FROM w")
+def s02_sentences(spark: Spark, d: str) -> DataFrame:
+    return text.sentences(bench_lines(spark, d))
+
+
+@query("SELECT event_id AS at, event_type AS word, round(value, 6) AS begin, round(value + 1.5, 6) AS \"end\" FROM events")
+def s09_word_times(spark: Spark, d: str) -> DataFrame:
+    e = C.table(spark, d, "events").select(F.col("event_id").alias("at"), F.concat_ws(" ", "event_type", F.col("value").cast("string"), (F.col("value") + 1.5).cast("string")).alias("line"))
+    return text.word_times(e).withColumns({"begin": F.round("begin", 6), "end": F.round("end", 6)})
+
+
+@query("SELECT p_partkey AS at, CAST(0 AS BIGINT) AS k, CAST(p_size AS VARCHAR) AS entity, lower(p_type) AS type, p_name AS phrase FROM part")
+def s11_tagged_phrases(spark: Spark, d: str) -> DataFrame:
+    p = C.table(spark, d, "part").select(F.col("p_partkey").alias("at"), F.format_string("A [/EN#%d/%s %s] here .", "p_size", F.lower("p_type"), "p_name").alias("line"))
+    return text.tagged_phrases(p)
+
+
+@query("SELECT p_partkey AS at, p_brand AS image_key, CAST(p_size AS BIGINT) AS x, CAST(1 AS BIGINT) AS y, CAST(p_size + 2 AS BIGINT) AS w, CAST(3 AS BIGINT) AS h, p_type AS concept FROM part WHERE p_type <> 'SMALL'")
+def s13_region_labels(spark: Spark, d: str) -> DataFrame:
+    p = C.table(spark, d, "part")
+    boxes = p.select(F.col("p_partkey").alias("at"), F.format_string("%s %d 1 %d 3", "p_brand", "p_size", F.col("p_size") + 2).alias("line"))
+    return text.region_labels(boxes, p.select(F.col("p_partkey").alias("at"), F.col("p_type").alias("line")), drop=("SMALL",))
+
+
+SQL_BOTH = "WITH " + SQL_SRC + ", " + SQL_TRG + ", a AS (SELECT pair_index, string_agg(token, ' ' ORDER BY pos) AS src FROM src GROUP BY 1), b AS (SELECT pair_index, string_agg(concept, ' ' ORDER BY pos) AS trg FROM trg GROUP BY 1)"
+
+
+@query(SQL_BOTH + " SELECT pair_index, src, trg FROM a JOIN b USING (pair_index)")
+def s14_parallel_text(spark: Spark, d: str) -> DataFrame:
+    return sinks.parallel_text(C.src_tokens(spark, d), C.trg_tokens(spark, d))
+
+
+@query("WITH " + SQL_SRC + ", v AS (SELECT token, row_number() OVER (ORDER BY token) AS w FROM (SELECT DISTINCT token FROM src)) SELECT pair_index + 1 AS doc, w AS word FROM src JOIN v USING (token)")
+def s15_index_triples(spark: Spark, d: str) -> DataFrame:
+    s = C.src_tokens(spark, d)
+    return sinks.index_triples(s, E.vocabulary(s, order="sorted"), "token")
+
+
+@query(SQL_RUNS + ", j AS (SELECT ev.pair_index, pos, CASE WHEN r.start IS NOT NULL AND pos > 0 THEN ' ' ELSE '' END || CASE token WHEN 'click' THEN 'a' WHEN 'error' THEN 'b' WHEN 'purchase' THEN 'c' WHEN 'signup' THEN 'd' ELSE 'e' END AS cell FROM ev LEFT JOIN runs r ON r.pair_index = ev.pair_index AND r.start = pos) SELECT pair_index, string_agg(cell, '' ORDER BY pos) AS line FROM j GROUP BY 1")
+def s16_letter_text(spark: Spark, d: str) -> DataFrame:
+    ev = C.event_tokens(spark, d)
+    letters = F.broadcast(spark.sql("SELECT * FROM VALUES ('click', 'a'), ('error', 'b'), ('purchase', 'c'), ('signup', 'd'), ('view', 'e') AS t(token, letter)"))
+    return sinks.letter_text(ev, letters, S.run_segments(ev, "pred"))
+
+
+@query(SQL_BOTH + " SELECT pair_index, trg || chr(10) || src || chr(10) AS block FROM a JOIN b USING (pair_index)")
+def s17_text_pairs(spark: Spark, d: str) -> DataFrame:
+    return sinks.text_pair_blocks(C.src_tokens(spark, d), C.trg_tokens(spark, d))
+
+
+@query(SQL_RUNS + """ SELECT 'pair_' || pair_index || ' ' || start || ' ' || "end" || ' ' || pred AS line FROM runs""")
+def s18_word_units(spark: Spark, d: str) -> DataFrame:
+    return sinks.word_units(S.run_segments(C.event_tokens(spark, d), "pred"), "pred")
+
+
+@query(SQL_RUNS + """, t AS (SELECT *, max(seg) OVER (PARTITION BY pair_index) AS l FROM runs) SELECT 'pair_' || pair_index || ' ' || start || ' ' || "end" || ' ' || pred AS line FROM t WHERE seg < l OR "end" - start > 1""")
+def s18_word_units_compat(spark: Spark, d: str) -> DataFrame:
+    """Without a final unit of one position, as older exports have it."""
+    return sinks.word_units(S.run_segments(C.event_tokens(spark, d), "pred", emit_trailing=False), "pred")
+
+
+@query(SQL_RUNS + """ SELECT pred AS cls, 'Class ' || pred || ':' || chr(10) || string_agg('pair_' || pair_index || ' ' || start || ' ' || "end", chr(10) ORDER BY pair_index, start) || chr(10) AS block FROM runs GROUP BY pred""")
+def s19_word_classes(spark: Spark, d: str) -> DataFrame:
+    return sinks.word_classes(S.run_segments(C.event_tokens(spark, d), "pred"), "pred")
+
+
+@query("WITH " + SQL_EV + ", r AS (SELECT pair_index, count(DISTINCT token) AS n FROM ev GROUP BY 1) SELECT pair_index AS index, pos, token AS caption, least(pred, n - 1) AS alignment FROM (SELECT *, row_number() OVER (PARTITION BY pair_index ORDER BY pos) - 1 AS p2 FROM ev) JOIN r USING (pair_index)")
+def s21_merged_reports(spark: Spark, d: str) -> DataFrame:
+    ev = C.event_tokens(spark, d)
+    items = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda x: x[c])
+    r = ev.groupBy(F.col(PAIR).alias("index")).agg(F.concat(items("token"), F.array(F.lit("</s>"))).alias("caption"), F.concat(F.array_sort(F.collect_set("token")), F.array(F.lit("</s>"))).alias("image_concepts"), F.concat(items("pred"), F.array(F.lit(0).cast("long"))).alias("alignment"))
+    m = text.merged_reports(r)
+    return m.select("index", F.posexplode(F.arrays_zip("caption", "alignment")).alias("pos", "x")).select("index", "pos", "x.caption", "x.alignment")
+
+
+@query("SELECT event_id AS at, CAST(k AS BIGINT) AS rank, event_id * k AS item, round(value * k, 4) AS score FROM events, range(1, 3) r(k)")
+def s22_retrieval_tuples(spark: Spark, d: str) -> DataFrame:
+    e = C.table(spark, d, "events")
+    line = F.concat(*[F.concat(F.lit("("), (F.col("event_id") * k).cast("string"), F.lit(", "), F.round(F.col("value") * k, 4).cast("string"), F.lit(") ")) for k in (1, 2)])
+    return text.retrieval_tuples(e.select(F.col("event_id").alias("at"), line.alias("line")))
