@@ -99,7 +99,7 @@ def _doc_features(text: str) -> set[str]:
     return {f for w in set(WORD.findall(text.lower())) for f in features(w)}
 
 
-def choose_features(texts: list[str], labels: np.ndarray, least: int = 5, z: float = 5.0, most: int = 4000, slots: int = 1 << 21) -> list[str]:
+def choose_features(texts: list[str], labels: np.ndarray, least: int = 3, z: float = 4.0, most: int = 4000, slots: int = 1 << 21) -> list[str]:
     """Features of at least ``least`` documents whose share among the positive
     documents is ``z`` standard errors above the rest, strongest first.
 
