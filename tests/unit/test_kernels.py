@@ -220,3 +220,16 @@ def test_sampling(spark):
     assert set(c) == {"a", "c"}
     assert sum(c.values()) == 4000
     assert abs(c["a"] / 4000 - 0.25) < 0.03
+
+
+def test_mfcc():
+    from threadloom.functions import audio
+
+    rate = 16000
+    t = np.arange(rate) / rate
+    m = audio.mfcc(np.sin(2 * np.pi * 440 * t), rate)
+    assert m.shape == (98, 39)
+    assert np.isfinite(m).all()
+    assert m[10:80, :13].std(0).max() < 0.5  # a steady tone has steady cepstra
+    assert audio.deltas(np.arange(10.0)[:, None])[4, 0] == pytest.approx(1.0)
+    assert (audio.mel_filters(20, 512, rate).sum(1) > 0).all()

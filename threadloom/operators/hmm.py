@@ -299,6 +299,27 @@ def train(pairs: DataFrame, p: Params, iterations: int, rate: float = 1.0, momen
     return p, history
 
 
+def state_posteriors(pairs: DataFrame, p: Params) -> DataFrame:
+    """``pair_index, pos, state, post`` and the pair's ``ll``."""
+    sent = pairs.sparkSession.sparkContext.broadcast(p)
+
+    def run(it):
+        for b in it:
+            p, ids = sent.value, b.column("pair_index").to_pylist()
+            for rows, x, y in shaped_batches(b):
+                init, trans = p.chain(y.shape[1])
+                pz = classify(p.concept_kind, p.concept, y, p.width)
+                px, _ = emissions(p, x)
+                a, c = forward(init, trans, pz, px)
+                g = (a * backward(trans, pz, px, c)).sum(-1)
+                n, t, m = g.shape
+                at = np.indices(g.shape).reshape(3, -1)
+                own = np.array([ids[i] for i in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(own[at[0]]), pa.array(at[1]), pa.array(at[2]), pa.array(g.ravel()), pa.array(np.log(c).sum(1)[at[0]])], ["pair_index", "pos", "state", "post", "ll"])
+
+    return pairs.select("pair_index", "x", "y").mapInArrow(run, "pair_index long, pos long, state long, post double, ll double")
+
+
 def decode(pairs: DataFrame, p: Params) -> DataFrame:
     """``pair_index, alignment, concepts``: Viterbi path and concept of each target."""
     sent = pairs.sparkSession.sparkContext.broadcast(p)

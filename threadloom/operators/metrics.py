@@ -139,3 +139,27 @@ def word_error_totals(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     """Sums of distance, insertions, deletions, substitutions, matches."""
     e = df.select(edit_counts(F.col(ref), F.col(hyp)).alias("e"), F.size(ref).alias("n"))
     return e.agg(*[F.sum(f"e.{c}").alias(c) for c in ("dist", "ins", "del", "sub", "corr")], F.sum("n").alias("ref_tokens"))
+
+
+def masked_cross_entropy(df: DataFrame, prob: str, mask: str) -> DataFrame:
+    """Mean of -log p over the positions whose mask is 1."""
+    m = F.col(mask).cast("double")
+    return df.agg((F.sum(-F.log(F.greatest(F.col(prob), F.lit(1e-30))) * m) / F.sum(m)).alias("loss"))
+
+
+def margin_rank_loss(df: DataFrame, true: str, wrong: str, margin: float = 1.0) -> DataFrame:
+    """Mean of max(0, margin + wrong - true)."""
+    return df.agg(F.avg(F.greatest(F.col(wrong) - F.col(true) + margin, F.lit(0.0))).alias("loss"))
+
+
+def coverage(spans: DataFrame, lengths: DataFrame, key: str = PAIR) -> DataFrame:
+    """Share of all positions that lie inside a span; spans of a pair may
+    overlap, a position counts once."""
+    s = spans.select(key, F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")).distinct()
+    return s.agg(F.count(F.lit(1)).alias("hit")).crossJoin(lengths.agg(F.sum("n").alias("n"))).select((F.col("hit") / F.col("n")).alias("coverage"))
+
+
+def normalised_edit_distance(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Mean over pairs of edit distance by the longer length."""
+    d = edit_counts(F.col(left), F.col(right))["dist"] / F.greatest(F.size(left), F.size(right), F.lit(1))
+    return pairs.agg(F.avg(d).alias("ned"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import metrics as M
@@ -207,3 +207,28 @@ def m25_segment_predict(spark: Spark, d: str) -> DataFrame:
     s = v.select("vec_id", "label", "cls", F.round(gaussian_log(F.col("vec"), F.col("mean"), F.col("var")), 6).alias("l"))
     b = s.groupBy("vec_id", "label").agg(F.max_by("cls", "l").alias("best"))
     return b.groupBy("label").agg(F.round(F.avg((F.col("best") == F.col("label")).cast("double")), 6).alias("accuracy"))
+
+
+@query("WITH " + SQL_EV + "SELECT round(sum(-ln(value / (value + 10)) * CASE WHEN pred <> 0 THEN 1 ELSE 0 END) / sum(CASE WHEN pred <> 0 THEN 1 ELSE 0 END), 6) AS loss FROM ev")
+def a28_masked_cross_entropy(spark: Spark, d: str) -> DataFrame:
+    e = C.event_tokens(spark, d).withColumns({"p": F.col("value") / (F.col("value") + 10), "m": (F.col("pred") != 0).cast("int")})
+    return rounded(M.masked_cross_entropy(e, "p", "m"), "loss")
+
+
+@query("WITH " + SQL_EV + "SELECT round(avg(greatest(w - value / 100 + 1, 0)), 6) AS loss FROM (SELECT value, lead(value) OVER (PARTITION BY pair_index ORDER BY pos) / 100 AS w FROM ev) WHERE w IS NOT NULL")
+def a28_margin_rank_loss(spark: Spark, d: str) -> DataFrame:
+    w = Window.partitionBy(PAIR).orderBy("pos")
+    e = C.event_tokens(spark, d).select((F.col("value") / 100).alias("t"), (F.lead("value").over(w) / 100).alias("w")).where("w is not null")
+    return rounded(M.margin_rank_loss(e, "t", "w"), "loss")
+
+
+@query(SQL_RUNS + """ SELECT round((SELECT sum("end" - start) FROM runs WHERE pred > 0) / (SELECT count(*) FROM ev), 6) AS coverage""")
+def a29_coverage(spark: Spark, d: str) -> DataFrame:
+    n = C.event_tokens(spark, d).groupBy(PAIR).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(M.coverage(both_runs(spark, d)[0].where("pred > 0"), n), "coverage")
+
+
+@query("WITH " + SQL_SRC + """, s AS (SELECT pair_index, string_agg(chr(CAST(64 + CAST(replace(token, 'Brand#', '') AS INT) AS INT)), '' ORDER BY pos) AS a FROM src GROUP BY 1) SELECT round(avg(levenshtein(x.a, y.a) / greatest(length(x.a), length(y.a))), 6) AS ned FROM s x JOIN s y ON y.pair_index = x.pair_index + 1""")
+def a29_normalised_edit_distance(spark: Spark, d: str) -> DataFrame:
+    s = C.src_tokens(spark, d).groupBy(PAIR).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("a"))
+    return rounded(M.normalised_edit_distance(s.join(s.select((F.col(PAIR) - 1).alias(PAIR), F.col("a").alias("b")), PAIR), "a", "b"), "ned")

@@ -190,6 +190,89 @@ def _hmm(spark: Spark, d: str, kind: str, emission: str = "unigram", **kw) -> Da
     return _aligned(pairs, hmm.train(pairs, p, 2, rate=0.1)[0])
 
 
+SQL_CHAIN = "WITH " + SQL_SRC + ", " + SQL_TRG + """, co AS (SELECT s.pair_index, s.pos AS spos, token, t.pos AS tpos, concept FROM src s JOIN trg t USING (pair_index)), cn AS (SELECT concept, token, count(*) AS n FROM co GROUP BY 1, 2), tt AS (SELECT concept, token, n / sum(n) OVER (PARTITION BY concept) AS p FROM cn),
+ps AS (SELECT pair_index, spos, tpos, concept, token, p / sum(p) OVER (PARTITION BY pair_index, spos) AS post, p FROM co JOIN tt USING (concept, token))"""
+
+
+def _counted_chain(spark: Spark, d: str) -> tuple[DataFrame, hmm.Params]:
+    """Order pairs, and a uniform chain that emits by co-occurrence shares."""
+    pairs = em.keep(order_pairs(spark, d))
+    m, v, dim, _ = _sizes(pairs)
+    src, trg = C.src_tokens(spark, d), C.trg_tokens(spark, d)
+    table = em.counted_translation(em.cooccurrences(src, trg)).collect()  # types x brands
+    kinds, brands = sorted({r["concept"] for r in table}), sorted({r["token"] for r in table})
+    obs = np.zeros((len(kinds), len(brands)))
+    for r in table:
+        obs[kinds.index(r["concept"]), brands.index(r["token"])] = r["p"]
+    p = hmm.start(m, dim, v, dim, "table")
+    p.obs = obs
+    return pairs, p
+
+
+@query(SQL_CHAIN + " SELECT pair_index, round(sum(ln(s)), 6) AS ll FROM (SELECT pair_index, spos, sum(p) / count(*) AS s FROM ps GROUP BY 1, 2) GROUP BY 1")
+def k01_forward_likelihood(spark: Spark, d: str) -> DataFrame:
+    """Log-likelihood of each pair by the scaled forward pass."""
+    s = hmm.state_posteriors(*_counted_chain(spark, d))
+    return s.groupBy(PAIR).agg(F.round(F.max("ll"), 6).alias("ll"))
+
+
+@query(SQL_CHAIN + " SELECT pair_index, spos AS pos, tpos AS state, round(post, 6) AS post FROM ps")
+def k05_state_posteriors(spark: Spark, d: str) -> DataFrame:
+    """Forward times backward."""
+    return hmm.state_posteriors(*_counted_chain(spark, d)).select(PAIR, "pos", "state", F.round("post", 6).alias("post"))
+
+
+def _stats(spark: Spark, d: str, tied: bool = False) -> dict[str, np.ndarray]:
+    pairs, p = _counted_chain(spark, d)
+    return hmm.add_up(pairs, lambda b: (hmm.expected_counts(p, x, y, tied) for _, x, y in hmm.shaped_batches(b)))
+
+
+def _matrix(spark: Spark, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+@query(SQL_CHAIN + " SELECT m, tpos AS i, round(sum(post), 5) AS n FROM ps JOIN (SELECT pair_index, count(*) AS m FROM trg GROUP BY 1) USING (pair_index) WHERE spos = 0 GROUP BY 1, 2")
+def k03_initial_counts(spark: Spark, d: str) -> DataFrame:
+    s = _stats(spark, d)
+    return _matrix(spark, [(int(k[5:]), i, round(float(v), 5)) for k, c in s.items() if k.startswith("init/") for i, v in enumerate(c)], "m long, i long, n double")
+
+
+SQL_MOVES = SQL_CHAIN + ", mv AS (SELECT m, a.tpos AS i, b.tpos AS j, sum(a.post * b.post) AS n FROM ps a JOIN ps b ON a.pair_index = b.pair_index AND b.spos = a.spos + 1 JOIN (SELECT pair_index, count(*) AS m FROM trg GROUP BY 1) t ON t.pair_index = a.pair_index GROUP BY 1, 2, 3)"
+
+
+def _moves(spark: Spark, d: str, tied: bool) -> DataFrame:
+    s = _stats(spark, d, tied)
+    rows = []
+    for k, c in s.items():
+        if k.startswith("trans/"):
+            m = int(k[6:])
+            rows += [(m, i, j, round(float(c[i * m + j]), 5)) for i in range(m) for j in range(m)]
+    return _matrix(spark, rows, "m long, i long, j long, n double").where("n > 0")
+
+
+@query(SQL_MOVES + " SELECT m, i, j, round(n, 5) AS n FROM mv")
+def k04_transition_counts(spark: Spark, d: str) -> DataFrame:
+    return _moves(spark, d, False)
+
+
+@query(SQL_MOVES + " SELECT m, i, j, round(sum(n) OVER (PARTITION BY m, j - i), 5) AS n FROM mv")
+def k04_transition_counts_tied(spark: Spark, d: str) -> DataFrame:
+    return _moves(spark, d, True)
+
+
+@query(SQL_CHAIN + ", c AS (SELECT concept, token, sum(post) AS n FROM ps GROUP BY 1, 2) SELECT CAST(dense_rank() OVER (ORDER BY concept) - 1 AS BIGINT) AS k, CAST(dense_rank() OVER (ORDER BY token) - 1 AS BIGINT) AS x, round(n, 5) AS n FROM c")
+def k07_emission_counts(spark: Spark, d: str) -> DataFrame:
+    c = _stats(spark, d)["obs"]
+    v = len(c) // 6
+    return _matrix(spark, [(i // v, i % v, round(float(n), 5)) for i, n in enumerate(c)], "k long, x long, n double").where("n > 0")
+
+
+@query()
+def m03_alignment_hmm_alias(spark: Spark, d: str) -> DataFrame:
+    """The unfinished third translation model is the alignment HMM."""
+    return _hmm(spark, d, "table")
+
+
 @query()
 def m10_baum_welch(spark: Spark, d: str) -> DataFrame:
     s = C.event_tokens(spark, d).groupBy(PAIR).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "gold"))), lambda x: x["gold"]).alias("x"))
