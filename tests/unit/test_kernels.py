@@ -183,8 +183,9 @@ def test_corrlda(spark):
         good = [(a, z) for r in corrlda.decode(post, m).collect() for a, z in [(r.alignment, r.concepts)]]
         assert sum(a == [0, 1] for a, _ in good) >= 8
     move = np.log(np.array([[0.5, 0.5], [0.2, 0.8]]))
-    p, moves = corrlda.chain_posterior(np.log([0.5, 0.5]), move, np.log(np.array([[0.9, 0.1], [0.5, 0.5], [0.1, 0.9]])))
-    assert p.sum(1) == pytest.approx([1, 1, 1])
+    p, moves = corrlda.chain_posterior(np.log([0.5, 0.5]), move, np.log(np.array([[[0.9, 0.1], [0.5, 0.5], [0.1, 0.9]]])))
+    assert p[0].sum(1) == pytest.approx([1, 1, 1])
+    assert moves[0, 0, 1] > moves[0, 1, 0]
 
 
 @settings(max_examples=25, deadline=None)

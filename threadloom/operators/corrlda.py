@@ -65,90 +65,90 @@ class Model:
 
 
 def source_terms(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-    """log p(x_t|z): (T, K); for frames the mixture terms (T, K, M) too."""
+    """log p(x_t|z): (B, T, K); for frames the mixture terms (B, T, K, M) too."""
     if m.tokens is not None:
-        return m.logs["tokens"][:, x.astype(int)].T, None
-    zm = log_gaussian(x[:, None, None, :], m.mean_a, m.var_a) + m.logs["a"]
+        return np.moveaxis(m.logs["tokens"][:, x.astype(int)], 0, -1), None
+    zm = log_gaussian(x[..., None, None, :], m.mean_a, m.var_a) + m.logs["a"]
     return logsumexp(zm), zm
 
 
 def region_terms(m: Model, y: np.ndarray) -> np.ndarray:
-    """log p(y_i, mixture|z): (n, K, M)."""
-    return log_gaussian(y[:, None, None, :], m.mean_v, m.var_v) + m.logs["v"]
+    """log p(y_i, mixture|z): (B, n, K, M)."""
+    return log_gaussian(y[..., None, None, :], m.mean_v, m.var_v) + m.logs["v"]
 
 
 def chain_posterior(start, move, e):
-    """Posteriors (T, n) and move counts (n, n) of a log-space chain."""
-    t, n = e.shape
-    a, b = np.empty((t, n)), np.zeros((t, n))
-    a[0] = start + e[0]
+    """Posteriors (B, T, n) and move counts (B, n, n) of log-space
+    chains with emissions ``e`` (B, T, n)."""
+    _, t, n = e.shape
+    a, b = np.empty(e.shape), np.zeros(e.shape)
+    a[:, 0] = start + e[:, 0]
     for s in range(1, t):
-        a[s] = logsumexp(a[s - 1][:, None] + move, 0) + e[s]
+        a[:, s] = logsumexp(a[:, s - 1, :, None] + move, 1) + e[:, s]
     for s in range(t - 1, 0, -1):
-        b[s - 1] = logsumexp(move + e[s] + b[s], 1)
+        b[:, s - 1] = logsumexp(move + (e[:, s] + b[:, s])[:, None, :], 2)
     post = a + b
-    post = np.exp(post - logsumexp(post, 1, True))
-    moves = np.zeros((n, n))
+    post = np.exp(post - logsumexp(post, 2, True))
+    moves = np.zeros((len(e), n, n))
     for s in range(t - 1):
-        j = a[s][:, None] + move + e[s + 1] + b[s + 1]
-        moves += tie(np.exp(j - logsumexp(j.ravel())))
+        j = a[:, s, :, None] + move + (e[:, s + 1] + b[:, s + 1])[:, None, :]
+        moves += tie(np.exp(j - logsumexp(j.reshape(len(e), -1))[:, None, None]))
     return post, moves
 
 
 def posterior(m: Model, x: np.ndarray, y: np.ndarray, align: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Concept posterior (n, K) given the last alignment, then the alignment
-    (T, n) given it, and expected moves (n, n)."""
-    n = len(y)
+    """Concept posterior (B, n, K) given the last alignment, then the alignment
+    (B, T, n) given it, and expected moves (B, n, n)."""
+    n = y.shape[1]
     sx, _ = source_terms(m, x)
-    ry = logsumexp(region_terms(m, y))
-    z = m.logs["z"] + align.T @ sx + ry
-    z = np.exp(z - logsumexp(z, 1, True))
-    e = sx @ z.T
+    z = m.logs["z"] + np.swapaxes(align, 1, 2) @ sx + logsumexp(region_terms(m, y))
+    z = np.exp(z - logsumexp(z, 2, True))
+    e = sx @ np.swapaxes(z, 1, 2)
     if not m.chain:
         p = m.logs["starts"][n] + e
-        return z, np.exp(p - logsumexp(p, 1, True)), np.zeros((n, n))
+        return z, np.exp(p - logsumexp(p, 2, True)), np.zeros((len(y), n, n))
     post, moves = chain_posterior(m.logs["starts"][n], m.logs["moves"][n], e)
     return z, post, moves
 
 
-def pair_likelihood(m: Model, x: np.ndarray, y: np.ndarray) -> float:
-    """Log p(y) + log p(x|y) at the expected parameters."""
+def likelihood(m: Model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log p(y) + log p(x|y) at the expected parameters, for each pair (B,)."""
     ry = m.logs["prior"] + logsumexp(region_terms(m, y))
-    ly = logsumexp(ry, 1)
+    ly = logsumexp(ry)
     sx, _ = source_terms(m, x)
-    e = logsumexp(sx[:, None, :] + (ry - ly[:, None])[None], 2)
-    n = len(y)
+    e = logsumexp(sx[:, :, None, :] + (ry - ly[..., None])[:, None])
+    n = y.shape[1]
     start = np.log(m.starts[n] / m.starts[n].sum())
     if not m.chain:
-        return float(ly.sum() + logsumexp(start + e, 1).sum())
+        return ly.sum(1) + logsumexp(start + e).sum(1)
     move = np.log(m.moves[n] / m.moves[n].sum(1, keepdims=True))
-    a = start + e[0]
-    for s in range(1, len(x)):
-        a = logsumexp(a[:, None] + move, 0) + e[s]
-    return float(ly.sum() + logsumexp(a))
+    a = start + e[:, 0]
+    for s in range(1, e.shape[1]):
+        a = logsumexp(a[:, :, None] + move, 1) + e[:, s]
+    return ly.sum(1) + logsumexp(a)
 
 
-def pair_counts(m: Model, x, y, z, post, moves) -> dict[str, np.ndarray]:
-    """Sums that one pair adds to the hyper-parameters and observation models."""
-    n = len(y)
-    later = np.concatenate([np.cumsum(z[:, ::-1], 1)[:, ::-1][:, 1:], np.zeros((n, 1))], 1)
-    out = {"sticks": np.stack([z.sum(0), later.sum(0)], 1), f"starts/{n}": post[0] if m.chain else post.sum(0), "n": np.array([1.0]), "ll": np.array([pair_likelihood(m, x, y)])}
+def counts(m: Model, x, y, z, post, moves) -> dict[str, np.ndarray]:
+    """Sums that a batch adds to the hyper-parameters and observation models."""
+    n, k = y.shape[1], z.shape[2]
+    later = np.concatenate([np.cumsum(z[..., ::-1], 2)[..., ::-1][..., 1:], np.zeros((*z.shape[:2], 1))], 2)
+    out = {"sticks": np.stack([z.sum((0, 1)), later.sum((0, 1))], 1), f"starts/{n}": post[:, 0].sum(0) if m.chain else post.sum((0, 1)), "n": np.array([float(len(y))]), "ll": np.array([likelihood(m, x, y).sum()])}
     if m.chain:
-        out[f"moves/{n}"] = moves
+        out[f"moves/{n}"] = moves.sum(0)
     r = region_terms(m, y)
-    r = np.exp(r - logsumexp(r, -1, True)) * z[:, :, None]
-    out["mix_v"], out["sum_v"] = r.sum(0), np.einsum("nkm,nd->kmd", r, y)
+    r = np.exp(r - logsumexp(r, -1, True)) * z[..., None]
+    out["mix_v"], out["sum_v"] = r.sum((0, 1)), np.einsum("bnkm,bnd->kmd", r, y)
     if m.free_variance:
-        out["sq_v"] = np.einsum("nkm,nkmd->kmd", r, (y[:, None, None, :] - m.mean_v) ** 2)
-    za = post @ z  # (T, K)
+        out["sq_v"] = np.einsum("bnkm,bnkmd->kmd", r, (y[..., None, None, :] - m.mean_v) ** 2)
+    za = post @ z  # (B, T, K)
     if m.tokens is not None:
-        out["tokens"] = np.stack([np.bincount(x.astype(int), za[:, k], minlength=m.tokens.shape[1]) for k in range(len(z[0]))])
+        out["tokens"] = np.stack([np.bincount(x.astype(int).ravel(), za[..., c].ravel(), minlength=m.tokens.shape[1]) for c in range(k)])
     else:
         _, zm = source_terms(m, x)
-        q = np.exp(zm - logsumexp(zm, -1, True)) * za[:, :, None]
-        out["mix_a"], out["sum_a"] = q.sum(0), np.einsum("tkm,td->kmd", q, x)
+        q = np.exp(zm - logsumexp(zm, -1, True)) * za[..., None]
+        out["mix_a"], out["sum_a"] = q.sum((0, 1)), np.einsum("btkm,btd->kmd", q, x)
         if m.free_variance:
-            out["sq_a"] = np.einsum("tkm,tkmd->kmd", q, (x[:, None, None, :] - m.mean_a) ** 2)
+            out["sq_a"] = np.einsum("btkm,btkmd->kmd", q, (x[..., None, None, :] - m.mean_a) ** 2)
     return out
 
 
@@ -178,24 +178,34 @@ def update(m: Model, s: dict[str, np.ndarray]) -> Model:
 _STATE = "pair_index long, x array<double>, xd int, y array<array<double>>, align array<double>, z array<double>, moves array<double>"
 
 
-def _unpack(b: pa.RecordBatch):
-    for p, x, xd, y, a, z, mv in zip(*(b.column(c).to_pylist() for c in ("pair_index", "x", "xd", "y", "align", "z", "moves")), strict=True):
-        y = np.array(y, float)
-        x = np.array(x, float)
-        yield p, (x if xd == 0 else x.reshape(-1, xd)), xd, y, np.array(a, float).reshape(-1, len(y)), z, mv
+_NAMES = ["pair_index", "x", "xd", "y", "align", "z", "moves"]
+
+
+def _shapes(b: pa.RecordBatch):
+    """Rows of equal shape as stacked arrays: ids, xd, x, y, align, z, moves."""
+    cols = [b.column(c).to_pylist() for c in _NAMES]
+    groups: dict[tuple[int, int, int], list[int]] = {}
+    for i, (x, xd, y) in enumerate(zip(cols[1], cols[2], cols[3], strict=True)):
+        groups.setdefault((len(x), xd, len(y)), []).append(i)
+    for (size, xd, n), rows in groups.items():
+        for lo in range(0, len(rows), 512):
+            ids, x, _, y, align, z, moves = ([c[i] for i in rows[lo : lo + 512]] for c in cols)
+            x = np.array(x, float)
+            x = x if xd == 0 else x.reshape(len(x), -1, xd)
+            t = x.shape[1]
+            yield ids, xd, x, np.array(y, float), np.array(align, float).reshape(-1, t, n), (np.array(z, float).reshape(len(ids), n, -1) if z[0] else None), (np.array(moves, float).reshape(-1, n, n) if moves[0] else None)
 
 
 def _step(sent):
     def run(it):
         m = sent.value
+        kinds = [pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.list_(pa.float64())), *[pa.list_(pa.float64())] * 3]
         for b in it:
-            cols = [[] for _ in range(7)]
-            for p, x, xd, y, a, _, _ in _unpack(b):
-                z, post, moves = posterior(m, x, y, a)
-                for c, v in zip(cols, (p, x.ravel().tolist(), xd, y.tolist(), post.ravel().tolist(), z.ravel().tolist(), moves.ravel().tolist()), strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.list_(pa.float64())), *[pa.list_(pa.float64())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["pair_index", "x", "xd", "y", "align", "z", "moves"])
+            for ids, xd, x, y, align, _, _ in _shapes(b):
+                z, post, moves = posterior(m, x, y, align)
+                flat = lambda v: v.reshape(len(v), -1).tolist()
+                rows = (ids, flat(x), [xd] * len(ids), y.tolist(), flat(post), flat(z), flat(moves))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], _NAMES)
 
     return run
 
@@ -217,9 +227,8 @@ def train(pairs: DataFrame, m: Model, iterations: int) -> tuple[Model, DataFrame
         rows = keep(rows.mapInArrow(_step(sent), _STATE))
 
         def stats(b, sent=sent):
-            for _, x, _, y, a, z, mv in _unpack(b):
-                n = len(y)
-                yield pair_counts(sent.value, x, y, np.array(z).reshape(n, -1), a, np.array(mv).reshape(n, n))
+            for _, _, x, y, align, z, moves in _shapes(b):
+                yield counts(sent.value, x, y, z, align, moves)
 
         s = add_up(rows, stats)
         history.append(float(s["ll"][0] / s["n"][0]))
@@ -244,19 +253,14 @@ def decode(rows: DataFrame, m: Model) -> DataFrame:
     def run(it):
         m = sent.value
         for b in it:
-            out = [[], [], []]
-            for p, x, _, y, a, z, _ in _unpack(b):
-                n = len(y)
-                z = np.array(z).reshape(n, -1)
+            for ids, _, x, y, align, z, _ in _shapes(b):
+                n = y.shape[1]
                 if m.chain:
-                    e = source_terms(m, x)[0] @ z.T
-                    e = np.exp(e - e.max(1, keepdims=True))
-                    path = viterbi(m.starts[n] / m.starts[n].sum(), m.moves[n] / m.moves[n].sum(1, keepdims=True), e[None])[0]
+                    e = source_terms(m, x)[0] @ np.swapaxes(z, 1, 2)
+                    path = viterbi(m.starts[n] / m.starts[n].sum(), m.moves[n] / m.moves[n].sum(1, keepdims=True), np.exp(e - e.max(2, keepdims=True)))
                 else:
-                    path = a.argmax(1)
-                for c, v in zip(out, (p, path.tolist(), z.argmax(1).tolist()), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.int32()))], ["pair_index", "alignment", "concepts"])
+                    path = align.argmax(2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(path.tolist(), pa.list_(pa.int32())), pa.array(z.argmax(2).tolist(), pa.list_(pa.int32()))], ["pair_index", "alignment", "concepts"])
 
     return rows.mapInArrow(run, "pair_index long, alignment array<int>, concepts array<int>")
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import metrics as M
 from threadloom.operators import retrieval as R
-from threadloom.operators import segments as S
 from threadloom.operators.em import counted_translation, cooccurrences, fit_segment_model, length_model, uniform_translation
 
 from . import corpora as C
