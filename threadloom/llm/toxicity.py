@@ -184,8 +184,21 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = 3000, negative: int
     null ids and labels are ignored."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     marks = marks.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_y"))
-    order = [F.xxhash64("_id"), F.col("_id")]
-    some = marks.where("_y = 1").orderBy(*order).limit(positive).unionByName(marks.where("_y = 0").orderBy(*order).limit(negative))
+    # Counts per slice of the hash range say where to stop, so that tasks hand on
+    # no more rows than the sample has.
+    parts = 1 << 16
+    marks = marks.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(parts)))
+    seen = {0: [0] * parts, 1: [0] * parts}
+    for r in marks.groupBy("_y", "_part").count().collect():  # at most 2 x 65536 rows
+        seen[r["_y"]][r["_part"]] = r["count"]
+    picked = []
+    for y, most in ((1, positive), (0, negative)):
+        total, stop = 0, 0
+        while stop < parts and total < most:
+            total += seen[y][stop]
+            stop += 1
+        picked.append(marks.where((F.col("_y") == y) & (F.col("_part") < stop)).orderBy("_part", "_id").limit(most))
+    some = picked[0].unionByName(picked[1]).select("_id", "_y")
     rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select("text", "_y", "_id")
     got = sorted((r["_id"], r["text"], r["_y"]) for r in rows.coalesce(8).toLocalIterator())
