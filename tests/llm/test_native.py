@@ -29,12 +29,12 @@ def lower(t):
 
 def oracle(sf, sql):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return sorted(map(tuple, c.execute(sql).fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["op2_chat", "op9_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_chat", "op6_urls", "op9_exact_dedup"])
 def test_sql(spark, sf, name):
     df = queries.queries()[name](spark, sf)
     order = duckdb.connect().execute

@@ -56,7 +56,8 @@ class Plan:
     width: int
     samples: int = 240
     bits: int = 1024
-    block: int = 2048
+    block: int = 2048  # most members of a bucket in one task, on average
+    block_bytes: int = 32 << 20  # and most bytes of their full sets
 
     @property
     def rows(self) -> int:
@@ -114,8 +115,8 @@ def _signed(plan: Plan):
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             n, h, bands = [], [], []
-            for text in b.column("text").to_pylist():
-                s = shingles(text, plan.width)
+            for text in b.column("text"):
+                s = shingles(text.as_py(), plan.width)
                 n.append(len(s))
                 h.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bands.append(plan.bands(plan.signature(s, mult)) if len(s) else none)
@@ -132,8 +133,8 @@ def _sets(plan: Plan):
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             n, sets, odd = [], [], []
-            for text in b.column("text").to_pylist():
-                s = shingles(text, plan.width)
+            for text in b.column("text"):
+                s = shingles(text.as_py(), plan.width)
                 n.append(len(s))
                 sets.append(s.tobytes())
                 odd.append(plan.odd_sketch(plan.signature(s, mult)))
@@ -150,8 +151,8 @@ def _verified(plan: Plan):
     def run(it):
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             ok = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 ok.append(100 * both >= plan.threshold * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
@@ -385,11 +386,14 @@ def near_groups(docs: DataFrame, threshold: int = 85, width: int = 3, id_col: st
     links = confirmed(tries)
     labels = cut(components(links))
 
-    named = cut(members.join(labels, members["id"] == labels["node"], "left").select("bkey", "id", F.coalesce("label", "id").alias("label")))
-    tally = named.groupBy("bkey", "label").count()
-    mixed = tally.groupBy("bkey").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = mixed.select(loose(F.col("bkey")).alias("bkey"), "main", F.ceil((F.col("all") - F.col("most")) / plan.block).cast("int").alias("ni"), F.ceil(F.col("all") / plan.block).cast("int").alias("nj"))
-    within = named.join(mixed, "bkey").join(odd, "id")
+    named = members.join(labels, members["id"] == labels["node"], "left").select("bkey", "id", F.coalesce("label", "id").alias("label"))
+    named = cut(named.join(sets.select("id", "n").hint("merge"), "id"))
+    tally = named.groupBy("bkey", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items"))
+    main = F.max_by("label", F.struct("rows", "label"))
+    mixed = tally.groupBy("bkey").agg(main.alias("main"), F.sum("rows").alias("all"), F.sum("items").alias("items"), F.max_by("items", F.struct("rows", "label")).alias("main_items"), F.max("rows").alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    blocks = lambda rows, items: F.greatest(F.ceil(rows / plan.block), F.ceil(items * 8 / plan.block_bytes)).cast("int")
+    mixed = mixed.select(loose(F.col("bkey")).alias("bkey"), "main", blocks(F.col("all") - F.col("most"), F.col("items") - F.col("main_items")).alias("ni"), blocks(F.col("all"), F.col("items")).alias("nj"))
+    within = named.drop("n").join(mixed, "bkey").join(odd, "id")
     i, j = F.pmod(F.xxhash64("id", F.lit(2)), F.col("ni")).cast("int"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("nj")).cast("int")
     cols = ["bkey", "id", "n", "label", "odd"]
     asks = within.where("label <> main").select(*cols, F.lit(0).alias("side"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
