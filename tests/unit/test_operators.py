@@ -130,3 +130,11 @@ def test_streams(spark, sf, tmp_path):
 
     whole = segments.run_segments(event_tokens(spark, sf), "token")
     assert runs.count() == whole.count() - batch.select("user_id").distinct().count()
+
+
+def test_ranked_without_checkpoints(spark, monkeypatch):
+    t = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
+    want = {k: i for i, k in enumerate(sorted(r.k for r in t.collect()))}
+    assert {r.k: r.n for r in E.ranked(t, ["k"], "n").collect()} == want
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    assert {r.k: r.n for r in E.ranked(t, ["k"], "n").collect()} == want

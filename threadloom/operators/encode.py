@@ -10,16 +10,30 @@ from pyspark.sql import functions as F
 PAIR = "pair_index"
 
 
+def ranked(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with its rows numbered from 0 in the given order.
+
+    Rows are dealt by range, ranked inside their partition and shifted by the
+    sizes of the partitions before it, so no task holds the table. The dealt
+    rows must not be dealt anew for the second read: they are written to the
+    checkpoint folder. Without one (small local runs) a plain window ranks them.
+    """
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    dealt = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    sizes = dealt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
+    first = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_first"))
+    at = F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1
+    return dealt.withColumn("_at_", at).join(F.broadcast(first), "_pid").withColumn(name, (F.col("_first") + F.col("_at_")).cast("long")).drop("_pid", "_at_", "_first")
+
+
 def vocabulary(df: DataFrame, token: str = "token", order: str = "first_seen", key: str = PAIR, pos: str = "pos") -> DataFrame:
     """``token, token_id``; by first appearance in (pair, position) order, or
-    ``sorted``. The distinct tokens are ranked in one task; texts aren't."""
+    ``sorted``."""
     if order == "sorted":
-        seen = df.groupBy(token).agg(F.lit(1).alias("_at"))
-        w = Window.orderBy(token)
-    else:
-        seen = df.groupBy(token).agg(F.min(F.struct(key, pos)).alias("_at"))
-        w = Window.orderBy("_at")
-    return seen.select(token, (F.row_number().over(w) - 1).cast("long").alias("token_id"))
+        return ranked(df.select(token).distinct(), [token], "token_id")
+    seen = df.groupBy(token).agg(F.min(F.struct(key, pos)).alias("_seen"))
+    return ranked(seen, ["_seen"], "token_id").select(token, "token_id")
 
 
 def one_hot(token_id: Column, size: int) -> Column:
