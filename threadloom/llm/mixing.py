@@ -63,7 +63,7 @@ def mix(
     alpha: float = 0.5,
     period: int = 1024,
     block_bytes: int = 1 << 16,
-    per_bucket: int = 1000,
+    per_bucket: int = 200,
 ) -> DataFrame:
     """``row`` (struct of the ``carry`` columns; None: all), ``size, block,
     release, deadline, slot, bucket, in_bucket``; reading by ``slot`` interleaves
