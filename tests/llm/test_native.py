@@ -125,6 +125,39 @@ def test_pfair_windows():
             assert all(abs(done[x] - (t + 1) * q[x] / size) < 1 for x in q)
 
 
+def test_schedule_follows_weights():
+    """Over many periods of 1024, and with more sources than that, a source that
+    lasts is less than one block from its weight's share at every slot."""
+    sized = {k: float(v) ** 0.5 for k, v in {"a": 34, "b": 25, "c": 20, "d": 15, "e": 6}.items()}
+    rare = {"a": 0.9999, "b": 0.0001}
+    many = {f"s{i:04d}": 1.0 + i % 7 for i in range(1500)}
+    for weights, slots in ((sized, 200_000), (rare, 200_000), (many, 10_000)):
+        total = sum(weights.values())
+        blocks = {s: math.ceil(slots * w / total) + 1 for s, w in weights.items()}
+        done: dict[str, list[int]] = defaultdict(list)
+        for s, k, r, d, t in mixing.pfair(weights, blocks):
+            assert r <= t < d
+            assert k == len(done[s])
+            done[s].append(t)
+        assert len({t for own in done.values() for t in own}) == sum(blocks.values())
+        for s, own in done.items():
+            w = weights[s] / total
+            assert all(abs(k - t * w) < 1 + 1e-6 and abs(k + 1 - (t + 1) * w) < 1 + 1e-6 for k, t in enumerate(own) if t < slots)
+
+
+def test_mix_many_sources(spark):
+    """Weights count also where there are more sources than a period has blocks."""
+    docs = spark.range(1100 * 4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 99).alias("text"), (F.col("id") % 1100).cast("string").alias("source"))
+    weights = {str(i): 3.0 if i < 100 else 1.0 for i in range(1100)}
+    rows = mixing.mix(docs, weights=weights, block_bytes=100, period=3).select("row.source", "block", "release", "slot", "deadline").collect()
+    assert len(rows) == 4400
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+    assert len({r.slot for r in rows}) == 4400
+    for r in rows:
+        w = weights[r.source] / 1300
+        assert (r.release, r.deadline) == (int(r.block / w + 1e-9), math.ceil((r.block + 1) / w - 1e-9))
+
+
 def test_mix_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = mixing.mix(docs, block_bytes=4000, period=64).select("row.*", *[F.col(c).alias(f"_{c}") for c in ("size", "block", "release", "deadline", "slot", "bucket", "in_bucket")]).collect()

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping, Sequence
-
-from pyspark.sql import DataFrame, Window
+import math
+from array import array
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import inline_table, scaled
+from .common import scaled
 
 
 def quotas(weights: Mapping[str, float], period: int) -> dict[str, int]:
     """Blocks per period for each source, at least one, summing to ``period``
-    (largest remainders; the period grows to hold one block of each)."""
+    (largest remainders; the period grows to hold one block of each): a rounded
+    table for callers of ``pfair_period``. ``mix`` goes by the exact weights."""
     names = sorted(k for k, w in weights.items() if w > 0)
     if not names:
         return {}
@@ -28,29 +34,55 @@ def quotas(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def pfair_period(quota: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, k, release, deadline, slot) of each block of one period.
+def pfair(weights: Mapping[str, float], blocks: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, k, release, deadline, slot) of each of ``blocks``, by slot.
 
-    Block k of a source with q of Q slots is released at floor(kQ/q) and due at
-    ceil((k+1)Q/q); of the released blocks the one due first takes each slot.
-    The windows fill the period exactly, so every deadline is met and a source
-    is always less than one block from its fluid share. The schedule repeats.
+    Block k of a source with share w of all weights is released at floor(k/w)
+    and due at ceil((k+1)/w), k counted from the start and w taken as the exact
+    fraction, so nothing is rounded that could add up; of the released blocks
+    the one due first takes each slot. A fluid schedule meets all windows, so
+    earliest deadline first does, and a source is less than one block from its
+    share for as long as it lasts. Where no block is released, slots stay empty.
     """
-    q_all = sum(quota.values())
-    window = lambda s, k: (k * q_all // quota[s], -(-(k + 1) * q_all // quota[s]))
-    waiting = sorted((window(s, 0)[0], window(s, 0)[1], s, 0) for s in quota)
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    part = {s: int(w * unit) for s, w in exact.items()}
+    whole = sum(part.values())
+    window = lambda s, k: (k * whole // part[s], -(-(k + 1) * whole // part[s]))
+    waiting = [(*window(s, 0), s, 0) for s in part if blocks.get(s, 0) > 0]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(q_all):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             r, d, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (d, s, k, r))
         d, s, k, r = heapq.heappop(ready)
-        out.append((s, k, r, d, slot))
-        if k + 1 < quota[s]:
+        yield s, k, r, d, slot
+        slot += 1
+        if k + 1 < blocks[s]:
             heapq.heappush(waiting, (*window(s, k + 1), s, k + 1))
-    return out
+
+
+def pfair_period(quota: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """``pfair`` over one period of whole quotas: it fills the period exactly, so
+    the schedule repeats."""
+    return list(pfair(quota, quota))
+
+
+def schedule_table(spark: SparkSession, weights: Mapping[str, float], blocks: Mapping[str, int], chunk: int) -> DataFrame:
+    """The whole schedule, ``chunk`` blocks of one source a row: ``p_skey,
+    p_chunk, p_release, p_deadline, p_slot`` (arrays by block; 24 bytes each)."""
+    cols: dict[str, tuple[array, array, array]] = {s: (array("q"), array("q"), array("q")) for s in blocks}
+    for s, _, *at in pfair(weights, blocks):
+        for c, x in zip(cols[s], at, strict=True):
+            c.append(x)
+    cuts = [(s, k) for s in blocks for k in range(0, blocks[s], chunk)]
+    listed = [pa.array([np.frombuffer(cols[s][j], np.int64)[k : k + chunk] for s, k in cuts], pa.list_(pa.int64())) for j in range(3)]
+    keys = [pa.array([s for s, _ in cuts], pa.string()), pa.array([k // chunk for _, k in cuts], pa.int64())]
+    return spark.createDataFrame(pa.Table.from_arrays([*keys, *listed], ["p_skey", "p_chunk", "p_release", "p_deadline", "p_slot"]))
 
 
 def mix(
@@ -79,8 +111,9 @@ def mix(
 
     Sizes are summed by (source, hash bucket); a row's offset is its bucket's
     start plus a running sum inside the bucket, so a source with any share of
-    the rows is spread over many tasks. One period of the schedule (bounded by
-    ``period`` or the number of sources) is broadcast.
+    the rows is spread over many tasks. The schedule follows the exact weights
+    over all blocks: the driver makes and broadcasts 24 bytes a block,
+    ``period`` blocks of a source in a row.
 
     Nulls: a null source is a source of its own, a null text has size 1, a null
     id is ordered first. Columns of any name travel inside ``row``.
@@ -101,20 +134,13 @@ def mix(
         rule = {s: named.get(s, rule[s] * scale) for s in totals}
         if any(rule[s] <= 0 for s in rule):
             raise ValueError("a source that has rows needs a weight above 0")
-    quota = quotas(rule, period)
-    length = sum(quota.values())
-    plan = [(s, quota[s], k, r, d, t) for s, k, r, d, t in pfair_period(quota)]
-    table = inline_table(spark, plan, "p_skey string, p_quota int, p_k int, p_release int, p_deadline int, p_slot int")
-    of = inline_table(spark, [(s, q) for s, q in quota.items()], "q_skey string, q_quota int")
+    table = schedule_table(spark, rule, {s: (t - 1) // block_bytes + 1 for s, t in totals.items()}, period)
     order = Window.partitionBy("_skey", "_bucket").orderBy("_id", "_size", "_tie")
     run = rows.withColumn("_run", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
     run = run.join(starts.select(F.col("_skey").alias("b_skey"), F.col("_bucket").alias("b_bucket"), "_start"), (F.col("_skey") == F.col("b_skey")) & (F.col("_bucket") == F.col("b_bucket")))
     run = run.withColumn("_block", F.floor((F.col("_start") + F.col("_run")) / F.lit(block_bytes)))
-    run = run.join(F.broadcast(of), F.col("_skey") == F.col("q_skey"))
-    cycle, k = F.floor(F.col("_block") / F.col("q_quota")), F.pmod(F.col("_block"), F.col("q_quota"))
-    run = run.withColumns({"_cycle": cycle, "_k": k.cast("int")})
-    run = run.join(F.broadcast(table), (F.col("_skey") == F.col("p_skey")) & (F.col("_k") == F.col("p_k")))
-    at = [(F.col("_cycle") * length + F.col(f"p_{x}")).alias(x) for x in ("release", "deadline", "slot")]
+    run = run.join(F.broadcast(table), (F.col("_skey") == F.col("p_skey")) & (F.floor(F.col("_block") / F.lit(period)) == F.col("p_chunk")))
+    at = [F.get(f"p_{x}", F.pmod(F.col("_block"), F.lit(period)).cast("int")).alias(x) for x in ("release", "deadline", "slot")]
     return run.select("row", F.col("_size").alias("size"), F.col("_block").alias("block"), *at, F.col("_bucket").alias("bucket"), F.col("_run").alias("in_bucket"))
 
 
