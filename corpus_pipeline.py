@@ -13,9 +13,12 @@ from threadloom.llm.bpe import encode_texts
 from threadloom.llm.common import cut, read
 from threadloom.llm.exact import drop_exact
 from threadloom.llm.minhash import drop_near
-from threadloom.llm.mixing import mixed_order
+from threadloom.llm.mixing import mix, mixed_order
 from threadloom.llm.toxicity import drop_toxic, fit
 
+#: A text's place in the mix.
+PLACE = ("slot", "bucket", "in_bucket")
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more go; the model is fitted on labelled rows."""
@@ -34,16 +37,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, interleaved by source at weights in proportion to size ** 0.5;
-    the decision is the order of the written rows."""
+    the decision is the order of the written rows, and ``encoding`` names it."""
     return mixed_order(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, in the mix's order, and the digest of what they
-    decode to."""
+    """Token ids of every text, the digest of what they decode to, and the text's
+    place in the mix: reading by ``slot, bucket, in_bucket`` is its order. Files
+    are not read in the order they were written in, so the mix (which depends on
+    the rows only) is made again, and the rows are sorted by it."""
     import public_tokenizers
 
-    return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "tokens", "decoded_sha256"))
+    rows = mix(docs, carry=["doc_id", "text"]).orderBy(*PLACE).select("row.*", *PLACE)
+    return encode_texts(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "tokens", "decoded_sha256"), carry=PLACE)
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("MinHash near-dedup", near_dedup), ("mixing sources", mixing), ("BPE encoding", encoding)]

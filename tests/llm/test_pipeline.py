@@ -4,10 +4,12 @@ import hashlib
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_near import brute
 from threadloom.llm.bpe import encoder
+from threadloom.llm.mixing import mix
 from threadloom.llm.toxicity import fit, score_text
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,6 +48,19 @@ def test_stages(spark, sf, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == sorted(want[-1])
 
 
+def test_mix_survives_the_reread(spark, sf, tmp_path):
+    """The mixing stage's order, from several files read in any order."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = [tuple(r) for r in mix(docs, carry=["doc_id"]).orderBy(*corpus_pipeline.PLACE).select("row.doc_id", *corpus_pipeline.PLACE).collect()]
+    corpus_pipeline.mixing(spark, docs, sf).write.option("maxRecordsPerFile", 15).parquet(str(tmp_path / "mixed"))
+    again = spark.read.parquet(str(tmp_path / "mixed"))
+    assert len(again.inputFiles()) > 10
+    for read in (again, again.orderBy(F.desc("n_chars"))):
+        got = corpus_pipeline.encoding(spark, read, sf).select("doc_id", *corpus_pipeline.PLACE).collect()
+        assert [tuple(r) for r in got] == want
+    assert len({w[1] for w in want}) > 5
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stage_edges(spark, sf, k):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"

@@ -60,7 +60,7 @@ def decode(enc, ids) -> bytes:
     return enc.decode_bytes(ids.tolist() if hasattr(ids, "tolist") else ids)
 
 
-def _mapped(data: bytes, pattern: str, fields: list[str], size: int):
+def _mapped(data: bytes, pattern: str, fields: list[str], size: int, carry: list[str]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(data.value, pattern)
         names = [str(i) for i in range(enc.n_vocab)]
@@ -77,7 +77,7 @@ def _mapped(data: bytes, pattern: str, fields: list[str], size: int):
                 if "decoded_sha256" in fields:
                     raw.append(hashlib.sha256(enc.decode_bytes(listed)).hexdigest())
             out = {"n_tokens": pa.array(count, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int32())), "ids_sha256": pa.array(digest, pa.string()), "decoded_sha256": pa.array(raw, pa.string())}
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[out[f] for f in fields]], ["doc_id", *fields])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[out[f] for f in fields], *[b.column(c) for c in carry]], ["doc_id", *fields, *carry])
 
     return run
 
@@ -85,8 +85,8 @@ def _mapped(data: bytes, pattern: str, fields: list[str], size: int):
 _TYPES = {"n_tokens": "bigint", "tokens": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def encode_texts(docs: DataFrame, rank_file: str, pattern: str, fields: tuple[str, ...] = ("tokens", "n_tokens"), id_col: str = "doc_id", text_col: str = "text", part: int = 1 << 16) -> DataFrame:
-    """``doc_id`` and ``fields`` of every row's whole text.
+def encode_texts(docs: DataFrame, rank_file: str, pattern: str, fields: tuple[str, ...] = ("tokens", "n_tokens"), id_col: str = "doc_id", text_col: str = "text", part: int = 1 << 16, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id`` and ``fields`` of every row's whole text, and its ``carry`` columns.
 
     ``rank_file`` is read once on the driver and broadcast (its size does not
     depend on the data); ``fields``: ``tokens, n_tokens, ids_sha256`` (decimal
@@ -100,9 +100,9 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, fields: tuple[st
     """
     with open(rank_file, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_mapped(data, pattern, list(fields), part), f"doc_id {kind}, " + ", ".join(f"{f} {_TYPES[f]}" for f in fields))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *carry)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", *carry)}
+    return rows.mapInArrow(_mapped(data, pattern, list(fields), part, list(carry)), f"doc_id {kinds['doc_id']}, " + ", ".join([f"{f} {_TYPES[f]}" for f in fields] + [f"{c} {kinds[c]}" for c in carry]))
 
 
 def decode_tokens(rows: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
