@@ -55,6 +55,16 @@ def test_exact_edges(edge):
     assert exact.exact_groups(edge.where("false")).count() == 0
 
 
+def test_exact_repeated_ids(spark):
+    """A row that loses its group takes no other text of its id along."""
+    rows = [(1, "a"), (2, "A"), (2, "only here"), (2, "b"), (3, "B"), (3, None), (4, ""), (2, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_SHA", F.lit("clash"))
+    kept = exact.drop_exact(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, str(r.text)) for r in kept.collect()) == [(1, "a"), (2, "b"), (2, "only here"), (3, "None")]
+    assert sorted((r.doc_id, str(r.text)) for r in exact.drop_exact(docs, keep="max").collect()) == [(2, "A"), (2, "a"), (2, "only here"), (3, "B"), (4, "")]
+
+
 # sharding
 
 

@@ -47,10 +47,17 @@ def exact_groups(
     )
 
 
-def drop_exact(docs: DataFrame, keep: str = "min", **kw) -> DataFrame:
+def drop_exact(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = lower_ascii) -> DataFrame:
     """The rows of ``docs`` that survive, with their own columns and no others.
 
-    Rows whose id is null have no identity to drop them by and stay.
+    A row goes by its id and its text: of rows that share an id, those with
+    other texts are judged in their own groups. Rows whose id is null have no
+    identity to drop them by and stay.
     """
-    losers = exact_groups(docs, keep=keep, **kw).where(~F.col("kept")).select(F.col("doc_id").alias("_loser")).distinct()
-    return docs.join(losers, docs[kw.get("id_col", "doc_id")] == losers["_loser"], "left_anti")
+    groups = exact_groups(docs, id_col, text_col, keep, normalise)
+    losers = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_loser"), F.col("text_sha256").alias("_lost")).distinct()
+    sha = "_sha"
+    while sha.lower() in map(str.lower, docs.columns):
+        sha += "_"
+    rows = docs.withColumn(sha, F.sha2(normalise(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    return rows.join(losers, (rows[id_col] == losers["_loser"]) & (rows[sha] == losers["_lost"]), "left_anti").drop(sha)
