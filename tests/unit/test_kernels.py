@@ -214,6 +214,32 @@ def test_gibbs():
     assert g.n.sum() == len(x)
 
 
+@pytest.mark.parametrize("per_part", [100, 4096])
+def test_gibbs_over_all_rows(spark, per_part):
+    """Components that only later ids have are learned, over any partitions."""
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.normal(c, 0.1, (n, 8)) for c, n in ((0, 550), (-2, 150), (2, 150))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    runs = [{q["id"]: q["component"] for q in segmental.gibbs_mixture(rows, 8, 0.05, 5, hottest=2.0, seed=1, per_part=per_part).collect()} for _ in range(2)]
+    assert runs[0] == runs[1]
+    assert len(runs[0]) == len(x)
+    found = [{runs[0][i] for i in range(*span)} for span in ((0, 550), (550, 700), (700, 850))]
+    assert not (found[0] & found[1] or found[0] & found[2] or found[1] & found[2])
+    assert segmental.gibbs_mixture(rows.where("false"), 8, 0.05, 1).count() == 0
+
+
+def test_m26_learns_from_all_vectors(spark, tmp_path):
+    """Two groups that occur only after the 500 lowest ids come apart."""
+    from threadloom.plans import models
+
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.normal(c, 0.1, (n, 64)) for c, n in ((0, 550), (-2, 150), (2, 150))])
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    z = {q["vec_id"]: q["component"] for q in models.m26_gibbs_mixture(spark, str(tmp_path)).collect()}
+    found = [{z[i] for i in range(*span)} for span in ((0, 550), (550, 700), (700, 850))]
+    assert not (found[0] & found[1] or found[0] & found[2] or found[1] & found[2])
+
+
 def test_sampling(spark):
     w = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 3.0)], "item string, weight double")
     u = spark.range(4000).select(F.col("id").alias("draw"), sampling.hash_uniform(F.col("id")).alias("u"))

@@ -7,10 +7,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from threadloom.functions.special import embed, log_gaussian, logsumexp
 
+from .em import keep
 from .hmm import viterbi
 
 
@@ -112,11 +115,15 @@ def embed_segments(pairs: DataFrame, n: int, technique: str = "resample", longes
 class GibbsMixture:
     """Finite Bayesian Gaussian mixture with fixed diagonal variance, by
     collapsed Gibbs sampling with annealing. Sweeps are sequential by nature:
-    this is a kernel for one partition or the driver, over a bounded sample."""
+    this is the kernel of one partition. ``start``: the rows' components, and
+    the counts and sums of all rows, also of other partitions."""
 
-    def __init__(self, x: np.ndarray, k: int, var: float, prior_var: float = 1.0, alpha: float = 1.0, seed: int = 0):
+    def __init__(self, x: np.ndarray, k: int, var: float, prior_var: float = 1.0, alpha: float = 1.0, seed: int | list[int] = 0, start: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         self.x, self.k, self.var, self.prior_var, self.alpha = np.asarray(x, float), k, var, prior_var, alpha
         self.rng = np.random.default_rng(seed)
+        if start is not None:
+            self.z, self.n, self.s = (a.copy() for a in start)
+            return
         self.z = self.rng.integers(0, k, len(x))
         self.n = np.bincount(self.z, minlength=k).astype(float)
         self.s = np.stack([self.x[self.z == c].sum(0) for c in range(k)])
@@ -173,3 +180,43 @@ class GibbsMixture:
         """Sum of each point's log prior share and predictive density given all."""
         share = np.log((self.n + self.alpha / self.k) / (len(self.x) + self.alpha))
         return float(sum(share[z] + self.log_predictive(x)[z] for x, z in zip(self.x, self.z, strict=True)))
+
+
+def gibbs_mixture(rows: DataFrame, k: int, var: float, sweeps: int, hottest: float = 1.0, prior_var: float = 1.0, alpha: float = 1.0, seed: int = 0, per_part: int = 4096) -> DataFrame:
+    """M26 over all of ``rows`` (``id, x``): ``id, component``.
+
+    Rows are dealt by hash to partitions of about ``per_part``. In each round
+    every partition sweeps its rows, starting from the counts and sums of all
+    rows; the driver then receives the new ones (k rows). Sums are taken in units
+    of 2^-30, so their order does not matter and runs repeat. With one partition
+    this is the sequential sampler. ``sweeps`` rounds cool linearly from
+    ``hottest`` to 1, and a round of best assignments follows.
+    """
+    parts = max(1, -(-rows.count() // per_part))
+    state = rows.select("id", "x", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)).cast("int").alias("z"))
+    state = keep(state.repartition(parts, F.xxhash64("id")).sortWithinPartitions("id", "x"))
+    first = state.select(F.size("x")).first()
+    if first is None:
+        return rows.select("id", F.lit(0).alias("component"))
+    dim, unit = first[0], float(1 << 30)
+    kind = state.schema["id"].dataType.simpleString()
+    for turn in range(sweeps + 1):
+        n, s = np.zeros(k), np.zeros((k, dim))
+        for r in state.groupBy("z").agg(F.count(F.lit(1)), *[F.sum(F.round(F.get("x", F.lit(i)) * unit).cast("long")) for i in range(dim)]).collect():  # k rows
+            n[r[0]], s[r[0]] = r[1], np.array(r[2:], float) / unit
+        heat = hottest + (1 - hottest) * turn / max(sweeps - 1, 1) if turn < sweeps else None
+
+        def run(it, turn=turn, n=n, s=s, heat=heat):
+            table = pa.Table.from_batches(batches) if (batches := list(it)) else None
+            if table is None or not len(table):
+                return
+            x = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            g = GibbsMixture(x, k, var, prior_var, alpha, [seed, turn, TaskContext.get().partitionId()], (table["z"].to_numpy(), n, s))
+            if heat is None:
+                g.settle()
+            else:
+                g.sweep(heat)
+            yield from pa.table({"id": table["id"], "x": table["x"], "z": pa.array(g.z, pa.int32())}).to_batches()
+
+        state = keep(state.mapInArrow(run, f"id {kind}, x array<double>, z int"))
+    return state.select("id", F.col("z").alias("component"))

@@ -417,16 +417,9 @@ def m09_segmental_hmm(spark: Spark, d: str) -> DataFrame:
 
 @query()
 def m26_gibbs_mixture(spark: Spark, d: str) -> DataFrame:
-    """Sequential by nature: fitted on the driver over a bounded sample (the 500
-    vectors of lowest id); then every vector gets its component."""
-    v = C.vectors(spark, d).select("vec_id", F.slice("vec", 1, 8).alias("x"))
-    sample = np.array([r["x"] for r in v.orderBy("vec_id").limit(500).collect()])
-    g = segmental.GibbsMixture(sample, 8, 0.05, seed=1)
-    g.fit(5, hottest=2.0)
-    post = 1 / (1 / g.prior_var + g.n / g.var)
-    means = (post / g.var)[:, None] * g.s
-    score = F.array(*[N.gaussian_log(F.col("x"), F.array(*map(F.lit, map(float, m))), F.array_repeat(F.lit(float(g.var + p)), 8)) for m, p in zip(means, post, strict=True)])
-    return v.select("vec_id", (F.array_position(score, F.array_max(score)) - 1).alias("component"))
+    """Fitted over all vectors; each gets its component of the last, best round."""
+    v = C.vectors(spark, d).select(F.col("vec_id").alias("id"), F.slice("vec", 1, 8).alias("x"))
+    return segmental.gibbs_mixture(v, 8, 0.05, 5, hottest=2.0, seed=1).withColumnRenamed("id", "vec_id")
 
 
 @query()
