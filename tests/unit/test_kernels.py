@@ -240,6 +240,18 @@ def test_m26_learns_from_all_vectors(spark, tmp_path):
     assert not (found[0] & found[1] or found[0] & found[2] or found[1] & found[2])
 
 
+def test_models_see_whole_vectors(spark, sf):
+    """What frames, regions and segments are made of has all 64 values."""
+    from threadloom.plans import models
+
+    r = models.vector_pairs(spark, sf).first()
+    assert {len(v) for v in r["x"] + r["y"]} == {64}
+    pairs, means = models._segment_inputs(spark, sf)
+    assert {len(v) for v in pairs.first()["x"]} == {64}
+    assert {m.shape for m in means.values()} == {(1, 3 * 64)}
+    assert {q["dim"] for q in models.m34_noisy_features(spark, sf).collect()} == {64}
+
+
 def test_sampling(spark):
     w = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 3.0)], "item string, weight double")
     u = spark.range(4000).select(F.col("id").alias("draw"), sampling.hash_uniform(F.col("id")).alias("u"))

@@ -86,12 +86,13 @@ def m02_ibm2_align(spark: Spark, d: str) -> DataFrame:
     return j.groupBy(PAIR, "spos").agg(F.max_by("tpos", F.struct("s", -F.col("tpos"))).alias("alignment"))
 
 
-def frames_and_labels(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors as frames; a pair's targets are its distinct labels, sorted."""
+def frames_and_labels(spark: Spark, d: str, width: int | None = 8) -> tuple[DataFrame, DataFrame]:
+    """Vectors as frames; a pair's targets are its distinct labels, sorted. The
+    registered SQL states its results for the first 8 values; None: all."""
     v = C.vectors(spark, d)
     t = v.select(PAIR, "label").distinct()
     trg = t.select(PAIR, (F.row_number().over(Window.partitionBy(PAIR).orderBy("label")) - 1).alias("pos"), F.col("label").cast("string").alias("concept"))
-    return v.select(PAIR, "pos", F.slice("vec", 1, 8).alias("vec")), trg
+    return v.select(PAIR, "pos", F.slice("vec", 1, width).alias("vec") if width else "vec"), trg
 
 
 SQL_FR = "WITH " + SQL_VEC + """, fr AS (SELECT pair_index, pos, vec[1:8] AS vec FROM vec), tg AS (SELECT pair_index, CAST(row_number() OVER (PARTITION BY pair_index ORDER BY label) - 1 AS BIGINT) AS tpos, CAST(label AS VARCHAR) AS concept FROM (SELECT DISTINCT pair_index, label FROM vec)),
@@ -164,10 +165,10 @@ def order_pairs(spark: Spark, d: str) -> DataFrame:
 
 
 def vector_pairs(spark: Spark, d: str) -> DataFrame:
-    """Vectors as ``x`` (4-d frames) and, of the same pair, ``y`` (8-d regions)."""
+    """Whole vectors as ``x`` (frames) and, of the same pair, ``y`` (regions)."""
     v = C.vectors(spark, d)
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c.alias("v")))), lambda t: t["v"])
-    return v.groupBy(PAIR).agg(ordered(F.slice("vec", 1, 4)).alias("x"), ordered(F.slice("vec", 9, 8)).alias("y"))
+    return v.groupBy(PAIR).agg(ordered(F.col("vec")).alias("x"), ordered(F.col("vec")).alias("y"))
 
 
 def _sizes(pairs: DataFrame) -> tuple[list[int], int, int, int]:
@@ -391,9 +392,9 @@ def m24_corrlda_frames_chain_fixed(spark: Spark, d: str) -> DataFrame:
 def _segment_inputs(spark: Spark, d: str) -> tuple[DataFrame, dict[str, np.ndarray]]:
     v = C.vectors(spark, d)
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c.alias("v")))), lambda t: t["v"])
-    pairs = v.groupBy(PAIR).agg(ordered(F.slice("vec", 1, 4)).alias("x"), F.array_sort(F.collect_set(F.col("label").cast("string"))).alias("concepts"))
+    pairs = v.groupBy(PAIR).agg(ordered(F.col("vec")).alias("x"), F.array_sort(F.collect_set(F.col("label").cast("string"))).alias("concepts"))
     pairs = pairs.withColumn("marks", F.sequence(F.lit(0), F.size("x")))
-    means = em.mean_vectors(v.select(F.col("label").cast("string").alias("c"), F.slice("vec", 1, 4).alias("vec")), ["c"]).collect()  # a row per label
+    means = em.mean_vectors(v.select(F.col("label").cast("string").alias("c"), "vec"), ["c"]).collect()  # a row per label
     return pairs, {r["c"]: np.repeat(np.array(r["mean"])[None], 3, 0).T.ravel()[None] for r in means}
 
 
@@ -418,7 +419,7 @@ def m09_segmental_hmm(spark: Spark, d: str) -> DataFrame:
 @query()
 def m26_gibbs_mixture(spark: Spark, d: str) -> DataFrame:
     """Fitted over all vectors; each gets its component of the last, best round."""
-    v = C.vectors(spark, d).select(F.col("vec_id").alias("id"), F.slice("vec", 1, 8).alias("x"))
+    v = C.vectors(spark, d).select(F.col("vec_id").alias("id"), F.col("vec").alias("x"))
     return segmental.gibbs_mixture(v, 8, 0.05, 5, hottest=2.0, seed=1).withColumnRenamed("id", "vec_id")
 
 
@@ -452,7 +453,7 @@ def m33_sampled_pairs(spark: Spark, d: str) -> DataFrame:
 
 @query()
 def m34_noisy_features(spark: Spark, d: str) -> DataFrame:
-    f, t = frames_and_labels(spark, d)
+    f, t = frames_and_labels(spark, d, None)
     cent = em.first_vectors(f, t, 1).select("concept", "mean")
     return sampling.noisy_copies(cent, 5, 40.0, seed=4).select("concept", "copy", F.size("vec").alias("dim"))
 
