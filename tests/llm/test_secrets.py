@@ -63,6 +63,25 @@ def test_stretches_are_exact(field):
         assert field.tag(words) == field._viterbi(e - e[:, :1], 0)
 
 
+def test_every_secret_teaches():
+    text = "\n".join(f"{'word ' * 60}token=abcdefgh{i:04d}" for i in range(12))
+    windows = S.labelled_windows(text)
+    assert len(windows) == 24
+    assert all(any(tags) for _, tags in windows)
+
+
+def test_sample_counts_distinct_texts(spark, monkeypatch):
+    """Copies of one text, first by hash, take no other text's place."""
+    texts = spark.createDataFrame([(i, f"token=abcdefgh{i:04d} and more") for i in range(60)] + [(i, f"plain words {i}") for i in range(60)], "doc_id long, text string")
+    first = [r.text for k in ("token", "plain") for r in texts.where(F.col("text").startswith(k)).orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 16)), "text").limit(1).collect()]
+    hot = texts.where(F.col("text").isin(first)).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("_n")
+    seen = []
+    monkeypatch.setattr(S, "labelled_windows", lambda t: seen.append(t) or [])
+    monkeypatch.setattr(S, "train", list)
+    S.fit(texts.unionByName(hot), per_class=20)
+    assert len(seen) == len(set(seen)) == 40
+
+
 def test_edges(spark, field):
     docs = spark.createDataFrame([(1, None), (None, "token=abcdefgh"), (2, ""), (2, "")], "doc_id bigint, text string").withColumns({"spans": F.lit(0), "kind": F.lit("x")})
     got = sorted((str(r.doc_id), len(r.spans)) for r in S.scan(docs, field).collect())

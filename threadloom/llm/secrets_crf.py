@@ -202,7 +202,8 @@ class _Sums(dict):
 
 def labelled_windows(text: str, reach: int = 24) -> list[tuple[np.ndarray, list[int]]]:
     """Training sequences of one text: features and tags around each base
-    secret, or of stretches without any. Secrets also come a second time without
+    secret; of a text without any, two stretches (around its middle and its
+    first long word with other characters than letters). Secrets also come a second time without
     the features of neighbours, so that their own shape counts by itself."""
     found = list(TOKEN.finditer(text))
     words = [m.group() for m in found]
@@ -227,7 +228,7 @@ def labelled_windows(text: str, reach: int = 24) -> list[tuple[np.ndarray, list[
         centres += odd[:1]
     file = file_features(words)
     out = []
-    for c in centres[:8]:
+    for c in centres:
         lo, hi = max(0, c - reach), min(len(words), c + reach)
         rows = [own_features(words[t]) + (side_features(words[t - 1], "<") if t else side_features("", "<")) + (side_features(words[t + 1], ">") if t + 1 < len(words) else side_features("", ">")) + file for t in range(lo, hi)]
         out.append((np.asarray(rows, np.int32), tags[lo:hi]))
@@ -288,13 +289,14 @@ def fit(docs: DataFrame, per_class: int = 800, most_chars: int = 20_000, id_col:
     ``most_chars`` long) are the bounded training sample."""
     text = F.col(text_col)
     parts = 1 << 16
-    rows = docs.where(text.isNotNull() & (F.length(text) <= most_chars)).select(text.alias("text"), F.pmod(F.xxhash64(text), F.lit(parts)).alias("part"))
+    rows = docs.where(text.isNotNull() & (F.length(text) <= most_chars)).select(text.alias("text"), F.xxhash64(text).alias("hash")).withColumn("part", F.pmod("hash", F.lit(parts)))
     rough = r"(?i)AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
     hit = F.col("text").rlike(rough)
-    # Where to stop follows from counts per slice of the hash range, so that no
-    # task hands on more texts than its share of the sample.
+    # Where to stop follows from counts of distinct texts (by hash) per slice of
+    # the hash range, so that no task hands on more texts than its share of the
+    # sample and copies of one text count once.
     seen = {True: [0] * parts, False: [0] * parts}
-    for r in rows.select(hit.alias("hit"), "part").groupBy("hit", "part").count().collect():  # at most 2 x 65536 rows
+    for r in rows.select(hit.alias("hit"), "part", "hash").distinct().groupBy("hit", "part").count().collect():  # at most 2 x 65536 rows
         seen[r["hit"]][r["part"]] = r["count"]
     picked = []
     for mark in (True, False):
