@@ -33,6 +33,22 @@ def test_long(enc, text):
     assert enc.decode_bytes(encode(enc, text).tolist()) == text.encode()
 
 
+@pytest.mark.parametrize(("left", "space", "right"), [("", " ", "x"), ("x", "\n", ""), ("a ", " \n", "9"), ("", "\n ", "."), ("b", "\u3000\t", "'s"), ("c", "\r\n", "\n x")])
+def test_long_white_space(enc, left, space, right):
+    """Runs of white space: as the library where it survives, whole beyond."""
+    for n in (9_999, 10_000, 10_001, 50_000):
+        text = left + space * (n // len(space)) + right
+        assert encode(enc, text + " then " + text, 1000).tolist() == enc.encode_ordinary(text + " then " + text)
+    for n in (1_000_000, 5_000_000):
+        text = left + space * (n // len(space)) + right
+        ids = encode(enc, text).tolist()
+        assert enc.decode_bytes(ids) == text.encode()
+    # a run is one piece but for its last character
+    a, b = (encode(enc, left + space * (k // len(space)) + right).tolist() for k in (40_000, 60_000))
+    assert a[:5000] == b[:5000]
+    assert a[-5:] == b[-5:]
+
+
 def test_documents(spark, sf, enc):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: r for r in encode_texts(docs, RANKS, P.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"), part=500).collect()}

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,12 @@ _ENCODERS: dict = {}
 _SPACE = frozenset("\t\n\x0b\x0c\r \x85\xa0     　") | frozenset(map(chr, range(0x2000, 0x200B)))
 
 
+#: The library's matcher gives up inside white space of about a million
+#: characters; runs from this length on are matched here.
+_LONG = 10_000
+_RUN = regex.compile(r"\s{%d,}" % _LONG)
+
+
 def load_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
@@ -36,7 +43,8 @@ def safe_parts(text: str, size: int) -> Iterator[str]:
     space character follows another character. The pattern's matches never run
     from a non-space into a space, and what looks ahead at a run of spaces looks
     at the run's end, which stays in its part; so no match spans a cut and the
-    parts' matches are the text's. A stretch without such a place stays whole.
+    parts' matches are the text's. A stretch without such a place stays whole
+    (a long run of white space inside it is for ``encode``).
     """
     start, n = 0, len(text)
     while n - start > size:
@@ -49,10 +57,34 @@ def safe_parts(text: str, size: int) -> Iterator[str]:
         yield text[start:]
 
 
+def _encode_part(enc, part: str) -> Iterator[list[int]]:
+    """Tokens of a part. A long run of white space starts at a safe place and is
+    matched with the same pattern by ``regex``, whose stack doesn't grow with
+    the match; matches inside the run are encoded each as one piece. The match
+    that leaves the run (its last character may belong to the next word) is
+    where the library goes on. What follows the run is seen as context."""
+    while len(part) >= _LONG and (run := _RUN.search(part)):
+        a, b = run.span()
+        if a:
+            yield enc.encode_ordinary(part[:a])
+            part, a, b = part[a:], 0, b - a
+        at = a
+        for m in regex.finditer(enc._pat_str, part, endpos=min(len(part), b + 64)):
+            if m.end() > b or m.start() >= b:
+                break
+            yield enc._encode_single_piece(m.group().encode())
+            at = m.end()
+        if at == a:  # a pattern that takes the run and what follows as one
+            break
+        part = part[at:]
+    if part:
+        yield enc.encode_ordinary(part)
+
+
 def encode(enc, text: str, size: int = 1 << 16) -> np.ndarray:
     """Token ids of the whole text, as int32."""
-    parts = [np.asarray(enc.encode_ordinary(p), np.int32) for p in safe_parts(text, size)]
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+    parts = [np.asarray(t, np.int32) for p in safe_parts(text, size) for t in _encode_part(enc, p)]
+    return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.int32), *parts])
 
 
 def decode(enc, ids) -> bytes:
@@ -92,7 +124,8 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, fields: tuple[st
     depend on the data); ``fields``: ``tokens, n_tokens, ids_sha256`` (decimal
     ids joined by one space), ``decoded_sha256`` (of the bytes that the ids
     decode to). Texts over ``part`` characters are encoded in parts cut at safe
-    boundaries. No shuffle; a task holds one Arrow batch.
+    boundaries, white space of any length included. No shuffle; a task holds one
+    Arrow batch.
 
     Nulls: a null text counts as empty, with no tokens; a null id stays null.
     Invalid UTF-8 is read with replacement characters. Repeated rows are encoded
