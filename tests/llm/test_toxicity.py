@@ -1,12 +1,17 @@
 """Toxicity: held-out accuracy, located sentences, edge cases."""
 
+import math
+import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.llm import toxicity
 from threadloom.llm.queries import op7_toxicity
-from threadloom.llm.toxicity import Model, drop_toxic, fit, score, score_text, train
+from threadloom.llm.toxicity import Bags, Model, bag, choose_features, drop_toxic, fit, likelihood, score, score_text, train
 
 
 def test_held_out_accuracy(spark):
@@ -23,7 +28,7 @@ def test_held_out_accuracy(spark):
 
 def test_locates_sentences(spark):
     texts = [f"Good day number {i}. " + ("You foul grobian! " if i % 2 else "You fine fellow! ") + "Bye now." for i in range(60)]
-    model = train(texts, [i % 2 for i in range(60)])
+    model = train(spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "id long, text string, y int"))
     docs = spark.createDataFrame([(1, texts[1]), (2, texts[2])], "doc_id bigint, text string")
     got = {r.doc_id: r for r in score(docs, model, spans=True).collect()}
     assert got[1].score > 0.9 > 0.1 > got[2].score
@@ -31,6 +36,84 @@ def test_locates_sentences(spark):
     assert not got[2].spans
 
 
+def plain_features(text):
+    """Words of letters only, and their beginnings of 3 to 6 letters."""
+    return {f for w in re.findall(r"[^\W\d_]+", text.lower()) for f in [w] + [w[:n] + "*" for n in (3, 4, 5, 6) if len(w) > n]}
+
+
+def plain_score(weights, bias, text):
+    """1 - the product over sentences of 1 - sigmoid(sum of weights)."""
+    pieces = [p for p in re.split(r"[.!?\n]", text) if p.strip()] or [""]
+    off = 1.0
+    for p in pieces:
+        off *= 1 - 1 / (1 + math.exp(-bias - sum(weights.get(f, 0.0) for f in plain_features(p))))
+    return 1 - off
+
+
+def test_scores_against_plain_noisy_or(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r.score for r in score(docs, model).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id] == pytest.approx(plain_score(model.weights, model.bias, r.text), abs=1e-9)
+
+
+def test_choice_against_plain_counts(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("text", F.col("toxic").cast("int").alias("y"))
+    got = choose_features(rows, 3, 2.0, 50)
+    count = {0: Counter(), 1: Counter()}
+    n = Counter()
+    for r in rows.collect():
+        count[r.y].update(plain_features(r.text))
+        n[r.y] += 1
+    gain = {}
+    for f, c1 in count[1].items():
+        c0 = count[0][f]
+        p = (c1 + c0 + 1) / (n[1] + n[0] + 2)
+        g = (c1 / n[1] - c0 / n[0]) / math.sqrt(p * (1 - p) * (1 / n[1] + 1 / n[0]))
+        if c1 + c0 >= 3 and g >= 2:
+            gain[f] = g
+    assert len(got) == min(50, len(gain))
+    assert [gain[f] for f in got] == pytest.approx(sorted(gain.values(), reverse=True)[:50])
+
+
+def test_likelihood_and_gradient():
+    """Against products over sentences, and central differences."""
+    texts = ["foul word. fine word! foul foul\nnothing here", "fine. fine. fine", "", "grim. grim foul. plain", "plain text only"]
+    labels = [1, 0, 0, 1, 0]
+    index = {"foul": 0, "fine": 1, "grim": 2, "fou*": 3}
+    heads = {f.rstrip("*")[:3] for f in index}
+    bags = Bags.of([(y, *bag(index, heads, t)) for t, y in zip(texts, labels, strict=True)])
+    theta = np.array([0.7, -0.4, 1.1, 0.2, -1.3])
+    weights = dict(zip(index, theta, strict=False))
+
+    def plain(t, decay=0.01):
+        w = dict(zip(index, t, strict=False))
+        p = [plain_score(w, t[-1], x) for x in texts]
+        return float(np.mean([math.log(q if y else 1 - q) for q, y in zip(p, labels, strict=True)]) - decay / 2 * sum(v * v for v in t[:-1]))
+
+    value, g = likelihood(bags, theta, 0.01)
+    assert weights
+    assert value == pytest.approx(plain(theta))
+    for i in range(len(theta)):
+        e = np.zeros(len(theta))
+        e[i] = 1e-5
+        assert g[i] == pytest.approx((plain(theta + e) - plain(theta - e)) / 2e-5, abs=1e-8)
+
+
+def test_sample_has_different_texts(spark, monkeypatch):
+    """One text repeated 1,000 times, with the first ids by hash, counts once."""
+    texts = [(i, f"text number {i}" if i >= 2000 else f"hot {i % 2}") for i in range(2400)]
+    docs = spark.createDataFrame(texts + [(7, "hot 1")] * 50, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda sample, most: seen.extend(sample.collect()))
+    fit(docs, labels, positive=40, negative=60, spare=100)
+    assert len({r.text for r in seen}) == len(seen) == 100
+    assert sum(r.y for r in seen) == 40
+    assert all(zlib.crc32(str(r.id).encode()) % 3 != 1 for r in seen)
+
+
 @pytest.mark.parametrize("text", ["", " ", "." * 50_000, " " * 100_000 + "x", "word " * 50_000, "ß İ 漢字"])
 def test_any_text(text):
     m = Model({"bad": 9.0, "bad*": 1.0}, -4.0)

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: A word's features are the word and its prefixes of these lengths.
@@ -88,88 +88,125 @@ def score_text(model: Model, scores: WordScores, text: str) -> float:
     return float(1 - np.exp(off))
 
 
-def _gains(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """Standard errors by which a feature's share of positive documents is above
-    its share of the others."""
+def _counted(texts: Iterable[tuple[str, int]], flush: int = 200_000) -> Iterator[dict[str, list[int]]]:
+    """How many documents with label 0 and 1 have each feature, in portions of
+    about ``flush`` features."""
+    seen: dict[str, list[int]] = {}
+    for text, y in texts:
+        for f in {f for w in set(WORD.findall(text.lower())) for f in features(w)}:
+            seen.setdefault(f, [0, 0])[y] += 1
+        if len(seen) > flush:
+            yield seen
+            seen = {}
+    yield seen
+
+
+def choose_features(sample: DataFrame, least: int = 3, z: float = 4.0, most: int = 4000) -> list[str]:
+    """Features of at least ``least`` documents of ``sample`` (``text, y``) whose
+    share among the positive documents is ``z`` standard errors above the rest,
+    strongest first, at most ``most``. Counted in the executors."""
+
+    def run(it):
+        for seen in _counted((t or "", y) for b in it for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True)):
+            counts = list(seen.values())
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())], ["f", "c0", "c1"])
+
+    n = sample.agg(F.sum("y").alias("n1"), F.count("y").alias("n")).first()
+    n1, n0 = float(max(1, n["n1"] or 0)), float(max(1, n["n"] - (n["n1"] or 0)))
+    c0, c1 = F.col("c0"), F.col("c1")
     p = (c1 + c0 + 1) / (n1 + n0 + 2)
-    return (c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-
-
-def _doc_features(text: str) -> set[str]:
-    return {f for w in set(WORD.findall(text.lower())) for f in features(w)}
-
-
-def choose_features(texts: list[str], labels: np.ndarray, least: int = 3, z: float = 4.0, most: int = 4000, slots: int = 1 << 21) -> list[str]:
-    """Features of at least ``least`` documents whose share among the positive
-    documents is ``z`` standard errors above the rest, strongest first.
-
-    Counted twice in bounded memory: by hash slot over all features, then by
-    name over those whose slot can pass."""
-    n1 = max(1, int(labels.sum()))
-    n0 = max(1, len(labels) - int(labels.sum()))
-    count = np.zeros((2, slots), np.int32)
-    slot = lambda f: crc32(f.encode("utf-8", "replace")) % slots
-    for t, y in zip(texts, labels, strict=True):
-        count[int(y)][list({slot(f) for f in _doc_features(t)})] += 1
-    # What shares a slot only adds to the counts, so the positive share decides.
-    able = (count[1] > 0) & (count.sum(0) >= least) & (_gains(count[1], np.zeros(slots), n1, n0) >= z)
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for t, y in zip(texts, labels, strict=True):
-        seen[int(y)].update(f for f in _doc_features(t) if able[slot(f)])
-        if len(seen[0]) > 400_000:  # names that no positive document has are no use
-            for f in [f for f in seen[0] if f not in seen[1]]:
-                del seen[0][f]
-    names = [f for f, c in seen[1].items() if c + seen[0].get(f, 0) >= least]
-    c1 = np.array([seen[1][f] for f in names], float)
-    gain = _gains(c1, np.array([seen[0].get(f, 0) for f in names], float), n1, n0)
-    return [names[i] for i in sorted(range(len(names)), key=lambda i: (-gain[i], names[i])) if gain[i] >= z][:most]
-
-
-def train(texts: Iterable[str], labels: Iterable[int], rounds: int = 500, rate: float = 0.1, decay: float = 2e-5) -> Model:
-    """Gradient ascent (Adam) on the likelihood of document labels under the
-    noisy-or of sentence probabilities."""
-    pairs = sorted(zip(texts, labels, strict=True), key=lambda p: -p[1])  # positive documents first
-    texts, labels = [t for t, _ in pairs], np.asarray([y for _, y in pairs], float)
+    gain = (c1 / n1 - c0 / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    counts = sample.select("text", "y").mapInArrow(run, "f string, c0 bigint, c1 bigint").groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    top = counts.where(c0 + c1 >= least).select("f", gain.alias("gain")).where(F.col("gain") >= z).orderBy(F.desc("gain"), "f").limit(most)
+    return [r["f"] for r in top.collect()]
+
+
+@dataclass
+class Bags:
+    """Documents as bags of sentences: ``doc, times`` of each different set of
+    features that sentences of a document have, the features of set i as
+    ``cols[ends[i]:ends[i + 1]]``; ``quiet``: sentences of a document without
+    any feature (a text without sentences counts as one)."""
+
+    labels: np.ndarray
+    quiet: np.ndarray
+    doc: np.ndarray
+    times: np.ndarray
+    cols: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, int, list[int], list[int], list[int]]]) -> "Bags":
+        """From (label, quiet, times, sizes, cols) of each document."""
+        flat = lambda k, kind: np.concatenate([np.asarray(r[k], kind) for r in rows]) if rows else np.zeros(0, kind)
+        doc = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+        return cls(np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float), doc, flat(2, float), flat(4, np.int64), np.concatenate([[0], np.cumsum(flat(3, np.int64))]))
+
+
+def bag(index: dict[str, int], heads: set[str], text: str) -> tuple[int, list[int], list[int], list[int]]:
+    """(quiet, times, sizes, cols) of one text."""
+    seen: Counter = Counter()
+    n = 0
+    for m in sentences(text):
+        n += 1
+        words = {w for w in WORD.findall(m.group().lower()) if w[: PREFIXES[0]] in heads}
+        if hits := {index[f] for w in words for f in features(w) if f in index}:
+            seen[tuple(sorted(hits))] += 1
+    sets = sorted(seen)
+    return max(1, n) - sum(seen.values()), [seen[s] for s in sets], [len(s) for s in sets], [c for s in sets for c in s]
+
+
+def likelihood(bags: Bags, theta: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """Mean log likelihood of the document labels less the decay term, and its
+    gradient. The chance that a document is positive is the noisy-or of its
+    sentences: 1 - product of (1 - sigmoid(bias + sum of weights))."""
+    sums = np.add.reduceat(np.append(theta[bags.cols], 0.0), bags.ends[:-1]) if len(bags.times) else np.zeros(0)
+    p, q = 1 / (1 + np.exp(-(theta[-1] + sums))), 1 / (1 + np.exp(-theta[-1]))
+    n = len(bags.labels)
+    off = np.bincount(bags.doc, bags.times * np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n) + bags.quiet * np.log1p(-q)
+    on = np.clip(1 - np.exp(off), 1e-9, 1 - 1e-9)
+    pull = (bags.labels - on) / on
+    each = p * bags.times * pull[bags.doc]
+    g = np.append(np.bincount(bags.cols, np.repeat(each, np.diff(bags.ends)), minlength=len(theta) - 1), each.sum() + (bags.quiet * q * pull).sum()) / n
+    w = np.append(theta[:-1], 0)
+    return float((bags.labels * np.log(on) + (1 - bags.labels) * np.log1p(-on)).mean() - decay / 2 * (w @ w)), g - decay * w
+
+
+def train_bags(names: list[str], bags: Bags, rounds: int = 300, rate: float = 0.1, decay: float = 2e-5) -> Model:
+    """Gradient ascent (Adam) on ``likelihood``."""
+    labels = bags.labels
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model({}, float(np.log(share / (1 - share))))
-    names = choose_features(texts, labels)
-    index = {f: i for i, f in enumerate(names)}
-    heads = {f.rstrip("*")[: PREFIXES[0]] for f in names}
-    rows, cols, of, quiet = array("i"), array("i"), array("i"), np.zeros(len(texts))
-    n = 0
-    for d, t in enumerate(texts):
-        some = False
-        for m in sentences(t):
-            some = True
-            words = {w for w in WORD.findall(m.group().lower()) if w[: PREFIXES[0]] in heads}
-            hits = {index[f] for w in words for f in features(w) if f in index}
-            if hits:
-                rows.extend([n] * len(hits))
-                cols.extend(sorted(hits))
-                of.append(d)
-                n += 1
-            else:
-                quiet[d] += 1
-        quiet[d] += not some
-    rows, cols, of = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (rows, cols, of))
     theta = np.zeros(len(names) + 1)
     theta[-1] = -5.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        z = theta[-1] + np.bincount(rows, theta[cols], minlength=n)
-        p, q = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-theta[-1]))
-        off = np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(texts)) + quiet * np.log1p(-q)
-        doc = np.clip(1 - np.exp(off), 1e-9, 1 - 1e-9)
-        pull = (labels - doc) / doc
-        g = np.zeros_like(theta)
-        each = p * pull[of]
-        g[:-1] = np.bincount(cols, each[rows], minlength=len(names))
-        g[-1] = each.sum() + (quiet * q * pull).sum()
-        g = g / len(texts) - decay * np.append(theta[:-1], 0)
+        g = likelihood(bags, theta, decay)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model({f: float(theta[i]) for f, i in index.items()}, float(theta[-1]))
+    return Model({f: float(theta[i]) for i, f in enumerate(names)}, float(theta[-1]))
+
+
+def train(sample: DataFrame, least: int = 3, z: float = 4.0, most: int = 4000) -> Model:
+    """A model from ``sample`` (``id, text, y``), which has a bounded number of
+    rows. Executors count features and cut texts into bags; the driver gets the
+    chosen features of the sample's sentences, never its texts."""
+    names = choose_features(sample, least, z, most)
+    sent = sample.sparkSession.sparkContext.broadcast(names)  # at most `most` names
+
+    def run(it):
+        index = {f: i for i, f in enumerate(sent.value)}
+        heads = {f.rstrip("*")[: PREFIXES[0]] for f in index}
+        for b in it:
+            rows = [bag(index, heads, t or "") for t in b.column("text").to_pylist()]
+            lists = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([r[0] for r in rows], pa.int64()), *lists], ["id", "y", "quiet", "times", "sizes", "cols"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    got = sample.select("id", "text", "y").mapInArrow(run, f"id {kind}, y int, quiet bigint, times array<int>, sizes array<int>, cols array<int>").toArrow()
+    cols = [got.column(k).to_pylist() for k in got.column_names]
+    return train_bags(names, Bags.of([r[1:] for r in sorted(zip(*cols, strict=True))]))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -177,11 +214,28 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, positive: int = 3000, negative: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from labelled rows that aren't held out: at most ``positive`` and
-    ``negative`` documents (the bound of the training sample), the smallest by a
-    hash of the id. An id with several labels counts as toxic if one says so;
-    null ids and labels are ignored."""
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    positive: int = 3000,
+    negative: int = 5000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    spare: int = 3,
+    most: int = 4000,
+) -> Model:
+    """A model from labelled rows that aren't held out.
+
+    The bounds of the training sample: ``spare`` times ``positive`` and
+    ``negative`` labelled ids, the smallest by a hash of the id, and of their
+    texts at most ``positive`` and ``negative`` different ones by a hash of the
+    text, so that copies of one text count once (toxic if one of them is
+    marked so). An id with several labels is toxic if one says so, one with
+    several texts teaches with the smallest; null ids and labels are ignored.
+    The model has at most ``most`` features. ``docs`` is scanned once, at full
+    width, and the sample is kept in the shared folder.
+    """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     marks = marks.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_y"))
     # Counts per slice of the hash range say where to stop, so that tasks hand on
@@ -192,17 +246,19 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = 3000, negative: int
     for r in marks.groupBy("_y", "_part").count().collect():  # at most 2 x 65536 rows
         seen[r["_y"]][r["_part"]] = r["count"]
     picked = []
-    for y, most in ((1, positive), (0, negative)):
+    for y, rows in ((1, positive * spare), (0, negative * spare)):
         total, stop = 0, 0
-        while stop < parts and total < most:
+        while stop < parts and total < rows:
             total += seen[y][stop]
             stop += 1
-        picked.append(marks.where((F.col("_y") == y) & (F.col("_part") < stop)).orderBy("_part", "_id").limit(most))
+        picked.append(marks.where((F.col("_y") == y) & (F.col("_part") < stop)).orderBy("_part", "_id").limit(rows))
     some = picked[0].unionByName(picked[1]).select("_id", "_y")
     rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select("text", "_y", "_id")
-    got = sorted((r["_id"], r["text"], r["_y"]) for r in rows.coalesce(8).toLocalIterator())
-    return train([t for _, t, _ in got], [y for _, _, y in got])
+    found = cut(rows.join(F.broadcast(some), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min("text").alias("text"), F.max("_y").alias("y")))
+    texts = found.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("_id").alias("id"), F.max("y").alias("y"))
+    texts = texts.withColumn("at", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where((F.col("at") <= positive) & (F.col("y") == 1) | (F.col("at") <= negative) & (F.col("y") == 0))
+    sample = cut(texts.select("id", "text", "y").repartition(64))
+    return train(sample, most=most)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, cutoff: float = 0.5) -> DataFrame:
