@@ -1,5 +1,7 @@
 """Secret scan: base spans against plain loops, the field's added spans, edges."""
 
+import itertools
+import math
 import random
 import re
 
@@ -73,13 +75,94 @@ def test_every_secret_teaches():
 def test_sample_counts_distinct_texts(spark, monkeypatch):
     """Copies of one text, first by hash, take no other text's place."""
     texts = spark.createDataFrame([(i, f"token=abcdefgh{i:04d} and more") for i in range(60)] + [(i, f"plain words {i}") for i in range(60)], "doc_id long, text string")
-    first = [r.text for k in ("token", "plain") for r in texts.where(F.col("text").startswith(k)).orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 16)), "text").limit(1).collect()]
-    hot = texts.where(F.col("text").isin(first)).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("_n")
-    seen = []
-    monkeypatch.setattr(S, "labelled_windows", lambda t: seen.append(t) or [])
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 32))
+    first = [r.text for k in ("token", "plain") for r in texts.where(F.col("text").startswith(k)).orderBy(place).limit(1).collect()]
+    hot = texts.where(F.col("text").isin(first)).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(1000)))).drop("_n")
     monkeypatch.setattr(S, "train", list)
-    S.fit(texts.unionByName(hot), per_class=20)
-    assert len(seen) == len(set(seen)) == 40
+    windows = S.fit(texts.unionByName(hot), per_class=20)
+    tagged = [tuple(x[:, : len(S.OWN)].ravel()) for x, tags in windows if any(tags)]
+    assert len(windows) == 60
+    assert len(tagged) == 40
+    assert len(set(tagged)) > 10  # few share all their slots
+    assert len(S.fit(texts, per_class=20, most_windows=7)) == 7
+    assert len(S.fit(texts, per_class=1)) == 3
+
+
+def test_long_texts_teach(spark, monkeypatch):
+    monkeypatch.setattr(S, "train", list)
+    docs = spark.createDataFrame([(1, "word " * 50_000 + "token=abcdefgh0001 " + "word " * 50_000)], "doc_id long, text string")
+    assert [any(t) for _, t in S.fit(docs)] == [True, True]
+
+
+def paths(n):
+    for tags in itertools.product((S.OUT, S.BEGIN, S.INSIDE), repeat=n):
+        if all(t != S.INSIDE or (i and tags[i - 1] != S.OUT) for i, t in enumerate(tags)):
+            yield tags
+
+
+def test_likelihood_and_gradient_by_enumeration():
+    """Against sums over all tag paths, and central differences."""
+    rng = np.random.default_rng(7)
+    k, width = 3, 6
+    windows = [(rng.integers(0, width, (n, k)), list(tags)) for n, tags in ((4, (0, 1, 2, 0)), (1, (1,)), (3, (0, 0, 0)), (2, (1, 1)))]
+    emit, move, decay = rng.normal(size=(width, 3)), rng.normal(size=(3, 3)), 0.01
+
+    def plain(e, m):
+        total = 0.0
+        for x, y in windows:
+            weight = lambda tags, x=x: sum(e[f, t] for row, t in zip(x, tags, strict=True) for f in row) + sum(m[a, b] for a, b in itertools.pairwise(tags))
+            total += weight(y) - math.log(sum(math.exp(weight(p)) for p in paths(len(y))))
+        return total / len(windows) - decay / 2 * float((e * e).sum() + (m * m).sum())
+
+    value, g, h = S.Sequences(windows).likelihood(emit, move, decay)
+    assert value == pytest.approx(plain(emit, move))
+    eps = 1e-5
+    for i in range(width):
+        for t in range(3):
+            d = np.zeros_like(emit)
+            d[i, t] = eps
+            assert g[i, t] == pytest.approx((plain(emit + d, move) - plain(emit - d, move)) / (2 * eps), abs=1e-7)
+    for i in range(3):
+        for t in range(3):
+            if (i, t) != (S.OUT, S.INSIDE):
+                d = np.zeros_like(move)
+                d[i, t] = eps
+                assert h[i, t] == pytest.approx((plain(emit, move + d) - plain(emit, move - d)) / (2 * eps), abs=1e-7)
+
+
+def test_viterbi_by_enumeration(field):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 7):
+        e = rng.normal(size=(n, 3)) * 3
+        e -= e[:, :1]
+        weight = lambda tags, e=e, n=n: sum(e[t, s] for t, s in enumerate(tags)) + sum(field.move[a, b] for a, b in itertools.pairwise((S.OUT, *tags, S.OUT)))
+        best = max(paths(n), key=weight)
+        want = []
+        for t, s in enumerate(best):
+            if s == S.BEGIN:
+                want.append((t, t))
+            elif s == S.INSIDE:
+                want[-1] = (want[-1][0], t)
+        assert field._viterbi(e, 0) == want
+
+
+def test_planted_secrets(spark, field):
+    """Of secrets that no base pattern finds: recall and precision by token."""
+    rng = random.Random(11)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 200 and 4000").orderBy("doc_id").select("text").limit(400).collect()]
+    hit = planted = false = 0
+    for i, text in enumerate(texts):
+        words = text.split(" ")
+        at = rng.randrange(len(words) + 1)
+        secret = "".join(rng.choices("0123456789abcdef", k=20 + i % 12))
+        marked = " ".join([*words[:at], secret, *words[at:]])
+        start = len(" ".join(words[:at])) + (1 if at else 0)
+        found = [(a, b) for k, a, b in S.scan_text(field, marked) if k == "crf"]
+        planted += 1
+        hit += any(a <= start and start + len(secret) <= b for a, b in found)
+        false += sum(b <= start or a >= start + len(secret) for a, b in found)
+    assert hit / planted > 0.9
+    assert false / max(1, hit + false) < 0.05
 
 
 def test_edges(spark, field):

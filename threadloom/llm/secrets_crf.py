@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable
 
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: The base patterns and how long what they find must be.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -23,7 +26,7 @@ TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s]")
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Feature kinds: of the token, of the one before and after it, of the file.
 #: Each kind has ``WIDTH`` weights of its own, addressed by hash.
-OWN = ("bias", "shape", "size", "mix", "bits", "hex", "plain", "word")
+OWN = ("bias", "shape", "size", "mix", "turns", "bits", "hex", "plain", "word")
 SIDE = ("<word", "<shape", ">word", ">shape")
 FILE = ("long", "marks")
 WIDTH = 1024
@@ -52,12 +55,12 @@ def _slot(kind: str, value: str) -> int:
 
 def shape(word: str) -> str:
     """Of letters only: their case. Else classes of characters in order, runs
-    collapsed: ``A`` ``a`` ``9``, other letters ``w``, the rest themselves; at
-    most 6 classes are told apart."""
+    collapsed: ``A`` ``a`` ``9``, other letters ``w``, the rest themselves; of
+    more than 6 runs which classes there are, and how many runs (by doubling)."""
     if word.isalpha():
         return "lower" if word.islower() else "title" if word.istitle() else "upper" if word.isupper() else "mixed"
     s = re.sub(r"[^\W\dA-Za-z_]+", "w", re.sub(r"[A-Z]+", "A", re.sub(r"[a-z]+", "a", re.sub(r"\d+", "9", word))))
-    return s if len(s) <= 6 else s[:6] + "~"
+    return s if len(s) <= 6 else "".join(sorted(set(s))) + "~" * (len(s) // 6).bit_length()
 
 
 def size(word: str) -> str:
@@ -67,11 +70,11 @@ def size(word: str) -> str:
 
 def _letters(form: str, length: str) -> list[int]:
     """The features, but the word itself, that a token of letters has."""
-    return [_slot("bias", ""), _slot("shape", form), _slot("size", length), _slot("mix", f"letters{length}"), _slot("bits", "letters"), _slot("hex", "letters"), _slot("plain", "letters")]
+    return [_slot("bias", ""), _slot("shape", form), _slot("size", length), _slot("mix", "letters"), _slot("turns", "letters"), _slot("bits", "letters"), _slot("hex", "letters"), _slot("plain", f"letters{length}")]
 
 
 def own_features(word: str) -> list[int]:
-    name = _slot("word", word.lower()[:16])
+    name = _slot("word", word.lower())
     if word.isalpha():
         return [*_letters(shape(word), size(word)), name]
     n, length = len(word), size(word)
@@ -79,11 +82,12 @@ def own_features(word: str) -> list[int]:
     bits = -sum(c / n * math.log2(c / n) for c in Counter(word).values())
     hexed = n >= 8 and not word.strip("0123456789abcdef")
     plain = word.isascii() and word.replace("+", "").replace("/", "").replace("_", "").replace("-", "").isalnum()
-    return [_slot("bias", ""), _slot("shape", shape(word)), _slot("size", length), _slot("mix", f"{mixed}{length}"), _slot("bits", f"{int(bits * 2)}"), _slot("hex", f"{hexed}{length}"), _slot("plain", f"{plain}{mixed}{length}"), name]
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(word, word[1:], strict=False))
+    return [_slot("bias", ""), _slot("shape", shape(word)), _slot("size", length), _slot("mix", f"{mixed}{plain}"), _slot("turns", str(turns.bit_length())), _slot("bits", f"{int(bits * 2)}"), _slot("hex", f"{hexed}{mixed}"), _slot("plain", f"{plain}{mixed}{length}"), name]
 
 
 def side_features(word: str, side: str) -> list[int]:
-    return [_slot(side + "word", word.lower()[:16]), _slot(side + "shape", shape(word))]
+    return [_slot(side + "word", word.lower()), _slot(side + "shape", shape(word))]
 
 
 def file_features(words: list[str]) -> list[int]:
@@ -200,11 +204,17 @@ class _Sums(dict):
         return value
 
 
-def labelled_windows(text: str, reach: int = 24) -> list[tuple[np.ndarray, list[int]]]:
-    """Training sequences of one text: features and tags around each base
-    secret; of a text without any, two stretches (around its middle and its
-    first long word with other characters than letters). Secrets also come a second time without
-    the features of neighbours, so that their own shape counts by itself."""
+def _shortened(word: str) -> str:
+    return word if len(word) < 20 else word[: 16 + zlib.crc32(word.encode("utf-8", "replace")) % (len(word) - 16)]
+
+
+def labelled_windows(text: str, reach: int = 12) -> list[tuple[np.ndarray, list[int]]]:
+    """Training sequences of one text: features and tags of the tokens around
+    each base secret; of a text without any, around its middle and around the
+    first, middle and last long word (14 characters, 8 if not of letters only). Secrets
+    also come a second time, without the features of neighbours and long ones
+    shortened (to 16 characters or more, by hash), so that their own make-up
+    counts by itself, whatever stands before them and how long they are."""
     found = list(TOKEN.finditer(text))
     words = [m.group() for m in found]
     if not words:
@@ -223,9 +233,8 @@ def labelled_windows(text: str, reach: int = 24) -> list[tuple[np.ndarray, list[
             t += 1
         centres.append(first)
     if not centres:
-        centres = [len(words) // 2]
-        odd = [t for t, w in enumerate(words) if len(w) >= 8 and not w.isalpha()]
-        centres += odd[:1]
+        odd = [t for t, w in enumerate(words) if len(w) >= 14 or len(w) >= 8 and not w.isalpha()]
+        centres = sorted({len(words) // 2, *(odd[i] for i in (0, len(odd) // 2, -1) if odd)})
     file = file_features(words)
     out = []
     for c in centres:
@@ -234,79 +243,143 @@ def labelled_windows(text: str, reach: int = 24) -> list[tuple[np.ndarray, list[
         out.append((np.asarray(rows, np.int32), tags[lo:hi]))
         if any(tags[lo:hi]):
             alone = side_features("", "<") + side_features("", ">")
-            out.append((np.asarray([r[: len(OWN)] + (alone if tag else r[len(OWN) : -len(FILE)]) + file for r, tag in zip(rows, tags[lo:hi], strict=True)], np.int32), tags[lo:hi]))
+            bare = [own_features(_shortened(words[t])) + alone + file if tags[t] else r for t, r in zip(range(lo, hi), rows, strict=True)]
+            out.append((np.asarray(bare, np.int32), tags[lo:hi]))
     return out
 
 
-def train(windows: Iterable[tuple[np.ndarray, list[int]]], rounds: int = 80, rate: float = 0.25, decay: float = 1e-3) -> Crf:
-    """Maximum likelihood by full-batch Adagrad; forward-backward over all
-    sequences at once, in log space."""
-    windows = [w for w in windows if w[1]]
-    no = -1e9
-    allowed = np.zeros((3, 3))
-    allowed[OUT, INSIDE] = no
+_NO = -1e9
+#: What is added to a transition's weight: inside never follows outside.
+_ALLOWED = np.array([[0, 0, _NO], [0, 0, 0], [0, 0, 0]])
+
+
+class Sequences:
+    """Sequences of one width: features ``x``, tags ``y``, which are ``live``."""
+
+    def __init__(self, windows: list[tuple[np.ndarray, list[int]]]):
+        n, length, k = len(windows), max(len(t) for _, t in windows), len(windows[0][0][0])
+        self.x, self.y, self.live = np.zeros((n, length, k), np.int64), np.zeros((n, length), np.int64), np.zeros((n, length), bool)
+        for i, (rows, tags) in enumerate(windows):
+            self.x[i, : len(tags)], self.y[i, : len(tags)], self.live[i, : len(tags)] = rows, tags, True
+        self.gold = np.eye(3)[self.y] * self.live[..., None]
+        self.gold_move = np.zeros((3, 3))
+        on = self.live[:, 1:]
+        np.add.at(self.gold_move, (self.y[:, :-1][on], self.y[:, 1:][on]), 1)
+
+    def likelihood(self, emit: np.ndarray, move: np.ndarray, decay: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Mean log likelihood of the tags less the decay term, and its gradient
+        by both weights; forward-backward with a scale per step."""
+        x, live = self.x, self.live
+        n, length, k = x.shape
+        e = sum(emit[x[:, :, j]] for j in range(k))
+        top = e.max(2, keepdims=True)
+        odds, m = np.exp(e - top), np.exp(move + _ALLOWED)
+        odds[~live] = 1.0
+        a, scale = np.empty((n, length, 3)), np.ones((n, length))
+        now = odds[:, 0] * np.array([1.0, 1.0, 0.0])
+        for t in range(length):
+            if t:
+                now = np.where(live[:, t, None], (a[:, t - 1] @ m) * odds[:, t], a[:, t - 1])
+            scale[:, t] = now.sum(1)
+            a[:, t] = now / scale[:, t, None]
+        b, pair = np.ones((n, length, 3)), np.zeros((3, 3))
+        for t in range(length - 2, -1, -1):
+            on = live[:, t + 1]
+            after = odds[:, t + 1] * b[:, t + 1] / scale[:, t + 1, None]
+            pair += a[on, t].T @ after[on] * m
+            b[:, t] = np.where(on[:, None], after @ m.T, b[:, t + 1])
+        post = a * b * live[..., None]
+        gold_path = (e * self.gold).sum() + (self.gold_move * move).sum()
+        value = gold_path - (np.log(scale) + top[..., 0])[live].sum()
+        diff = (self.gold - post).reshape(-1, 3)
+        flat = x.reshape(-1, k)
+        g = np.stack([sum(np.bincount(flat[:, j], diff[:, s], minlength=len(emit)) for j in range(k)) for s in range(3)], 1) / n - decay * emit
+        h = (self.gold_move - pair) / n - decay * move
+        return value / n - decay / 2 * ((emit * emit).sum() + (move * move).sum()), g, h
+
+
+def train(windows: Iterable[tuple[np.ndarray, list[int]]], rounds: int = 60, decay: float = 1e-4, memory: int = 8) -> Crf:
+    """Maximum likelihood (with decay) by L-BFGS, at most ``rounds`` steps."""
+    windows = [w for w in windows if len(w[1])]
     emit, move = np.zeros((BUCKETS, 3)), np.zeros((3, 3))
+    forbidden = _ALLOWED < 0
     if not any(any(t) for _, t in windows):
         emit[_slot("bias", ""), OUT] = 10.0  # nothing to learn from: nothing is added
-        return Crf(emit, np.where(allowed < 0, -np.inf, move))
-    n, length, k = len(windows), max(len(t) for _, t in windows), len(windows[0][0][0])
-    x, y, live = np.zeros((n, length, k), np.int32), np.zeros((n, length), np.int64), np.zeros((n, length), bool)
-    for i, (rows, tags) in enumerate(windows):
-        x[i, : len(tags)], y[i, : len(tags)], live[i, : len(tags)] = rows, tags, True
-    flat = x.reshape(-1, k)
-    gold = np.eye(3)[y] * live[..., None]
-    gold_move = np.zeros((3, 3))
-    np.add.at(gold_move, (y[:, :-1][live[:, 1:]], y[:, 1:][live[:, 1:]]), 1)
-    lse = lambda a, axis: (top := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - top).sum(axis))
-    ge, gm = np.full_like(emit, 1e-6), np.full_like(move, 1e-6)
+        return Crf(emit, np.where(forbidden, -np.inf, move))
+    data = Sequences(windows)
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        value, g, h = data.likelihood(w[: emit.size].reshape(emit.shape), w[emit.size :].reshape(3, 3), decay)
+        return value, np.append(g.ravel(), h.ravel())
+
+    w = np.zeros(emit.size + 9)
+    value, g = at(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
-        e, m = sum(emit[x[:, :, j]] for j in range(k)), move + allowed
-        a = np.empty((n, length, 3))
-        a[:, 0] = e[:, 0] + np.array([0, 0, no])
-        for t in range(1, length):
-            nxt = lse(a[:, t - 1, :, None] + m, 1) + e[:, t]
-            a[:, t] = np.where(live[:, t, None], nxt, a[:, t - 1])
-        z = lse(a[:, -1], 1)
-        b = np.zeros((n, length, 3))
-        pair = np.zeros((3, 3))
-        for t in range(length - 2, -1, -1):
-            on = live[:, t + 1]
-            joint = a[:, t, :, None] + m + (e[:, t + 1] + b[:, t + 1])[:, None, :] - z[:, None, None]
-            pair += np.exp(joint[on]).sum(0)
-            b[:, t] = np.where(on[:, None], lse(m + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2), 0)
-        post = np.exp(np.minimum(a + b - z[:, None, None], 0)) * live[..., None]
-        diff = (gold - post).reshape(-1, 3)
-        g = np.stack([sum(np.bincount(flat[:, j], diff[:, s], minlength=BUCKETS) for j in range(k)) for s in range(3)], 1) / n - decay * emit
-        h = (gold_move - pair) / n - decay * move
-        ge, gm = ge + g * g, gm + h * h
-        emit, move = emit + rate * g / np.sqrt(ge), move + rate * h / np.sqrt(gm)
-    return Crf(emit, np.where(allowed < 0, -np.inf, move))
-
-
-def fit(docs: DataFrame, per_class: int = 800, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Crf:
-    """A field trained on what the fixed patterns find: at most ``per_class``
-    texts with and as many without (by hash of the text, distinct, up to
-    ``most_chars`` long) are the bounded training sample."""
-    text = F.col(text_col)
-    parts = 1 << 16
-    rows = docs.where(text.isNotNull() & (F.length(text) <= most_chars)).select(text.alias("text"), F.xxhash64(text).alias("hash")).withColumn("part", F.pmod("hash", F.lit(parts)))
+        way, alphas = g.copy(), []
+        for ds, dg in reversed(past):
+            alphas.append((ds @ way) / (ds @ dg))
+            way -= alphas[-1] * dg
+        way *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1e-12, float(np.sqrt(g @ g)))
+        for (ds, dg), alpha in zip(past, reversed(alphas), strict=True):
+            way += (alpha - (dg @ way) / (ds @ dg)) * ds
+        step, slope = 1.0, float(g @ way)
+        if slope < 1e-9:
+            break
+        while step > 1e-6:
+            new, ng = at(w + step * way)
+            if new >= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        ds, dg = step * way, g - ng
+        w, value, g = w + ds, new, ng
+        if ds @ dg > 1e-12:
+            past = [*past[-memory + 1 :], (ds, dg)]
+    return Crf(w[: emit.size].reshape(emit.shape), np.where(forbidden, -np.inf, w[emit.size :].reshape(3, 3)))
+
+
+def fit(docs: DataFrame, per_class: int = 800, most_windows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Crf:
+    """A field trained on what the fixed patterns find.
+
+    The bounds of the training sample: ``per_class`` different texts in which
+    the patterns find something and as many others, the smallest by hash, of
+    any length; of the windows cut from them in the executors at most
+    ``most_windows``, the smallest by a hash of text and place. Copies of a text
+    count once; null texts are ignored.
+
+    Only a share of the hash range is looked at, which grows until it holds
+    enough texts of both kinds (or all), so most rows are just hashed; hashes
+    alone are compared, and the chosen texts are fetched by a second scan.
+    """
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    place = F.pmod(F.col("hash"), F.lit(1 << 32))
     rough = r"(?i)AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
-    hit = F.col("text").rlike(rough)
-    # Where to stop follows from counts of distinct texts (by hash) per slice of
-    # the hash range, so that no task hands on more texts than its share of the
-    # sample and copies of one text count once.
-    seen = {True: [0] * parts, False: [0] * parts}
-    for r in rows.select(hit.alias("hit"), "part", "hash").distinct().groupBy("hit", "part").count().collect():  # at most 2 x 65536 rows
-        seen[r["hit"]][r["part"]] = r["count"]
-    picked = []
-    for mark in (True, False):
-        total, stop = 0, 0
-        while stop < parts and total < per_class:
-            total += seen[mark][stop]
-            stop += 1
-        some = rows.where((F.col("part") < stop) & (hit == mark)).select("part", "text").distinct().collect()
-        picked += [t for _, t in sorted((r["part"], r["text"]) for r in some)[:per_class]]
-    return train([w for t in picked for w in labelled_windows(t)])
+    share = min(1.0, 256 * per_class / max(1, docs.count()))
+    while True:
+        near = rows.where(place < int(share * (1 << 32)))
+        seen = cut(near.select(F.col("text").rlike(rough).alias("hit"), "hash").distinct())
+        counts = {r["hit"]: r["count"] for r in seen.groupBy("hit").count().collect()}
+        if share == 1 or min(counts.get(k, 0) for k in (True, False)) >= per_class:
+            break
+        share = min(1.0, share * 16)
+    first = lambda hit: seen.where(F.col("hit") == hit).orderBy(place, "hash").limit(per_class)
+    some = first(True).unionByName(first(False)).select("hash")
+    texts = cut(near.join(F.broadcast(some), "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text")).repartition(64, "hash"))
+
+    def run(it):
+        for b in it:
+            for h, text in zip(b.column("hash").to_pylist(), b.column("text").to_pylist(), strict=True):
+                found = labelled_windows(text)
+                for i in range(0, len(found), 500):
+                    part = found[i : i + 500]
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int64()), pa.array([x.ravel() for x, _ in part], pa.list_(pa.int32())), pa.array([t for _, t in part], pa.list_(pa.int32()))], ["hash", "at", "x", "tags"])
+
+    windows = cut(texts.mapInArrow(run, "hash bigint, at bigint, x array<int>, tags array<int>"))
+    picked = windows.orderBy(F.xxhash64("hash", "at"), "hash", "at").limit(most_windows).select("x", "tags").toArrow()
+    width = len(OWN + SIDE + FILE)
+    return train((np.asarray(x, np.int32).reshape(-1, width), tags) for x, tags in zip(picked.column("x").to_pylist(), picked.column("tags").to_pylist(), strict=True))
 
 
 def scan_text(field: Crf, text: str) -> list[tuple[str, int, int]]:
