@@ -21,23 +21,29 @@ PLACE = ("slot", "bucket", "in_bucket")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.7 or more go; the model is fitted on labelled rows."""
+    """Documents scored 0.7 or more go; the model is fitted on labelled rows.
+    Null and empty texts score as a sentence without evidence; repeated rows
+    score alike; rows of one id are scored each by its own text."""
     return drop_toxic(docs, fit(docs, read(spark, sf_dir, "labels")), cutoff=0.7)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased) the smallest id stays."""
+    """Of equal texts (A-Z lower-cased; null counts as empty) the smallest id
+    stays, with all its repeated rows; rows without an id stay."""
     return drop_exact(docs, keep="min")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at 0.8 over 5-word shingles the smallest id stays."""
+    """Of each group linked at 0.8 over 5-word shingles the smallest id stays,
+    with all its rows. Texts without words and rows without an id link with
+    nothing and stay."""
     return drop_near(docs, threshold=80, width=5)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, interleaved by source at weights in proportion to size ** 0.5;
-    the decision is the order of the written rows, and ``encoding`` names it."""
+    the decision is the order of the written rows, and ``encoding`` names it. A
+    null source is one of its own; columns of any name are kept."""
     return mixed_order(docs)
 
 

@@ -20,7 +20,7 @@ EDGE = [(1, "Abc é", "en", "a", 5), (2, "aBC é", None, None, None), (3, None,
 
 @pytest.fixture(scope="module")
 def edge(spark):
-    return spark.createDataFrame(EDGE, DOCS).withColumns({"keep_id": F.lit("clash"), "_slot": F.lit(1), "size": F.lit("s"), "sketch": F.lit(0), "_s": F.lit(0)})
+    return spark.createDataFrame(EDGE, DOCS).withColumns({"keep_id": F.lit("clash"), "_slot": F.lit(1), "size": F.lit("s"), "sketch": F.lit(0), "_s": F.lit(0), "odd.name": F.lit(1), "a`b.c": F.lit("x")})
 
 
 def lower(t):

@@ -22,8 +22,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def lower_ascii(c: Column) -> Column:
-    """A-Z to a-z and nothing else (``lower`` would touch other alphabets)."""
-    return F.translate(c, UPPER, LOWER)
+    """A-Z to a-z and nothing else (``lower`` would touch other alphabets, but is
+    faster: it serves texts of ASCII alone)."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+
+
+def quoted(name: str) -> str:
+    """A column's name so that dots and back ticks in it count as such."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -19,11 +19,12 @@ def exact_groups(
 ) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    Rows are grouped by the MD5 of the normalised text *and* its bytes, so a
-    hash collision never merges two texts. The aggregation combines on the map
-    side: a group of any size reaches its reducer as one row per task. Texts
-    cross the network once, at most once per task and distinct text; the second
-    pass joins 56-byte rows only, and adaptive execution splits a hot group.
+    Rows are grouped by a 128-bit hash of the normalised text (the first half of
+    its SHA-256) *and* its bytes, so a hash collision never merges two texts. The
+    aggregation combines on the map side: a group of any size reaches its
+    reducer as one row per task. Texts cross the network once, at most once per
+    task and distinct text; the second pass joins rows of an id and a digest
+    only, and adaptive execution splits a hot group.
 
     ``keep``: ``min`` keeps the smallest id, ``max`` the largest.
 
@@ -35,15 +36,17 @@ def exact_groups(
     pick = {"min": F.min, "max": F.max}[keep]
     norm = normalise(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"))
-    rows = rows.select("doc_id", "norm", F.unhex(F.md5("norm")).alias("key128"))
+    rows = rows.select("doc_id", "norm", F.sha2("norm", 256).alias("sha"))
+    key128 = F.unhex(F.substring("sha", 1, 32)).alias("key128")
     classes = (
-        rows.groupBy("key128", "norm")
-        .agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key128", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+        rows.select("doc_id", "norm", "sha", key128)
+        .groupBy("key128", "norm")
+        .agg(F.min(F.unhex("sha")).alias("sha"), pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .select("sha", "keep_id", "group_size")
     )
-    light = rows.select("doc_id", "key128", F.sha2("norm", 256).alias("text_sha256"))
-    return light.join(classes, ["key128", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    light = rows.select("doc_id", F.unhex("sha").alias("sha"))
+    return light.join(classes, "sha").select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scaled
+from .common import quoted, scaled
 
 
 def quotas(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -123,7 +123,7 @@ def mix(
     size = (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long")
     n = scaled(docs.count(), per_bucket, 16, 1 << 16)
     bucket = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")), F.lit(n)).cast("int")
-    rows = docs.select(F.struct(*(docs.columns if carry is None else carry)).alias("row"), F.col(id_col).alias("_id"), key.alias("_skey"), bucket.alias("_bucket"), size.alias("_size"), F.xxhash64(text_col).alias("_tie"))
+    rows = docs.select(F.struct(*(F.col(quoted(c)).alias(c) for c in (docs.columns if carry is None else carry))).alias("row"), F.col(id_col).alias("_id"), key.alias("_skey"), bucket.alias("_bucket"), size.alias("_size"), F.xxhash64(text_col).alias("_tie"))
     sums = rows.groupBy("_skey", "_bucket").agg(F.sum("_size").alias("_sum"))
     starts = sums.select("_skey", "_bucket", (F.sum("_sum").over(Window.partitionBy("_skey").orderBy("_bucket")) - F.col("_sum")).alias("_start"))
     totals = {r[0]: r[1] for r in sums.groupBy("_skey").agg(F.sum("_sum")).collect()}  # a row per source

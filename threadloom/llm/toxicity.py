@@ -289,7 +289,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def drop_toxic(docs: DataFrame, model: Model, cutoff: float = 0.7, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``cutoff`` or more: one pass over
-    whole rows, whatever their columns; no join, no shuffle."""
+    whole rows, whatever their columns; no join, no shuffle. A null or empty text
+    scores as one sentence without evidence; repeated rows go or stay together."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it):
@@ -300,4 +301,5 @@ def drop_toxic(docs: DataFrame, model: Model, cutoff: float = 0.7, text_col: str
             yield b.filter(pa.array([score_text(m, words, col[i].as_py() or "") < cutoff for i in range(len(col))], pa.bool_()))
 
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots can't be mapped
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
