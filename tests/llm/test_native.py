@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -310,6 +311,45 @@ def test_reply_tree(spark):
     assert chat.format_trees(rows.where("false")).count() == 0
 
 
+def test_branches_against_plain_walks(spark):
+    """Random trees with unequal scores: each branch's rank and turns."""
+    rng = random.Random(6)
+    rows = []
+    for tree in "abc":
+        for i in range(120):
+            rows.append((tree, i, None if i < 2 else rng.randrange(max(0, i - 9), i), "user", f"{tree}{i}", rng.choice([None, rng.random()])))
+    nodes = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    info = {(r[0], r[1]): r for r in rows}
+    want = {}
+    for tree in "abc":
+        parents = {r[2] for r in rows if r[0] == tree}
+        walks = []
+        for leaf in set(range(120)) - parents:
+            walk, at = [], leaf
+            while at is not None:
+                walk.append(info[tree, at])
+                at = walk[-1][2]
+            walks.append((-sum(w[5] or 0 for w in walk) / len(walk), leaf, [w[4] for w in reversed(walk)]))
+        for k, (_, leaf, texts) in enumerate(sorted(walks)):
+            want[tree, k + 1] = (leaf, texts)
+    for best in (1, 3, None):
+        got = chat.format_trees(nodes, best=best).select("*", chat.read_turns(F.col("formatted")).alias("turns")).collect()
+        assert {(r.tree, r.branch): (r.leaf, [t.text for t in r.turns]) for r in got} == {k: v for k, v in want.items() if best is None or k[1] <= best}
+
+
+def test_comb_is_not_listed(spark):
+    """A spine with a leaf at each node: pointers stay linear, one path is listed."""
+    n = 600
+    rows = [("t", i, i - 1 if i else None, 0.0) for i in range(n)] + [("t", n + i, i, float(i == 300)) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "tree string, node long, parent long, score double")
+    scored, jumps = chat.branches(nodes)
+    assert scored.count() == n
+    assert max(j.count() for j in jumps) <= 2 * n
+    top = scored.orderBy(F.desc("score"), "leaf").limit(1).withColumn("branch", F.lit(1))
+    path = sorted((r.up, r.node) for r in chat.reply_paths(top, jumps).collect())
+    assert path == [(0, n + 300), *((k + 1, 300 - k) for k in range(301))]
+
+
 def test_long_chain_and_repeats(spark):
     rows = [(1, t, "user" if t % 2 else "assistant", f"### {t} \\h" * (t % 3)) for t in range(300)] + [(2, 0, None, None), (2, 0, None, None), (None, 5, "user", "x" * 100_000)]
     out = chat.format_trees(chat.threads(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("tree", F.lit("clash"))))

@@ -27,29 +27,38 @@ def unescape(c: Column, pairs=ESCAPES) -> Column:
     return c
 
 
-def reply_paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up) for every node on the way from each leaf to its root.
-
-    ``nodes``: ``tree, node, parent`` of unique (tree, node). A node whose
-    parent is null or missing in its tree is a root. Iterative self-joins double
-    the length of each node's pointer to its ancestors, so a path of n nodes
-    takes log2(n) joins. A cycle raises ``ValueError``; (tree, node) columns
-    only cross the network, never texts.
+def branches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(``tree, leaf, score`` of every root-to-leaf path, pointer tables).
+
+    ``nodes``: ``tree, node, parent, score`` of unique (tree, node). A node
+    whose parent is null or missing in its tree is a root. Iterative self-joins
+    double the length of each node's pointer and add up the scores on the way,
+    so a path of n nodes takes log2(n) joins and no path is listed; table k
+    leads each node (that has one) to its 2^k-th ancestor. A branch's score is
+    the mean of its nodes'. A cycle raises ``ValueError``. Texts don't take part.
     """
-    ids = nodes.select("tree", "node")
-    par = nodes.select("tree", "node", F.col("parent").alias("to")).where("to is not null")
-    par = par.join(ids.select("tree", F.col("node").alias("to")), ["tree", "to"], "left_semi").select("tree", "node", "to")
-    jumps = [cut(par)]
+    ids = nodes.select("tree", F.col("node").alias("to"), F.lit(True).alias("known"))
+    state = nodes.select("tree", "node", F.col("parent").alias("to"), "score").join(ids, ["tree", "to"], "left")
+    state = cut(state.select("tree", "node", F.when(F.col("known"), F.col("to")).alias("to"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("n")))
+    leaves = state.select("tree", "node").join(state.where("to is not null").select("tree", F.col("to").alias("node")).distinct(), ["tree", "node"], "left_anti")
     most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while not jumps[-1].isEmpty():
-        if 1 << (len(jumps) - 1) >= most:
+    jumps: list[DataFrame] = []
+    while not (open_ := state.where("to is not null").select("tree", "node", "to")).isEmpty():
+        if len(jumps) and 1 << (len(jumps) - 1) >= most:
             raise ValueError("a reply tree has a cycle")
-        j = jumps[-1]
-        jumps.append(cut(j.join(j.select("tree", F.col("node").alias("to"), F.col("to").alias("far")), ["tree", "to"]).select("tree", "node", F.col("far").alias("to"))))
-    leaves = ids.join(jumps[0].select("tree", F.col("to").alias("node")).distinct(), ["tree", "node"], "left_anti")
-    paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
-    for k in range(len(jumps) - 2, -1, -1):
-        hop = paths.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        jumps.append(open_)
+        far = state.select("tree", F.col("node").alias("to"), F.col("to").alias("far"), F.col("sum").alias("more"), F.col("n").alias("steps"))
+        step = state.join(far, ["tree", "to"], "left")
+        state = cut(step.select("tree", "node", F.col("far").alias("to"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("steps", F.lit(0))).alias("n")))
+    return state.join(leaves, ["tree", "node"], "left_semi").select("tree", F.col("node").alias("leaf"), (F.col("sum") / F.col("n")).alias("score")), jumps
+
+
+def reply_paths(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, branch, node, up) for every node on the way from each of
+    ``leaves`` (``tree, leaf, branch``) to its root, by the pointer tables."""
+    paths = leaves.select("tree", "leaf", "branch", F.col("leaf").alias("node"), F.lit(0).alias("up"))
+    for k in range(len(jumps) - 1, -1, -1):
+        hop = paths.join(jumps[k], ["tree", "node"]).select("tree", "leaf", "branch", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         paths = paths.unionByName(hop)
         if k % 3 == 0 and k:
             paths = cut(paths)
@@ -62,7 +71,7 @@ def format_trees(nodes: DataFrame, best: int | None = 1, loss_role: str = "assis
     ``nodes``: ``tree, node, parent, role, text, score`` with unique (tree,
     node). A branch's score is the mean score of its nodes (null: 0); ``best``
     branches of each tree are formatted (None: all), ties go to the smaller
-    leaf. ``loss_spans`` are the [start, end) code points of each text by
+    leaf. Only these branches are listed node by node. ``loss_spans`` are the [start, end) code points of each text by
     ``loss_role`` inside ``formatted``; they lie inside single turns.
 
     Nulls: a null role or text is empty. Control strings inside roles and texts
@@ -70,14 +79,14 @@ def format_trees(nodes: DataFrame, best: int | None = 1, loss_role: str = "assis
     conversation's whole text meets in one task by definition.
     """
     nodes = nodes.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    paths = cut(reply_paths(nodes.select("tree", "node", "parent")))
-    scored = paths.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
+    scored, jumps = branches(nodes.select("tree", "node", "parent", "score"))
     ranked = scored.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     if best is not None:
         ranked = ranked.where(F.col("branch") <= best)
+    paths = reply_paths(cut(ranked.select("tree", "leaf", "branch")), jumps)
     head = F.concat(F.lit(HEAD), escape(F.col("role"), ROLE_ESCAPES), F.lit(MID))
     body = escape(F.col("text"))
-    turns = paths.join(ranked.select("tree", "leaf", "branch"), ["tree", "leaf"]).join(nodes.select("tree", "node", head.alias("head"), body.alias("body"), (F.col("role") == loss_role).alias("loss")), ["tree", "node"])
+    turns = paths.join(nodes.select("tree", "node", head.alias("head"), body.alias("body"), (F.col("role") == loss_role).alias("loss")), ["tree", "node"])
     turns = turns.groupBy("tree", "leaf", "branch").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "head", "body", "loss"))).alias("t"))
     formatted = F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
