@@ -229,6 +229,27 @@ def test_probe_matches_plain_python(spark, sf):
         assert r.near_next == pytest.approx(like(a, c))
 
 
+def test_merge_and_containment(spark):
+    """Sketches of parts merge to the sketch of all; unequal texts compare."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = []
+    for i in range(60):
+        a, b = [word() for _ in range(rng.choice([0, 3, 6, 9, 60]))], [word() for _ in range(rng.choice([0, 4, 7, 30]))]
+        rows.append((i, " ".join(a), " ".join(b), " ".join(b + [word() for _ in range(3000)])))
+    df = spark.createDataFrame(rows, "i long, a string, b string, long string")
+    for scale in (8, 1):
+        s = {c: fingerprint.sketch(F.col(c), 5, scale) for c in ("a", "b", "long")}
+        for r in df.select("*", fingerprint.merge(s["a"], s["b"], scale).alias("m"), fingerprint.containment(s["b"], s["long"], scale).alias("c"), s["b"].alias("s")).collect():
+            low = -(1 << 63) + (1 << 64) // scale if scale > 1 else 1 << 63
+            every = sorted({*sketch_of(r.a, 5, 1), *sketch_of(r.b, 5, 1)})
+            kept = [h for h in every if h < low]
+            assert r.m == (kept or every[:1])
+            own = [h for h in r.s if h < low]
+            # short texts are one shingle, which no longer text has
+            assert r.c == (None if not own else 1.0 if len(r.b.split()) >= 5 else 0.0)
+
+
 def test_next_over_buckets(spark):
     ids = [5, -3, 7, 7, 100, 10**12, None, 8, 9, 2**62]
     rows = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id bigint, text string").withColumn("_tie", F.col("text"))
