@@ -289,28 +289,83 @@ def test_url_rules(spark):
     assert {r.verdict for r in urls.judge_urls(pages.where("url is null"), queries.URL_RULES).collect()} == {"allow"}
 
 
+def plain_url_model(urls_, ruled, order, least):
+    """P(c | longest frequent context) of one class, by dictionaries of strings."""
+    code = lambda c: c if 33 <= ord(c) <= 96 else "`"  # noqa: E731  (the last symbol stands for all others)
+    text = {u: "".join(map(code, (u or "").translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")))) for u in urls_}
+    known = [(v, text[u]) for u, v in ruled if hashlib.md5(u.encode()).hexdigest()[0] >= "4"]
+    contexts = Counter(t[i - d : i] for _, t in known for i in range(len(t)) for d in range(1, min(order, i) + 1))
+    kept = {w for w, n in contexts.items() if n >= least} | {""}
+    seen = {v: defaultdict(Counter) for v in ("block", "allow")}
+    for v, t in known:
+        for i, c in enumerate(t):
+            for d in range(min(order, i) + 1):
+                if t[i - d : i] in kept:
+                    seen[v][t[i - d : i]][c] += 1
+
+    def prob(v, w, c):
+        base = 1 / 64 if not w else prob(v, w[1:], c)
+        row = seen[v][w]
+        return (row[c] + len(row) * base) / (sum(row.values()) + len(row)) if row else base
+
+    def score(u):
+        t, total = text[u], 0
+        for i, c in enumerate(t):
+            w = next(t[i - d : i] for d in range(min(order, i), -1, -1) if t[i - d : i] in kept)
+            total += round(math.log(prob("block", w, c) / prob("allow", w, c)) * 10_000)
+        return total / (10_000 * len(t)) if t else 0.0
+
+    return score
+
+
 def test_url_model_matches_plain(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    rows = {r.page_id: r for r in urls.judge_urls(pages, queries.URL_RULES).collect()}
-    code = lambda c: ord(c) - 33 if 33 <= ord(c) <= 96 else 63
-
-    def cells(u):
-        c = [0, 0, *map(code, u.partition("://")[2].upper())]
-        return [(c[i] * 64 + c[i + 1]) * 64 + c[i + 2] for i in range(len(c) - 2)]
-
-    counts = {"block": Counter(), "allow": Counter()}
-    text = {r.page_id: r.url for r in pages.collect()}
-    for i, r in rows.items():
-        if r.rule:
-            counts[r.verdict].update(cells(text[i]))
-    table = urls.ratio_table(counts["block"], counts["allow"])
-    for i, r in rows.items():
-        own = cells(text[i])
-        assert r.score == pytest.approx(sum(table[c] for c in own) / len(own), abs=1e-4)
-    for v in counts.values():
-        m = urls._log_probs(v)
-        for ctx in (0, 77, next(iter(v)) // 64):
-            assert sum(urls._prob(m, ctx, c) for c in range(64)) == pytest.approx(1)
+    for order, least in ((4, 50), (2, 5), (5, 3)):
+        rows = urls.judge_urls(pages, queries.URL_RULES, order=order, least=least).collect()
+        text = {r.page_id: r.url for r in pages.collect()}
+        score = plain_url_model(set(text.values()), [(text[r.page_id], r.verdict) for r in rows if r.rule], order, least)
+        assert len({len(str(r.score)) for r in rows}) > 1
+        for r in rows:
+            assert r.score == pytest.approx(score(text[r.page_id]), abs=2e-4)
+
+
+def test_url_chain():
+    """Moves keep the longest end; the number of states is bounded by counts."""
+    code = lambda t: sum(b * 64 ** (len(t) - 1 - i) for i, b in enumerate(t)) + 64 ** len(t)
+    chain = urls.Chain([code(t) for t in ([1], [2], [1, 2], [2, 1], [1, 2, 1])], 3)
+    moves, at = chain.moves(), 0
+    walked = []
+    for c in (1, 2, 1, 2, 5, 2, 1):
+        at = moves[at * 64 + c]
+        walked.append(chain.names[at])
+    assert walked == [code(t) for t in ([1], [1, 2], [1, 2, 1], [1, 2], [], [2], [2, 1])]
+    p = chain.probs({(0, 3): 2, (chain.index[code([1, 2])], 4): 5})
+    for s in range(len(chain.names)):
+        assert sum(p[s * 64 : s * 64 + 64]) == pytest.approx(1)
+
+
+def test_url_states_are_bounded(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    a = urls.judge_urls(pages, queries.URL_RULES, least=1, states=40).collect()
+    assert len(a) == pages.count()
+    assert any(r.score for r in a)
+
+
+def test_url_long(spark, sf):
+    """A URL of a million characters, in linear time."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    more = spark.createDataFrame([(-1, "http://x.net/" + "ab/" * 300_000), (-2, "x" * 900_000)], "page_id bigint, url string")
+    got = {r.page_id: r for r in urls.judge_urls(pages.unionByName(more), queries.URL_RULES).where("page_id < 0").collect()}
+    assert (got[-1].verdict, got[-2].host) == ("block", "")
+
+
+def test_url_accuracy(spark):
+    """Balanced accuracy on ruled URLs that neither model has counted."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = urls.judge_urls(pages, queries.URL_RULES).where("rule is not null and held_out").select("verdict", "score").collect()
+    scores = {v: sorted(r.score for r in rows if r.verdict == v) for v in ("block", "allow")}
+    best = max((sum(s >= c for s in scores["block"]) / len(scores["block"]) + sum(s < c for s in scores["allow"]) / len(scores["allow"])) / 2 for c in scores["block"])
+    assert best > 0.95
 
 
 # chat

@@ -87,34 +87,51 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-#: The two models, their log ratio and the threshold, for the cells that occur.
-OP6_SQL = r"""
+def _op6_sql(order: int = 4, least: int = 50, states: int = 4096) -> str:
+    """Contexts by count, the two models level by level, their log ratio at the
+    longest context of each character, and the threshold of the held-out URLs."""
+    back = ", ".join(f"lag(c, {d}) OVER w AS b{d}" for d in range(1, order + 1))
+    name = lambda d: " + ".join([str(64**d), *(f"b{j} * {64 ** (j - 1)}" for j in range(1, d + 1))])
+    grams = " UNION ALL ".join(["SELECT rid, i, c, 0 AS d, 1 AS w FROM g", *(f"SELECT rid, i, c, {d}, {name(d)} FROM g WHERE b{d} IS NOT NULL" for d in range(1, order + 1))])
+    levels = "".join(
+        f""",
+p{d} AS (SELECT t.ruled, t.w, t.c, CASE WHEN t.s IS NULL THEN q.p ELSE (t.n + t.t * q.p) / (t.s + t.t) END AS p FROM cells t JOIN p{d - 1} q ON q.ruled = t.ruled AND q.c = t.c AND q.w = {64 ** (d - 1)} + t.w % {64 ** (d - 1)} WHERE t.d = {d})"""
+        for d in range(1, order + 1)
+    )
+    every = " UNION ALL ".join(f"SELECT * FROM p{d}" for d in range(order + 1))
+    return rf"""
 WITH u AS (SELECT row_number() OVER () AS rid, page_id, url, strpos(url, '://') AS a FROM pages),
 h AS (SELECT rid, page_id, coalesce(CASE WHEN a > 0 THEN translate(regexp_extract(substr(url, a + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END, '') AS host,
   coalesce(CASE WHEN a > 0 THEN regexp_extract(substr(url, a + 3), '^[^/?#]*([^?#]*)', 1) END, '') AS path,
-  upper(coalesce(CASE WHEN a > 0 THEN substr(url, a + 3) ELSE url END, '')) AS tail FROM u),
+  translate(coalesce(url, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS text, coalesce(substr(md5(url), 1, 1) < '4', false) AS held FROM u),
 r AS (SELECT *, CASE
   WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h),
 v AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r),
-o AS (SELECT rid, i, unicode(substr(tail, i, 1)) AS c FROM (SELECT rid, tail, unnest(range(1, length(tail) + 1)) AS i FROM v)),
+o AS (SELECT rid, i, unicode(substr(text, i, 1)) AS c FROM (SELECT rid, text, unnest(range(1, length(text) + 1)) AS i FROM v)),
 k AS (SELECT rid, i, CASE WHEN c BETWEEN 33 AND 96 THEN c - 33 ELSE 63 END AS c FROM o),
-g AS (SELECT rid, lag(c, 2, 0) OVER w * 64 + lag(c, 1, 0) OVER w AS x, lag(c, 1, 0) OVER w AS b, c FROM k WINDOW w AS (PARTITION BY rid ORDER BY i)),
-n3 AS (SELECT ruled, x, b, c, count(*) AS n FROM g JOIN v USING (rid) WHERE ruled IS NOT NULL GROUP BY ALL),
-n2 AS (SELECT ruled, b, c, sum(n) AS n FROM n3 GROUP BY ALL), n1 AS (SELECT ruled, c, sum(n) AS n FROM n3 GROUP BY ALL),
-t3 AS (SELECT ruled, x, sum(n) AS s, count(*) AS t FROM n3 GROUP BY ALL), t2 AS (SELECT ruled, b, sum(n) AS s, count(*) AS t FROM n2 GROUP BY ALL), t1 AS (SELECT ruled, sum(n) AS s, count(*) AS t FROM n1 GROUP BY ALL),
-cells AS (SELECT * FROM (SELECT DISTINCT x, b, c FROM g), t1),
-p1 AS (SELECT cells.*, (coalesce(n, 0) + t / 64) / (s + t) AS p FROM cells LEFT JOIN n1 USING (ruled, c)),
-p2 AS (SELECT p1.ruled, p1.x, p1.b, p1.c, CASE WHEN t2.s IS NULL THEN p ELSE (coalesce(n2.n, 0) + t2.t * p) / (t2.s + t2.t) END AS p FROM p1 LEFT JOIN n2 USING (ruled, b, c) LEFT JOIN t2 ON t2.ruled = p1.ruled AND t2.b = p1.b),
-p3 AS (SELECT p2.ruled, p2.x, p2.c, CASE WHEN t3.s IS NULL THEN p ELSE (coalesce(n3.n, 0) + t3.t * p) / (t3.s + t3.t) END AS p FROM p2 LEFT JOIN n3 ON n3.ruled = p2.ruled AND n3.x = p2.x AND n3.c = p2.c LEFT JOIN t3 ON t3.ruled = p2.ruled AND t3.x = p2.x),
-ratio AS (SELECT m.x, m.c, CAST(CAST(round(ln(m.p / a.p), 4) AS FLOAT) AS DOUBLE) AS l FROM p3 m JOIN p3 a USING (x, c) WHERE m.ruled = 'block' AND a.ruled = 'allow'),
-s AS (SELECT v.rid, page_id, host, path, rule, ruled, coalesce(score, 0) AS score FROM v LEFT JOIN (SELECT rid, avg(l) AS score FROM g JOIN ratio USING (x, c) GROUP BY 1) USING (rid)),
-f AS (SELECT least(greatest(floor((score + 4) / 8 * 400), 0), 399) AS bin, ruled FROM s WHERE ruled IS NOT NULL),
+g AS (SELECT rid, i, c, {back} FROM k WINDOW w AS (PARTITION BY rid ORDER BY i)),
+grams AS ({grams}),
+known AS (SELECT v.ruled, d, w, c FROM grams JOIN v USING (rid) WHERE ruled IS NOT NULL AND NOT held),
+counts AS (SELECT d, w, count(*) AS n FROM known WHERE d > 0 GROUP BY d, w),
+often AS (SELECT *, row_number() OVER (ORDER BY n DESC, w) AS place FROM counts WHERE n >= {least}),
+kept AS (SELECT d, w FROM often WHERE n > coalesce((SELECT n FROM often WHERE place = {states + 1}), 0) UNION ALL SELECT 0, 1),
+n AS (SELECT ruled, d, w, c, count(*) AS n FROM known JOIN kept USING (d, w) GROUP BY ALL),
+t AS (SELECT ruled, d, w, sum(n) AS s, count(*) AS t FROM n GROUP BY ALL),
+cells AS (SELECT x.ruled, kept.d, kept.w, c.c, t.s, t.t, coalesce(n.n, 0) AS n FROM kept, (VALUES ('block'), ('allow')) x(ruled), range(64) c(c)
+  LEFT JOIN t ON t.ruled = x.ruled AND t.d = kept.d AND t.w = kept.w LEFT JOIN n ON n.ruled = x.ruled AND n.d = kept.d AND n.w = kept.w AND n.c = c.c),
+p0 AS (SELECT ruled, w, c, CASE WHEN s IS NULL THEN 1 / 64 ELSE (n + t * (1 / 64)) / (s + t) END AS p FROM cells WHERE d = 0){levels},
+p AS ({every}),
+ratio AS (SELECT w, c, CAST(round(ln(b.p / a.p) * 10000) AS BIGINT) AS l FROM p b JOIN p a USING (w, c) WHERE b.ruled = 'block' AND a.ruled = 'allow'),
+longest AS (SELECT rid, i, any_value(c) AS c, arg_max(w, d) AS w FROM grams JOIN kept USING (d, w) GROUP BY ALL),
+s AS (SELECT v.rid, page_id, host, path, rule, ruled, held, coalesce(score, 0) AS score FROM v LEFT JOIN (SELECT rid, CAST(sum(l) AS DOUBLE) / (count(*) * 10000) AS score FROM longest JOIN ratio USING (w, c) GROUP BY 1) USING (rid)),
+f AS (SELECT least(greatest(floor((score + 4) / 8 * 400), 0), 399) AS bin, ruled FROM s WHERE ruled IS NOT NULL AND held),
 e AS (SELECT i, round((SELECT count(*) FROM f WHERE ruled = 'allow' AND bin < i) / (SELECT count(*) FROM f WHERE ruled = 'allow') + 1 - (SELECT count(*) FROM f WHERE ruled = 'block' AND bin < i) / (SELECT count(*) FROM f WHERE ruled = 'block'), 12) AS good FROM range(401) q(i)),
-cut AS (SELECT -4.0 + 8.0 * arg_max(i, (good, -i)) / 400 AS cutoff FROM e)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= cutoff THEN 'block' ELSE 'allow' END) AS verdict FROM s, cut
+cut AS (SELECT -4.0 + 8.0 * arg_max(i, (good, -i)) / 400 AS cutoff FROM e),
+parts AS (SELECT count(DISTINCT (ruled, held)) = 4 AS able FROM v WHERE ruled IS NOT NULL)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN able AND score >= cutoff THEN 'block' ELSE 'allow' END) AS verdict FROM s, cut, parts
 """
 
 
@@ -162,4 +179,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op6_urls": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_chat": OP2_SQL, "op6_urls": _op6_sql(), "op9_exact_dedup": OP9_SQL}
