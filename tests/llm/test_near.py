@@ -2,11 +2,12 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom.llm.components import components
-from threadloom.llm.minhash import Plan, drop_near, near_groups
+from threadloom.llm.minhash import Plan, drop_near, most_flips, near_groups
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -88,4 +89,44 @@ def test_plan_keeps_links():
     for t in (80, 85, 90):
         p = Plan(t, 5)
         assert (1 - (t / 100) ** p.rows) ** (p.samples // p.rows) <= 1e-8
-        assert p.least < t / 100
+        assert p.flips < p.bits // 2
+
+
+def test_screen_loses_no_link():
+    """The screen's bound against simulated pairs at the threshold: samples that
+    differ, flips that meet; its chance is met at a level that can be counted."""
+    rng = np.random.default_rng(12)
+    for t in (80, 85):
+        p = Plan(t, 5)
+        n = 40_000
+        differ = rng.binomial(p.samples, 1 - t / 100, n)
+        odd = np.array([(np.bincount(rng.integers(0, p.bits, 2 * d), minlength=p.bits) & 1).sum() for d in differ])
+        assert odd.max() <= p.flips
+        for miss in (1e-2, 1e-3):
+            bound = most_flips(1 - t / 100, p.samples, p.bits, miss)
+            assert (odd > bound).mean() <= miss + 4 * (miss / n) ** 0.5
+            assert (odd >= bound).mean() >= miss - 4 * (miss / n) ** 0.5
+
+
+def test_screen_on_sketches():
+    """Sets exactly at the threshold pass the screen."""
+    rng = np.random.default_rng(13)
+    p = Plan(80, 5)
+    mult = p.multipliers()
+    for _ in range(150):
+        s = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+        a, b = p.odd_sketch(p.signature(np.sort(s[:108]), mult)), p.odd_sketch(p.signature(np.sort(s[12:]), mult))
+        assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= p.flips
+
+
+def test_crowd_without_links(spark):
+    """Pages that share boilerplate, too many for a block: same links as brute
+    force, through rare shingles."""
+    boiler = [f"b{i}" for i in range(70)]
+    rows = [(i, " ".join([*boiler, *(f"u{i}x{k}" for k in range(30))])) for i in range(60)]
+    rows += [(100 + i, rows[i][1].replace(f"u{i}x29", "tail")) for i in range(0, 60, 7)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    want = brute(rows, 85, 3)
+    assert len({c for _, c in want.values()}) == 60
+    got = near_groups(docs, 85, 3, block=8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, sqrt
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,19 +44,37 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(acc)
 
 
+@lru_cache
+def most_flips(share: float, samples: int, bits: int, miss: float = 1e-9) -> int:
+    """The population count that the XOR of two odd sketches passes with a chance
+    below ``miss`` if each sample differs with the chance ``share``: exact, over
+    both the number of samples that differ and how their flips (two each) fall
+    into the ``bits``."""
+    odd = np.arange(bits + 1)
+    state, total = np.zeros(bits + 1), np.zeros(bits + 1)
+    state[0], chance = 1.0, (1 - share) ** samples
+    for d in range(samples + 1):
+        total += chance * state
+        chance *= (samples - d) / (d + 1) * share / (1 - share) if share < 1 else 0
+        for _ in range(2):
+            up, down = state * (bits - odd) / bits, state * odd / bits
+            state = np.append(0, up[:-1]) + np.append(down[1:], 0)
+    return int(np.flatnonzero(np.cumsum(total[::-1])[::-1] > miss).max(initial=0))
+
+
 @dataclass(frozen=True)
 class Plan:
     """Numbers that follow from the threshold.
 
     ``rows`` is the longest band for which a pair at the threshold is missed
-    with a chance below 1e-8; ``flips`` is the population count that an odd
-    sketch pair 5 standard deviations below the threshold has."""
+    with a chance below 1e-8; ``flips`` is the population count that the odd
+    sketches of such a pair pass with a chance below 1e-9."""
 
     threshold: int  # per cent
     width: int
     samples: int = 240
     bits: int = 1024
-    block: int = 2048  # most members of a bucket in one task, on average
+    block: int = 512  # most members of a bucket in one task, on average
     block_bytes: int = 32 << 20  # and most bytes of their full sets
 
     @property
@@ -64,14 +82,9 @@ class Plan:
         t, k = self.threshold / 100, self.samples
         return max([1, *(r for r in range(1, 40) if (1 - t**r) ** (k // r) <= 1e-8)])
 
-    @property
-    def least(self) -> float:
-        t = self.threshold / 100
-        return max(0.0, t - 5 * sqrt(t * (1 - t) / self.samples))
-
     @property
     def flips(self) -> int:
-        return int(self.bits / 2 * (1 - exp(-4 * self.samples * (1 - self.least) / self.bits))) + 1
+        return most_flips(1 - self.threshold / 100, self.samples, self.bits)
 
     def multipliers(self) -> np.ndarray:
         return _mix(np.arange(1, self.samples + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -323,6 +336,49 @@ def _linking(plan: Plan):
     return run
 
 
+def _exploded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per shingle: ``id, n, s``."""
+    for b in it:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("set")]
+        for i in range(0, len(sets), 64):
+            part, sizes = sets[i : i + 64], [len(x) for x in sets[i : i + 64]]
+            own = lambda c: pa.array(np.repeat(b.column(c).to_numpy(zero_copy_only=False)[i : i + 64], sizes), pa.int64())  # noqa: E731,B023
+            yield pa.RecordBatch.from_arrays([own("id"), own("n"), pa.array(np.concatenate(part), pa.int64())], ["id", "n", "s"])
+
+
+def _prefixes(plan: Plan):
+    """Of each id's shingles, sorted from the rarest on, as many that two sets at
+    the threshold must share one of them."""
+
+    def run(it):
+        left, last = 0, None
+        for b in it:
+            ids, n = b.column("id").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)
+            keep = np.zeros(len(ids), bool)
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if ids[s] != last:
+                    last, left = ids[s], int(n[s]) + 1 + (-plan.threshold * int(n[s])) // 100
+                keep[s : min(e, s + left)] = True
+                left = max(0, left - (e - s))
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def _by_rare_shingles(plan: Plan, crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """``bkey, id, label, n``: the members of ``crowd`` (``id, label``) grouped by
+    the shingles of their prefixes (``_prefixes``, rarest within the crowd
+    first). Two linked members share a group; what is merely common to many, as
+    boilerplate, groups nobody. A row per shingle crosses the network."""
+    each = crowd.join(sets.select("id", "n", "set").hint("merge"), "id").select("id", "n", "set").mapInArrow(_exploded, "id bigint, n bigint, s bigint")
+    each = cut(each)
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select(loose(F.col("s")).alias("s"), "f")
+    rare = each.join(often.hint("merge"), "s", "left").select("id", "n", "s", F.coalesce("f", F.lit(1)).alias("f"))
+    picked = rare.repartition("id").sortWithinPartitions("id", "f", "s").mapInArrow(_prefixes(plan), "id bigint, n bigint, s bigint, f bigint")
+    return picked.where("f > 1").select(F.col("s").alias("bkey"), "id", "n").join(crowd.hint("merge"), "id").select("bkey", "id", "label", "n")
+
+
 def near_groups(docs: DataFrame, threshold: int = 85, width: int = 3, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
@@ -331,19 +387,24 @@ def near_groups(docs: DataFrame, threshold: int = 85, width: int = 3, id_col: st
     reachable over links. Texts with equal sets collapse to one representative;
     banded MinHash proposes buckets, odd sketches (parity bitmaps of the MinHash
     samples) screen them, and only links confirmed on full sets count. A link is
-    lost only if no band meets (below 1e-8 at the threshold) or a sketch is 5
-    standard deviations off; there is no cap on buckets or partners.
+    lost only if no band meets (a chance below 1e-8 at the threshold) or its
+    sketches differ by more than ``Plan.flips`` (below 1e-9 there); both chances
+    fall with the similarity, and there is no cap on buckets or partners.
 
     A bucket of two is its pair. A larger one first gives the spanning forest of
     its nearest sketches, block by block, so a large group of near copies costs
     a link per member; once those links are confirmed, only members outside the
     bucket's main component are compared with the others, again in blocks and on
     full sets inside the block's task, which hands on one link for each two
-    components it joins.
+    components it joins. Where more than a block of members is outside (many
+    texts alike but not linked, as by boilerplate), they are first grouped anew
+    by their rarest shingles, of which linked texts must share one, so a crowd
+    without links costs a row per shingle and no comparison.
 
     Nulls: a null or empty text has no shingles and no links; a null id takes
     part in no link (``component_id`` null, ``kept`` true). Repeated rows are
-    one document; rows of one id with several texts share their links.
+    one document; rows of one id with several texts share their links. Ids are
+    cast to long: an id that is no number is an error (null without ANSI mode).
     """
     plan = Plan(threshold, width, **kw)
     ids = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -388,19 +449,34 @@ def near_groups(docs: DataFrame, threshold: int = 85, width: int = 3, id_col: st
 
     named = members.join(labels, members["id"] == labels["node"], "left").select("bkey", "id", F.coalesce("label", "id").alias("label"))
     named = cut(named.join(sets.select("id", "n").hint("merge"), "id"))
-    tally = named.groupBy("bkey", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items"))
-    main = F.max_by("label", F.struct("rows", "label"))
-    mixed = tally.groupBy("bkey").agg(main.alias("main"), F.sum("rows").alias("all"), F.sum("items").alias("items"), F.max_by("items", F.struct("rows", "label")).alias("main_items"), F.max("rows").alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    blocks = lambda rows, items: F.greatest(F.ceil(rows / plan.block), F.ceil(items * 8 / plan.block_bytes)).cast("int")
-    mixed = mixed.select(loose(F.col("bkey")).alias("bkey"), "main", blocks(F.col("all") - F.col("most"), F.col("items") - F.col("main_items")).alias("ni"), blocks(F.col("all"), F.col("items")).alias("nj"))
-    within = named.drop("n").join(mixed, "bkey").join(odd, "id")
-    i, j = F.pmod(F.xxhash64("id", F.lit(2)), F.col("ni")).cast("int"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("nj")).cast("int")
-    cols = ["bkey", "id", "n", "label", "odd"]
-    asks = within.where("label <> main").select(*cols, F.lit(0).alias("side"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
-    rest = within.select(*cols, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), j.alias("j"))
-    grouped = lambda df: df.repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
-    open_rows = grouped(asks.unionByName(rest)).mapInArrow(_involved(plan), "bkey bigint, i int, j int, side int, id bigint, label bigint")
-    more = cut(grouped(cut(open_rows).join(sets.hint("merge"), "id")).mapInArrow(_linking(plan), "a bigint, b bigint").distinct())
+
+    def mixed(named: DataFrame) -> DataFrame:
+        """Buckets of several components, their main one, and into how many blocks
+        those outside it (``ni``) and all members (``nj``) are dealt."""
+        tally = named.groupBy("bkey", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items"))
+        main = F.max_by("label", F.struct("rows", "label"))
+        sums = tally.groupBy("bkey").agg(main.alias("main"), F.sum("rows").alias("all"), F.sum("items").alias("items"), F.max_by("items", F.struct("rows", "label")).alias("main_items"), F.max("rows").alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        blocks = lambda rows, items: F.greatest(F.ceil(rows / plan.block), F.ceil(items * 8 / plan.block_bytes)).cast("int")
+        return sums.select(loose(F.col("bkey")).alias("bkey"), "main", (F.col("all") - F.col("most")).alias("outside"), blocks(F.col("all") - F.col("most"), F.col("items") - F.col("main_items")).alias("ni"), blocks(F.col("all"), F.col("items")).alias("nj"))
+
+    def joining(named: DataFrame, mixed: DataFrame) -> DataFrame:
+        """Links between components from comparing those outside the main one with all."""
+        within = named.drop("n").join(mixed, "bkey").join(odd, "id")
+        i, j = F.pmod(F.xxhash64("id", F.lit(2)), F.col("ni")).cast("int"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("nj")).cast("int")
+        cols = ["bkey", "id", "n", "label", "odd"]
+        asks = within.where("label <> main").select(*cols, F.lit(0).alias("side"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
+        rest = within.select(*cols, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), j.alias("j"))
+        grouped = lambda df: df.repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
+        open_rows = cut(grouped(asks.unionByName(rest)).mapInArrow(_involved(plan), "bkey bigint, i int, j int, side int, id bigint, label bigint"))
+        return cut(grouped(open_rows.join(sets.hint("merge"), "id")).mapInArrow(_linking(plan), "a bigint, b bigint").distinct())
+
+    parts = cut(mixed(named))
+    more = joining(named, parts.where(F.col("outside") <= plan.block))
+    crowded = parts.where(F.col("outside") > plan.block)
+    if not crowded.isEmpty():
+        crowd = cut(named.join(crowded.select("bkey"), "bkey", "left_semi").select("id", "label").distinct())
+        rare = cut(_by_rare_shingles(plan, crowd, sets))
+        more = more.unionByName(joining(rare, cut(mixed(rare)))).distinct()
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     found = classes.join(labels, classes["rep"] == labels["node"], "left").select("h", F.coalesce("label", "rep").alias("component_id"))
