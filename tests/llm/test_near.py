@@ -130,3 +130,27 @@ def test_crowd_without_links(spark):
     assert len({c for _, c in want.values()}) == 60
     got = near_groups(docs, 85, 3, block=8).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_tables_are_removed(spark, sf):
+    """Near-dedup leaves the two tables its result reads, and no others."""
+    import os
+
+    from threadloom.llm.common import shared_dir
+
+    top = f"{shared_dir(spark)}/threadloom-{spark.sparkContext.applicationId}".removeprefix("file:")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    out = near_groups(spark.read.parquet(f"{sf}/documents.parquet"), 85, 3)
+    assert out.count() == 200
+    left = set(os.listdir(top)) - before
+    assert len([p for p in left if not p.startswith(".")]) == 2
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from threadloom.llm.common import shared_dir
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(session)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,25 +41,67 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: the cluster's checkpoint folder, or a
-    temporary one of our own where none is configured (local tests)."""
+    """The folder every executor sees: the cluster's checkpoint folder. Where
+    none is configured, a local master gets a temporary one of our own (tests);
+    on a cluster that is an error, as executors don't share their disks."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="threadloom-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: Paths written inside each open ``scratch``, innermost last.
+_OPEN: list[list[str]] = []
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts the
-    lineage, survives lost executors, and later reads prune columns."""
+    lineage, survives lost executors, and later reads prune columns. The table
+    goes with the ``scratch`` it is cut in, or else with the application."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadloom/{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/threadloom-{spark.sparkContext.applicationId}"
+    path = f"{top}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, at = _files(spark, top)
+    fs.deleteOnExit(at)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what was ``cut`` inside at the end, but tables handed to the
+    function it yields; those belong to the next outer ``scratch``. What is
+    returned may only read such tables."""
+    made: list[str] = []
+    kept: list[str] = []
+    _OPEN.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.extend(p for p in made if any(p.rsplit("/", 1)[1] in f for f in df.inputFiles()))
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(made)
+        for path in set(made) - set(kept):
+            fs, at = _files(spark, path)
+            fs.delete(at, True)
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+
+
 def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small literal table built inside the JVM from one JSON literal."""
     names = [c.strip().split()[0] for c in schema.split(",")]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -254,11 +254,12 @@ def fit(
         picked.append(marks.where((F.col("_y") == y) & (F.col("_part") < stop)).orderBy("_part", "_id").limit(rows))
     some = picked[0].unionByName(picked[1]).select("_id", "_y")
     rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = cut(rows.join(F.broadcast(some), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min("text").alias("text"), F.max("_y").alias("y")))
-    texts = found.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("_id").alias("id"), F.max("y").alias("y"))
-    texts = texts.withColumn("at", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where((F.col("at") <= positive) & (F.col("y") == 1) | (F.col("at") <= negative) & (F.col("y") == 0))
-    sample = cut(texts.select("id", "text", "y").repartition(64))
-    return train(sample, most=most)
+    with scratch(docs.sparkSession):
+        found = cut(rows.join(F.broadcast(some), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min("text").alias("text"), F.max("_y").alias("y")))
+        texts = found.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("_id").alias("id"), F.max("y").alias("y"))
+        texts = texts.withColumn("at", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where((F.col("at") <= positive) & (F.col("y") == 1) | (F.col("at") <= negative) & (F.col("y") == 0))
+        sample = cut(texts.select("id", "text", "y").repartition(64))
+        return train(sample, most=most)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, cutoff: float = 0.5) -> DataFrame:
