@@ -64,7 +64,7 @@ def family(n, words=60):
 def test_chains_and_blocks(spark):
     rows = family(90)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
-    for kw in ({}, {"block": 8}, {"block_bytes": 4000}):  # a bucket in one block, and in many
+    for kw in ({}, {"forest": 8, "block": 8}, {"forest": 8}, {"block_bytes": 4000}):  # a bucket in one block, and in many
         got = near_groups(docs, 85, 3, **kw).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 85, 3)
 

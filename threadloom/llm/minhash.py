@@ -74,7 +74,8 @@ class Plan:
     width: int
     samples: int = 240
     bits: int = 1024
-    block: int = 512  # most members of a bucket in one task, on average
+    forest: int = 128  # most members of a bucket in one spanning forest, on average
+    block: int = 512  # and in one side of a comparison of all
     block_bytes: int = 32 << 20  # and most bytes of their full sets
 
     @property
@@ -433,7 +434,7 @@ def near_groups(docs: DataFrame, threshold: int = 85, width: int = 3, id_col: st
         twos = twos.join(two(odd, "a"), F.col("a") == F.col("ida")).join(two(odd, "b"), F.col("b") == F.col("idb"))
         twos = twos.where((100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (flips <= plan.flips)).select("a", "b")
 
-        blocks = F.ceil(F.col("size") / plan.block).cast("int")
+        blocks = F.ceil(F.col("size") / plan.forest).cast("int")
         # Two different divisions into blocks, so that parts of a large bucket meet.
         at = F.when(blocks <= 1, F.array(F.lit(0))).otherwise(F.array(F.pmod(F.xxhash64("id", F.lit(0)), blocks).cast("int"), (F.pmod(F.xxhash64("id", F.lit(1)), blocks) + blocks).cast("int")))
         blocked = members.select("bkey", "id", F.explode(at).alias("blk")).join(odd, "id")
