@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, scratch
@@ -256,9 +256,9 @@ def fit(
     rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     with scratch(docs.sparkSession):
         found = cut(rows.join(F.broadcast(some), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min("text").alias("text"), F.max("_y").alias("y")))
-        texts = found.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("_id").alias("id"), F.max("y").alias("y"))
-        texts = texts.withColumn("at", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where((F.col("at") <= positive) & (F.col("y") == 1) | (F.col("at") <= negative) & (F.col("y") == 0))
-        sample = cut(texts.select("id", "text", "y").repartition(64))
+        texts = cut(found.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("_id").alias("id"), F.max("y").alias("y")))
+        first = lambda y, rows: texts.where(F.col("y") == y).select("id", "h").orderBy("h", "id").limit(rows).select("id")
+        sample = cut(texts.join(F.broadcast(first(1, positive).unionByName(first(0, negative))), "id", "left_semi").select("id", "text", "y").repartition(64))
         return train(sample, most=most)
 
 
