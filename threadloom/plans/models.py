@@ -86,57 +86,59 @@ def m02_ibm2_align(spark: Spark, d: str) -> DataFrame:
     return j.groupBy(PAIR, "spos").agg(F.max_by("tpos", F.struct("s", -F.col("tpos"))).alias("alignment"))
 
 
-def frames_and_labels(spark: Spark, d: str, width: int | None = 8) -> tuple[DataFrame, DataFrame]:
-    """Vectors as frames; a pair's targets are its distinct labels, sorted. The
-    registered SQL states its results for the first 8 values; None: all."""
+def frames_and_labels(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors as frames; a pair's targets are its distinct labels, sorted."""
     v = C.vectors(spark, d)
     t = v.select(PAIR, "label").distinct()
     trg = t.select(PAIR, (F.row_number().over(Window.partitionBy(PAIR).orderBy("label")) - 1).alias("pos"), F.col("label").cast("string").alias("concept"))
-    return v.select(PAIR, "pos", F.slice("vec", 1, width).alias("vec") if width else "vec"), trg
+    return v.select(PAIR, "pos", "vec"), trg
 
 
-SQL_FR = "WITH " + SQL_VEC + """, fr AS (SELECT pair_index, pos, vec[1:8] AS vec FROM vec), tg AS (SELECT pair_index, CAST(row_number() OVER (PARTITION BY pair_index ORDER BY label) - 1 AS BIGINT) AS tpos, CAST(label AS VARCHAR) AS concept FROM (SELECT DISTINCT pair_index, label FROM vec)),
-c0 AS (SELECT concept, vec AS mean FROM (SELECT concept, vec, row_number() OVER (PARTITION BY concept ORDER BY pair_index, pos) AS n FROM fr JOIN tg USING (pair_index)) WHERE n = 1)"""
+#: Frames, targets, and the first two frames of each concept as its components.
+SQL_FR = "WITH " + SQL_VEC + """, fr AS (SELECT pair_index, pos, vec FROM vec), tg AS (SELECT pair_index, CAST(row_number() OVER (PARTITION BY pair_index ORDER BY label) - 1 AS BIGINT) AS tpos, CAST(label AS VARCHAR) AS concept FROM (SELECT DISTINCT pair_index, label FROM vec)),
+c0 AS (SELECT concept, n - 1 AS m, vec AS mean FROM (SELECT concept, vec, row_number() OVER (PARTITION BY concept ORDER BY pair_index, pos) AS n FROM fr JOIN tg USING (pair_index)) WHERE n <= 2)"""
+SQL_DIST = "list_sum(list_transform(list_zip(vec, mean), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+SQL_DENSITY = "list_sum(list_transform(list_zip(vec, mean), lambda z: -0.5 * (ln(0.02 * 2 * pi()) + (z[1] - z[2]) * (z[1] - z[2]) / 0.02)))"
 
 
 def sql_assign(c: str, out: str) -> str:
-    return f"""{out} AS (SELECT pair_index, pos, arg_min(concept, (d, tpos)) AS concept, any_value(vec) AS vec FROM (SELECT fr.pair_index, pos, tpos, concept, vec, round(list_sum(list_transform(list_zip(vec, mean), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d FROM fr JOIN tg USING (pair_index) JOIN {c} USING (concept)) GROUP BY 1, 2)"""
+    return f"""{out} AS (SELECT pair_index, pos, arg_min(concept, (d, tpos, m)) AS concept, arg_min(m, (d, tpos, m)) AS m, any_value(vec) AS vec FROM (SELECT fr.pair_index, pos, tpos, concept, m, vec, round({SQL_DIST}, 9) AS d FROM fr JOIN tg USING (pair_index) JOIN {c} USING (concept)) GROUP BY 1, 2)"""
 
 
-SQL_KM = SQL_FR + ", " + sql_assign("c0", "s0") + ", n0 AS (SELECT concept, i, avg(x) AS x FROM (SELECT concept, unnest(range(8)) AS i, unnest(vec) AS x FROM s0) GROUP BY 1, 2), c1 AS (SELECT c0.concept, coalesce(m, [0.0, 0, 0, 0, 0, 0, 0, 0]) AS mean FROM c0 LEFT JOIN (SELECT concept, list(x ORDER BY i) AS m FROM n0 GROUP BY 1) USING (concept))"
+SQL_KM = SQL_FR + ", " + sql_assign("c0", "s0") + ", n0 AS (SELECT concept, m, i, avg(x) AS x FROM (SELECT concept, m, unnest(range(64)) AS i, unnest(vec) AS x FROM s0) GROUP BY ALL), c1 AS (SELECT c0.concept, c0.m, coalesce(v, list_transform(range(64), lambda i: 0.0)) AS mean FROM c0 LEFT JOIN (SELECT concept, m, list(x ORDER BY i) AS v FROM n0 GROUP BY ALL) USING (concept, m))"
 
 
-@query(SQL_KM + ", " + sql_assign("c1", "s1") + " SELECT pair_index, pos, concept FROM s1")
+@query(SQL_KM + ", " + sql_assign("c1", "s1") + " SELECT pair_index, pos, concept, m FROM s1")
 def m06_kmeans_assign(spark: Spark, d: str) -> DataFrame:
-    return em.kmeans(*frames_and_labels(spark, d), m=1, iterations=1)[1].select(PAIR, "pos", "concept")
+    return em.kmeans(*frames_and_labels(spark, d), m=2, iterations=1)[1].select(PAIR, "pos", "concept", "m")
 
 
-@query(SQL_KM + " SELECT concept, CAST(i - 1 AS BIGINT) AS i, round(mean[i], 6) AS x FROM c1, range(1, 9) r(i)")
+@query(SQL_KM + " SELECT concept, m, CAST(i - 1 AS BIGINT) AS i, round(mean[i], 6) AS x FROM c1, range(1, 65) r(i)")
 def m06_kmeans_centroids(spark: Spark, d: str) -> DataFrame:
-    c = em.kmeans(*frames_and_labels(spark, d), m=1, iterations=1)[0]
-    return c.select("concept", F.posexplode("mean").alias("i", "x")).withColumn("x", F.round("x", 6))
+    c = em.kmeans(*frames_and_labels(spark, d), m=2, iterations=1)[0]
+    return c.select("concept", "m", F.posexplode("mean").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-SQL_GMM = SQL_FR + """, l0 AS (SELECT fr.pair_index, pos, concept, vec, list_sum(list_transform(list_zip(vec, mean), lambda z: -0.5 * (ln(0.02 * 2 * pi()) + (z[1] - z[2]) * (z[1] - z[2]) / 0.02))) AS l FROM fr JOIN tg USING (pair_index) JOIN c0 USING (concept)), r0 AS (SELECT *, exp(l - max(l) OVER (PARTITION BY pair_index, pos)) AS e FROM l0), g0 AS (SELECT *, e / sum(e) OVER (PARTITION BY pair_index, pos) AS post FROM r0)"""
+SQL_GMM = SQL_FR + f""", l0 AS (SELECT fr.pair_index, pos, concept, m, vec, {SQL_DENSITY} AS l FROM fr JOIN tg USING (pair_index) JOIN c0 USING (concept)), r0 AS (SELECT *, exp(l - max(l) OVER (PARTITION BY pair_index, pos)) AS e FROM l0), g0 AS (SELECT *, e / sum(e) OVER (PARTITION BY pair_index, pos) AS post FROM r0),
+gx AS (SELECT concept, m, post, unnest(range(64)) AS i, unnest(vec) AS x FROM g0), m1 AS (SELECT concept, m, i, sum(x * post) / sum(post) AS mean FROM gx GROUP BY ALL)"""
 
 
-@query(SQL_GMM + " SELECT concept, CAST(i AS BIGINT) AS i, round(sum(x * post) / sum(post), 6) AS x FROM (SELECT concept, post, unnest(range(8)) AS i, unnest(vec) AS x FROM g0) GROUP BY 1, 2")
+@query(SQL_GMM + " SELECT concept, m, CAST(i AS BIGINT) AS i, round(mean, 6) AS x FROM m1")
 def m04_gmm_means(spark: Spark, d: str) -> DataFrame:
-    g = em.gmm(*frames_and_labels(spark, d), dim=8, m=1, iterations=1)
-    return g.select("concept", F.posexplode("mean").alias("i", "x")).withColumn("x", F.round("x", 6))
+    g = em.gmm(*frames_and_labels(spark, d), dim=64, m=2, iterations=1)
+    return g.select("concept", "m", F.posexplode("mean").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(SQL_GMM + """, m1 AS (SELECT concept, i, sum(x * post) / sum(post) AS m FROM (SELECT concept, post, unnest(range(8)) AS i, unnest(vec) AS x FROM g0) GROUP BY 1, 2)
-SELECT concept, CAST(i AS BIGINT) AS i, round(greatest(sum(post * (x - m) * (x - m)) / sum(post), 1e-6), 6) AS x FROM (SELECT concept, post, unnest(range(8)) AS i, unnest(vec) AS x FROM g0) JOIN m1 USING (concept, i) GROUP BY 1, 2""")
+@query(SQL_GMM + " SELECT concept, m, CAST(i AS BIGINT) AS i, round(greatest(sum(post * (x - mean) * (x - mean)) / sum(post), 1e-6), 6) AS x FROM gx JOIN m1 USING (concept, m, i) GROUP BY concept, m, i")
 def m05_gmm_variances(spark: Spark, d: str) -> DataFrame:
-    g = em.gmm(*frames_and_labels(spark, d), dim=8, m=1, iterations=1, full=True)
-    return g.select("concept", F.posexplode("var").alias("i", "x")).withColumn("x", F.round("x", 6))
+    g = em.gmm(*frames_and_labels(spark, d), dim=64, m=2, iterations=1, full=True)
+    return g.select("concept", "m", F.posexplode("var").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(SQL_FR + ", sc AS (SELECT pair_index, pos, ln(sum(exp(list_sum(list_transform(list_zip(vec, mean), lambda z: -0.5 * (ln(0.02 * 2 * pi()) + (z[1] - z[2]) * (z[1] - z[2]) / 0.02)))))) AS ll FROM fr JOIN tg USING (pair_index) JOIN c0 USING (concept) GROUP BY 1, 2) SELECT round(avg(ll), 5) AS avg_ll FROM sc")
+@query(SQL_GMM + " SELECT round(avg(ll), 5) AS avg_ll FROM (SELECT max(l) + ln(sum(e)) AS ll FROM r0 GROUP BY pair_index, pos)")
 def a07_gmm_likelihood(spark: Spark, d: str) -> DataFrame:
     f, t = frames_and_labels(spark, d)
-    return rounded(em.gmm_likelihood(f, t, em.gmm(f, t, dim=8, m=1, iterations=0)), "avg_ll", n=5)
+    return rounded(em.gmm_likelihood(f, t, em.gmm(f, t, dim=64, m=2, iterations=0)), "avg_ll", n=5)
 
 
 HMM3 = {"init": (0.6, 0.4), "trans": ((0.7, 0.3), (0.4, 0.6)), "emit": ((0.4, 0.3, 0.1, 0.1, 0.1), (0.1, 0.1, 0.2, 0.3, 0.3))}
@@ -453,7 +455,7 @@ def m33_sampled_pairs(spark: Spark, d: str) -> DataFrame:
 
 @query()
 def m34_noisy_features(spark: Spark, d: str) -> DataFrame:
-    f, t = frames_and_labels(spark, d, None)
+    f, t = frames_and_labels(spark, d)
     cent = em.first_vectors(f, t, 1).select("concept", "mean")
     return sampling.noisy_copies(cent, 5, 40.0, seed=4).select("concept", "copy", F.size("vec").alias("dim"))
 
