@@ -250,16 +250,19 @@ def update(p: Params, s: dict[str, np.ndarray], rate: float, momentum: float = 0
     return replace(p, init=init, trans=trans, obs=norm(s["obs"].reshape(p.obs.shape)), first=norm(s["first"].reshape(p.first.shape)) if p.first is not None else None, concept=step(p.concept, "concept"), phone=step(p.phone, "phone"))
 
 
-def shaped_batches(b: pa.RecordBatch) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(row numbers, x, y) of the rows of equal shape in a batch."""
+def shaped_batches(b: pa.RecordBatch, concepts: int = 64, most_bytes: int = 128 << 20) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(row numbers, x, y) of the rows of equal shape in a batch; as many at once
+    as keep the largest array of the kernels (T x m x K x m a row, K up to
+    ``concepts``) within ``most_bytes``, one row at least."""
     xs, ys = b.column("x").to_pylist(), b.column("y").to_pylist()
     groups: dict[tuple[int, int], list[int]] = {}
     for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
         if x and y:
             groups.setdefault((len(x), len(y)), []).append(i)
-    for rows in groups.values():
-        for lo in range(0, len(rows), 512):
-            part = rows[lo : lo + 512]
+    for (t, m), rows in groups.items():
+        step = max(1, min(512, most_bytes // (8 * t * m * m * concepts)))
+        for lo in range(0, len(rows), step):
+            part = rows[lo : lo + step]
             yield part, np.array([xs[i] for i in part]), np.array([ys[i] for i in part], float)
 
 
@@ -366,10 +369,11 @@ def anneal(pairs: DataFrame, p: Params, jumps: int, iterations: int, temperature
     return best, at
 
 
-def baum_welch(sequences: DataFrame, states: int, symbols: int, iterations: int, seed: int = 0) -> tuple[Params, list[float]]:
+def baum_welch(sequences: DataFrame, states: int, symbols: int, iterations: int, seed: int = 0, obs: np.ndarray | None = None) -> tuple[Params, list[float]]:
     """A discrete left-to-right HMM over ``x`` (token ids): the alignment
-    HMM with one fixed concept per state."""
+    HMM with one fixed concept per state. ``obs``: first emissions, else seeded."""
     p = start([states], states, symbols, states, "table", seed=seed)
+    p.obs = p.obs if obs is None else obs
     left = np.triu(np.ones((states, states)))
     p.trans[states] = left / left.sum(1, keepdims=True)
     eye = F.array(*[F.array(*[F.lit(float(i == j)) for j in range(states)]) for i in range(states)])
