@@ -138,3 +138,47 @@ def test_ranked_without_checkpoints(spark, monkeypatch):
     assert {r.k: r.n for r in E.ranked(t, ["k"], "n").collect()} == want
     monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
     assert {r.k: r.n for r in E.ranked(t, ["k"], "n").collect()} == want
+
+
+def test_overlaps_against_all_pairs(spark):
+    """Binned interval joins find each overlap once, whatever the bin width."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: [(int(k), int(s), int(s + w)) for k, s, w in zip(rng.integers(0, 3, n), rng.integers(-50, 300, n), rng.integers(1, 90, n), strict=True)]
+    a, b = draw(60), draw(60)
+    left, right = spark.createDataFrame(a, "k long, s long, e long"), spark.createDataFrame(b, "rk long, rs long, re long")
+    want = sorted((*x, *y) for x in a for y in b if x[0] == y[0] and x[1] < y[2] and y[1] < x[2])
+    for width in (1, 7, 1000):
+        got = segments.overlapping(left, right, ("k", "rk"), ("s", "e", "rs", "re"), width)
+        assert sorted(map(tuple, got.collect())) == want
+    points = spark.createDataFrame([(k, p) for k, p, _ in b], "pk long, pos long")
+    spans = left.select("k", F.col("s").alias("start"), F.col("e").alias("end"))
+    got = segments.covered(spans, points, "k", "pk", 16)
+    assert sorted(map(tuple, got.collect())) == sorted((*x, *y[:2]) for x in a for y in b if x[0] == y[0] and x[1] <= y[1] < x[2])
+
+
+def test_translation_search_fills_up(spark):
+    """Pairs without known tokens rank last, at minus infinity, by higher id."""
+    from threadloom.operators import retrieval
+
+    params = spark.createDataFrame([("A", "x", 0.5), ("B", "x", 0.25), ("B", "y", 0.5)], "concept string, token string, p double")
+    trg = spark.createDataFrame([(1, 0, "A"), (2, 0, "B"), (3, 0, "C"), (4, 0, "B"), (5, 0, "C")], "pair_index long, pos long, concept string")
+    src = spark.createDataFrame([(1, 0, "x"), (2, 0, "y"), (3, 0, "?")], "pair_index long, pos long, token string")
+    got = retrieval.translation_search(src, trg, params, 4).orderBy("query_id", "rank").collect()
+    inf = float("-inf")
+    ln = lambda x: round(float(np.log(x)), 9)
+    assert [(r.query_id, r.item_id, r.score) for r in got] == [
+        (1, 1, ln(0.5)), (1, 4, ln(0.25)), (1, 2, ln(0.25)), (1, 5, inf),
+        (2, 4, ln(0.5)), (2, 2, ln(0.5)), (2, 5, inf), (2, 3, inf),
+        (3, 5, inf), (3, 4, inf), (3, 3, inf), (3, 2, inf),
+    ]
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from threadloom.sources.shared import shared_dir
+
+    assert shared_dir(spark) == spark.sparkContext.getCheckpointDir()
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(session)

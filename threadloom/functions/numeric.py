@@ -193,3 +193,11 @@ def viterbi(obs: Column, init: Sequence[float], trans: Sequence[Sequence[float]]
         return best["path"]
 
     return F.aggregate(F.slice(obs, 2, F.greatest(F.size(obs) - 1, F.lit(0))), start, step, pick)
+
+
+def digamma(x: Column) -> Column:
+    """The recurrence, 6 steps up, then the asymptotic series; ``x`` above 0."""
+    up = F.aggregate(F.sequence(F.lit(0), F.lit(5)), F.lit(0.0), lambda s, k: s - 1 / (x + k))
+    z = x + 6
+    y = 1 / (z * z)
+    return up + F.log(z) - 0.5 / z - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))

@@ -1,8 +1,7 @@
 """Alignment models trained by expectation-maximisation in long format.
 
 Each iteration is joins on keys, windows inside a pair and grouped sums; what is
-carried from one to the next is a parameter table, written to the checkpoint
-folder when one is set.
+carried from one to the next is a parameter table, written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,17 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.numeric import gaussian_log, squared_distance
+from threadloom.sources.shared import keep
 
 PAIR = "pair_index"
 #: Fixed value: the floor of a probability.
 FLOOR = 1e-11
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration if a checkpoint folder is set."""
-    return df.checkpoint(eager=True) if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def cooccurrences(src: DataFrame, trg: DataFrame) -> DataFrame:
     """For each pair every (source position, target position)."""
     t = trg.select(PAIR, F.col("pos").alias("tpos"), "concept")
@@ -70,22 +65,23 @@ def translation_update(post: DataFrame, floor: float | None = None) -> DataFrame
 def ibm1(src: DataFrame, trg: DataFrame, iterations: int = 5, tolerance: float | None = None) -> DataFrame:
     """Translation table ``concept, token, p``. Stops early once the average
     log-likelihood changes by less than ``tolerance`` (relative)."""
-    co = cooccurrences(src, trg)
+    co = keep(cooccurrences(src, trg)) if iterations > 1 or tolerance is not None else cooccurrences(src, trg)
     params, last = uniform_translation(co), None
     for _ in range(iterations):
         params = keep(translation_update(posteriors(co, params)))
         if tolerance is not None:
-            now = ibm1_likelihood(src, trg, params).first()[0]
+            now = ibm1_likelihood(src, trg, params, co).first()[0]
             if last is not None and abs(now - last) <= tolerance * abs(last):
                 break
             last = now
     return params
 
 
-def ibm1_likelihood(src: DataFrame, trg: DataFrame, params: DataFrame) -> DataFrame:
+def ibm1_likelihood(src: DataFrame, trg: DataFrame, params: DataFrame, co: DataFrame | None = None) -> DataFrame:
     """Average over pairs of log q(lf|lt) - lf log(lt + 1) + the sum over
-    source positions of the log of the summed translation probabilities."""
-    co = cooccurrences(src, trg)
+    source positions of the log of the summed translation probabilities. ``co``:
+    the pairs' co-occurrences, if they are at hand."""
+    co = cooccurrences(src, trg) if co is None else co
     at = co.join(params, ["concept", "token"], "left").na.fill({"p": 0.0}).groupBy(PAIR, "spos").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("lt"))
     pair = at.groupBy(PAIR).agg(F.sum(F.log(F.greatest("s", F.lit(FLOOR)))).alias("ll"), F.first("lt").alias("lt"), F.count(F.lit(1)).alias("lf"))
     q = length_model(src, trg).withColumnRenamed("p", "q")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.sources.shared import keep
+
 PAIR = "pair_index"
 
 
@@ -16,11 +18,9 @@ def ranked(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     Rows are dealt by range, ranked inside their partition and shifted by the
     sizes of the partitions before it, so no task holds the table. The dealt
     rows must not be dealt anew for the second read: they are written to the
-    checkpoint folder. Without one (small local runs) a plain window ranks them.
+    shared folder.
     """
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    dealt = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    dealt = keep(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
     sizes = dealt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
     first = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_first"))
     at = F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.numeric import edit_counts
 
-from .segments import best_iou, matched_boundaries
+from .segments import best_iou, covered, matched_boundaries
 
 PAIR = "pair_index"
 
@@ -100,9 +100,9 @@ def recall_at(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10), rank: str = "r
 
 def span_mode(spans: DataFrame, frames: DataFrame, value: str, key: str = PAIR) -> DataFrame:
     """The most frequent value inside each span, ties to the smaller."""
-    f = frames.select(F.col(key).alias("k"), "pos", F.col(value).alias("v"))
-    hit = spans.join(f, (spans[key] == F.col("k")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
-    c = hit.groupBy(spans[key], "start", "end", "v").agg(F.count(F.lit(1)).alias("n"))
+    f = frames.select(F.col(key).alias("_k"), "pos", F.col(value).alias("v"))
+    hit = covered(spans.select(key, "start", "end"), f, key, "_k")
+    c = hit.groupBy(key, "start", "end", "v").agg(F.count(F.lit(1)).alias("n"))
     return c.groupBy(key, "start", "end").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("mode"))
 
 

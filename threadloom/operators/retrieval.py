@@ -36,19 +36,40 @@ def cosine(u: Column, v: Column) -> Column:
     return dot(u, v) / F.sqrt(dot(u, u) * dot(v, v))
 
 
-def translation_scores(src: DataFrame, trg: DataFrame, params: DataFrame) -> DataFrame:
-    """Log score of each (source pair, target pair): the sum over source
-    tokens of the log of the best translation probability; tokens outside the
-    table are skipped, a pair without any known token scores -Infinity.
+def translation_scores(src: DataFrame, kinds: DataFrame, params: DataFrame) -> DataFrame:
+    """``pair_index, set_id, score`` of each source pair and target set
+    (``kinds``: ``set_id, concepts``) that share a known token: the sum over
+    source tokens of the log of the best translation probability; tokens outside
+    the table are skipped. Whatever is not listed has no known token and scores
+    -Infinity. Tokens are counted before the join."""
+    best = kinds.select("set_id", F.explode("concepts").alias("concept")).join(params, "concept").groupBy("set_id", "token").agg(F.log(F.max("p")).alias("lp"))
+    tokens = src.groupBy(PAIR, "token").agg(F.count(F.lit(1)).alias("n"))
+    return tokens.join(best, "token").groupBy(PAIR, "set_id").agg(F.sum(F.col("n") * F.col("lp")).alias("score"))
+
 
-    Equal target sets are scored once; tokens are counted before the join.
+def translation_search(src: DataFrame, trg: DataFrame, params: DataFrame, n: int, digits: int = 9) -> DataFrame:
+    """``query_id, item_id, score, rank``: for each pair of ``src`` the ``n``
+    best of all target pairs, by ``translation_scores`` rounded to ``digits``,
+    equal scores by higher id first.
+
+    Equal target sets are scored once. The best sets of a query are cut to ``n``
+    before they cross the network (of a set only its ``n`` highest ids count),
+    and a query with fewer scored sets is filled up with -Infinity from the
+    highest ids, so nothing as large as all pairs squared is kept.
     """
     sets = trg.groupBy(PAIR).agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
-    kinds = sets.groupBy("concepts").agg(F.min(PAIR).alias("set_id"))
-    best = kinds.select("set_id", F.explode("concepts").alias("concept")).join(params, "concept").groupBy("set_id", "token").agg(F.log(F.max("p")).alias("lp"))
-    tokens = src.groupBy(PAIR, "token").agg(F.count(F.lit(1)).alias("n"))
-    s = tokens.join(best, "token").groupBy(PAIR, "set_id").agg(F.sum(F.col("n") * F.col("lp")).alias("score"))
-    return s
+    kinds = sets.groupBy("concepts").agg(F.min(PAIR).alias("set_id"), F.max(PAIR).alias("top_id"))
+    members = sets.join(kinds.select("concepts", "set_id"), "concepts").select("set_id", F.col(PAIR).alias("item_id"))
+    members = members.withColumn("_k", F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("item_id")))).where(F.col("_k") <= n).drop("_k")
+    scored = translation_scores(src, kinds.select("set_id", "concepts"), params).withColumn("score", F.round("score", digits))
+    scored = n_best(scored.join(kinds.select("set_id", "top_id"), "set_id"), n, PAIR, "top_id")
+    # Fewer than n sets are scored where this adds any: among the 2n sets of
+    # highest ids at least n are not.
+    spare = kinds.orderBy(F.desc("top_id")).limit(2 * n).select("set_id", F.lit(float("-inf")).alias("score"))
+    short = src.select(PAIR).distinct().join(scored.where(F.col("rank") == n), PAIR, "left_anti")
+    none = short.crossJoin(F.broadcast(spare)).join(scored.select(PAIR, "set_id"), [PAIR, "set_id"], "left_anti")
+    every = scored.select(PAIR, "set_id", "score").unionByName(none.select(PAIR, "set_id", "score"))
+    return n_best(every.join(members, "set_id").select(F.col(PAIR).alias("query_id"), "item_id", "score"), n)
 
 
 def match_maps(audio: DataFrame, image: DataFrame) -> DataFrame:

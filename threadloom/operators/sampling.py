@@ -26,9 +26,14 @@ def draw(weights: DataFrame, uniforms: DataFrame, item: str, weight: str = "weig
     return uniforms.join(c, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("cum"))).drop("low", "cum")
 
 
+def _seeded(key: str, seed: int):
+    """A hash of the key under a seed, for orders that repeat anywhere."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+
+
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Rows in a random order fixed by the seed, with their place."""
-    return df.withColumn("r", F.xxhash64(F.lit(seed), F.col(key))).orderBy("r", key)
+    return df.withColumn("r", _seeded(key, seed)).orderBy("r", key)
 
 
 def power_law_counts(classes: DataFrame, label: str, total: int, alpha: float = 1.0) -> DataFrame:
@@ -42,7 +47,7 @@ def power_law_counts(classes: DataFrame, label: str, total: int, alpha: float =
 
 def sample_classes(df: DataFrame, label: str, key: str, take: DataFrame, seed: int) -> DataFrame:
     """The first ``take`` rows of each class in a seeded order, each used once."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    w = Window.partitionBy(label).orderBy(_seeded(key, seed), key)
     j = df.join(take.select(label, "take"), label)
     return j.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.col("take")).drop("_n", "take")
 

@@ -60,13 +60,44 @@ def span_landmarks(df: DataFrame, key: str = PAIR) -> DataFrame:
     return df.select(key, F.col("end").alias("frame")).unionByName(df.select(key, F.lit(0).cast("long").alias("frame"))).distinct()
 
 
+def _bins(start: Column, end: Column, width: int) -> Column:
+    """The bins of ``width`` that [start, end) touches, empty spans one."""
+    first = F.floor(start / width)
+    return F.sequence(first, F.greatest(F.floor((end - 1) / width), first))
+
+
+def overlapping(left: DataFrame, right: DataFrame, on: tuple[str, str], spans: tuple[str, str, str, str], width: int = 256) -> DataFrame:
+    """Rows of both sides with equal keys ``on`` whose half-open ``spans`` (left
+    start and end, right start and end) overlap, each pair once.
+
+    An equi-join on key and bin: a key's work follows its overlaps, not the
+    product of its spans, and one long key is spread over its bins. A pair that
+    shares several bins is taken in the first of them. Column names must differ.
+    """
+    (lk, rk), (ls, le, rs, re) = on, map(F.col, spans)
+    a = left.withColumn("_bin", F.explode(_bins(ls, le, width)))
+    b = right.withColumn("_rbin", F.explode(_bins(rs, re, width)))
+    first = F.greatest(F.floor(ls / width), F.floor(rs / width))
+    return a.join(b, (F.col(lk) == F.col(rk)) & (F.col("_bin") == F.col("_rbin"))).where((ls < re) & (rs < le) & (F.col("_bin") == first)).drop("_bin", "_rbin")
+
+
+def covered(spans: DataFrame, points: DataFrame, key: str, point_key: str, width: int = 256) -> DataFrame:
+    """Spans (``start, end``) with the rows of ``points`` whose ``pos`` they hold:
+    an equi-join on key and bin."""
+    a = spans.withColumn("_bin", F.explode(_bins(F.col("start"), F.col("end"), width)))
+    b = points.withColumn("_pbin", F.floor(F.col("pos") / width))
+    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
+    return a.join(b, (a[key] == F.col(point_key)) & (F.col("_bin") == F.col("_pbin"))).where(inside).drop("_bin", "_pbin")
+
+
 def best_iou(pred: DataFrame, gold: DataFrame, key: str = PAIR) -> DataFrame:
     """For every predicted span the best IoU with a gold span of its pair."""
-
-    g = gold.select(key, F.col("start").alias("g_start"), F.col("end").alias("g_end"))
-    hit = pred.join(g, (pred[key] == g[key]) & (F.col("start") < F.col("g_end")) & (F.col("g_start") < F.col("end")), "left")
-    score = F.coalesce(iou(F.col("start"), F.col("end"), F.col("g_start"), F.col("g_end")), F.lit(0.0))
-    return hit.groupBy(pred[key], "start", "end").agg(F.max(score).alias("iou"))
+    g = gold.select(F.col(key).alias("_gk"), F.col("start").alias("g_start"), F.col("end").alias("g_end"))
+    p = pred.select(F.col(key).alias("_pk"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    hit = overlapping(p, g, ("_pk", "_gk"), ("p_start", "p_end", "g_start", "g_end"))
+    score = iou(F.col("p_start"), F.col("p_end"), F.col("g_start"), F.col("g_end"))
+    best = hit.groupBy(F.col("_pk").alias(key), F.col("p_start").alias("start"), F.col("p_end").alias("end")).agg(F.max(score).alias("iou"))
+    return pred.select(key, "start", "end").distinct().join(best, [key, "start", "end"], "left").select(key, "start", "end", F.coalesce("iou", F.lit(0.0)).alias("iou"))
 
 
 def matched_boundaries(pred: DataFrame, gold: DataFrame, tolerance: int, least_iou: float = 0.5, key: str = PAIR) -> DataFrame:
@@ -80,7 +111,12 @@ def matched_boundaries(pred: DataFrame, gold: DataFrame, tolerance: int, least_i
     a, b = inner(pred, "p"), inner(gold, "g")
     near = F.abs(F.col("p_end") - F.col("g_end")) <= tolerance
     over = iou(F.col("p_start"), F.col("p_end"), F.col("g_start"), F.col("g_end")) > least_iou
-    return a.join(b, (F.col("p_key") == F.col("g_key")) & (near | over))
+    # Ends within the tolerance lie in the same bin or in neighbours; spans with
+    # an IoU above 0 overlap. Each condition is an equi-join, the second without
+    # what the first has.
+    step = F.floor(F.col("p_end") / (tolerance + 1))
+    close = a.withColumn("_bin", F.explode(F.array(step - 1, step, step + 1))).join(b.withColumn("_gbin", F.floor(F.col("g_end") / (tolerance + 1))), (F.col("p_key") == F.col("g_key")) & (F.col("_bin") == F.col("_gbin"))).where(near).drop("_bin", "_gbin")
+    return close.unionByName(overlapping(a, b, ("p_key", "g_key"), ("p_start", "p_end", "g_start", "g_end")).where(over & ~near))
 
 
 def resample(values: DataFrame, old: DataFrame, new: DataFrame, key: str = PAIR) -> DataFrame:
@@ -89,13 +125,13 @@ def resample(values: DataFrame, old: DataFrame, new: DataFrame, key: str = PAIR)
     v = values.select(F.col(key).alias("k"), F.col("frame").alias("f"), "value")
     o = old.select(F.col(key).alias("k"), F.col("frame").alias("f"), F.col("s").alias("os"), F.col("e").alias("oe"))
     n = new.select(F.col(key).alias("nk"), "frame", "s", "e")
-    hit = v.join(o, ["k", "f"]).join(n, (F.col("k") == F.col("nk")) & (F.col("os") < F.col("e")) & (F.col("s") < F.col("oe")))
+    hit = overlapping(v.join(o, ["k", "f"]), n, ("k", "nk"), ("os", "oe", "s", "e"), width=4096)
     return hit.groupBy(F.col("nk").alias(key), "frame").agg(F.max_by("value", F.struct(F.least("oe", "e"), "f")).alias("value"))
 
 
 def majority_segments(segments: DataFrame, frames: DataFrame, key: str = PAIR, value: str = "value") -> DataFrame:
     """segments of which more than half the frames carry a value above 0,
     with the largest of them."""
-    f = frames.select(F.col(key).alias("k"), F.col("pos"), F.col(value).alias("v"))
-    hit = segments.join(f, (segments[key] == F.col("k")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
-    return hit.groupBy(segments[key], "start", "end").agg(F.avg((F.col("v") > 0).cast("double")).alias("share"), F.max("v").alias("concept")).where("share > 0.5")
+    f = frames.select(F.col(key).alias("_k"), "pos", F.col(value).alias("v"))
+    hit = covered(segments.select(key, "start", "end"), f, key, "_k")
+    return hit.groupBy(key, "start", "end").agg(F.avg((F.col("v") > 0).cast("double")).alias("share"), F.max("v").alias("concept")).where("share > 0.5")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions import numeric as N
+from threadloom.operators import em
 from threadloom.operators import encode as E
 from threadloom.operators import segments as S
-from threadloom.sources import sinks, text
+from threadloom.sources import npz, sinks, text
+from threadloom.sources.shared import new_path
 
 from . import corpora as C
-from .corpora import SQL_EV, SQL_SRC, SQL_TRG
+from .corpora import SQL_EV, SQL_SRC, SQL_TRG, SQL_VEC
 from .registry import query
 from .relational import PAIR, SQL_RUNS
 
@@ -113,3 +116,98 @@ def s22_retrieval_tuples(spark: Spark, d: str) -> DataFrame:
     e = C.table(spark, d, "events")
     line = F.concat(*[F.concat(F.lit("("), (F.col("event_id") * k).cast("string"), F.lit(", "), F.round(F.col("value") * k, 4).cast("string"), F.lit(") ")) for k in (1, 2)])
     return text.retrieval_tuples(e.select(F.col("event_id").alias("at"), line.alias("line")))
+
+
+# Round trips: written from a table, read back, compared with the table.
+
+
+def _archives(spark: Spark, d: str) -> DataFrame:
+    """An archive of each vector pair, as written and read again."""
+    path = new_path(spark)
+    npz.write_npz(C.vectors(spark, d).withColumn("key", F.format_string("arr_%d", PAIR))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("WITH " + SQL_VEC + " SELECT CAST(pair_index AS BIGINT) AS pair_index, pos, round(list_sum(vec), 6) AS total, CAST(len(vec) AS BIGINT) AS dim FROM vec")
+def s03_npz_matrices(spark: Spark, d: str) -> DataFrame:
+    """Ragged matrices written to archives and read back."""
+    return npz.npz_matrices(_archives(spark, d)).select(PAIR, "pos", F.round(N.total(F.col("vec")), 6).alias("total"), F.size("vec").alias("dim"))
+
+
+@query("WITH " + SQL_VEC + ", c AS (SELECT pair_index, string_agg(DISTINCT CAST(label AS VARCHAR), ' ' ORDER BY CAST(label AS VARCHAR)) AS concepts FROM vec GROUP BY 1) SELECT CAST(pair_index AS BIGINT) AS pair_index, pos, round(list_sum(vec), 6) AS total, concepts FROM vec JOIN c USING (pair_index) WHERE pos < 3")
+def s04_npz_with_concepts(spark: Spark, d: str) -> DataFrame:
+    """Archives cut after three frames, with the concept line of each pair."""
+    path = new_path(spark)
+    labels = C.vectors(spark, d).groupBy(PAIR).agg(F.array_join(F.sort_array(F.collect_set(F.col("label").cast("string"))), " ").alias("line"))
+    labels.select(F.concat_ws("\t", F.col(PAIR).cast("string"), "line").alias("value")).write.text(path)
+    lines = spark.read.text(path).select(F.split("value", "\t").alias("p")).select(F.get("p", F.lit(0)).cast("long").alias(PAIR), F.get("p", F.lit(1)).alias("concepts"))
+    return npz.npz_matrices(_archives(spark, d), longest=3).join(lines, PAIR).select(PAIR, "pos", F.round(N.total(F.col("vec")), 6).alias("total"), "concepts")
+
+
+def _records(spark: Spark, d: str) -> DataFrame:
+    """Events as alignment records."""
+    e = C.event_tokens(spark, d).groupBy(PAIR).agg(F.sort_array(F.collect_list(F.struct("pos", "token", "gold", "pred"))).alias("e"))
+    pick = lambda c: F.transform("e", lambda x: x[c])
+    return e.select(F.col(PAIR).alias("index"), F.lit(True).alias("is_phoneme"), F.lit(False).alias("is_audio"), pick("token").alias("caption"), F.array_distinct(pick("token")).alias("image_concepts"), F.transform("e", lambda x: x["gold"].cast("int")).alias("alignment"), F.transform("e", lambda x: F.array(x["pred"].cast("double"), F.lit(0.5))).alias("align_probs"))
+
+
+@query("WITH " + SQL_EV + ' SELECT pair_index AS "index", pos, token, gold AS alignment, CAST(pred AS DOUBLE) AS p, true AS is_phoneme FROM ev')
+def s05_alignment_json(spark: Spark, d: str) -> DataFrame:
+    """Alignment records written as JSON and read back."""
+    path = new_path(spark)
+    sinks.write_alignments(_records(spark, d), path)
+    a = text.alignments(spark, path, by_line=True)
+    rows = a.select("index", "is_phoneme", F.posexplode(F.arrays_zip("caption", "alignment", "align_probs")).alias("pos", "z"))
+    return rows.select("index", "pos", F.col("z.caption").alias("token"), F.col("z.alignment").alias("alignment"), F.get("z.align_probs", F.lit(0)).alias("p"), "is_phoneme")
+
+
+@query("WITH " + SQL_EV + " SELECT pair_index || ' ' || pos || ' ' || gold AS line FROM ev")
+def s08_alignment_text(spark: Spark, d: str) -> DataFrame:
+    path = new_path(spark)
+    sinks.write_alignments(C.event_tokens(spark, d).select(PAIR, "pos", "gold"), path, form="text")
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("WITH " + SQL_SRC + ", " + SQL_TRG + ", co AS (SELECT token, concept, count(*) AS n FROM src JOIN trg USING (pair_index) GROUP BY 1, 2) SELECT concept, token, round(n / sum(n) OVER (PARTITION BY concept), 9) AS p FROM co")
+def s06_parameter_table(spark: Spark, d: str) -> DataFrame:
+    """A translation table written as tab-separated text and read back."""
+    path = new_path(spark)
+    sinks.write_parameters(em.counted_translation(em.cooccurrences(C.src_tokens(spark, d), C.trg_tokens(spark, d))), path)
+    return text.parameters(spark, path, "concept string, token string, p double").withColumn("p", F.round("p", 9))
+
+
+@query("WITH " + SQL_EV + " SELECT CAST(pair_index AS VARCHAR) AS path, 1000 AS rate, count(*) AS n, CAST(sum(gold * 100 - pred) AS DOUBLE) AS total FROM ev WHERE pos BETWEEN 2 AND 4 GROUP BY 1")
+def s20_wav_slice(spark: Spark, d: str) -> DataFrame:
+    """Samples written as WAV at 1000 Hz, read back from 2 to 5 ms."""
+    x = F.transform(F.sort_array(F.collect_list(F.struct("pos", (F.col("gold") * 100 - F.col("pred")).alias("v")))), lambda t: t["v"])
+    files = npz.write_wav(C.event_tokens(spark, d).groupBy(F.col(PAIR).alias("path")).agg(x.alias("samples")), rate=1000)
+    cut = npz.wav_samples(files, 2, 5).where(F.size("samples") > 0)
+    return cut.select("path", "rate", F.size("samples").alias("n"), N.total(F.col("samples")).alias("total"))
+
+
+@query("SELECT p_partkey AS doc, CAST(b AS BIGINT) AS pair_index, k, CASE WHEN b = 0 THEN k * p_size ELSE p_size + k END AS frame FROM part, (SELECT unnest(range(2)) AS b), (SELECT CAST(unnest(range(3)) AS BIGINT) AS k)")
+def s23_segment_text(spark: Spark, d: str) -> DataFrame:
+    """Blocks of frame numbers written as one text a row and read back."""
+    path = new_path(spark)
+    p = C.table(spark, d, "part")
+    n = F.col("p_size")
+    p.select(F.col("p_partkey").alias("doc"), F.format_string("0\n%d\n%d\n\n%d\n%d %d\n", n, n * 2, n, n + 1, n + 2).alias("value")).write.parquet(path)
+    return text.blocks_of(spark.read.parquet(path), carry=("doc",)).select("doc", "pair_index", "k", "frame")
+
+
+@query("WITH " + SQL_TRG + ", v AS (SELECT concept, row_number() OVER (ORDER BY concept) AS w FROM (SELECT DISTINCT concept FROM trg)) SELECT pair_index + 1 AS doc, w AS word FROM trg JOIN v USING (concept)")
+def s15_index_concepts(spark: Spark, d: str) -> DataFrame:
+    """The concept half of the index files."""
+    t = C.trg_tokens(spark, d)
+    return sinks.index_triples(t, E.vocabulary(t.select(PAIR, "pos", F.col("concept").alias("token")), order="sorted"), "concept")
+
+
+@query("WITH " + SQL_SRC + " SELECT token AS line, row_number() OVER (ORDER BY token) AS word FROM (SELECT DISTINCT token FROM src)")
+def s15_vocabulary_lines(spark: Spark, d: str) -> DataFrame:
+    """The vocabulary file: line n names word n."""
+    return E.vocabulary(C.src_tokens(spark, d), order="sorted").select(F.col("token").alias("line"), (F.col("token_id") + 1).alias("word"))
+
+
+@query("SELECT event_id, round(-(1 / x + 1 / (x + 1) + 1 / (x + 2) + 1 / (x + 3) + 1 / (x + 4) + 1 / (x + 5) + 1 / (x + 6) + 1 / (x + 7) + 1 / (x + 8) + 1 / (x + 9)) + ln(x + 10) - 1 / (2 * (x + 10)) - 1 / (12 * pow(x + 10, 2)) + 1 / (120 * pow(x + 10, 4)) - 1 / (252 * pow(x + 10, 6)), 7) AS y FROM (SELECT event_id, abs(value) + 0.5 AS x FROM events)")
+def p29_digamma(spark: Spark, d: str) -> DataFrame:
+    return C.table(spark, d, "events").select("event_id", F.round(N.digamma(F.abs("value") + 0.5), 7).alias("y"))

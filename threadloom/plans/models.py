@@ -486,11 +486,14 @@ def m27_segment_embeddings(spark: Spark, d: str) -> DataFrame:
     return e.select(PAIR, "start", "end", F.round(N.total(F.col("vec")), 6).alias("total"))
 
 
-@query(sql_ibm1(1) + """, st AS (SELECT pair_index, list(concept ORDER BY concept) AS c FROM trg GROUP BY 1), ks AS (SELECT c, min(pair_index) AS set_id FROM st GROUP BY 1), bs AS (SELECT set_id, token, ln(max(p)) AS lp FROM (SELECT set_id, unnest(c) AS concept FROM ks) JOIN p1 USING (concept) GROUP BY 1, 2)
-SELECT pair_index, set_id, round(sum(lp), 4) AS score FROM src JOIN bs USING (token) GROUP BY 1, 2""")
-def m31_translation_scores(spark: Spark, d: str) -> DataFrame:
+@query(sql_ibm1(1) + """, st AS (SELECT pair_index AS item_id, list(concept ORDER BY concept) AS c FROM trg GROUP BY 1), bs AS (SELECT c, token, ln(max(p)) AS lp FROM (SELECT DISTINCT c, unnest(c) AS concept FROM st) JOIN p1 USING (concept) GROUP BY 1, 2),
+qs AS (SELECT DISTINCT pair_index AS query_id FROM src WHERE pair_index % 100 = 0), sc AS (SELECT pair_index AS query_id, c, round(sum(lp), 6) AS score FROM src JOIN bs USING (token) WHERE pair_index % 100 = 0 GROUP BY 1, 2),
+al AS (SELECT query_id, item_id, coalesce(score, CAST('-infinity' AS DOUBLE)) AS score FROM qs CROSS JOIN st LEFT JOIN sc USING (query_id, c))
+SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id DESC) AS rank FROM al) WHERE rank <= 10""")
+def m31_translation_search(spark: Spark, d: str) -> DataFrame:
+    """For every 100th source pair the ten best of all target pairs."""
     src, trg = C.src_tokens(spark, d), C.trg_tokens(spark, d)
-    return rounded(R.translation_scores(src, trg, em.ibm1(src, trg, 1)), "score", n=4)
+    return R.translation_search(src.where(F.col(PAIR) % 100 == 0), trg, em.ibm1(src, trg, 1), 10, digits=6)
 
 
 @query(f"WITH {SQL_SRC}, c AS (SELECT token, count(*) AS n FROM src GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, token) AS k FROM c) SELECT token, n, CAST(least(n, floor(500 * pow(k, -1.0) / sum(pow(k, -1.0)) OVER ())) AS BIGINT) AS take FROM r")
@@ -499,7 +502,8 @@ def m33_power_law_sampler(spark: Spark, d: str) -> DataFrame:
     return sampling.power_law_counts(c, "token", 500)
 
 
-@query()
+@query(f"""WITH {SQL_SRC}, c AS (SELECT token, count(*) AS n FROM src GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, token) AS k FROM c), w AS (SELECT token, CAST(least(n, floor(500 * pow(k, -1.0) / sum(pow(k, -1.0)) OVER ())) AS BIGINT) AS take FROM r),
+o AS (SELECT src.*, take, row_number() OVER (PARTITION BY token ORDER BY md5('3:' || pair_index || ':' || pos), pair_index || ':' || pos) AS place FROM src JOIN w USING (token)) SELECT pair_index, pos, token FROM o WHERE place <= take""")
 def m33_sampled_pairs(spark: Spark, d: str) -> DataFrame:
     src = C.src_tokens(spark, d)
     c = src.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
@@ -507,11 +511,16 @@ def m33_sampled_pairs(spark: Spark, d: str) -> DataFrame:
     return sampling.sample_classes(s, "token", "key", sampling.power_law_counts(c, "token", 500), seed=3).drop("key")
 
 
-@query()
+@query(SQL_FR + " SELECT concept, copy, CAST(64 AS BIGINT) AS dim, 0.0 AS bias, true AS spread FROM (SELECT DISTINCT concept FROM c0), (SELECT unnest(range(5)) AS copy)")
 def m34_noisy_features(spark: Spark, d: str) -> DataFrame:
+    """Copies of a label's first vector at 40 dB. The noise is random, so what is
+    compared is its mean (to one decimal) and whether its deviation is within
+    half and twice the 0.1 that the level asks for."""
     f, t = frames_and_labels(spark, d)
     cent = em.first_vectors(f, t, 1).select("concept", "mean")
-    return sampling.noisy_copies(cent, 5, 40.0, seed=4).select("concept", "copy", F.size("vec").alias("dim"))
+    noise = sampling.noisy_copies(cent, 5, 40.0, seed=4).join(cent, "concept").select("concept", "copy", F.zip_with("vec", "mean", lambda x, m: x - m).alias("n"))
+    mean, dev = N.total(F.col("n")) / F.size("n"), F.sqrt(N.total(F.transform("n", lambda x: x * x)) / F.size("n"))
+    return noise.select("concept", "copy", F.size("n").alias("dim"), F.abs(F.round(mean, 1)).alias("bias"), dev.between(0.05, 0.2).alias("spread"))
 
 
 @query("WITH " + SQL_VEC + """, m AS (SELECT a.pair_index, a.pos AS t, b.pos AS r, list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: z[1] * z[2])) AS s FROM vec a JOIN vec b ON a.pair_index = b.pair_index),

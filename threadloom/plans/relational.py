@@ -549,7 +549,7 @@ def t05_best_and_worst(spark: Spark, d: str) -> DataFrame:
     return s.orderBy(F.desc("a"), "l_suppkey").limit(10).unionByName(s.orderBy("a", "l_suppkey").limit(10)).distinct()
 
 
-@query()
+@query("WITH " + SQL_TXT + " SELECT pair_index, md5('7:' || pair_index) AS r FROM txt")
 def t06_shuffle(spark: Spark, d: str) -> DataFrame:
     """A seeded random order of the pairs."""
     from threadloom.operators.sampling import shuffled

@@ -20,6 +20,11 @@ def read_npz(spark: SparkSession, path: str, longest: int | None = None) -> Data
     pairs are numbered by the keys' integer suffix. Archives are read through
     Spark's own file reader, so any store it knows will do; one archive is
     opened by one task. ``longest`` cuts a matrix after so many rows (P06)."""
+    return npz_matrices(spark.read.format("binaryFile").load(path), longest)
+
+
+def npz_matrices(archives: DataFrame, longest: int | None = None) -> DataFrame:
+    """The same from archives held in the column ``content``."""
 
     def run(it):
         import pyarrow as pa
@@ -32,11 +37,16 @@ def read_npz(spark: SparkSession, path: str, longest: int | None = None) -> Data
                         n = len(m)
                         yield pa.RecordBatch.from_arrays([pa.array([key_number(k)] * n, pa.int64()), pa.array([k] * n), pa.array(range(n), pa.int64()), pa.array(m.tolist(), pa.list_(pa.float64()))], ["pair_index", "key", "pos", "vec"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "pair_index long, key string, pos long, vec array<double>")
+    return archives.select("content").mapInArrow(run, "pair_index long, key string, pos long, vec array<double>")
 
 
 def read_wav(spark: SparkSession, path: str, begin_ms: int = 0, end_ms: int | None = None) -> DataFrame:
     """``path, rate, samples`` of PCM WAV files, cut by milliseconds."""
+    return wav_samples(spark.read.format("binaryFile").load(path), begin_ms, end_ms)
+
+
+def wav_samples(files: DataFrame, begin_ms: int = 0, end_ms: int | None = None) -> DataFrame:
+    """The same from files held in the columns ``path, content``."""
 
     def run(it):
         import wave
@@ -54,7 +64,30 @@ def read_wav(spark: SparkSession, path: str, begin_ms: int = 0, end_ms: int | No
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.float64()))], ["path", "rate", "samples"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, rate long, samples array<double>")
+    return files.select("path", "content").mapInArrow(run, "path string, rate long, samples array<double>")
+
+
+def write_wav(df: DataFrame, path: str = "path", samples: str = "samples", rate: int = 16_000) -> DataFrame:
+    """``path, content``: 16-bit mono PCM files of arrays of samples."""
+
+    def run(it):
+        import wave
+
+        import pyarrow as pa
+
+        for b in it:
+            out = []
+            for x in b.column("samples").to_pylist():
+                buf = io.BytesIO()
+                with wave.open(buf, "wb") as w:
+                    w.setnchannels(1)
+                    w.setsampwidth(2)
+                    w.setframerate(rate)
+                    w.writeframes(np.clip(np.rint(x), -32768, 32767).astype("<i2").tobytes())
+                out.append(buf.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.binary())], ["path", "content"])
+
+    return df.select(F.col(path).cast("string").alias("path"), F.col(samples).cast("array<double>").alias("samples")).mapInArrow(run, "path string, content binary")
 
 
 def write_npz(df: DataFrame, key: str = "key", vec: str = "vec") -> DataFrame:

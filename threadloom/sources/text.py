@@ -33,9 +33,10 @@ def sentences(rows: DataFrame) -> DataFrame:
     return rows.where(F.length(F.trim("line")) > 0).select(F.col("at").alias("pair_index"), F.posexplode(words).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 
 
-def alignments(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of alignment records."""
-    return spark.read.schema(ALIGNMENTS).json(path, multiLine=True)
+def alignments(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """Alignment records, as JSON lists (a file each) or, ``by_line``, a
+    record a line, which any number of tasks can share."""
+    return spark.read.schema(ALIGNMENTS).json(path, multiLine=not by_line)
 
 
 def parameters(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -82,9 +83,14 @@ def retrieval_tuples(rows: DataFrame, line: str = "line") -> DataFrame:
 
 def segment_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of numbers separated by blank lines: ``pair_index, k, frame``."""
-    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n\\s*\n"), lambda x: F.trim(x) != "")).alias("pair_index", "block"))
+    return blocks_of(spark.read.text(path, wholetext=True)).select("pair_index", "k", "frame")
+
+
+def blocks_of(texts: DataFrame, text: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The same from whole texts in a column; ``carry`` names columns to keep."""
+    t = texts.select(*carry, F.posexplode(F.filter(F.split(text, "\n\\s*\n"), lambda x: F.trim(x) != "")).alias("pair_index", "block"))
     numbers = F.filter(F.split(F.trim("block"), "\\s+"), lambda x: x != "")
-    return t.select(F.col("pair_index").cast("long").alias("pair_index"), F.posexplode(numbers).alias("k", "frame")).select("pair_index", F.col("k").cast("long").alias("k"), F.col("frame").cast("long").alias("frame"))
+    return t.select(*carry, F.col("pair_index").cast("long").alias("pair_index"), F.posexplode(numbers).alias("k", "frame")).select(*carry, "pair_index", F.col("k").cast("long").alias("k"), F.col("frame").cast("long").alias("frame"))
 
 
 def paired_annotations(spark: SparkSession, path: str) -> DataFrame:
