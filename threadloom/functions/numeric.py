@@ -201,3 +201,28 @@ def digamma(x: Column) -> Column:
     z = x + 6
     y = 1 / (z * z)
     return up + F.log(z) - 0.5 / z - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+
+
+def crop_image(image: Column, width: int, box: tuple[Column, Column, Column, Column], out: int) -> Column:
+    """The box (x, y, w, h) of a grey image (row by row, ``width`` wide),
+    scaled to ``out`` x ``out`` by the nearest pixel; what lies outside is 0."""
+    x, y, w, h = box
+    height = F.floor(F.size(image) / width)
+
+    def pixel(i: Column) -> Column:
+        col = x + F.floor((F.pmod(i, F.lit(out)) + 0.5) * w / out)
+        row = y + F.floor((F.floor(i / out) + 0.5) * h / out)
+        inside = (col >= 0) & (col < width) & (row >= 0) & (row < height)
+        return F.when(inside, F.get(image, (row * width + col).cast("int"))).otherwise(F.lit(0.0))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(out * out - 1)), pixel)
+
+
+def grey_to_rgb(image: Column) -> Column:
+    """Each value three times, one after the other."""
+    return F.flatten(F.transform(image, lambda v: F.array_repeat(v, 3)))
+
+
+def standardised(image: Column, mean: float, deviation: float) -> Column:
+    """Values less a fixed mean, over a fixed deviation."""
+    return F.transform(image, lambda v: (v - mean) / deviation)

@@ -4,6 +4,8 @@ and a collapsed Gibbs sampler for finite Gaussian mixtures."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.special import embed, log_gaussian, logsumexp
 
 from .em import keep
-from .hmm import viterbi
+from .hmm import add_up, viterbi
 
 
 def segment(marks: list[int], score: Callable[[int, int], float], shortest: int = 1, longest: int | None = None) -> tuple[list[int], float]:
@@ -41,59 +43,123 @@ def segment(marks: list[int], score: Callable[[int, int], float], shortest: int
     return out[::-1], float(best[-1])
 
 
-def segment_all(pairs: DataFrame, models: dict[str, np.ndarray], n: int, kind: str = "kmeans", technique: str = "resample", var: float = 0.02, shortest: int = 1, longest: int = 6, move: float = 0.5) -> DataFrame:
-    """M07, M08, M09 decoding. ``pairs``: ``pair_index, x`` (frames), ``marks``
-    (landmarks), ``concepts``; ``models``: concept -> (mixtures, n x D) means of
-    segment embeddings. Returns ``pair_index, seg, start, end, concept``.
+@dataclass
+class Segmenter:
+    """Segments one pair under ``models``: concept -> (mixtures, n x D) means of
+    segment embeddings.
 
-    ``kmeans`` minimises the duration-weighted squared distance, ``gmm``
-    maximises the duration-weighted log mixture density; ``hmm`` takes the
-    landmark segments as given and runs Viterbi over the pair's concepts with
-    probability ``move`` of going on. A task holds one pair's frames.
+    ``kmeans`` minimises the duration-weighted squared distance to the nearest
+    mean, ``gmm`` maximises the duration-weighted log density of the mixture of
+    all the pair's concepts; ``hmm`` takes the landmark segments as given and
+    runs Viterbi over the pair's concepts with probability ``move`` of going on.
+    A duration is the number of frames; ``plus`` = 1 counts one more, as an older
+    variant does.
     """
-    sent = pairs.sparkSession.sparkContext.broadcast(models)
 
-    def density(mean: np.ndarray, e: np.ndarray) -> float:
-        if kind == "kmeans":
-            return -float(((mean - e) ** 2).sum(-1).min())
-        return float(logsumexp(log_gaussian(e, mean, np.full(mean.shape, var)) - np.log(len(mean))))
-
-    def one(x, marks, concepts):
-        concepts = [c for c in concepts if c in sent.value]
+    models: dict[str, np.ndarray]
+    n: int
+    kind: str = "kmeans"
+    technique: str = "resample"
+    var: float = 0.02
+    shortest: int = 1
+    longest: int | None = 6
+    move: float = 0.5
+    plus: int = 0
+
+    def scores(self, concept: str, e: np.ndarray) -> np.ndarray:
+        """Score of an embedding under each mixture of a concept."""
+        mean = self.models[concept]
+        if self.kind == "kmeans":
+            return -((mean - e) ** 2).sum(-1)
+        return log_gaussian(e, mean, np.full(mean.shape, self.var)) - np.log(len(mean))
+
+    def cuts(self, x: np.ndarray, marks: list[int], concepts: list[str]) -> list[tuple[int, int, int, str, np.ndarray]]:
+        """(segment, start, end, concept, embedding) in order."""
+        concepts = [c for c in concepts if c in self.models]
         if not concepts or len(marks) < 2:
             return []
-        cache: dict[tuple[int, int], list[float]] = {}
+        cache: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
-        def scores(i: int, j: int) -> list[float]:
+        def at(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
             if (i, j) not in cache:
-                e = embed(x[i:j], n, technique)
-                cache[i, j] = [density(sent.value[c], e) for c in concepts]
+                e = embed(x[i:j], self.n, self.technique)
+                best = (lambda s: s.max()) if self.kind == "kmeans" else logsumexp
+                cache[i, j] = e, np.array([best(self.scores(c, e)) for c in concepts])
             return cache[i, j]
 
-        if kind == "hmm":
+        if self.kind == "hmm":
             spans = list(zip(marks, marks[1:], strict=False))
-            e = np.array([scores(i, j) for i, j in spans])
+            e = np.array([at(i, j)[1] for i, j in spans])
             k = len(concepts)
-            trans = np.full((k, k), move / max(k - 1, 1))
-            np.fill_diagonal(trans, 1 - move if k > 1 else 1.0)
+            trans = np.full((k, k), self.move / max(k - 1, 1))
+            np.fill_diagonal(trans, 1 - self.move if k > 1 else 1.0)
             path = viterbi(np.full(k, 1 / k), trans, np.exp(e - e.max(1, keepdims=True))[None])[0].tolist()
-            return [(s, i, j, concepts[c]) for s, ((i, j), c) in enumerate(zip(spans, path, strict=True))]
-        cut, _ = segment(marks, lambda i, j: (j - i) * max(scores(i, j)), shortest, longest)
-        return [(s, i, j, concepts[int(np.argmax(scores(i, j)))]) for s, (i, j) in enumerate(zip(cut, cut[1:], strict=False))]
+        else:
+            whole = (lambda s: s.max()) if self.kind == "kmeans" else (lambda s: logsumexp(s) - np.log(len(s)))
+            cut, _ = segment(marks, lambda i, j: (j - i + self.plus) * float(whole(at(i, j)[1])), self.shortest, self.longest)
+            spans = list(zip(cut, cut[1:], strict=False))
+            path = [int(np.argmax(at(i, j)[1])) for i, j in spans]
+        return [(k, i, j, concepts[c], at(i, j)[0]) for k, ((i, j), c) in enumerate(zip(spans, path, strict=True))]
+
+    def sums(self, x: np.ndarray, marks: list[int], concepts: list[str]) -> dict[str, np.ndarray]:
+        """What a pair adds to counts and sums of each concept's mixtures: whole
+        segments at the nearest mean, or (``gmm``) shares over the mixtures of
+        all the pair's concepts; ``mark`` tells one segmentation from another."""
+        found = self.cuts(x, marks, concepts)
+        known = [c for c in concepts if c in self.models]
+        out = {f"n/{c}": np.zeros(len(self.models[c])) for c in known} | {f"s/{c}": np.zeros(self.models[c].shape) for c in known}
+        for _, _, _, concept, e in found:
+            scores = {c: self.scores(c, e) for c in known}
+            if self.kind == "gmm":
+                total = logsumexp(np.concatenate([scores[c] for c in known]))
+                shares = {c: np.exp(v - total) for c, v in scores.items()}
+            else:
+                shares = {concept: np.eye(len(scores[concept]))[scores[concept].argmax()]}
+            for c, w in shares.items():
+                out[f"n/{c}"] += w
+                out[f"s/{c}"] += w[:, None] * e
+        out["mark"] = np.array([float(crc32(repr([f[:4] for f in found]).encode()))])
+        return out
+
+
+def _rows(b: pa.RecordBatch):
+    for p, x, marks, concepts in zip(*(b.column(c).to_pylist() for c in ("pair_index", "x", "marks", "concepts")), strict=True):
+        yield p, np.array(x, float), marks, concepts
+
+
+def segment_all(pairs: DataFrame, models: dict[str, np.ndarray], n: int, kind: str = "kmeans", technique: str = "resample", **kw) -> DataFrame:
+    """M07, M08, M09 decoding (``Segmenter``). ``pairs``: ``pair_index, x``
+    (frames), ``marks`` (landmarks), ``concepts``. Returns ``pair_index, seg,
+    start, end, concept``. A task holds one pair's frames."""
+    sent = pairs.sparkSession.sparkContext.broadcast(Segmenter(models, n, kind, technique, **kw))
 
     def run(it):
         for b in it:
-            out = [[], [], [], [], []]
-            for p, x, marks, concepts in zip(*(b.column(c).to_pylist() for c in ("pair_index", "x", "marks", "concepts")), strict=True):
-                for row in one(np.array(x, float), marks, concepts):
-                    for c, v in zip(out, (p, *row), strict=True):
-                        c.append(v)
+            out = [(p, *f[:4]) for p, x, marks, concepts in _rows(b) for f in sent.value.cuts(x, marks, concepts)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["pair_index", "seg", "start", "end", "concept"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["pair_index", "seg", "start", "end", "concept"])
 
     return pairs.mapInArrow(run, "pair_index long, seg long, start long, end long, concept string")
 
 
+def train_segments(pairs: DataFrame, models: dict[str, np.ndarray], n: int, rounds: int, kind: str = "kmeans", technique: str = "resample", **kw) -> dict[str, np.ndarray]:
+    """M07, M08, M09 training: segment all pairs under the present means, then
+    take each mean over the embeddings of its segments (shares of them for
+    ``gmm``; ``hmm`` trains on its best paths). A mean without segments stays.
+    Ends after ``rounds`` or when no segmentation changes. Sums as large as the
+    means are added up across partitions; nothing else reaches the driver."""
+    last = None
+    for _ in range(rounds):
+        sent = pairs.sparkSession.sparkContext.broadcast(Segmenter(models, n, kind, technique, **kw))
+        got = add_up(pairs, lambda b, sent=sent: (sent.value.sums(x, marks, concepts) for _, x, marks, concepts in _rows(b)))
+        if not got or got["mark"][0] == last:
+            break
+        last = got["mark"][0]
+        shares = {c: got.get(f"n/{c}", np.zeros(len(m))) for c, m in models.items()}
+        models = {c: np.where(shares[c][:, None] > 0, got.get(f"s/{c}", np.zeros(m.size)).reshape(m.shape) / np.maximum(shares[c], 1e-300)[:, None], m) for c, m in models.items()}
+    return models
+
+
 def embed_segments(pairs: DataFrame, n: int, technique: str = "resample", longest: int = 6) -> DataFrame:
     """Embeddings of all segments between landmarks up to ``longest`` apart:
     ``pair_index, start, end, vec``."""

@@ -9,7 +9,7 @@ from threadloom.functions import numeric as N
 from threadloom.operators import em
 from threadloom.operators import encode as E
 from threadloom.operators import segments as S
-from threadloom.sources import npz, sinks, text
+from threadloom.sources import media, npz, sinks, text
 from threadloom.sources.shared import new_path
 
 from . import corpora as C
@@ -211,3 +211,43 @@ def s15_vocabulary_lines(spark: Spark, d: str) -> DataFrame:
 @query("SELECT event_id, round(-(1 / x + 1 / (x + 1) + 1 / (x + 2) + 1 / (x + 3) + 1 / (x + 4) + 1 / (x + 5) + 1 / (x + 6) + 1 / (x + 7) + 1 / (x + 8) + 1 / (x + 9)) + ln(x + 10) - 1 / (2 * (x + 10)) - 1 / (12 * pow(x + 10, 2)) + 1 / (120 * pow(x + 10, 4)) - 1 / (252 * pow(x + 10, 6)), 7) AS y FROM (SELECT event_id, abs(value) + 0.5 AS x FROM events)")
 def p29_digamma(spark: Spark, d: str) -> DataFrame:
     return C.table(spark, d, "events").select("event_id", F.round(N.digamma(F.abs("value") + 0.5), 7).alias("y"))
+
+
+@query("WITH " + SQL_VEC + " SELECT CAST(pair_index AS VARCHAR) AS path, 'x' AS name, pos, round(list_sum(vec), 6) AS total, CAST(len(vec) AS BIGINT) AS dim FROM vec")
+def s12_mat_matrices(spark: Spark, d: str) -> DataFrame:
+    """A MAT file of each vector pair, written and read back."""
+    m = C.vectors(spark, d).groupBy(F.col(PAIR).cast("string").alias("path")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "vec"))), lambda x: x["vec"]).alias("m"))
+
+    def run(it):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([media.make_mat({"x": np.array(m)}) for m in b.column("m").to_pylist()], pa.binary())], ["path", "content"])
+
+    files = m.mapInArrow(run, "path string, content binary")
+    return media.mat_matrices(files).select("path", "name", "pos", F.round(N.total(F.col("vec")), 6).alias("total"), F.size("vec").alias("dim"))
+
+
+@query("SELECT CAST(p_size AS VARCHAR) AS path, p_partkey AS id, p_type AS concept, p_retailprice AS score FROM part")
+def s10_sqlite_rows(spark: Spark, d: str) -> DataFrame:
+    """Annotations in a SQLite file for each size, written and read back."""
+    p = C.table(spark, d, "part").select("p_size", F.col("p_partkey").alias("id"), F.col("p_type").alias("concept"), F.col("p_retailprice").alias("score"))
+    return media.sqlite_rows(media.write_sqlite(p, "p_size", "notes"), "notes", {"id": "long", "concept": "string", "score": "double"})
+
+
+@query("WITH " + SQL_EV + " SELECT pair_index, '<table><tr><th>token</th><th>gold</th><th>pred</th></tr>' || string_agg('<tr><td>' || token || '</td><td>' || gold || '</td><td>' || pred || '</td></tr>', '' ORDER BY pos) || '</table>' AS html FROM ev GROUP BY 1")
+def s24_html_report(spark: Spark, d: str) -> DataFrame:
+    return media.html_report(C.event_tokens(spark, d), ["token", "gold", "pred"])
+
+
+@query("WITH " + SQL_VEC + """, bx AS (SELECT vec_id, vec, label % 6 AS x, label % 5 AS y, 3 + label % 4 AS w, 2 + label % 5 AS h FROM vec),
+px AS (SELECT vec_id, i, x + CAST(floor((i % 4 + 0.5) * w / 4) AS BIGINT) AS c, y + CAST(floor((i // 4 + 0.5) * h / 4) AS BIGINT) AS r, vec FROM bx, (SELECT unnest(range(16)) AS i))
+SELECT vec_id, CAST(i AS BIGINT) AS i, round((CASE WHEN c < 8 AND r < 8 THEN vec[r * 8 + c + 1] ELSE 0 END - 0.45) / 0.22, 6) AS v FROM px""")
+def p17_image_crop(spark: Spark, d: str) -> DataFrame:
+    """Vectors as 8 x 8 images, a box of each scaled to 4 x 4 and standardised;
+    the first of the three colours."""
+    v = C.vectors(spark, d)
+    box = (F.col("label") % 6, F.col("label") % 5, 3 + F.col("label") % 4, 2 + F.col("label") % 5)
+    rgb = N.grey_to_rgb(N.standardised(N.crop_image(F.col("vec"), 8, box, 4), 0.45, 0.22))
+    return v.select("vec_id", F.posexplode(rgb).alias("k", "v")).where("k % 3 = 0").select("vec_id", F.floor(F.col("k") / 3).alias("i"), F.round("v", 6).alias("v"))

@@ -426,11 +426,15 @@ def m21_corrlda_frames(spark: Spark, d: str) -> DataFrame:
 
 @query()
 def m22_corrlda_frames_curriculum(spark: Spark, d: str) -> DataFrame:
-    """Fixed variance; a first stage on the shorter half of the order pairs."""
-    pairs = em.keep(order_pairs(spark, d))
-    m, v, dim, _ = _sizes(pairs)
-    model = corrlda.start(m, 6, np.eye(dim)[:6, None, :] * 0.9, 0.1, v=v, chain=False)
-    model, rows, _ = corrlda.staged(pairs, [pairs.where(F.size("x") <= 3)], model, 1)
+    """Frames and regions as mixtures of fixed variance; a first stage on the
+    pairs of few different labels, then all pairs."""
+    few = C.vectors(spark, d).groupBy(PAIR).agg(F.count_distinct("label").alias("kinds"))
+    pairs = em.keep(vector_pairs(spark, d).join(few, PAIR))
+    m, _, dim, f = _sizes(pairs)
+    r = np.random.default_rng(0)
+    model = corrlda.start(m, 6, r.normal(0, 0.3, (6, 2, dim)), 0.1, means_a=r.normal(0, 0.3, (6, 2, f)), var_a=0.1, chain=False)
+    easy = pairs.where("kinds <= 4").drop("kinds")
+    model, rows, _ = corrlda.staged(pairs.drop("kinds"), [easy], model, 1)
     out = corrlda.decode(rows, model)
     return out.select(PAIR, F.posexplode("alignment").alias("pos", "state"))
 
@@ -454,22 +458,52 @@ def _segment_inputs(spark: Spark, d: str) -> tuple[DataFrame, dict[str, np.ndarr
     return pairs, {r["c"]: np.repeat(np.array(r["mean"])[None], 3, 0).T.ravel()[None] for r in means}
 
 
-@query()
-def m07_segmental_kmeans(spark: Spark, d: str) -> DataFrame:
+def sql_segments(kind: str) -> str:
+    """Segmentation by listing the ways to cut a pair (of at most five frames),
+    one update of the means, and the segmentation under these."""
+    sql = "WITH RECURSIVE " + SQL_VEC + """, ln AS (SELECT CAST(pair_index AS BIGINT) AS pair_index, list(vec ORDER BY pos) AS x, CAST(count(*) AS BIGINT) AS n FROM vec GROUP BY 1),
+lab AS (SELECT DISTINCT CAST(pair_index AS BIGINT) AS pair_index, CAST(label AS VARCHAR) AS concept FROM vec), kl AS (SELECT pair_index, count(*) AS k FROM lab GROUP BY 1),
+sp AS (SELECT pair_index, n, s, e, x[s + 1:e] AS y FROM ln, (SELECT CAST(unnest(range(5)) AS BIGINT) AS s), (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS e) WHERE s < e AND e <= n),
+sv AS (SELECT pair_index, n, s, e, list_concat(list_concat(y[1], list_transform(list_zip(y[(e - s + 1) // 2], y[(e - s) // 2 + 1]), lambda z: (z[1] + z[2]) / 2)), y[e - s]) AS v FROM sp),
+m0 AS (SELECT concept, list_concat(list_concat(m, m), m) AS mean FROM (SELECT concept, list(x ORDER BY i) AS m FROM (SELECT concept, i, avg(x) AS x FROM (SELECT CAST(label AS VARCHAR) AS concept, unnest(range(64)) AS i, unnest(vec) AS x FROM vec) GROUP BY 1, 2) GROUP BY 1))"""
+    dist = "list_sum(list_transform(list_zip(v, mean), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    density = f"-{dist}" if kind == "kmeans" else f"-0.5 * (192 * ln(2 * pi() * 0.02) + {dist} / 0.02)"
+    whole = "max(d)" if kind == "kmeans" else "max(d) + ln(sum(exp(d - top))) - ln(any_value(k))"
+    for r in range(2):
+        sql += f""",
+de{r} AS (SELECT pair_index, n, s, e, v, concept, k, d, max(d) OVER (PARTITION BY pair_index, s, e) AS top FROM (SELECT sv.*, concept, k, {density} AS d FROM sv JOIN lab USING (pair_index) JOIN kl USING (pair_index) JOIN m{r} USING (concept))),
+be{r} AS (SELECT pair_index, any_value(n) AS n, s, e, any_value(v) AS v, arg_max(concept, (d, -ascii(concept))) AS concept, (e - s) * ({whole}) AS score FROM de{r} GROUP BY pair_index, s, e),
+wa{r} AS (SELECT pair_index, n, e AS upto, score, [s] AS starts FROM be{r} WHERE s = 0 UNION ALL SELECT w.pair_index, w.n, b.e, w.score + b.score, list_append(w.starts, b.s) FROM wa{r} w JOIN be{r} b ON b.pair_index = w.pair_index AND b.s = w.upto),
+cu{r} AS (SELECT pair_index, n, arg_max(starts, score) AS starts FROM wa{r} WHERE upto = n GROUP BY 1, 2),
+ch{r} AS (SELECT pair_index, CAST(seg AS BIGINT) AS seg, starts[seg + 1] AS s, coalesce(starts[seg + 2], n) AS e FROM (SELECT *, unnest(range(len(starts))) AS seg FROM cu{r}))"""
+        if r == 0:
+            share = "CASE WHEN de0.concept = be0.concept THEN 1.0 ELSE 0.0 END" if kind == "kmeans" else "exp(d - top) / sum(exp(d - top)) OVER (PARTITION BY pair_index, s, e)"
+            sql += f""",
+sh AS (SELECT de0.concept, {share} AS w, de0.v FROM ch0 JOIN de0 USING (pair_index, s, e) JOIN be0 USING (pair_index, s, e)),
+m1 AS (SELECT concept, coalesce(m, mean) AS mean FROM m0 LEFT JOIN (SELECT concept, list(x ORDER BY i) AS m FROM (SELECT concept, i, sum(w * x) / sum(w) AS x FROM (SELECT concept, w, unnest(range(192)) AS i, unnest(v) AS x FROM sh WHERE w > 0) GROUP BY 1, 2) GROUP BY 1) USING (concept))"""
+    return sql + " SELECT pair_index, seg, ch1.s AS start, ch1.e AS \"end\", concept FROM ch1 JOIN be1 USING (pair_index, s, e)"
+
+
+def _segmented(spark: Spark, d: str, kind: str) -> DataFrame:
+    """One round of training from the labels' mean vectors, then decoding."""
     pairs, models = _segment_inputs(spark, d)
-    return segmental.segment_all(pairs, models, 3, "kmeans", "interpolate")
+    pairs = em.keep(pairs)
+    return segmental.segment_all(pairs, segmental.train_segments(pairs, models, 3, 1, kind, "interpolate"), 3, kind, "interpolate")
 
 
-@query()
+@query(sql_segments("kmeans"))
+def m07_segmental_kmeans(spark: Spark, d: str) -> DataFrame:
+    return _segmented(spark, d, "kmeans")
+
+
+@query(sql_segments("gmm"))
 def m08_segmental_gmm(spark: Spark, d: str) -> DataFrame:
-    pairs, models = _segment_inputs(spark, d)
-    return segmental.segment_all(pairs, models, 3, "gmm")
+    return _segmented(spark, d, "gmm")
 
 
 @query()
 def m09_segmental_hmm(spark: Spark, d: str) -> DataFrame:
-    pairs, models = _segment_inputs(spark, d)
-    return segmental.segment_all(pairs, models, 3, "hmm")
+    return _segmented(spark, d, "hmm")
 
 
 @query()
@@ -479,10 +513,12 @@ def m26_gibbs_mixture(spark: Spark, d: str) -> DataFrame:
     return segmental.gibbs_mixture(v, 8, 0.05, 5, hottest=2.0, seed=1).withColumnRenamed("id", "vec_id")
 
 
-@query()
+@query("WITH " + SQL_VEC + """, ln AS (SELECT CAST(pair_index AS BIGINT) AS pair_index, list(vec ORDER BY pos) AS x, CAST(count(*) AS BIGINT) AS n FROM vec GROUP BY 1),
+sp AS (SELECT pair_index, s, e, x[s + 1:e] AS y FROM ln, (SELECT CAST(unnest(range(5)) AS BIGINT) AS s), (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS e) WHERE s < e AND e <= n AND e - s <= 3)
+SELECT pair_index, s AS start, e AS "end", round(list_sum(y[1]) + list_sum(y[e - s]) + (list_sum(y[(e - s + 1) // 2]) + list_sum(y[(e - s) // 2 + 1])) / 2, 6) AS total FROM sp""")
 def m27_segment_embeddings(spark: Spark, d: str) -> DataFrame:
     pairs, _ = _segment_inputs(spark, d)
-    e = segmental.embed_segments(pairs.select(PAIR, "x", "marks"), 3, longest=3)
+    e = segmental.embed_segments(pairs.select(PAIR, "x", "marks"), 3, "interpolate", longest=3)
     return e.select(PAIR, "start", "end", F.round(N.total(F.col("vec")), 6).alias("total"))
 
 
