@@ -31,7 +31,7 @@ def arr(v):
         (lambda: N.pad(arr([7.0]), 3), [7.0, 0.0, 0.0]),
         (lambda: N.pad(arr([7.0, 8.0]), 5, centred=True), [0.0, 7.0, 8.0, 0.0, 0.0]),
         (lambda: N.viterbi(arr([0, 1, 2, 2, 0]), (0.6, 0.4), ((0.7, 0.3), (0.4, 0.6)), ((0.5, 0.4, 0.1), (0.1, 0.3, 0.6))), [0, 0, 1, 1, 0]),
-        (lambda: N.kl_categorical(arr(np.log([0.1, 0.4, 0.5]).tolist()), arr(np.log([0.2, 0.6, 0.2]).tolist())), float(np.sum(np.array([0.1, 0.4, 0.5]) * np.log(np.array([0.1, 0.4, 0.5]) / np.array([0.2, 0.6, 0.2]))))),
+        (lambda: N.kl_categorical(arr(np.log([0.15, 0.55, 0.3]).tolist()), arr(np.log([0.35, 0.25, 0.4]).tolist())), float(np.sum(np.array([0.15, 0.55, 0.3]) * np.log(np.array([0.15, 0.55, 0.3]) / np.array([0.35, 0.25, 0.4]))))),
         (lambda: N.block_mean(arr([1.0, 3.0, 5.0, 7.0, 9.0]), 2), [2.0, 6.0]),
         (lambda: N.interpolate(arr([0.0, 2.0, 4.0]), 5), [0.0, 1.0, 2.0, 3.0, 4.0]),
         (lambda: N.l2_normalise(arr([3.0, 4.0])), [0.6, 0.8]),

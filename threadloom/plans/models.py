@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import numeric as N
-from threadloom.operators import corrlda, em, hmm, sampling, segmental
+from threadloom.operators import corrlda, em, hmm, neural, sampling, segmental
 from threadloom.operators import retrieval as R
 
 from . import corpora as C
@@ -565,3 +565,38 @@ SELECT CAST(pair_index AS BIGINT) AS pair_index, round(sisa, 5) AS sisa, round(m
 def m35_match_maps(spark: Spark, d: str) -> DataFrame:
     v = C.vectors(spark, d)
     return rounded(R.match_maps(v, v), "sisa", "misa", "sima", n=5)
+
+
+@query()
+def m28_attention(spark: Spark, d: str) -> DataFrame:
+    """Attention of an order's part types over its brands: where each is found."""
+    pairs = em.keep(order_pairs(spark, d).select(PAIR, "x", F.transform("y", lambda h: (F.array_position(h, F.lit(1.0)) - 1).cast("long")).alias("y")))
+    v, k = pairs.select(F.max(F.array_max("x")) + 1, F.max(F.array_max("y")) + 1).first()
+    w = neural.start_net(S=(v, 8), Q=(k + 1, 8), A=(8, 8), O=(k, 9))
+    w, _ = neural.train_net(pairs, w, lambda w, r: neural.attention_gradient(w, r["x"], r["y"]), 3)
+    out = neural.apply_net(pairs, w, lambda w, r: neural.attention(w, r["x"], r["y"])[0].argmax(1).tolist())
+    return out.select(PAIR, F.posexplode("out").alias("pos", "source"))
+
+
+@query()
+def m29_tdnn_ctc(spark: Spark, d: str) -> DataFrame:
+    """Frames to label sequences (repeats merged), trained by CTC, decoded greedily."""
+    v = C.vectors(spark, d)
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c.alias("v")))), lambda t: t["v"])
+    pairs = em.keep(v.groupBy(PAIR).agg(ordered(F.col("vec")).alias("x"), N.merge_repeats(ordered(F.col("label") + 1)).alias("y")))
+    k = v.agg(F.max("label")).first()[0] + 2
+    w = neural.start_net(W1=(16, 3 * 64 + 1), W2=(k, 17))
+    w, _ = neural.train_net(pairs, w, lambda w, r: neural.tdnn_gradient(w, np.array(r["x"]), r["y"]), 10)
+    out = neural.apply_net(pairs, w, lambda w, r: neural.greedy(neural.tdnn(w, np.array(r["x"]))[0]))
+    return out.select(PAIR, F.size("out").alias("n"), F.array_join(F.col("out").cast("array<string>"), " ").alias("labels"))
+
+
+@query()
+def m30_region_classes(spark: Spark, d: str) -> DataFrame:
+    """A small convolutional classifier over vectors seen as 8 x 8 images."""
+    rows = em.keep(C.vectors(spark, d).select(F.col("vec_id").alias(PAIR), "vec", "label"))
+    k = rows.agg(F.max("label")).first()[0] + 1
+    w = neural.start_net(F=(6, 10), D=(k, 6 * 9 + 1))
+    image = lambda r: np.array(r["vec"]).reshape(8, 8)
+    w, _ = neural.train_net(rows, w, lambda w, r: neural.convolved_gradient(w, image(r), r["label"]), 10)
+    return neural.apply_net(rows, w, lambda w, r: [int(neural.convolved(w, image(r))[0].argmax())]).select(F.col(PAIR).alias("vec_id"), F.get("out", F.lit(0)).alias("label"))
