@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,8 @@ def branches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     ``nodes``: ``tree, node, parent, score`` of unique (tree, node). A node
     whose parent is null or missing in its tree is a root. Iterative self-joins
     double the length of each node's pointer and add up the scores on the way,
-    so a path of n nodes takes log2(n) joins and no path is listed; table k
+    so a path of n nodes takes log2(n) joins and no path is listed; only nodes
+    whose pointer hasn't passed the root take part in the next join. Table k
     leads each node (that has one) to its 2^k-th ancestor. A branch's score is
     the mean of its nodes'. A cycle raises ``ValueError``. Texts don't take part.
     """
@@ -43,14 +46,17 @@ def branches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     leaves = state.select("tree", "node").join(state.where("to is not null").select("tree", F.col("to").alias("node")).distinct(), ["tree", "node"], "left_anti")
     most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     jumps: list[DataFrame] = []
-    while not (open_ := state.where("to is not null").select("tree", "node", "to")).isEmpty():
+    done: list[DataFrame] = []  # nodes whose pointer has passed the root
+    while not (open_ := state.where("to is not null")).isEmpty():
         if len(jumps) and 1 << (len(jumps) - 1) >= most:
             raise ValueError("a reply tree has a cycle")
-        jumps.append(open_)
-        far = state.select("tree", F.col("node").alias("to"), F.col("to").alias("far"), F.col("sum").alias("more"), F.col("n").alias("steps"))
-        step = state.join(far, ["tree", "to"], "left")
-        state = cut(step.select("tree", "node", F.col("far").alias("to"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("steps", F.lit(0))).alias("n")))
-    return state.join(leaves, ["tree", "node"], "left_semi").select("tree", F.col("node").alias("leaf"), (F.col("sum") / F.col("n")).alias("score")), jumps
+        jumps.append(open_.select("tree", "node", "to"))
+        known = reduce(DataFrame.unionByName, done, state)
+        done.append(state.where("to is null"))
+        far = known.select("tree", F.col("node").alias("to"), F.col("to").alias("far"), F.col("sum").alias("more"), F.col("n").alias("steps"))
+        state = cut(open_.join(far, ["tree", "to"]).select("tree", "node", F.col("far").alias("to"), (F.col("sum") + F.col("more")).alias("sum"), (F.col("n") + F.col("steps")).alias("n")))
+    every = reduce(DataFrame.unionByName, done, state)
+    return every.join(leaves, ["tree", "node"], "left_semi").select("tree", F.col("node").alias("leaf"), (F.col("sum") / F.col("n")).alias("score")), jumps
 
 
 def reply_paths(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
