@@ -176,7 +176,7 @@ def s06_parameter_table(spark: Spark, d: str) -> DataFrame:
     return text.parameters(spark, path, "concept string, token string, p double").withColumn("p", F.round("p", 9))
 
 
-@query("WITH " + SQL_EV + " SELECT CAST(pair_index AS VARCHAR) AS path, 1000 AS rate, count(*) AS n, CAST(sum(gold * 100 - pred) AS DOUBLE) AS total FROM ev WHERE pos BETWEEN 2 AND 4 GROUP BY 1")
+@query("WITH " + SQL_EV + " SELECT CAST(pair_index AS VARCHAR) AS path, CAST(1000 AS BIGINT) AS rate, count(*) AS n, CAST(sum(gold * 100 - pred) AS DOUBLE) AS total FROM ev WHERE pos BETWEEN 2 AND 4 GROUP BY 1")
 def s20_wav_slice(spark: Spark, d: str) -> DataFrame:
     """Samples written as WAV at 1000 Hz, read back from 2 to 5 ms."""
     x = F.transform(F.sort_array(F.collect_list(F.struct("pos", (F.col("gold") * 100 - F.col("pred")).alias("v")))), lambda t: t["v"])

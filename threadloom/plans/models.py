@@ -547,7 +547,7 @@ def m33_sampled_pairs(spark: Spark, d: str) -> DataFrame:
     return sampling.sample_classes(s, "token", "key", sampling.power_law_counts(c, "token", 500), seed=3).drop("key")
 
 
-@query(SQL_FR + " SELECT concept, copy, CAST(64 AS BIGINT) AS dim, 0.0 AS bias, true AS spread FROM (SELECT DISTINCT concept FROM c0), (SELECT unnest(range(5)) AS copy)")
+@query(SQL_FR + " SELECT concept, copy, CAST(64 AS BIGINT) AS dim, CAST(0 AS DOUBLE) AS bias, true AS spread FROM (SELECT DISTINCT concept FROM c0), (SELECT unnest(range(5)) AS copy)")
 def m34_noisy_features(spark: Spark, d: str) -> DataFrame:
     """Copies of a label's first vector at 40 dB. The noise is random, so what is
     compared is its mean (to one decimal) and whether its deviation is within
