@@ -26,10 +26,13 @@ def true_ranks(scores: DataFrame, truth: Column, query: str = "query_id", item:
     return j.groupBy(query).agg((F.sum(ahead) + 1).alias("rank"))
 
 
-def score_all(queries: DataFrame, items: DataFrame, score: Column) -> DataFrame:
-    """Every query against every item; ``queries`` is the side to broadcast
-    if its checked size allows, else Spark blocks the product."""
-    return queries.crossJoin(items).withColumn("score", score)
+def score_all(queries: DataFrame, items: DataFrame, score: Column, blocks: int = 64) -> DataFrame:
+    """Every query (a stated set) against every item, in blocks: items are
+    dealt by hash, each block meets a copy of the queries in an equi-join, so a
+    task holds its share of the items whatever their number is."""
+    q = queries.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    i = items.withColumn("_iblk", F.pmod(F.xxhash64(*items.columns), F.lit(blocks)).cast("int"))
+    return q.join(i, F.col("_blk") == F.col("_iblk")).drop("_blk", "_iblk").withColumn("score", score)
 
 
 def cosine(u: Column, v: Column) -> Column:
