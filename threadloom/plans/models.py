@@ -501,7 +501,27 @@ def m08_segmental_gmm(spark: Spark, d: str) -> DataFrame:
     return _segmented(spark, d, "gmm")
 
 
-@query()
+def sql_segment_chain() -> str:
+    """Every frame a segment; the pair's concepts by Viterbi (staying and moving
+    on are equally likely), one update of the means on the best paths, and the
+    paths under these."""
+    sql = "WITH RECURSIVE " + SQL_VEC + """, lab AS (SELECT DISTINCT CAST(pair_index AS BIGINT) AS pair_index, CAST(label AS VARCHAR) AS concept FROM vec),
+cs AS (SELECT pair_index, list(concept ORDER BY concept) AS cs, count(*) AS k FROM lab GROUP BY 1), ln AS (SELECT CAST(pair_index AS BIGINT) AS pair_index, max(pos) AS last FROM vec GROUP BY 1),
+m0 AS (SELECT concept, list(x ORDER BY i) AS mean FROM (SELECT concept, i, avg(x) AS x FROM (SELECT CAST(label AS VARCHAR) AS concept, unnest(range(64)) AS i, unnest(vec) AS x FROM vec) GROUP BY 1, 2) GROUP BY 1)"""
+    for r in range(2):
+        sql += f""",
+em{r} AS (SELECT v.pair_index, v.pos, list(-1.5 * {SQL_DIST} / 0.02 ORDER BY concept) AS e FROM (SELECT CAST(pair_index AS BIGINT) AS pair_index, pos, vec FROM vec) v JOIN lab USING (pair_index) JOIN m{r} USING (concept) GROUP BY 1, 2),
+vi{r} AS (SELECT pair_index, pos, e AS s, list_transform(range(k), lambda i: [i]) AS p FROM em{r} JOIN cs USING (pair_index) WHERE pos = 0
+  UNION ALL SELECT pair_index, pos, list_transform(q, lambda z: z.s), list_transform(q, lambda z: z.p) FROM (SELECT o.pair_index, o.pos, list_transform(range(1, k + 1), lambda j: list_transform([list_position(list_transform(range(1, k + 1), lambda i: s[i] + CASE WHEN i = j THEN CASE WHEN k = 1 THEN 0 ELSE ln(0.5) END ELSE ln(0.5 / (k - 1)) END), list_max(list_transform(range(1, k + 1), lambda i: s[i] + CASE WHEN i = j THEN CASE WHEN k = 1 THEN 0 ELSE ln(0.5) END ELSE ln(0.5 / (k - 1)) END)))], lambda i: {{'s': s[i] + CASE WHEN i = j THEN CASE WHEN k = 1 THEN 0 ELSE ln(0.5) END ELSE ln(0.5 / (k - 1)) END + e[j], 'p': list_append(p[i], j - 1)}})[1]) AS q FROM vi{r} v JOIN em{r} o ON o.pair_index = v.pair_index AND o.pos = v.pos + 1 JOIN cs ON cs.pair_index = o.pair_index)),
+pa{r} AS (SELECT pair_index, p[list_position(s, list_max(s))] AS path, cs FROM vi{r} JOIN ln USING (pair_index) JOIN cs USING (pair_index) WHERE pos = last),
+ch{r} AS (SELECT pair_index, CAST(unnest(range(len(path))) AS BIGINT) AS seg, unnest(list_transform(path, lambda c: cs[c + 1])) AS concept FROM pa{r})"""
+        if r == 0:
+            sql += """,
+m1 AS (SELECT concept, coalesce(m, mean) AS mean FROM m0 LEFT JOIN (SELECT concept, list(x ORDER BY i) AS m FROM (SELECT concept, i, avg(x) AS x FROM (SELECT concept, unnest(range(64)) AS i, unnest(vec) AS x FROM ch0 JOIN vec ON vec.pair_index = ch0.pair_index AND vec.pos = seg) GROUP BY 1, 2) GROUP BY 1) USING (concept))"""
+    return sql + ' SELECT pair_index, seg, seg AS start, seg + 1 AS "end", concept FROM ch1'
+
+
+@query(sql_segment_chain())
 def m09_segmental_hmm(spark: Spark, d: str) -> DataFrame:
     return _segmented(spark, d, "hmm")
 
