@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -54,8 +55,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Paths written inside each open ``scratch``, innermost last.
-_OPEN: list[list[str]] = []
+class _Scopes(threading.local):
+    """Paths written inside each open ``scratch`` of a thread, innermost last."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
 
 
 def _files(spark: SparkSession, path: str):
@@ -73,8 +80,8 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     fs, at = _files(spark, top)
     fs.deleteOnExit(at)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _SCOPES.open:
+        _SCOPES.open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,7 +92,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     returned may only read such tables."""
     made: list[str] = []
     kept: list[str] = []
-    _OPEN.append(made)
+    _SCOPES.open.append(made)
 
     def keep(df: DataFrame) -> DataFrame:
         kept.extend(p for p in made if any(p.rsplit("/", 1)[1] in f for f in df.inputFiles()))
@@ -94,12 +101,12 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _OPEN.remove(made)
+        _SCOPES.open.pop()
         for path in set(made) - set(kept):
             fs, at = _files(spark, path)
             fs.delete(at, True)
-        if _OPEN:
-            _OPEN[-1].extend(kept)
+        if _SCOPES.open:
+            _SCOPES.open[-1].extend(kept)
 
 
 def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
