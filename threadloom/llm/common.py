@@ -70,6 +70,12 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what was written at ``path``."""
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts the
     lineage, survives lost executors, and later reads prune columns. The table
@@ -103,8 +109,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     finally:
         _SCOPES.open.pop()
         for path in set(made) - set(kept):
-            fs, at = _files(spark, path)
-            fs.delete(at, True)
+            remove(spark, path)
         if _SCOPES.open:
             _SCOPES.open[-1].extend(kept)
 

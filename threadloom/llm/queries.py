@@ -174,9 +174,56 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree_shards(read(spark, sf_dir, "documents"), tree, grown(tree, 8))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup
+
+    out = line_dedup(read(spark, sf_dir, "documents"), least=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, doc_id, i, lines[i] AS line, translate(regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+f AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) + CAST(bool_or(doc_id IS NULL) AS INT) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN f ON f.key = l.key GROUP BY rid
+"""
+
+
+def op13_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .changepoints import change_points
+
+    return change_points(read(spark, sf_dir, "sale_lines").where(F.col("flag").isin("kept", "swapped")))
+
+
+OP13_SQL = """
+WITH RECURSIVE d AS (SELECT vendor_id, CAST(shipped_at AS DATE) - DATE '1970-01-01' AS day, sum(quantity) AS q
+  FROM sale_lines WHERE flag IN ('kept', 'swapped') AND quantity IS NOT NULL AND shipped_at IS NOT NULL GROUP BY ALL),
+r AS (SELECT row_number() OVER () AS k, vendor_id, min(day) AS first, max(day) AS last FROM d GROUP BY vendor_id),
+x AS (SELECT k, first, last - first + 1 AS n, u.i, coalesce(q, 0)::HUGEINT AS q FROM (SELECT *, unnest(range(first, last + 1)) AS i FROM r) u
+  LEFT JOIN d ON d.vendor_id IS NOT DISTINCT FROM u.vendor_id AND d.day = u.i),
+c AS (SELECT *, sum(q) OVER w AS p, sum(q * q) OVER w AS pp FROM x WINDOW w AS (PARTITION BY k ORDER BY i)),
+s AS (SELECT k, any_value(n) AS n, [0::HUGEINT] || list(p::HUGEINT ORDER BY i) AS p, [0::HUGEINT] || list(pp::HUGEINT ORDER BY i) AS pp FROM c GROUP BY k),
+t AS (SELECT k, 0 AS e, n, p, pp, [{'cost': 0::BIGINT, 'cuts': 0::BIGINT, 's': 0::BIGINT}] AS best FROM s
+  UNION ALL SELECT k, e + 1, n, p, pp, best || [list_min([{
+      'cost': best[a + 1].cost + CASE WHEN a > 0 THEN 10000 ELSE 0 END + (e + 1 - a) * CAST(floor(1000 * ln(CAST(
+        1 + ((e + 1 - a) * (pp[e + 2] - pp[a + 1]) - (p[e + 2] - p[a + 1]) * (p[e + 2] - p[a + 1])) // ((e + 1 - a) * (e + 1 - a)) AS DOUBLE))) AS BIGINT),
+      'cuts': best[a + 1].cuts + 1, 's': a::BIGINT} for a in range(e + 1) if (a = 0 AND (e + 1 >= 5 OR e + 1 = n)) OR (a >= 5 AND e + 1 - a >= 5)])]
+    FROM t WHERE e < n),
+z AS (SELECT k, n, p, pp, best FROM t WHERE e = n),
+b AS (SELECT k, n AS e, best[n + 1].s AS a FROM z UNION ALL SELECT b.k, b.a, z.best[b.a + 1].s FROM b JOIN z USING (k) WHERE b.a > 0),
+g AS (SELECT r.vendor_id, k, r.first, a, e, e - a AS n, (p[e + 1] - p[a + 1])::BIGINT AS total, pp[e + 1] - pp[a + 1] AS squares, z.best[z.n + 1] AS whole FROM b JOIN z USING (k) JOIN r USING (k)),
+v AS (SELECT *, (1 + (n * squares - total::HUGEINT * total) // (n * n))::BIGINT AS spread FROM g)
+SELECT vendor_id, row_number() OVER (PARTITION BY k ORDER BY a) AS segment_no, first + a AS first_day, n::BIGINT AS n_days, total, spread,
+  n * CAST(floor(1000 * ln(spread::DOUBLE)) AS BIGINT) AS cost, whole.cuts AS n_segments, whole.cost AS best_cost FROM v
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_chat, op3_bpe, op4_fingerprint, op5_mixing, op6_urls, op7_toxicity, op8_secrets, op9_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_chat, op3_bpe, op4_fingerprint, op5_mixing, op6_urls, op7_toxicity, op8_secrets, op9_exact_dedup, op10_sharding, op12_line_dedup, op13_change_points)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op6_urls": _op6_sql(), "op9_exact_dedup": OP9_SQL}
+    return {"op2_chat": OP2_SQL, "op6_urls": _op6_sql(), "op9_exact_dedup": OP9_SQL, "op12_line_dedup": OP12_SQL, "op13_change_points": OP13_SQL}
