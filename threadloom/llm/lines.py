@@ -169,7 +169,7 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id", tex
     else:
         whole = [F.xxhash64("_text").alias("t1"), F.xxhash64(F.lit(1), "_text").alias("t2")]
         lines = rows.select(*whole, F.posexplode(keyed).alias("pos", "k")).select("t1", "t2", "pos", "k.*").where(F.col("chars") >= min_chars)
-        found = lines.join(frequent.hint("merge"), _HASH).groupBy("t1", "t2", "pos").agg().groupBy("t1", "t2").agg(F.collect_list("pos").alias("_hits"))
+        found = lines.join(frequent.hint("merge"), _HASH).select("t1", "t2", "pos").distinct().groupBy("t1", "t2").agg(F.collect_list("pos").alias("_hits"))
         out = rows.withColumns({"t1": whole[0], "t2": whole[1]}).join(found.hint("merge"), ["t1", "t2"], "left")
         lines = _split(F.col("_text"))
         stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("_hits", F.array().cast("array<int>")))

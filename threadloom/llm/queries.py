@@ -174,6 +174,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree_shards(read(spark, sf_dir, "documents"), tree, grown(tree, 8))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .align import align_texts
+
+    return align_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import line_dedup
 
@@ -222,7 +230,7 @@ SELECT vendor_id, row_number() OVER (PARTITION BY k ORDER BY a) AS segment_no, f
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_chat, op3_bpe, op4_fingerprint, op5_mixing, op6_urls, op7_toxicity, op8_secrets, op9_exact_dedup, op10_sharding, op12_line_dedup, op13_change_points)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_chat, op3_bpe, op4_fingerprint, op5_mixing, op6_urls, op7_toxicity, op8_secrets, op9_exact_dedup, op10_sharding, op11_align, op12_line_dedup, op13_change_points)}
 
 
 def oracle_sql() -> dict[str, str]:
