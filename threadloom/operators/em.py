@@ -6,7 +6,7 @@ carried from one to the next is a parameter table, written to the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.numeric import gaussian_log, squared_distance
@@ -136,7 +136,66 @@ def first_vectors(frames: DataFrame, trg: DataFrame, m: int) -> DataFrame:
     lowest (pair, position) among the pairs that hold the concept."""
     j = frames.join(trg.select(PAIR, "concept"), PAIR)
     w = Window.partitionBy("concept").orderBy(PAIR, "pos")
-    return j.withColumn("m", F.row_number().over(w) - 1).where(F.col("m") < m).select("concept", "m", F.col("vec").alias("mean"))
+    # a bare bound on row_number: each task keeps m rows a concept before the shuffle
+    return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= m).select("concept", (F.col("_r") - 1).alias("m"), F.col("vec").alias("mean"))
+
+
+def drawn(*parts: Column) -> Column:
+    """A number in [0, 1) that follows from the parts alone."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
+def _distances(cands: str | Column, vec: Column) -> Column:
+    return F.transform(cands, lambda c: F.round(squared_distance(vec, c), 9))
+
+
+def _nearest(vec: Column, cands: Column) -> Column:
+    return F.array_min(_distances(cands, vec))
+
+
+def kmeans_seeds(frames: DataFrame, trg: DataFrame, m: int, passes: int = 2, factor: float = 2.0, seed: int = 0) -> DataFrame:
+    """M06 start by distance-proportional oversampling: ``concept, m, mean``.
+
+    Each concept starts from one drawn frame of the pairs that hold it. In each
+    pass every frame becomes a candidate with probability ``factor * m * d / D``:
+    ``d`` its squared distance to the nearest candidate, ``D`` the concept's sum
+    of these; about ``factor * m`` a pass are taken. Candidates weigh as many
+    frames as are nearest to them; of these the heaviest is the first seed, and
+    each further one maximises weight times distance to the nearest seed.
+    Concepts with fewer different frames have fewer seeds.
+
+    Nothing is sorted. A pass reads the frames against their concept's list of
+    candidates, about ``1 + passes * factor * m`` vectors; sums and counts
+    combine before the shuffle. Draws follow from concept, pair, position, pass
+    and ``seed``: repeats are equal and don't depend on the partitioning. Ties:
+    lower (pair, position).
+    """
+    j = keep(frames.select(PAIR, "pos", "vec").join(trg.select(PAIR, "concept").distinct(), PAIR))
+    draw = lambda n: drawn(F.lit(f"{seed}:{n}"), F.col("concept"), F.col(PAIR), F.col("pos"))
+    first = j.groupBy("concept").agg(F.min_by(F.struct(PAIR, "pos", "vec"), F.struct(draw(0), PAIR, "pos")).alias("c"))
+    cands = keep(first.select("concept", F.array("c").alias("cands")))
+    vectors = F.transform("cands", lambda c: c["vec"])
+    for n in range(1, passes + 1):
+        near = j.join(cands.select("concept", vectors.alias("v")), "concept").select("concept", PAIR, "pos", "vec", _nearest(F.col("vec"), F.col("v")).alias("d"))
+        whole = near.groupBy("concept").agg(F.sum("d").alias("whole"))
+        taken = near.join(whole, "concept").where((F.col("whole") > 0) & (draw(n) < factor * m * F.col("d") / F.col("whole")))
+        more = taken.groupBy("concept").agg(F.collect_list(F.struct(PAIR, "pos", "vec")).alias("more"))
+        both = F.concat("cands", F.coalesce("more", F.array().cast(dict(cands.dtypes)["cands"])))
+        cands = keep(cands.join(more, "concept", "left").select("concept", F.array_sort(both).alias("cands")))
+    at = j.join(cands.select("concept", vectors.alias("v")), "concept")
+    weights = at.select("concept", _distances("v", F.col("vec")).alias("d")).select("concept", F.array_position("d", F.array_min("d")).alias("i")).groupBy("concept", "i").agg(F.count(F.lit(1)).alias("w"))
+    weights = weights.groupBy("concept").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("w"))
+    rows = cands.join(weights, "concept").select("concept", vectors.alias("v"), F.transform("cands", lambda _, i: F.coalesce(F.element_at("w", i + 1), F.lit(0)).cast("double")).alias("w"))
+    score, out = F.col("w"), []
+    for n in range(m):
+        # the first place of the largest score; 0 once every candidate is a seed's copy
+        rows = rows.withColumn("_s", score).withColumn(f"_p{n}", F.when(F.array_max("_s") > 0, F.array_position("_s", F.array_max("_s"))))
+        seed_at = F.get("v", (F.col(f"_p{n}") - 1).cast("int"))
+        near = _distances("v", seed_at)
+        rows = rows.withColumn("_d", near if n == 0 else F.zip_with("_d", near, lambda a, b: F.least(a, b)))
+        score = F.zip_with("w", "_d", lambda w, d: w * d)
+        out.append(F.when(F.col(f"_p{n}").isNotNull(), F.struct(F.lit(n).alias("m"), seed_at.alias("mean"))))
+    return rows.select("concept", F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("s")).select("concept", "s.m", "s.mean")
 
 
 def mean_vectors(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
@@ -156,10 +215,19 @@ def kmeans_assign(frames: DataFrame, trg: DataFrame, centroids: DataFrame) -> Da
     return j.withColumn("d", d).groupBy(PAIR, "pos").agg(F.min_by(F.struct("concept", "m", "tpos", "d", "vec"), F.struct("d", "tpos", "m")).alias("b")).select(PAIR, "pos", "b.*")
 
 
-def kmeans(frames: DataFrame, trg: DataFrame, m: int = 1, iterations: int = 2) -> tuple[DataFrame, DataFrame]:
+def kmeans_cost(frames: DataFrame, trg: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Sum of squared distances to the nearest centroid, per concept: every frame
+    counts for each concept of its pair."""
+    lists = centroids.groupBy("concept").agg(F.collect_list("mean").alias("v"))
+    j = frames.join(trg.select(PAIR, "concept").distinct(), PAIR).join(lists, "concept")
+    return j.groupBy("concept").agg(F.sum(_nearest(F.col("vec"), F.col("v"))).alias("cost"))
+
+
+def kmeans(frames: DataFrame, trg: DataFrame, m: int = 1, iterations: int = 2, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(centroids ``concept, m, mean``, assignments). A centroid without
-    frames becomes the zero vector. Stops when no assignment changes."""
-    cent = keep(first_vectors(frames, trg, m))
+    frames becomes the zero vector. Stops when no assignment changes. ``start``:
+    first centroids (``kmeans_seeds``), else the frames of lowest ids."""
+    cent = keep(first_vectors(frames, trg, m) if start is None else start)
     last = None
     for _ in range(iterations):
         a = keep(kmeans_assign(frames, trg, cent))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.numeric import dot
+from threadloom.sources.shared import keep
+
+from .hmm import Params
 
 PAIR = "pair_index"
 
@@ -75,6 +82,92 @@ def translation_search(src: DataFrame, trg: DataFrame, params: DataFrame, n: int
     return n_best(every.join(members, "set_id").select(F.col(PAIR).alias("query_id"), "item_id", "score"), n)
 
 
+def chain_scores(rows: DataFrame, p: Params, query: str = "query_id") -> DataFrame:
+    """``rows`` (``query, set_id, x`` token ids, ``y`` concept ids) with
+    ``score``: the log probability of the best alignment of ``x`` with ``y``
+    under the chain and emissions of ``p``. Rows of equal shape are scored together."""
+    sent = rows.sparkSession.sparkContext.broadcast(p)
+
+    def run(it):
+        for b in it:
+            p = sent.value
+            with np.errstate(divide="ignore"):
+                obs = np.log(p.obs)
+            xs, ys = b.column("x"), b.column("y")
+            shape = np.stack([c.value_lengths().to_numpy(zero_copy_only=False) for c in (xs, ys)], 1)
+            score = np.full(b.num_rows, -np.inf)
+            for t, m in np.unique(shape, axis=0):
+                at = np.flatnonzero((shape == (t, m)).all(1))
+                if not t or not m:
+                    continue
+                init, trans = p.chain(int(m))
+                x, y = (c.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1) for c in (xs, ys))
+                e = obs[y[:, :, None], x[:, None, :]]  # rows x targets x positions
+                with np.errstate(divide="ignore"):
+                    s, move = np.log(init) + e[:, :, 0], np.log(trans)
+                for k in range(1, t):
+                    s = (s[:, :, None] + move).max(1) + e[:, :, k]
+                score[at] = s.max(1)
+            yield pa.RecordBatch.from_arrays([b.column(query), b.column("set_id"), pa.array(score)], [query, "set_id", "score"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(query, "set_id", "x", "y").mapInArrow(run, f"{query} {kinds[query]}, set_id {kinds['set_id']}, score double")
+
+
+def chain_bounds(queries: DataFrame, sets: DataFrame, p: Params, floor: float) -> tuple[DataFrame, DataFrame]:
+    """What no alignment scores above: (``query_id, set_id, bound`` of queries
+    and sets that share a token above ``floor``, ``query_id, base``: the bound of
+    all other sets). Every position takes its best concept, the chain its best
+    start and moves."""
+    spark, obs = queries.sparkSession, p.obs
+    at = np.argwhere(obs > floor)
+    known = spark.createDataFrame(pa.table({"concept": at[:, 0], "token": at[:, 1], "gain": np.log(obs[at[:, 0], at[:, 1]]) - np.log(floor)}))
+    moves = F.create_map(*[F.lit(x) for m in p.init for x in (m, float(np.log(np.maximum(p.trans[m].max(), 1e-300))))])
+    starts = F.create_map(*[F.lit(x) for m in p.init for x in (m, float(np.log(np.maximum(p.init[m].max(), 1e-300))))])
+    best = sets.select("set_id", F.size("y").alias("m"), F.explode("y").alias("concept")).join(known, "concept").groupBy("set_id", "m", "token").agg(F.max("gain").alias("gain"))
+    length = F.size("x")
+    tokens = queries.select("query_id", length.alias("t"), F.explode("x").alias("token")).groupBy("query_id", "t", "token").agg(F.count(F.lit(1)).alias("n"))
+    gain = tokens.join(best, "token").groupBy("query_id", "t", "set_id", "m").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
+    low = float(np.log(floor))
+    base = queries.select("query_id", (length * low).alias("base"))
+    start, move = (F.coalesce(c[F.col("m")], -F.log("m")) for c in (starts, moves))  # unknown sizes: uniform
+    return gain.select("query_id", "set_id", (F.col("t") * low + F.col("gain") + start + (F.col("t") - 1) * move).alias("bound")), base
+
+
+def chain_search(queries: DataFrame, items: DataFrame, p: Params, n: int, floor: float, digits: int = 6, blocks: int = 64) -> tuple[DataFrame, DataFrame]:
+    """M31 by alignment: (``query_id, item_id, score, rank``; ``query_id, set_id,
+    score`` of all that was scored exactly). ``queries``: ``query_id, x`` token
+    ids; ``items``: ``item_id, y`` concept ids. Scores are log probabilities of
+    the best alignment, rounded to ``digits``; equal scores: higher id first.
+    Emissions at or below ``floor`` count as ``floor``.
+
+    A threshold algorithm: the ``n`` sets of the highest bounds are scored, the
+    lowest of these scores is the query's threshold, and only sets whose bound
+    reaches it are scored further. Equal target sets are scored once. A query
+    whose threshold doesn't exclude sets without a known token meets all of them,
+    in blocks; every result is exact.
+    """
+    p = replace(p, obs=np.maximum(p.obs, floor))
+    kinds = keep(items.groupBy("y").agg(F.min("item_id").alias("set_id"), F.max("item_id").alias("top_id")))
+    members = items.join(kinds.select("y", "set_id"), "y").select("set_id", "item_id")
+    members = members.withColumn("_k", F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("item_id")))).where(F.col("_k") <= n).drop("_k")
+    queries = keep(queries.where(F.size("x") > 0))
+    bounds, base = chain_bounds(queries, kinds, p, floor)
+    whole = lambda rows: rows.join(queries, "query_id").join(kinds.select("set_id", "y"), "set_id")
+    first = n_best(bounds, n, "query_id", "set_id", "bound").select("query_id", "set_id")
+    scored = keep(chain_scores(whole(first), p))
+    cut = scored.groupBy("query_id").agg(F.min("score").alias("cut"), F.count(F.lit(1)).alias("k")).withColumn("cut", F.when(F.col("k") >= n, F.col("cut") - 10.0**-digits))
+    cut = keep(queries.select("query_id").join(cut, "query_id", "left").select("query_id", F.coalesce("cut", F.lit(float("-inf"))).alias("cut")))
+    reach = bounds.join(cut, "query_id").where(F.col("bound") >= F.col("cut")).select("query_id", "set_id")
+    open_queries = cut.join(base, "query_id").where(F.col("base") >= F.col("cut")).join(queries, "query_id").select("query_id")
+    rest = score_all(open_queries, kinds.select("set_id"), F.lit(0.0), blocks).select("query_id", "set_id")
+    more = reach.unionByName(rest).distinct().join(scored.select("query_id", "set_id"), ["query_id", "set_id"], "left_anti")
+    scored = keep(scored.unionByName(chain_scores(whole(more), p)))
+    rounded = scored.withColumn("score", F.round("score", digits)).join(kinds.select("set_id", "top_id"), "set_id")
+    best = n_best(rounded, n, "query_id", "top_id").select("query_id", "set_id", "score")
+    return n_best(best.join(members, "set_id").select("query_id", "item_id", "score"), n), scored
+
+
 def match_maps(audio: DataFrame, image: DataFrame) -> DataFrame:
     """SISA, MISA and SIMA scores of each pair from frame and region
     vectors: mean over all, mean over time of the best region, mean over regions

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import numeric as N
-from threadloom.operators import corrlda, em, hmm, neural, sampling, segmental
+from threadloom.operators import chains, corrlda, em, hmm, neural, sampling, segmental, wordseg
 from threadloom.operators import retrieval as R
 
 from . import corpora as C
@@ -119,6 +119,42 @@ def m06_kmeans_centroids(spark: Spark, d: str) -> DataFrame:
     return c.select("concept", "m", F.posexplode("mean").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
+def sql_seeds(passes: int = 2) -> str:
+    """Oversampling by drawn numbers, weights, and two seeds of each concept."""
+    u = lambda n: f"CAST('0x' || substr(md5('0:{n}:' || concept || ':' || pair_index || ':' || pos), 1, 8) AS BIGINT) / 4294967296.0"
+    dist = lambda a, b: f"round(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9)"
+    one = "{'pair_index': pair_index, 'pos': pos, 'vec': vec}"
+    sql = SQL_FR + f""", j AS (SELECT fr.pair_index, fr.pos, concept, vec FROM fr JOIN tg USING (pair_index)),
+k0 AS (SELECT concept, [arg_min({one}, (u, pair_index, pos))] AS cands FROM (SELECT *, {u(0)} AS u FROM j) GROUP BY 1)"""
+    for n in range(1, passes + 1):
+        sql += f""",
+d{n} AS (SELECT j.*, list_min(list_transform(cands, lambda c: {dist('vec', 'c.vec')})) AS d, {u(n)} AS u FROM j JOIN k{n - 1} USING (concept)),
+e{n} AS (SELECT *, sum(d) OVER (PARTITION BY concept) AS whole FROM d{n}),
+t{n} AS (SELECT concept, list({one}) AS more FROM e{n} WHERE whole > 0 AND u < 4.0 * d / whole GROUP BY 1),
+k{n} AS (SELECT concept, list_sort(list_concat(cands, coalesce(more, []))) AS cands FROM k{n - 1} LEFT JOIN t{n} USING (concept))"""
+    return sql + f""",
+nr AS (SELECT concept, cands, list_transform(cands, lambda c: {dist('vec', 'c.vec')}) AS d FROM j JOIN k{passes} USING (concept)),
+nw AS (SELECT concept, i, count(*) AS w FROM (SELECT concept, list_position(d, list_min(d)) AS i FROM nr) GROUP BY 1, 2),
+r0 AS (SELECT concept, list_transform(cands, lambda c: c.vec) AS v, list_transform(range(1, len(cands) + 1), lambda i: coalesce(CAST(m[i] AS DOUBLE), 0.0)) AS w FROM k{passes} JOIN (SELECT concept, map(list(i), list(w)) AS m FROM nw GROUP BY 1) USING (concept)),
+r1 AS (SELECT *, list_position(w, list_max(w)) AS p0 FROM r0),
+r2 AS (SELECT *, list_transform(range(1, len(v) + 1), lambda i: w[i] * {dist('v[i]', 'v[p0]')}) AS s FROM r1),
+sd AS (SELECT concept, 0 AS m, v[p0] AS mean FROM r2 UNION ALL SELECT concept, 1, v[list_position(s, list_max(s))] FROM r2 WHERE list_max(s) > 0)"""
+
+
+@query(sql_seeds() + " SELECT concept, CAST(m AS BIGINT) AS m, CAST(i - 1 AS BIGINT) AS i, round(mean[i], 6) AS x FROM sd, range(1, 65) r(i)")
+def m06_kmeans_seeds(spark: Spark, d: str) -> DataFrame:
+    """Start of clustering by distance-proportional oversampling."""
+    c = em.kmeans_seeds(*frames_and_labels(spark, d), m=2)
+    return c.select("concept", "m", F.posexplode("mean").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(sql_seeds() + ", " + sql_assign("sd", "s1") + " SELECT pair_index, pos, concept, CAST(m AS BIGINT) AS m FROM s1")
+def m06_kmeans_seeded(spark: Spark, d: str) -> DataFrame:
+    """Frames at the nearest seed of their pair's concepts."""
+    f, t = frames_and_labels(spark, d)
+    return em.kmeans(f, t, m=2, iterations=0, start=em.kmeans_seeds(f, t, m=2))[1].select(PAIR, "pos", "concept", "m")
+
+
 SQL_GMM = SQL_FR + f""", l0 AS (SELECT fr.pair_index, pos, concept, m, vec, {SQL_DENSITY} AS l FROM fr JOIN tg USING (pair_index) JOIN c0 USING (concept)), r0 AS (SELECT *, exp(l - max(l) OVER (PARTITION BY pair_index, pos)) AS e FROM l0), g0 AS (SELECT *, e / sum(e) OVER (PARTITION BY pair_index, pos) AS post FROM r0),
 gx AS (SELECT concept, m, post, unnest(range(64)) AS i, unnest(vec) AS x FROM g0), m1 AS (SELECT concept, m, i, sum(x * post) / sum(post) AS mean FROM gx GROUP BY ALL)"""
 
@@ -265,6 +301,40 @@ def k05_state_posteriors(spark: Spark, d: str) -> DataFrame:
     return hmm.state_posteriors(*_counted_chain(spark, d)).select(PAIR, "pos", "state", F.round("post", 6).alias("post"))
 
 
+def _chunk_inputs(spark: Spark, d: str) -> tuple[DataFrame, chains.Chain]:
+    """Emissions of every position in long format, and the chain of each size."""
+    co = em.cooccurrences(C.src_tokens(spark, d), C.trg_tokens(spark, d))
+    e = co.join(em.counted_translation(co), ["concept", "token"])
+    steps = em.keep(e.groupBy(PAIR, F.col("spos").alias("pos")).agg(F.transform(F.array_sort(F.collect_list(F.struct("tpos", "p"))), lambda t: t["p"]).alias("e")))
+    share = lambda w: w / w.sum(-1, keepdims=True)
+    most = steps.agg(F.max(F.size("e"))).first()[0] or 0
+    return steps, {n: (share(1 / (np.arange(n) + 1.0)), share(1 / (1.0 + abs(np.subtract.outer(np.arange(n), np.arange(n)))))) for n in range(1, most + 1)}
+
+
+@query(sql_chain() + " SELECT pair_index, round(sum(ln(c)), 6) AS ll FROM fw0 GROUP BY 1")
+def k01_chunked_likelihood(spark: Spark, d: str) -> DataFrame:
+    """The forward pass by chunks of two positions and parallel prefix."""
+    return chains.posteriors(*_chunk_inputs(spark, d), size=2)[1].select(PAIR, F.round("ll", 6).alias("ll"))
+
+
+@query(sql_chain() + " SELECT pair_index, spos AS pos, tpos AS state, round(post, 6) AS post FROM ga0")
+def k05_chunked_posteriors(spark: Spark, d: str) -> DataFrame:
+    """Forward and backward by chunks of two positions."""
+    return chains.posteriors(*_chunk_inputs(spark, d), size=2)[0].select(PAIR, "pos", "state", F.round("post", 6).alias("post"))
+
+
+SQL_WHOLE = "lambda x: CAST(round(ln(x) * 4294967296.0) AS BIGINT)"
+
+
+@query(sql_chain() + f""", le AS (SELECT pair_index, spos, last, m, list_transform(e, {SQL_WHOLE}) AS e FROM em0), lt AS (SELECT m, list_transform(i0, {SQL_WHOLE}) AS i0, list_transform(t, lambda r: list_transform(r, {SQL_WHOLE})) AS t FROM tm0),
+vi AS (SELECT pair_index, spos, last, list_transform(range(1, m + 1), lambda i: i0[i] + e[i]) AS s, list_transform(range(m), lambda i: [i]) AS p FROM le JOIN lt USING (m) WHERE spos = 0
+  UNION ALL SELECT pair_index, spos, last, list_transform(q, lambda z: z.s), list_transform(q, lambda z: z.p) FROM (SELECT o.pair_index, o.spos, o.last, list_transform(range(1, o.m + 1), lambda j: list_transform([list_position(list_transform(range(1, o.m + 1), lambda i: s[i] + t[i][j]), list_max(list_transform(range(1, o.m + 1), lambda i: s[i] + t[i][j])))], lambda i: {{'s': s[i] + t[i][j] + e[j], 'p': list_append(p[i], j - 1)}})[1]) AS q FROM vi v JOIN le o ON o.pair_index = v.pair_index AND o.spos = v.spos + 1 JOIN lt ON lt.m = o.m))
+SELECT pair_index, CAST(unnest(range(len(path))) AS BIGINT) AS pos, CAST(unnest(path) AS BIGINT) AS state FROM (SELECT pair_index, p[list_position(s, list_max(s))] AS path FROM vi WHERE spos = last)""")
+def k09_chunked_paths(spark: Spark, d: str) -> DataFrame:
+    """Best paths by chunks of two positions; scores in whole units of 2^-32."""
+    return chains.best_paths(*_chunk_inputs(spark, d), size=2)
+
+
 def _stats(spark: Spark, d: str, tied: bool = False) -> dict[str, np.ndarray]:
     pairs, p = _counted_chain(spark, d)
     return hmm.add_up(pairs, lambda b: (hmm.expected_counts(p, x, y, tied) for _, x, y in hmm.shaped_batches(b)))
@@ -542,6 +612,40 @@ def m27_segment_embeddings(spark: Spark, d: str) -> DataFrame:
     return e.select(PAIR, "start", "end", F.round(N.total(F.col("vec")), 6).alias("total"))
 
 
+SQL_CUTS = sql_segments("kmeans").split("\nm0 AS")[0].rstrip(",") + f""",
+lb AS (SELECT CAST(label AS VARCHAR) AS concept, unnest(range(64)) AS i, unnest(vec) AS x FROM vec),
+cn AS (SELECT concept, list_concat(list_concat(s, s), s) AS s, n, 1 / (1 + n / 0.05) AS post, (SELECT count(DISTINCT label) FROM vec) AS k, (SELECT count(*) FROM vec) AS total FROM (SELECT concept, list(x ORDER BY i) AS s, any_value(n) AS n FROM (SELECT concept, i, sum(x) AS x, count(*) AS n FROM lb GROUP BY 1, 2) GROUP BY 1)),
+cm AS (SELECT concept, list_transform(s, lambda x: x * post / 0.05) AS mean, post + 0.05 AS pv, ln(n + 1 / k) AS share, ln(total + 1) AS whole FROM cn),
+jo AS (SELECT pair_index, n, s, e, share - 0.5 * (192 * ln(2 * pi() * pv) + list_sum(list_transform(list_zip(v, mean), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / pv) - whole AS l FROM sv, cm),
+sc AS (SELECT pair_index, n, s, e, (e - s) * (top + ln(sum(exp(l - top)))) / 100 AS score FROM (SELECT *, max(l) OVER (PARTITION BY pair_index, s, e) AS top FROM jo) GROUP BY pair_index, n, s, e, top),
+wy AS (SELECT pair_index, n, e AS upto, score, [s] AS starts FROM sc WHERE s = 0 UNION ALL SELECT w.pair_index, w.n, b.e, w.score + b.score, list_append(w.starts, b.s) FROM wy w JOIN sc b ON b.pair_index = w.pair_index AND b.s = w.upto),
+wn AS (SELECT pair_index, n, starts, exp(score - max(score) OVER (PARTITION BY pair_index)) AS w FROM wy WHERE upto = n)
+SELECT pair_index, mark, round(sum(CASE WHEN list_contains(starts, mark) OR mark = n THEN w ELSE 0 END) / sum(w), 6) AS p FROM (SELECT *, unnest(range(n + 1)) AS mark FROM wn) GROUP BY 1, 2"""
+
+
+def _label_components(spark: Spark, d: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and sums of the labels' vectors, as segments of ``n`` equal frames."""
+    v = C.vectors(spark, d).select(F.col("label").alias("c"), "vec")
+    count = {r["c"]: float(r["n"]) for r in v.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per label
+    mean = {r["c"]: np.array(r["mean"]) for r in em.mean_vectors(v, ["c"]).collect()}
+    return np.array([count[c] for c in sorted(count)]), np.stack([np.repeat(mean[c][None] * count[c], n, 0).T.ravel() for c in sorted(count)])
+
+
+@query(SQL_CUTS)
+def m27_cut_posteriors(spark: Spark, d: str) -> DataFrame:
+    """Probability of a cut at every landmark, over all segmentations."""
+    pairs, _ = _segment_inputs(spark, d)
+    out = wordseg.cut_posteriors(pairs, _label_components(spark, d, 3), 3, 0.05, heat=100.0, technique="interpolate", longest=6)
+    return out.withColumn("p", F.round("p", 6))
+
+
+@query()
+def m27_word_segments(spark: Spark, d: str) -> DataFrame:
+    """Segments and components sampled together, annealed, over all pairs."""
+    pairs, _ = _segment_inputs(spark, d)
+    return wordseg.sample_segments(pairs, 8, 3, 0.05, 3, hottest=2.0, technique="interpolate", longest=3, seed=1)
+
+
 @query(sql_ibm1(1) + """, st AS (SELECT pair_index AS item_id, list(concept ORDER BY concept) AS c FROM trg GROUP BY 1), bs AS (SELECT c, token, ln(max(p)) AS lp FROM (SELECT DISTINCT c, unnest(c) AS concept FROM st) JOIN p1 USING (concept) GROUP BY 1, 2),
 qs AS (SELECT DISTINCT pair_index AS query_id FROM src WHERE pair_index % 100 = 0), sc AS (SELECT pair_index AS query_id, c, round(sum(lp), 6) AS score FROM src JOIN bs USING (token) WHERE pair_index % 100 = 0 GROUP BY 1, 2),
 al AS (SELECT query_id, item_id, coalesce(score, CAST('-infinity' AS DOUBLE)) AS score FROM qs CROSS JOIN st LEFT JOIN sc USING (query_id, c))
@@ -552,6 +656,24 @@ def m31_translation_search(spark: Spark, d: str) -> DataFrame:
     return R.translation_search(src.where(F.col(PAIR) % 100 == 0), trg, em.ibm1(src, trg, 1), 10, digits=6)
 
 
+@query(sql_chain() + """, st AS (SELECT pair_index AS item_id, list(concept ORDER BY pos) AS c FROM trg GROUP BY 1), ks AS (SELECT c, row_number() OVER () AS sid, len(c) AS m FROM (SELECT DISTINCT c FROM st)),
+bk AS (SELECT DISTINCT token FROM src), lp AS (SELECT concept, token, ln(greatest(coalesce(p, 0), 1e-9)) AS l FROM ty CROSS JOIN bk LEFT JOIN ob0 USING (concept, token)),
+ev AS (SELECT sid, token, any_value(m) AS m, list(l ORDER BY concept) AS e FROM (SELECT sid, m, unnest(c) AS concept FROM ks) JOIN lp USING (concept) GROUP BY 1, 2),
+qx AS (SELECT pair_index AS query_id, list(token ORDER BY pos) AS x FROM src WHERE pair_index % 100 = 0 GROUP BY 1),
+lm AS (SELECT m, list_transform(i0, lambda x: ln(x)) AS i0, list_transform(t, lambda r: list_transform(r, lambda x: ln(x))) AS t FROM tm0),
+al AS (SELECT query_id, x, sid, ev.m, 1 AS k, list_transform(range(1, ev.m + 1), lambda i: i0[i] + e[i]) AS s FROM qx JOIN ev ON token = x[1] JOIN lm ON lm.m = ev.m
+  UNION ALL SELECT query_id, x, al.sid, al.m, k + 1, list_transform(range(1, al.m + 1), lambda j: list_max(list_transform(range(1, al.m + 1), lambda i: s[i] + t[i][j])) + e[j]) FROM al JOIN ev ON ev.sid = al.sid AND ev.token = x[k + 1] JOIN lm ON lm.m = al.m WHERE k < len(x)),
+sc AS (SELECT query_id, item_id, round(list_max(s), 6) AS score FROM al JOIN ks USING (sid) JOIN st USING (c) WHERE k = len(x))
+SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id DESC) AS rank FROM sc) WHERE rank <= 10""")
+def m31_chain_search(spark: Spark, d: str) -> DataFrame:
+    """For every 100th source pair the ten target pairs it aligns with best."""
+    pairs, p = _counted_chain(spark, d)
+    y = F.transform("y", lambda h: (F.array_position(h, F.lit(1.0)) - 1).cast("int"))
+    ids = pairs.select(PAIR, F.transform("x", lambda i: i.cast("int")).alias("x"), y.alias("y"))
+    queries = ids.where(F.col(PAIR) % 100 == 0).select(F.col(PAIR).alias("query_id"), "x")
+    return R.chain_search(queries, ids.select(F.col(PAIR).alias("item_id"), "y"), p, 10, 1e-9)[0]
+
+
 @query(f"WITH {SQL_SRC}, c AS (SELECT token, count(*) AS n FROM src GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, token) AS k FROM c) SELECT token, n, CAST(least(n, floor(500 * pow(k, -1.0) / sum(pow(k, -1.0)) OVER ())) AS BIGINT) AS take FROM r")
 def m33_power_law_sampler(spark: Spark, d: str) -> DataFrame:
     c = C.src_tokens(spark, d).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
