@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_near import brute
+from tests.llm.test_toxicity import plain_score
 from threadloom.llm.bpe import encoder
 from threadloom.llm.mixing import mix
-from threadloom.llm.toxicity import fit, score_text
+from threadloom.llm.toxicity import fit
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,8 +24,7 @@ def test_stages(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
     model = fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    words = model.word_scores()
-    want = [{i: t for i, t in rows.items() if score_text(model, words, t) < 0.7}]
+    want = [{i: t for i, t in rows.items() if plain_score(model.weights, model.bias, model.leak, t) < 0.7}]
     first: dict = {}
     for i in sorted(want[0]):
         first.setdefault(lower(want[0][i]), i)

@@ -41,12 +41,13 @@ def plain_features(text):
     return {f for w in re.findall(r"[^\W\d_]+", text.lower()) for f in [w] + [w[:n] + "*" for n in (3, 4, 5, 6) if len(w) > n]}
 
 
-def plain_score(weights, bias, text):
-    """1 - the product over sentences of 1 - sigmoid(sum of weights)."""
-    pieces = [p for p in re.split(r"[.!?\n]", text) if p.strip()] or [""]
-    off = 1.0
-    for p in pieces:
-        off *= 1 - 1 / (1 + math.exp(-bias - sum(weights.get(f, 0.0) for f in plain_features(p))))
+def plain_score(weights, bias, leak, text):
+    """1 - (1 - leak) times the product over sentences that have a feature of
+    1 - sigmoid(sum of weights)."""
+    off = 1 - 1 / (1 + math.exp(-leak))
+    for p in re.split(r"[.!?\n]", text):
+        if found := plain_features(p) & set(weights):
+            off *= 1 - 1 / (1 + math.exp(-bias - sum(weights[f] for f in sorted(found))))
     return 1 - off
 
 
@@ -55,7 +56,7 @@ def test_scores_against_plain_noisy_or(spark, sf):
     model = fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     got = {r.doc_id: r.score for r in score(docs, model).collect()}
     for r in docs.collect():
-        assert got[r.doc_id] == pytest.approx(plain_score(model.weights, model.bias, r.text), abs=1e-9)
+        assert got[r.doc_id] == pytest.approx(plain_score(model.weights, model.bias, model.leak, r.text), abs=1e-9)
 
 
 def test_choice_against_plain_counts(spark, sf):
@@ -84,13 +85,13 @@ def test_likelihood_and_gradient():
     index = {"foul": 0, "fine": 1, "grim": 2, "fou*": 3}
     heads = {f.rstrip("*")[:3] for f in index}
     bags = Bags.of([(y, *bag(index, heads, t)) for t, y in zip(texts, labels, strict=True)])
-    theta = np.array([0.7, -0.4, 1.1, 0.2, -1.3])
+    theta = np.array([0.7, -0.4, 1.1, 0.2, -1.3, -2.1])
     weights = dict(zip(index, theta, strict=False))
 
     def plain(t, decay=0.01):
         w = dict(zip(index, t, strict=False))
-        p = [plain_score(w, t[-1], x) for x in texts]
-        return float(np.mean([math.log(q if y else 1 - q) for q, y in zip(p, labels, strict=True)]) - decay / 2 * sum(v * v for v in t[:-1]))
+        p = [plain_score(w, t[-2], t[-1], x) for x in texts]
+        return float(np.mean([math.log(q if y else 1 - q) for q, y in zip(p, labels, strict=True)]) - decay / 2 * sum(v * v for v in t[:-2]))
 
     value, g = likelihood(bags, theta, 0.01)
     assert weights
@@ -121,6 +122,30 @@ def test_any_text(text):
     assert score_text(m, m.word_scores(), text + "\nBAD") > 0.9
 
 
+def test_length_is_no_evidence(spark):
+    """Clean sentences score alike in any number; one offending sentence among
+    100,000 is found and located."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    words = model.word_scores()
+    clean = {n: score_text(model, words, "a b c. " * n) for n in (0, 1, 1_000, 100_000)}
+    assert max(clean.values()) - min(clean.values()) < 0.01 and max(clean.values()) < 0.3
+    bad = max((s for r in docs.collect() for s in toxicity.sentence_probs(model, words, r.text) if s[2] > 0.9), key=lambda s: s[2], default=None)
+    assert bad is not None
+    text = next(r.text[s[0] : s[1]] for r in docs.collect() for s in toxicity.sentence_probs(model, words, r.text) if s[2] == bad[2])
+    long = "a b c. " * 50_000 + text + ". " + "a b c. " * 50_000
+    got, found = toxicity.judged(model, words, long)
+    assert got > 0.8 and [long[s:e].strip() for s, e, p in found if p > 0.5] == [text.strip()]
+
+
+def test_long_words_are_not_kept():
+    words = Model({"bad": 9.0, "bad*": 1.0}, -4.0).word_scores()
+    for i in range(50):
+        words.total({"bad" + "x" * 100_000 + str(i)})
+    assert sum(map(len, words)) < 1000
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(1, 0, 1), (None, 0, 1), (2, 1, None)], "doc_id bigint, quality int, toxic int")
     docs = spark.createDataFrame([(1, "x"), (2, None), (None, "y"), (2, None), (3, "")], "doc_id bigint, text string").withColumns({"score": F.lit("clash"), "_y": F.lit(1)})

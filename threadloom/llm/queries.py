@@ -139,8 +139,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, held_out, score
 
     docs = read(spark, sf_dir, "documents")
-    out = score(docs, fit(docs, read(spark, sf_dir, "labels")))
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    out = score(docs, fit(docs, read(spark, sf_dir, "labels")), spans=True)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), spans.alias("offending"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,11 +31,16 @@ def sentences(text: str) -> Iterator[re.Match]:
 
 @dataclass
 class Model:
-    """``weights`` of features, the sentence ``bias`` and the score of a text
-    without any sentence."""
+    """``weights`` of features; ``bias`` of a sentence that has any; ``leak``,
+    the log odds that a text is toxic whatever its sentences say."""
 
     weights: dict[str, float]
     bias: float
+    leak: float = -20.0
+
+    def quiet(self) -> float:
+        """The score of a text without evidence, of any length."""
+        return float(1 / (1 + np.exp(-self.leak)))
 
     def word_scores(self) -> "WordScores":
         return WordScores(self.weights)
@@ -43,17 +48,19 @@ class Model:
 
 class WordScores(dict):
     """Score of each word that shares its first letters with a feature; any
-    other word scores 0 and isn't stored. Forgets all when it gets large."""
+    other word scores 0 and isn't stored, nor is a word of more than ``longest``
+    letters. Forgets all when it gets large, so it is bounded in bytes."""
 
-    def __init__(self, weights: dict[str, float], most: int = 500_000):
-        self.weights, self.most = weights, most
+    def __init__(self, weights: dict[str, float], most: int = 500_000, longest: int = 64):
+        self.weights, self.most, self.longest = weights, most, longest
         self.heads = {f.rstrip("*")[: PREFIXES[0]] for f in weights}
 
     def __missing__(self, word: str) -> float:
         if len(self) > self.most:
             self.clear()
         w = sum(self.weights.get(f, 0.0) for f in features(word))
-        self[word] = w
+        if len(word) <= self.longest:
+            self[word] = w
         return w
 
     def total(self, words: Iterable[str]) -> float:
@@ -66,26 +73,28 @@ class WordScores(dict):
 
 
 def sentence_probs(model: Model, scores: WordScores, text: str) -> list[tuple[int, int, float]]:
-    """(start, end, probability) of each sentence; code points."""
+    """(start, end, probability) of each sentence that has a feature; code points."""
     out = []
     for m in sentences(text):
-        z = model.bias + scores.total(set(WORD.findall(m.group().lower())))
-        out.append((m.start(), m.end(), float(1 / (1 + np.exp(-z)))))
+        words = set(WORD.findall(m.group().lower()))
+        if scores.any(words):
+            out.append((m.start(), m.end(), float(1 / (1 + np.exp(-model.bias - scores.total(words))))))
     return out
 
 
+def judged(model: Model, scores: WordScores, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+    """The text's score and the sentences behind it: the noisy-or of the leak,
+    once, and of the sentences that have a feature, 1 - (1 - leak) * product of
+    (1 - p). Sentences without features add nothing, so length alone adds nothing."""
+    if not scores.any(set(WORD.findall(text.lower()))):
+        return model.quiet(), []
+    found = sentence_probs(model, scores, text)
+    off = np.log1p(-model.quiet()) + sum(np.log1p(-min(p, 1 - 1e-12)) for _, _, p in found)
+    return float(1 - np.exp(off)), found
+
+
 def score_text(model: Model, scores: WordScores, text: str) -> float:
-    """1 - product over sentences of (1 - p): the noisy-or of the sentences; a
-    text without sentences scores as one sentence without any evidence."""
-    low = text.lower()
-    quiet = 1 / (1 + np.exp(-model.bias))
-    if not scores.any(set(WORD.findall(low))):
-        n = max(1, sum(1 for _ in sentences(text)))
-        return float(1 - (1 - quiet) ** n)
-    off = 0.0
-    for _, _, p in sentence_probs(model, scores, text):
-        off += np.log1p(-min(p, 1 - 1e-12))
-    return float(1 - np.exp(off))
+    return judged(model, scores, text)[0]
 
 
 def _counted(texts: Iterable[tuple[str, int]], flush: int = 200_000) -> Iterator[dict[str, list[int]]]:
@@ -125,50 +134,48 @@ def choose_features(sample: DataFrame, least: int = 3, z: float = 4.0, most: int
 class Bags:
     """Documents as bags of sentences: ``doc, times`` of each different set of
     features that sentences of a document have, the features of set i as
-    ``cols[ends[i]:ends[i + 1]]``; ``quiet``: sentences of a document without
-    any feature (a text without sentences counts as one)."""
+    ``cols[ends[i]:ends[i + 1]]``. Sentences without features aren't listed."""
 
     labels: np.ndarray
-    quiet: np.ndarray
     doc: np.ndarray
     times: np.ndarray
     cols: np.ndarray
     ends: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int, int, list[int], list[int], list[int]]]) -> "Bags":
-        """From (label, quiet, times, sizes, cols) of each document."""
+    def of(cls, rows: list[tuple[int, list[int], list[int], list[int]]]) -> "Bags":
+        """From (label, times, sizes, cols) of each document."""
         flat = lambda k, kind: np.concatenate([np.asarray(r[k], kind) for r in rows]) if rows else np.zeros(0, kind)
-        doc = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-        return cls(np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float), doc, flat(2, float), flat(4, np.int64), np.concatenate([[0], np.cumsum(flat(3, np.int64))]))
+        doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+        return cls(np.array([r[0] for r in rows], float), doc, flat(1, float), flat(3, np.int64), np.concatenate([[0], np.cumsum(flat(2, np.int64))]))
 
 
-def bag(index: dict[str, int], heads: set[str], text: str) -> tuple[int, list[int], list[int], list[int]]:
-    """(quiet, times, sizes, cols) of one text."""
+def bag(index: dict[str, int], heads: set[str], text: str) -> tuple[list[int], list[int], list[int]]:
+    """(times, sizes, cols) of one text."""
     seen: Counter = Counter()
-    n = 0
     for m in sentences(text):
-        n += 1
         words = {w for w in WORD.findall(m.group().lower()) if w[: PREFIXES[0]] in heads}
         if hits := {index[f] for w in words for f in features(w) if f in index}:
             seen[tuple(sorted(hits))] += 1
     sets = sorted(seen)
-    return max(1, n) - sum(seen.values()), [seen[s] for s in sets], [len(s) for s in sets], [c for s in sets for c in s]
+    return [seen[s] for s in sets], [len(s) for s in sets], [c for s in sets for c in s]
 
 
 def likelihood(bags: Bags, theta: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
     """Mean log likelihood of the document labels less the decay term, and its
-    gradient. The chance that a document is positive is the noisy-or of its
-    sentences: 1 - product of (1 - sigmoid(bias + sum of weights))."""
+    gradient, by the weights, the sentence bias and the leak (``theta`` in this
+    order). The chance that a document is positive is the noisy-or of the leak
+    and its sentences: 1 - (1 - sigmoid(leak)) * product of (1 - sigmoid(bias +
+    sum of weights))."""
     sums = np.add.reduceat(np.append(theta[bags.cols], 0.0), bags.ends[:-1]) if len(bags.times) else np.zeros(0)
-    p, q = 1 / (1 + np.exp(-(theta[-1] + sums))), 1 / (1 + np.exp(-theta[-1]))
+    p, q = 1 / (1 + np.exp(-(theta[-2] + sums))), 1 / (1 + np.exp(-theta[-1]))
     n = len(bags.labels)
-    off = np.bincount(bags.doc, bags.times * np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n) + bags.quiet * np.log1p(-q)
+    off = np.bincount(bags.doc, bags.times * np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n) + np.log1p(-q)
     on = np.clip(1 - np.exp(off), 1e-9, 1 - 1e-9)
     pull = (bags.labels - on) / on
     each = p * bags.times * pull[bags.doc]
-    g = np.append(np.bincount(bags.cols, np.repeat(each, np.diff(bags.ends)), minlength=len(theta) - 1), each.sum() + (bags.quiet * q * pull).sum()) / n
-    w = np.append(theta[:-1], 0)
+    g = np.concatenate([np.bincount(bags.cols, np.repeat(each, np.diff(bags.ends)), minlength=len(theta) - 2), [each.sum(), (q * pull).sum()]]) / n
+    w = np.append(theta[:-2], [0, 0])
     return float((bags.labels * np.log(on) + (1 - bags.labels) * np.log1p(-on)).mean() - decay / 2 * (w @ w)), g - decay * w
 
 
@@ -177,15 +184,15 @@ def train_bags(names: list[str], bags: Bags, rounds: int = 300, rate: float = 0.
     labels = bags.labels
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1)
-        return Model({}, float(np.log(share / (1 - share))))
-    theta = np.zeros(len(names) + 1)
-    theta[-1] = -5.0
+        return Model({}, -5.0, float(np.log(share / (1 - share))))
+    theta = np.zeros(len(names) + 2)
+    theta[-2:] = -5.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         g = likelihood(bags, theta, decay)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model({f: float(theta[i]) for i, f in enumerate(names)}, float(theta[-1]))
+    return Model({f: float(theta[i]) for i, f in enumerate(names)}, float(theta[-2]), float(theta[-1]))
 
 
 def train(sample: DataFrame, least: int = 3, z: float = 4.0, most: int = 4000) -> Model:
@@ -200,11 +207,11 @@ def train(sample: DataFrame, least: int = 3, z: float = 4.0, most: int = 4000) -
         heads = {f.rstrip("*")[: PREFIXES[0]] for f in index}
         for b in it:
             rows = [bag(index, heads, t or "") for t in b.column("text").to_pylist()]
-            lists = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([r[0] for r in rows], pa.int64()), *lists], ["id", "y", "quiet", "times", "sizes", "cols"])
+            lists = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), *lists], ["id", "y", "times", "sizes", "cols"])
 
     kind = sample.schema["id"].dataType.simpleString()
-    got = sample.select("id", "text", "y").mapInArrow(run, f"id {kind}, y int, quiet bigint, times array<int>, sizes array<int>, cols array<int>").toArrow()
+    got = sample.select("id", "text", "y").mapInArrow(run, f"id {kind}, y int, times array<int>, sizes array<int>, cols array<int>").toArrow()
     cols = [got.column(k).to_pylist() for k in got.column_names]
     return train_bags(names, Bags.of([r[1:] for r in sorted(zip(*cols, strict=True))]))
 
@@ -266,8 +273,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``doc_id, score`` (0 to 1) of every whole text, and with ``spans`` the
     sentences whose own probability is ``cutoff`` or more.
 
-    Sees texts only. Nulls and empty texts score as one sentence without any
-    evidence. Repeated rows score alike; other columns are ignored. No shuffle.
+    Sees texts only. Texts without evidence (nulls and empty ones, clean ones of
+    any length) score the leak. Repeated rows score alike; other columns are
+    ignored. No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 4000 weights
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -280,9 +288,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in it:
             col = b.column("text")
             texts = [col[i].as_py() or "" for i in range(len(col))]
-            out = [b.column("doc_id"), pa.array([score_text(m, words, t) for t in texts], pa.float64())]
+            found = [judged(m, words, t) for t in texts]
+            out = [b.column("doc_id"), pa.array([f[0] for f in found], pa.float64())]
             if spans:
-                out.append(pa.array([[{"start": s, "end": e, "p": p} for s, e, p in sentence_probs(m, words, t) if p >= cutoff] for t in texts], where))
+                out.append(pa.array([[{"start": s, "end": e, "p": p} for s, e, p in f[1] if p >= cutoff] for f in found], where))
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "score", "spans"][: len(out)])
 
     return rows.mapInArrow(run, f"doc_id {kind}, score double" + ", spans array<struct<start:int,end:int,p:double>>" * spans)
@@ -291,7 +300,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, model: Model, cutoff: float = 0.7, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``cutoff`` or more: one pass over
     whole rows, whatever their columns; no join, no shuffle. A null or empty text
-    scores as one sentence without evidence; repeated rows go or stay together."""
+    scores as any text without evidence; repeated rows go or stay together."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it):
