@@ -433,3 +433,14 @@ def test_long_chain_and_repeats(spark):
     assert [t.text for t in got["1"].turns] == [r[3] for r in rows[:300]]
     assert got["2"].n_turns == 2
     assert got[""].turns[0].text == "x" * 100_000
+
+
+def test_mixing_blocks_are_bounded(spark):
+    """Blocks grow with the input: never more than ``most_blocks`` and one a source."""
+    docs = spark.createDataFrame([(i, "x" * (i % 50), None, f"s{i % 3}", 0) for i in range(3000)], DOCS)
+    out = mixing.mix(docs, carry=["doc_id"], block_bytes=64, most_blocks=40).collect()
+    total = sum(r["size"] for r in out)
+    slots = {r.slot for r in out}
+    assert len(out) == 3000 and total / 64 > 1000 and len(slots) <= max(slots) + 1 <= 43
+    small = mixing.mix(docs, carry=["doc_id"], block_bytes=64).collect()
+    assert len({r.slot for r in small}) > 1000

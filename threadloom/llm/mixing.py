@@ -96,6 +96,7 @@ def mix(
     period: int = 1024,
     block_bytes: int = 1 << 16,
     per_bucket: int = 200,
+    most_blocks: int = 1 << 21,
 ) -> DataFrame:
     """``row`` (struct of the ``carry`` columns; None: all), ``size, block,
     release, deadline, slot, bucket, in_bucket``; reading by ``slot`` interleaves
@@ -113,7 +114,10 @@ def mix(
     start plus a running sum inside the bucket, so a source with any share of
     the rows is spread over many tasks. The schedule follows the exact weights
     over all blocks: the driver makes and broadcasts 24 bytes a block,
-    ``period`` blocks of a source in a row.
+    ``period`` blocks of a source in a row. Blocks grow with the input so that
+    there are ``most_blocks`` and one a source at most (50 MB and a few seconds
+    at the default): above 128 GiB a block is the total over ``most_blocks``,
+    and every source stays within one such block of its share.
 
     Nulls: a null source is a source of its own, a null text has size 1, a null
     id is ordered first. Columns of any name travel inside ``row``.
@@ -134,6 +138,7 @@ def mix(
         rule = {s: named.get(s, rule[s] * scale) for s in totals}
         if any(rule[s] <= 0 for s in rule):
             raise ValueError("a source that has rows needs a weight above 0")
+    block_bytes = max(block_bytes, -(-sum(totals.values()) // most_blocks))
     table = schedule_table(spark, rule, {s: (t - 1) // block_bytes + 1 for s, t in totals.items()}, period)
     order = Window.partitionBy("_skey", "_bucket").orderBy("_id", "_size", "_tie")
     run = rows.withColumn("_run", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
