@@ -171,3 +171,13 @@ def test_edges(spark, field):
     assert got == [("1", 0), ("2", 0), ("2", 0), ("None", 1)]
     assert S.scan(docs.where("false"), S.fit(docs.where("false"))).count() == 0
     assert S.scan(docs, S.fit(docs.where("doc_id = 2"))).count() == 4
+
+
+def test_long_tokens_are_not_kept():
+    """What a worker keeps doesn't grow with the length of tokens."""
+    model = secrets_crf.Crf(np.zeros((secrets_crf.BUCKETS, 3)), np.zeros((3, 3)))
+    for i in range(20):
+        token = "k" * 100_000 + str(i)
+        model.tag(["password", "=", token])
+        model.bound[token], model.own[token], model.prev[token], model.next[token]
+    assert sum(len(w) for c in (model.bound, model.own, model.prev, model.next) for w in c) < 1000

@@ -33,6 +33,8 @@ WIDTH = 1024
 BUCKETS = WIDTH * len(OWN + SIDE + FILE)
 _AT = {k: i * WIDTH for i, k in enumerate(OWN + SIDE + FILE)}
 KEEP = 1 << 18
+#: Words longer than this are summed anew each time.
+LONGEST = 64
 
 
 def base_spans(text: str, longest: int = 1 << 62) -> list[tuple[str, int, int, int]]:
@@ -193,6 +195,9 @@ class Crf:
 
 
 class _Sums(dict):
+    """Values by word (or by its form, the first of a key's parts), of which
+    ``KEEP`` of at most ``LONGEST`` characters are kept: bounded in bytes."""
+
     def __init__(self, of):
         self.of = of
 
@@ -200,7 +205,8 @@ class _Sums(dict):
         if len(self) > KEEP:
             self.clear()
         value = self.of(word)
-        self[word] = value
+        if len(word if isinstance(word, str) else word[0]) <= LONGEST:
+            self[word] = value
         return value
 
 
