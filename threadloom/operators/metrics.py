@@ -163,3 +163,55 @@ def normalised_edit_distance(pairs: DataFrame, left: str, right: str) -> DataFra
     """Mean over pairs of edit distance by the longer length."""
     d = edit_counts(F.col(left), F.col(right))["dist"] / F.greatest(F.size(left), F.size(right), F.lit(1))
     return pairs.agg(F.avg(d).alias("ned"))
+
+
+def transcribed(spans: DataFrame, units: DataFrame, key: str = PAIR, unit: str = "token") -> DataFrame:
+    """``spans`` (``key, start, end``, other columns) with ``text``: the
+    units whose positions they hold, in order. An interval join by bins, then a
+    group a span, which is as long as the span."""
+    u = units.select(F.col(key).alias("_uk"), "pos", F.col(unit).alias("_u"))
+    hit = covered(spans, u, key, "_uk")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "_u"))), lambda x: x["_u"])
+    return hit.groupBy(*spans.columns).agg(F.array_join(listed, " ").alias("text"))
+
+
+def _ratio(a: str, b: str) -> Column:
+    return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+
+
+def _prf(row: DataFrame, hit: str, found: str, gold: str) -> DataFrame:
+    """``precision, recall, f1`` of a row of counts; 0 where nothing is counted."""
+    r = row.select(_ratio(hit, found).alias("precision"), _ratio(hit, gold).alias("recall"))
+    both = F.col("precision") + F.col("recall")
+    return r.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
+
+
+def grouping_prf(found: DataFrame, cls: str = "cls", text: str = "text") -> DataFrame:
+    """A29 grouping: of all pairs of segments in one discovered class the share
+    with equal transcriptions (precision); of all pairs with equal transcriptions
+    the share in one class (recall). Pairs are counted, never listed: n(n-1)/2
+    of each histogram cell, so a class with a third of all segments is a row per
+    different transcription."""
+    cells = found.groupBy(cls, text).agg(F.count(F.lit(1)).alias("n"))
+    pairs = lambda df: F.coalesce(F.sum((F.col("n").cast("decimal(19,0)") * (F.col("n") - 1) / 2).cast("decimal(38,0)")), F.lit(0)).cast("double")
+    by = lambda c, name: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(pairs(cells).alias(name))
+    return _prf(cells.agg(pairs(cells).alias("hit")).crossJoin(by(cls, "found")).crossJoin(by(text, "gold")), "hit", "found", "gold")
+
+
+def _set_prf(found: DataFrame, gold: DataFrame) -> DataFrame:
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    found, gold = found.distinct(), gold.distinct()
+    return _prf(n(found.join(gold, found.columns, "left_semi"), "hit").crossJoin(n(found, "found")).crossJoin(n(gold, "gold")), "hit", "found", "gold")
+
+
+def edge_prf(found: DataFrame, gold: DataFrame, key: str = PAIR) -> DataFrame:
+    """A29 boundary: of the different edges of discovered segments the share that
+    are edges of gold segments, and the reverse."""
+    edges = lambda df: df.select(key, F.explode(F.array("start", "end")).alias("edge"))
+    return _set_prf(edges(found), edges(gold))
+
+
+def type_prf(found: DataFrame, gold: DataFrame, text: str = "text") -> DataFrame:
+    """A29 type: of the different transcriptions of discovered segments the share
+    that are gold words, and the reverse."""
+    return _set_prf(found.select(text), gold.select(text))

@@ -190,6 +190,34 @@ def a29_token_scores(spark: Spark, d: str) -> DataFrame:
     return n(p.join(g, [PAIR, "start", "end"]), "hit").crossJoin(n(p, "n_pred")).crossJoin(n(g, "n_gold"))
 
 
+SQL_TEXTS = SQL_RUNS + """, ft AS (SELECT r.pair_index, r.start, r."end", r.pred AS cls, string_agg(ev.token, ' ' ORDER BY ev.pos) AS text FROM runs r JOIN ev ON ev.pair_index = r.pair_index AND ev.pos >= r.start AND ev.pos < r."end" GROUP BY 1, 2, 3, 4),
+gt AS (SELECT r.pair_index, r.start, r."end", string_agg(ev.token, ' ' ORDER BY ev.pos) AS text FROM gruns r JOIN ev ON ev.pair_index = r.pair_index AND ev.pos >= r.start AND ev.pos < r."end" GROUP BY 1, 2, 3)"""
+SQL_PRF = "SELECT round(hit / found, 9) AS precision, round(hit / gold, 9) AS recall, round(2 * (hit / found) * (hit / gold) / (hit / found + hit / gold), 9) AS f1 FROM n"
+
+
+def _texts(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Discovered runs with their class, gold runs, both with the tokens they hold."""
+    ev, (p, g) = C.event_tokens(spark, d), both_runs(spark, d)
+    return M.transcribed(p.select(PAIR, "start", "end", F.col("pred").alias("cls")), ev), M.transcribed(g.select(PAIR, "start", "end"), ev)
+
+
+@query(SQL_TEXTS + """, o AS (SELECT *, row_number() OVER (ORDER BY pair_index, start) AS i FROM ft), c AS (SELECT count(*) AS found, count(*) FILTER (a.text = b.text) AS hit FROM o a JOIN o b ON a.cls = b.cls AND a.i < b.i),
+n AS (SELECT hit, found, (SELECT count(*) FROM o a JOIN o b ON a.text = b.text AND a.i < b.i) AS gold FROM c) """ + SQL_PRF)
+def a29_grouping(spark: Spark, d: str) -> DataFrame:
+    return rounded(M.grouping_prf(_texts(spark, d)[0]), "precision", "recall", "f1", n=9)
+
+
+@query(SQL_RUNS + """, f AS (SELECT pair_index, start AS e FROM runs UNION SELECT pair_index, "end" FROM runs), g AS (SELECT pair_index, start AS e FROM gruns UNION SELECT pair_index, "end" FROM gruns),
+n AS (SELECT (SELECT count(*) FROM f JOIN g USING (pair_index, e)) AS hit, (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM g) AS gold) """ + SQL_PRF)
+def a29_boundary(spark: Spark, d: str) -> DataFrame:
+    return rounded(M.edge_prf(*both_runs(spark, d)), "precision", "recall", "f1", n=9)
+
+
+@query(SQL_TEXTS + """, f AS (SELECT DISTINCT text FROM ft), g AS (SELECT DISTINCT text FROM gt), n AS (SELECT (SELECT count(*) FROM f JOIN g USING (text)) AS hit, (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM g) AS gold) """ + SQL_PRF)
+def a29_type(spark: Spark, d: str) -> DataFrame:
+    return rounded(M.type_prf(*_texts(spark, d)), "precision", "recall", "f1", n=9)
+
+
 @query("SELECT p_brand AS phone, CAST(l_linenumber AS BIGINT) AS slot, round(avg(l_quantity), 6) AS mean, round(var_pop(l_quantity), 6) AS var FROM (SELECT CASE WHEN n >= 100 THEN p_brand ELSE '<rare>' END AS p_brand, l_linenumber, l_quantity FROM (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM lineitem JOIN part ON l_partkey = p_partkey)) GROUP BY 1, 2")
 def m25_segment_model(spark: Spark, d: str) -> DataFrame:
     g = fit_segment_model(C.lines(spark, d), "p_brand", "l_linenumber", "l_quantity", least=100)

@@ -9,7 +9,7 @@ from threadloom.functions import numeric as N
 from threadloom.operators import em
 from threadloom.operators import encode as E
 from threadloom.operators import segments as S
-from threadloom.sources import media, npz, sinks, text
+from threadloom.sources import media, npz, sinks, splits, text
 from threadloom.sources.shared import new_path
 
 from . import corpora as C
@@ -118,6 +118,49 @@ def s22_retrieval_tuples(spark: Spark, d: str) -> DataFrame:
     return text.retrieval_tuples(e.select(F.col("event_id").alias("at"), line.alias("line")))
 
 
+# Text files written from a table and read back in splits, with line numbers.
+
+
+def _as_text(spark: Spark, rows: DataFrame, order: str, line: str) -> DataFrame:
+    path = new_path(spark)
+    rows.orderBy(order).select(line).write.text(path)
+    return splits.numbered_lines(spark, path, across=True)
+
+
+def _triple_lines(spark: Spark, d: str) -> DataFrame:
+    """Records of three lines, in order of the pairs: targets, source, blank."""
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c]), " ")
+    src = C.src_tokens(spark, d).groupBy(PAIR).agg(listed("token").alias("s"))
+    trg = C.trg_tokens(spark, d).groupBy(PAIR).agg(listed("concept").alias("t"))
+    rows = src.join(trg, PAIR).select(PAIR, F.concat_ws("\n", "t", "s", F.lit("")).alias("line"))
+    return _as_text(spark, rows, PAIR, "line")
+
+
+@query("WITH " + SQL_SRC + ", o AS (SELECT pair_index, row_number() OVER (ORDER BY pair_index) - 1 AS n FROM (SELECT DISTINCT pair_index FROM src)) SELECT n AS pair_index, pos, token FROM src JOIN o USING (pair_index)")
+def s01_split_source(spark: Spark, d: str) -> DataFrame:
+    return text.triples(_triple_lines(spark, d))[0]
+
+
+@query("WITH " + SQL_SRC + ", " + SQL_TRG + ", o AS (SELECT pair_index, row_number() OVER (ORDER BY pair_index) - 1 AS n FROM (SELECT DISTINCT pair_index FROM src)) SELECT n AS pair_index, pos, concept FROM trg JOIN o USING (pair_index)")
+def s01_split_targets(spark: Spark, d: str) -> DataFrame:
+    return text.triples(_triple_lines(spark, d), null=False)[1]
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS at, event_type AS word, round(value, 6) AS begin, round(value + 1.5, 6) AS \"end\" FROM events")
+def s09_split_word_times(spark: Spark, d: str) -> DataFrame:
+    e = C.table(spark, d, "events").select("event_id", F.concat_ws(" ", "event_type", F.col("value").cast("string"), (F.col("value") + 1.5).cast("string")).alias("line"))
+    return text.word_times(_as_text(spark, e, "event_id", "line")).withColumns({"begin": F.round("begin", 6), "end": F.round("end", 6)})
+
+
+@query("WITH o AS (SELECT p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part) SELECT 2 * n + b AS pair_index, k, CASE WHEN b = 0 THEN k * p_size ELSE p_size + k END AS frame FROM o, (SELECT unnest(range(2)) AS b), (SELECT CAST(unnest(range(3)) AS BIGINT) AS k)")
+def s23_split_blocks(spark: Spark, d: str) -> DataFrame:
+    """Two blocks of three numbers for every part, over lines of all files."""
+    n = F.col("p_size")
+    p = C.table(spark, d, "part").select("p_partkey", F.format_string("0\n%d\n%d\n\n%d\n%d %d\n", n, n * 2, n, n + 1, n + 2).alias("line"))
+    lines = _as_text(spark, p, "p_partkey", "line").withColumn("file", F.lit(0))  # numbered across files: one text
+    return splits.number_blocks(lines).drop("file")
+
+
 # Round trips: written from a table, read back, compared with the table.
 
 
