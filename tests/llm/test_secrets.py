@@ -175,7 +175,7 @@ def test_edges(spark, field):
 
 def test_long_tokens_are_not_kept():
     """What a worker keeps doesn't grow with the length of tokens."""
-    model = secrets_crf.Crf(np.zeros((secrets_crf.BUCKETS, 3)), np.zeros((3, 3)))
+    model = S.Crf(np.zeros((S.BUCKETS, 3)), np.zeros((3, 3)))
     for i in range(20):
         token = "k" * 100_000 + str(i)
         model.tag(["password", "=", token])
