@@ -527,10 +527,11 @@ def w07_span_landmarks(spark: Spark, d: str) -> DataFrame:
 # sort, limit, sets
 
 
-@query("SELECT c_custkey, rank FROM (SELECT c_custkey, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) DESC) AS rank FROM customer) WHERE rank <= 20")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) DESC, c_custkey) AS rank FROM customer")
 def t01_order_by_suffix(spark: Spark, d: str) -> DataFrame:
-    c = C.table(spark, d, "customer").select("c_custkey", E.numeric_suffix(F.col("c_name"), "[^0-9]+").alias("s")).orderBy(F.desc("s")).limit(20)
-    return c.select("c_custkey", F.row_number().over(Window.orderBy(F.desc("s"))).alias("rank"))
+    """Every row's place in the order of numeric suffixes, ranked by ranges."""
+    c = C.table(spark, d, "customer").select("c_custkey", (-E.numeric_suffix(F.col("c_name"), "[^0-9]+")).alias("s"))
+    return E.ranked(c, ["s", "c_custkey"], "rank").select("c_custkey", (F.col("rank") + 1).alias("rank"))
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
