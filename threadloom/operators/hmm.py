@@ -166,18 +166,21 @@ def transition_counts(trans, pz, px, a, be, tied: bool):
 
 def concept_posterior(init, trans, pz, px):
     """p(z_i|x, y) (B, m, K), by clamping each concept of each state in turn
-    in the chain whose emissions mix the concepts at every step."""
+    in the chain whose emissions mix the concepts at every step. All clamped
+    chains advance together; only the messages of one step are held."""
     b, t, k = px.shape
     m = pz.shape[1]
     mixed = np.einsum("bmk,btk->btm", pz, px)
-    em = np.broadcast_to(mixed[:, :, None, None, :], (b, t, m, k, m)).copy()
-    for i in range(m):
-        em[:, :, i, :, i] = px
-    a, scale = init * em[:, 0], np.zeros((b, 1, 1))
+    own = np.arange(m)
+    a = np.empty((b, m, k, m))
+    a[:] = init * mixed[:, 0][:, None, None, :]
+    a[:, own, :, own] = init[:, None, None] * px[:, 0]
     for s in range(1, t):
-        a = np.einsum("bqki,ij->bqkj", a, trans) * em[:, s]
-        top = np.maximum(a.max((1, 2, 3), keepdims=True), 1e-300)
-        a, scale = a / top, scale + np.log(top[..., 0])
+        a = a @ trans
+        clamped = a[:, own, :, own] * px[:, s]
+        a *= mixed[:, s][:, None, None, :]
+        a[:, own, :, own] = clamped
+        a /= np.maximum(a.max((1, 2, 3), keepdims=True), 1e-300)
     p = np.maximum(pz * a.sum(-1), EPS)
     return p / p.sum(-1, keepdims=True)
 
@@ -252,15 +255,15 @@ def update(p: Params, s: dict[str, np.ndarray], rate: float, momentum: float = 0
 
 def shaped_batches(b: pa.RecordBatch, concepts: int = 64, most_bytes: int = 128 << 20) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """(row numbers, x, y) of the rows of equal shape in a batch; as many at once
-    as keep the largest array of the kernels (T x m x K x m a row, K up to
-    ``concepts``) within ``most_bytes``, one row at least."""
+    as keep the largest arrays of the kernels (T x m x K and m x K x m a row, K up
+    to ``concepts``) within ``most_bytes``, one row at least."""
     xs, ys = b.column("x").to_pylist(), b.column("y").to_pylist()
     groups: dict[tuple[int, int], list[int]] = {}
     for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
         if x and y:
             groups.setdefault((len(x), len(y)), []).append(i)
     for (t, m), rows in groups.items():
-        step = max(1, min(512, most_bytes // (8 * t * m * m * concepts)))
+        step = max(1, min(512, most_bytes // (8 * (t + m) * m * concepts)))
         for lo in range(0, len(rows), step):
             part = rows[lo : lo + step]
             yield part, np.array([xs[i] for i in part]), np.array([ys[i] for i in part], float)
@@ -281,12 +284,13 @@ def add_up(df: DataFrame, stats) -> dict[str, np.ndarray]:
         value = np.concatenate([v.ravel() for v in total.values()]) if total else np.zeros(0)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(index, pa.int64()), pa.array(value, pa.float64())], ["k", "i", "v"])
 
-    rows = df.mapInArrow(run, "k string, i long, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
-    out: dict[str, np.ndarray] = {}
-    for k in sorted({r["k"] for r in rows}):
-        own = {r["i"]: r["v"] for r in rows if r["k"] == k}
-        out[k] = np.array([own[i] for i in range(len(own))])
-    return out
+    sums = df.mapInArrow(run, "k string, i long, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toArrow()
+    key, index, value = sums["k"].combine_chunks().dictionary_encode(), sums["i"].to_numpy(), sums["v"].to_numpy()
+    code = key.indices.to_numpy()
+    order = np.lexsort((index, code))
+    ends = np.cumsum(np.bincount(code, minlength=len(key.dictionary)))
+    parts = np.split(value[order], ends[:-1]) if len(ends) else []
+    return dict(sorted(zip(key.dictionary.to_pylist(), parts, strict=True)))
 
 
 def train(pairs: DataFrame, p: Params, iterations: int, rate: float = 1.0, momentum: float = 0.0, tied: bool = False, all_steps: bool = False) -> tuple[Params, list[float]]:
@@ -378,3 +382,38 @@ def baum_welch(sequences: DataFrame, states: int, symbols: int, iterations: int,
     p.trans[states] = left / left.sum(1, keepdims=True)
     eye = F.array(*[F.array(*[F.lit(float(i == j)) for j in range(states)]) for i in range(states)])
     return train(sequences.withColumn("y", eye), p, iterations)
+
+
+def concept_posteriors(pairs: DataFrame, p: Params) -> DataFrame:
+    """``pair_index, state, concept, prior, post`` of every target of every
+    pair: its prediction, and the posterior given the pair's source."""
+    sent = pairs.sparkSession.sparkContext.broadcast(p)
+    names = ["pair_index", "state", "concept", "prior", "post"]
+
+    def run(it):
+        for b in it:
+            p, ids = sent.value, b.column("pair_index").to_numpy(zero_copy_only=False)
+            for rows, x, y in shaped_batches(b):
+                init, trans = p.chain(y.shape[1])
+                pz = classify(p.concept_kind, p.concept, y, p.width)
+                post = concept_posterior(init, trans, pz, emissions(p, x)[0])
+                at = np.indices(post.shape).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][at[0]]), pa.array(at[1]), pa.array(at[2]), pa.array(pz.ravel()), pa.array(post.ravel())], names)
+
+    return pairs.select("pair_index", "x", "y").mapInArrow(run, "pair_index long, state long, concept long, prior double, post double")
+
+
+def concept_gradient(pairs: DataFrame, p: Params) -> dict[str, np.ndarray]:
+    """The gradient of the expected log-likelihood in the weights of the
+    concept model, summed over all targets of all pairs."""
+    sent = pairs.sparkSession.sparkContext.broadcast(p)
+
+    def stats(b):
+        p = sent.value
+        for _, x, y in shaped_batches(b):
+            init, trans = p.chain(y.shape[1])
+            pz = classify(p.concept_kind, p.concept, y, p.width)
+            post = concept_posterior(init, trans, pz, emissions(p, x)[0])
+            yield classifier_gradient(p.concept_kind, p.concept, y, post - pz, p.width)
+
+    return {n: v.reshape(p.concept[n].shape) for n, v in add_up(pairs, stats).items()}

@@ -343,6 +343,76 @@ def _stats(spark: Spark, d: str, tied: bool = False) -> dict[str, np.ndarray]:
 def _matrix(spark: Spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
+#: Concept models over one-hot types with fixed weights, and the SQL of each:
+#: scores ``l`` of concept k for type t (both 0 to 5).
+CLASSIFIERS = {
+    "linear": ({"W": np.concatenate([2 * np.eye(6), np.arange(6)[:, None] / 10], 1)}, "2 * CAST(k = t AS INT) + k / 10"),
+    "rbf": ({"mu": 0.5 * np.eye(6) + 0.1}, "-(CASE WHEN k = t THEN 0.16 + 5 * 0.01 ELSE 0.81 + 0.36 + 4 * 0.01 END)"),
+    "mlp": ({"W1": np.concatenate([np.eye(6)[:4] + 0.25, -np.full((4, 1), 0.5)], 1), "W2": np.concatenate([np.eye(6)[:, :4] * 2, np.arange(6)[:, None] / 10], 1)}, "2 * CAST(k < 4 AS INT) * greatest(0, CAST(k = t AS INT) - 0.25) + k / 10"),
+}
+
+
+def sql_clamped(kind: str) -> str:
+    """``cl``: prior and posterior of every concept k of every target: the chain
+    run with that concept fixed in that target, all others mixed."""
+    return sql_chain() + f""", pz AS (SELECT t, k, exp(l) / sum(exp(l)) OVER (PARTITION BY t) AS p FROM (SELECT t, k, {CLASSIFIERS[kind][1]} AS l FROM (SELECT k AS t FROM ty), (SELECT k FROM ty))),
+zs AS (SELECT t, list(p ORDER BY k) AS z FROM pz GROUP BY 1), xs AS (SELECT token, list(coalesce(p, 0) ORDER BY k) AS x FROM (SELECT * FROM ty, (SELECT DISTINCT token FROM src)) LEFT JOIN ob0 USING (concept, token) GROUP BY 1),
+mx AS (SELECT pair_index, spos, any_value(x) AS x, list(list_dot_product(CAST(z AS DOUBLE[]), CAST(x AS DOUBLE[])) ORDER BY tpos) AS e FROM co JOIN ty USING (concept) JOIN zs ON t = k JOIN xs USING (token) GROUP BY 1, 2),
+cr AS (SELECT pair_index, spos, i, k, list_transform(range(1, m + 1), lambda j: i0[j] * CASE WHEN j = i + 1 THEN x[k + 1] ELSE e[j] END) AS a FROM mx JOIN sz USING (pair_index) JOIN tm0 USING (m) JOIN (SELECT DISTINCT m, i FROM cell) USING (m), (SELECT k FROM ty) WHERE spos = 0
+  UNION ALL SELECT o.pair_index, o.spos, i, k, list_transform(range(1, m + 1), lambda j: list_sum(list_transform(range(1, m + 1), lambda h: a[h] * t[h][j])) * CASE WHEN j = i + 1 THEN x[k + 1] ELSE e[j] END) FROM cr c JOIN mx o ON o.pair_index = c.pair_index AND o.spos = c.spos + 1 JOIN sz ON sz.pair_index = o.pair_index JOIN tm0 USING (m)),
+cl AS (SELECT c.pair_index, i AS state, ty.k AS t, c.k AS concept, pz.p AS prior, pz.p * list_sum(a) / sum(pz.p * list_sum(a)) OVER (PARTITION BY c.pair_index, i) AS post FROM cr c JOIN sz ON sz.pair_index = c.pair_index AND sz.last = c.spos JOIN trg g ON g.pair_index = c.pair_index AND g.pos = i JOIN ty USING (concept) JOIN pz ON pz.t = ty.k AND pz.k = c.k)"""
+
+
+def _classified_chain(spark: Spark, d: str, kind: str) -> tuple[DataFrame, hmm.Params]:
+    pairs, p = _counted_chain(spark, d)
+    p.concept_kind, p.concept = kind, CLASSIFIERS[kind][0]
+    return pairs, p
+
+
+@query(sql_clamped("linear") + " SELECT pair_index, state, concept, round(prior, 6) AS prior, round(post, 6) AS post FROM cl")
+def k06_concept_posteriors(spark: Spark, d: str) -> DataFrame:
+    """Concepts of targets given the source, by clamping."""
+    s = hmm.concept_posteriors(*_classified_chain(spark, d, "linear"))
+    return s.withColumns({c: F.round(c, 6) for c in ("prior", "post")})
+
+
+def _gradient(spark: Spark, d: str, kind: str) -> DataFrame:
+    g = hmm.concept_gradient(*_classified_chain(spark, d, kind))
+    cells = [(n, i, j, round(float(x), 4) + 0.0) for n, w in g.items() for i, r in enumerate(w) for j, x in enumerate(r)]
+    return _matrix(spark, cells, "weight string, i long, j long, g double")
+
+
+SQL_DIFF = ", df AS (SELECT t, concept AS k, sum(post - prior) AS d FROM cl GROUP BY 1, 2), dk AS (SELECT k, sum(d) AS d FROM df GROUP BY 1)"
+
+
+@query(sql_clamped("linear") + SQL_DIFF + " SELECT 'W' AS weight, k AS i, t AS j, round(d, 4) + 0.0 AS g FROM df UNION ALL SELECT 'W', k, 6, round(d, 4) + 0.0 FROM dk")
+def k08_linear_gradient(spark: Spark, d: str) -> DataFrame:
+    return _gradient(spark, d, "linear")
+
+
+@query(sql_clamped("rbf") + SQL_DIFF + " SELECT 'mu' AS weight, k AS i, t AS j, round(2 * (df.d - dk.d * (0.5 * CAST(k = t AS INT) + 0.1)), 4) + 0.0 AS g FROM df JOIN dk USING (k)")
+def k08_rbf_gradient(spark: Spark, d: str) -> DataFrame:
+    return _gradient(spark, d, "rbf")
+
+
+@query(sql_clamped("mlp") + SQL_DIFF + """, hz AS (SELECT t, h, greatest(0, CAST(t = h AS INT) - 0.25) AS z FROM (SELECT unnest(range(6)) AS t), (SELECT unnest(range(4)) AS h)),
+bk AS (SELECT t, h, sum(d * 2 * CAST(k = h AS INT)) AS b FROM df JOIN hz USING (t) WHERE z > 0 GROUP BY 1, 2)
+SELECT 'W2' AS weight, k AS i, h AS j, round(sum(d * z), 4) + 0.0 AS g FROM df JOIN hz USING (t) GROUP BY k, h UNION ALL SELECT 'W2', k, 4, round(d, 4) + 0.0 FROM dk
+UNION ALL SELECT 'W1', h, t, round(coalesce(b, 0), 4) + 0.0 FROM hz LEFT JOIN bk USING (t, h) UNION ALL SELECT 'W1', h, 6, round(sum(b), 4) + 0.0 FROM bk GROUP BY h""")
+def k08_mlp_gradient(spark: Spark, d: str) -> DataFrame:
+    return _gradient(spark, d, "mlp")
+
+
+@query(sql_clamped("linear") + """, vi AS (SELECT pair_index, spos, last, list_transform(range(1, m + 1), lambda i: ln(i0[i]) + ln(e[i])) AS s, list_transform(range(m), lambda i: [i]) AS p FROM mx JOIN sz USING (pair_index) JOIN tm0 USING (m) WHERE spos = 0
+  UNION ALL SELECT pair_index, spos, last, list_transform(q, lambda z: z.s), list_transform(q, lambda z: z.p) FROM (SELECT o.pair_index, o.spos, v.last, list_transform(range(1, m + 1), lambda j: list_transform([list_position(list_transform(range(1, m + 1), lambda i: s[i] + ln(t[i][j])), list_max(list_transform(range(1, m + 1), lambda i: s[i] + ln(t[i][j]))))], lambda i: {'s': s[i] + ln(t[i][j]) + ln(e[j]), 'p': list_append(p[i], j - 1)})[1]) AS q FROM vi v JOIN mx o ON o.pair_index = v.pair_index AND o.spos = v.spos + 1 JOIN sz ON sz.pair_index = o.pair_index JOIN tm0 USING (m))),
+pa AS (SELECT pair_index, unnest(range(len(path))) AS spos, unnest(path) AS state FROM (SELECT pair_index, p[list_position(s, list_max(s))] AS path FROM vi WHERE spos = last)),
+le AS (SELECT pair_index, state, k, sum(CASE WHEN x[k + 1] > 0 THEN ln(x[k + 1]) ELSE -700 END) AS l FROM pa JOIN mx USING (pair_index, spos), (SELECT k FROM ty) GROUP BY 1, 2, 3)
+SELECT pair_index, state, arg_min(concept, (-round(ln(prior) + coalesce(l, 0), 9), concept)) AS concept FROM cl LEFT JOIN le ON le.pair_index = cl.pair_index AND le.state = cl.state AND le.k = cl.concept GROUP BY ALL""".replace("SELECT pair_index, state, arg_min", "SELECT cl.pair_index, cl.state, arg_min"))
+def k10_clusters(spark: Spark, d: str) -> DataFrame:
+    """Concept of every target given the best path."""
+    out = hmm.decode(*_classified_chain(spark, d, "linear"))
+    return out.select(PAIR, F.posexplode("concepts").alias("state", "concept"))
+
 
 @query(sql_chain() + " SELECT m, tpos AS i, round(sum(post), 5) AS n FROM ga0 WHERE spos = 0 GROUP BY 1, 2")
 def k03_initial_counts(spark: Spark, d: str) -> DataFrame:
