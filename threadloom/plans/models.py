@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import numeric as N
-from threadloom.operators import chains, corrlda, em, hmm, neural, sampling, segmental, wordseg
+from threadloom.operators import chains, corrlda, em, hmm, neural, sampling, segmental, variational, wordseg
 from threadloom.operators import retrieval as R
 
 from . import corpora as C
@@ -535,6 +535,83 @@ def m32_annealing(spark: Spark, d: str) -> DataFrame:
     p = hmm.start(m, 5, 0, dim, "linear", "phones", phones=6, frame_dim=f)
     return _aligned(pairs, hmm.anneal(pairs, p, 2, 1, temperature=1.0, rate=0.1)[0])
 
+def sql_digamma(x: str) -> str:
+    """Six steps up by the recurrence, then the asymptotic series."""
+    z = f"({x} + 6)"
+    y = f"(1 / ({z} * {z}))"
+    return "(" + "".join(f" - 1 / ({x} + {i})" for i in range(6)) + f" + ln({z}) - 0.5 / {z} - {y} * (1 / 12 - {y} * (1 / 120 - {y} * (1 / 252 - {y} * (1 / 240 - {y} / 132)))))"
+
+
+def sql_variational(rounds: int = 2) -> str:
+    """The one-Gaussian model over the order corpus: ``st`` sticks, ``sr`` starts,
+    ``tk`` tokens, ``mn`` means, ``al`` alignments, ``q`` concepts, by round."""
+    g = sql_digamma
+    sql = "WITH " + SQL_SRC + ", " + SQL_TRG + """, ty AS (SELECT concept, row_number() OVER (ORDER BY concept) - 1 AS t FROM (SELECT DISTINCT concept FROM trg)),
+rg AS (SELECT pair_index, pos AS tpos, t, count(*) OVER (PARTITION BY pair_index) AS n FROM trg JOIN ty USING (concept)),
+zz AS (SELECT unnest(range(6)) AS z), dd AS (SELECT unnest(range(6)) AS d),
+al0 AS (SELECT s.pair_index, s.pos AS spos, token, tpos, n, 1 / n AS a FROM src s JOIN rg USING (pair_index)),
+st0 AS (SELECT z, 1.0 AS now, 1.0 AS later FROM zz), sr0 AS (SELECT DISTINCT n, tpos, 1.0 AS c FROM rg), tk0 AS (SELECT z, token, 1 / (SELECT count(DISTINCT token) FROM src) AS p FROM zz, (SELECT DISTINCT token FROM src)),
+mn0 AS (SELECT z, d, 0.9 * CAST(z = d AS INT) AS x FROM zz, dd)"""
+    for r in range(rounds):
+        sql += f""",
+lz{r} AS (SELECT z, {g('now')} - {g('(now + later)')} + coalesce(sum({g('later')} - {g('(now + later)')}) OVER (ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lz FROM st{r}),
+lv{r} AS (SELECT t, z, -0.5 * sum(pow(CAST(d = t AS INT) - x, 2)) / 0.1 AS lv FROM ty, mn{r} GROUP BY 1, 2),
+he{r} AS (SELECT pair_index, tpos, z, sum(a * ln(p)) AS e FROM al{r} JOIN tk{r} USING (token) GROUP BY 1, 2, 3),
+lq{r} AS (SELECT pair_index, tpos, t, n, z, lz + lv + e AS l FROM he{r} JOIN rg USING (pair_index, tpos) JOIN lz{r} USING (z) JOIN lv{r} USING (t, z)),
+eq{r} AS (SELECT *, exp(l - max(l) OVER (PARTITION BY pair_index, tpos)) AS x FROM lq{r}), q{r} AS (SELECT pair_index, tpos, t, n, z, x / sum(x) OVER (PARTITION BY pair_index, tpos) AS q FROM eq{r}),
+ls{r} AS (SELECT n, tpos, {g('c')} - {g('sum(c) OVER (PARTITION BY n)')} AS ls FROM sr{r}),
+sc{r} AS (SELECT pair_index, spos, token, tpos, n, any_value(ls) + sum(q * ln(p)) AS l FROM (SELECT pair_index, spos, token, tpos, n FROM al{r}) JOIN q{r} USING (pair_index, tpos, n) JOIN tk{r} USING (z, token) JOIN ls{r} USING (n, tpos) GROUP BY 1, 2, 3, 4, 5),
+ea{r} AS (SELECT *, exp(l - max(l) OVER (PARTITION BY pair_index, spos)) AS x FROM sc{r}), al{r + 1} AS (SELECT pair_index, spos, token, tpos, n, x / sum(x) OVER (PARTITION BY pair_index, spos) AS a FROM ea{r}),
+sq{r} AS (SELECT z, sum(q) AS s FROM q{r} GROUP BY 1),
+st{r + 1} AS (SELECT z, s + 1 AS now, coalesce(sum(s) OVER (ORDER BY z ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) + 1 AS later FROM sq{r}),
+sr{r + 1} AS (SELECT n, tpos, sum(a) + 1 AS c FROM al{r + 1} GROUP BY 1, 2),
+tk{r + 1} AS (SELECT z, token, c / sum(c) OVER (PARTITION BY z) AS p FROM (SELECT z, token, sum(a * q) + 0.1 AS c FROM al{r + 1} JOIN q{r} USING (pair_index, tpos) GROUP BY 1, 2)),
+mn{r + 1} AS (SELECT z, d, (v + x) / (s + 1) AS x FROM (SELECT z, d, sum(q * CAST(t = d AS INT)) AS v FROM q{r}, dd GROUP BY 1, 2) JOIN mn{r} USING (z, d) JOIN sq{r} USING (z))"""
+    return sql
+
+
+def _variational(spark: Spark, d: str) -> tuple[DataFrame, DataFrame, variational.Tables]:
+    """Two rounds over the order corpus; concept k starts at 0.9 in place k."""
+    kinds = [r[0] for r in C.table(spark, d, "part").select("p_type").distinct().orderBy("p_type").collect()]  # the types
+    hot = F.array(*[(F.col("concept") == k).cast("double") for k in kinds])
+    regions = C.trg_tokens(spark, d).select(PAIR, F.col("pos").alias("tpos"), hot.alias("vec"))
+    return variational.rounds(C.src_tokens(spark, d).withColumnRenamed("pos", "spos"), regions, (0.9 * np.eye(len(kinds))).tolist(), 0.1, 2)
+
+
+@query(sql_variational() + " SELECT pair_index, spos AS pos, tpos AS state, round(a, 6) AS post FROM al2")
+def k13_alignment_posteriors(spark: Spark, d: str) -> DataFrame:
+    """Alignments without a chain, given the concepts."""
+    return _variational(spark, d)[0].select(PAIR, F.col("spos").alias("pos"), F.col("tpos").alias("state"), F.round("a", 6).alias("post"))
+
+
+@query(sql_variational() + " SELECT pair_index, tpos AS state, CAST(z AS BIGINT) AS concept, round(q, 6) AS post FROM q1")
+def m19_concept_posteriors(spark: Spark, d: str) -> DataFrame:
+    """Concepts of regions after two rounds in long format."""
+    q = _variational(spark, d)[1]
+    return q.select(PAIR, F.col("tpos").alias("state"), F.posexplode("q").alias("concept", "post")).withColumn("post", F.round("post", 6))
+
+
+@query(sql_variational() + """ SELECT 'now' AS kind, CAST(z AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, round(now, 4) AS c FROM st2 UNION ALL SELECT 'later', z, 0, round(later, 4) FROM st2 UNION ALL SELECT 'start', tpos, n, round(c, 4) FROM sr2""")
+def k14_hyperparameters(spark: Spark, d: str) -> DataFrame:
+    """Counts of concept sticks and of alignment starts."""
+    p = _variational(spark, d)[2]
+    sticks = [p.sticks.select(F.lit(kind).alias("kind"), F.posexplode(kind).alias("i", "c")).select("kind", F.col("i").cast("long").alias("i"), F.lit(0).cast("long").alias("n"), "c") for kind in ("now", "later")]
+    every = sticks[0].unionByName(sticks[1]).unionByName(p.starts.select(F.lit("start").alias("kind"), F.col("tpos").alias("i"), "n", "c"))
+    return every.withColumn("c", F.round("c", 4))
+
+
+@query(sql_variational() + " SELECT token, CAST(z AS BIGINT) AS concept, round(p, 6) AS p FROM tk2")
+def k15_token_tables(spark: Spark, d: str) -> DataFrame:
+    """p(token|concept) from expected counts."""
+    return _variational(spark, d)[2].tokens.select("token", F.posexplode("p").alias("concept", "p")).withColumn("p", F.round("p", 6))
+
+
+@query(sql_variational() + " SELECT CAST(z AS BIGINT) AS concept, CAST(d AS BIGINT) AS i, round(x, 6) AS x FROM mn2")
+def k15_region_means(spark: Spark, d: str) -> DataFrame:
+    """Means of the regions of each concept, shrunk to the old ones."""
+    m = _variational(spark, d)[2].means.select(F.posexplode("means").alias("concept", "v"))
+    return m.select("concept", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
+
 
 def _corr(spark: Spark, d: str, frames: bool, **kw) -> DataFrame:
     pairs = em.keep(vector_pairs(spark, d) if frames else order_pairs(spark, d))
