@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import numeric as N
+from threadloom.operators import cepstra
 from threadloom.operators import encode as E
 from threadloom.operators import retrieval as R
 from threadloom.operators import segments as S
@@ -71,6 +72,33 @@ def p06_truncate(spark: Spark, d: str) -> DataFrame:
 def p07_preemphasis(spark: Spark, d: str) -> DataFrame:
     return E.preemphasis(C.event_tokens(spark, d).select(PAIR, "pos", "value"), "value").withColumn("value", F.round("value", 6))
 
+#: Small frames for signals of 320 samples: five vectors of 64 values.
+SIGNAL = cepstra.Settings(rate=3200, window=80, hop=32, n_mels=12, n_cepstra=6)
+
+
+def sql_cepstra() -> str:
+    """``ce``: cepstra c of frame f, then slopes ``d1`` and ``d2``."""
+    hz = "(700 * (pow(10, (i * 2595 * log10(1 + 1600 / 700.0) / 13) / 2595) - 1))"
+    slope = lambda src: f"SELECT pair_index, f, c, sum(w * v) / 10 AS v FROM (SELECT a.pair_index, a.f, a.c, o AS w, b.v FROM {src} a JOIN (SELECT pair_index, max(f) AS top FROM {src} GROUP BY 1) USING (pair_index), (SELECT unnest([-2, -1, 1, 2]) AS o) JOIN {src} b ON b.pair_index = a.pair_index AND b.c = a.c AND b.f = least(greatest(a.f + o, 0), top)) GROUP BY 1, 2, 3"
+    return "WITH " + SQL_VEC + f""", sg AS (SELECT pair_index, pos * 64 + i AS t, vec[i + 1] AS v, max(pos) OVER (PARTITION BY pair_index) * 64 + 64 AS size FROM vec, (SELECT unnest(range(64)) AS i)),
+em AS (SELECT pair_index, t, size, v - 0.97 * coalesce(lag(v) OVER (PARTITION BY pair_index ORDER BY t), 0) AS v FROM sg),
+fr AS (SELECT pair_index, f, t - 32 * f AS n, v * (0.54 - 0.46 * cos(2 * pi() * (t - 32 * f) / 79)) AS v FROM em, (SELECT unnest(range(8)) AS f) WHERE t >= 32 * f AND t < 32 * f + 80 AND (32 * f + 80 <= size OR f = 0)),
+po AS (SELECT pair_index, f, b, (pow(sum(v * cos(2 * pi() * b * n / 128)), 2) + pow(sum(v * sin(2 * pi() * b * n / 128)), 2)) / 128 AS p FROM fr, (SELECT unnest(range(65)) AS b) GROUP BY 1, 2, 3),
+hz AS (SELECT i, {hz} AS h FROM (SELECT unnest(range(14)) AS i)),
+ml AS (SELECT b, m.i - 1 AS k, greatest(0, least((b * 25.0 - l.h) / (m.h - l.h), (r.h - b * 25.0) / (r.h - m.h))) AS w FROM (SELECT unnest(range(65)) AS b), hz m JOIN hz l ON l.i = m.i - 1 JOIN hz r ON r.i = m.i + 1),
+lm AS (SELECT pair_index, f, k, ln(greatest(sum(p * w), 1e-10)) AS l FROM po JOIN ml USING (b) GROUP BY 1, 2, 3),
+ce AS (SELECT pair_index, f, c, sum(l * cos(pi() * c * (2 * k + 1) / 24)) * sqrt(2 / 12.0) * CASE c WHEN 0 THEN sqrt(0.5) ELSE 1 END AS v FROM lm, (SELECT unnest(range(6)) AS c) GROUP BY 1, 2, 3),
+d1 AS ({slope("ce")}), d2 AS ({slope("d1")})"""
+
+
+@query(sql_cepstra() + " SELECT pair_index, CAST(f AS BIGINT) AS pos, CAST(c + 6 * o AS BIGINT) AS i, round(v, 5) AS x FROM (SELECT *, 0 AS o FROM ce UNION ALL SELECT *, 1 FROM d1 UNION ALL SELECT *, 2 FROM d2)")
+def p08_cepstra(spark: Spark, d: str) -> DataFrame:
+    """Cepstra with slopes of signals: the vectors of a pair in a row."""
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "vec"))), lambda t: t["vec"]))
+    made = cepstra.cepstra(C.vectors(spark, d).groupBy(PAIR).agg(whole.alias("signal")), "signal", SIGNAL)
+    cells = made.select(PAIR, F.posexplode("frames").alias("pos", "v")).select(PAIR, "pos", F.posexplode("v").alias("i", "x"))
+    return cells.withColumn("x", F.round("x", 5))
+
 
 @query("""WITH s AS (SELECT p_brand AS b, avg(l_quantity) AS m, var_pop(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
 SELECT p_brand, count(*) AS n, round(sum(((l_quantity - m) / sqrt(greatest(v, 1e-12))) ^ 2) / count(*), 6) AS variance FROM lineitem JOIN part ON l_partkey = p_partkey JOIN s ON b = p_brand GROUP BY 1""")
