@@ -35,16 +35,53 @@ class Settings:
         return 1 << (self.window - 1).bit_length()
 
 
-def matrices(s: Settings) -> dict[str, list[list[float]]]:
-    """``cos`` and ``sin`` of every frequency (the window's weights included),
-    ``mel`` filters and the ``dct`` of their logs."""
-    angle = 2 * np.pi * np.outer(np.arange(s.n_fft // 2 + 1), np.arange(s.window)) / s.n_fft
+COMPLEX = "struct<re: double, im: double>"
+
+
+def coefficients(s: Settings) -> tuple[list[tuple], str]:
+    """One row and its schema: the window's weights, the factors of each halving
+    of the transform, the mel filters (first bin from 1 and weights up to the
+    last that isn't 0) and the ``dct`` of their logs."""
+    row, schema = [np.hamming(s.window).tolist()], ["_taper array<double>"]
+    length, stride = s.n_fft, 1
+    while length > 1:
+        w = np.exp(-2j * np.pi * np.repeat(np.arange(length // 2), stride) / length)
+        row.append([(z.real, z.imag) for z in w.tolist()])
+        schema.append(f"_turn{stride} array<{COMPLEX}>")
+        length, stride = length // 2, stride * 2
+    mel = []
+    for f in mel_filters(s.n_mels, s.n_fft, s.rate):
+        on = np.flatnonzero(f)
+        lo, hi = (int(on[0]), int(on[-1]) + 1) if len(on) else (0, 1)
+        mel.append((lo + 1, f[lo:hi].tolist()))
     k, n = np.arange(s.n_cepstra)[:, None], s.n_mels
     dct = np.cos(np.pi * k * (2 * np.arange(n) + 1) / (2 * n)) * np.sqrt(2 / n)
     dct[0] /= np.sqrt(2)
-    taper = np.hamming(s.window)
-    out = {"cos": np.cos(angle) * taper, "sin": np.sin(angle) * taper, "mel": mel_filters(n, s.n_fft, s.rate), "dct": dct}
-    return {name: m.tolist() for name, m in out.items()}
+    return [(*row, mel, dct.tolist())], ", ".join([*schema, "_mel array<struct<at: int, w: array<double>>>", "_dct array<array<double>>"])
+
+
+def spectrum(frame: Column, n_fft: int) -> Column:
+    """Power at the frequencies 0 to n_fft / 2: the fast transform, each halving
+    sums of the two halves and turned differences, dealt in turn by blocks."""
+
+    def pair(re: Column, im: Column) -> Column:
+        return F.struct(re.alias("re"), im.alias("im"))
+
+    half = n_fft // 2
+
+    def halved(x: Column, stride: int) -> Column:
+        if stride == n_fft:
+            return F.transform(F.slice(x, 1, half + 1), lambda c: (c["re"] * c["re"] + c["im"] * c["im"]) / n_fft)
+        low, high = F.slice(x, 1, half), F.slice(x, half + 1, half)
+        both = F.zip_with(low, high, lambda a, b: pair(a["re"] + b["re"], a["im"] + b["im"]))
+        apart = F.zip_with(low, high, lambda a, b: pair(a["re"] - b["re"], a["im"] - b["im"]))
+        turned = F.zip_with(apart, F.col(f"_turn{stride}"), lambda z, w: pair(z["re"] * w["re"] - z["im"] * w["im"], z["re"] * w["im"] + z["im"] * w["re"]))
+        blocks = F.sequence(F.lit(1), F.lit(half), F.lit(stride))
+        dealt = let(both, lambda u: let(turned, lambda v: F.flatten(F.transform(blocks, lambda at: F.concat(F.slice(u, at, stride), F.slice(v, at, stride))))))
+        return let(dealt, lambda y: halved(y, 2 * stride))
+
+    weighed = F.zip_with(frame, F.col("_taper"), lambda v, w: pair(v * w, F.lit(0.0)))
+    return let(weighed, lambda x: let(F.concat(x, F.array_repeat(pair(F.lit(0.0), F.lit(0.0)), n_fft - F.size(x))), lambda y: halved(y, 1)))
 
 
 def emphasised(x: Column, coeff: float) -> Column:
@@ -60,11 +97,6 @@ def frames(x: Column, window: int, hop: int) -> Column:
     return let(padded, lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - window, F.lit(hop)), lambda at: F.slice(v, at + 1, window)))
 
 
-def times(rows: Column, v: Column) -> Column:
-    """A matrix (array of rows) times a vector."""
-    return F.transform(rows, lambda r: dot(r, v))
-
-
 def slopes(x: Column, reach: int = 2) -> Column:
     """Regression slopes over ``reach`` frames on both sides, edges repeated."""
     norm = 2.0 * sum(d * d for d in range(1, reach + 1))
@@ -88,21 +120,17 @@ def cepstra(signals: DataFrame, signal: str, s: Settings = Settings(), out: str
     and their ``orders`` slopes. Null or empty signals give an empty array, null
     samples count as 0. Power is floored at 1e-10 before its log."""
     spark = signals.sparkSession
-    m = matrices(s)
-    table = spark.createDataFrame([tuple(m.values())], ", ".join(f"_{n} array<array<double>>" for n in m))
-
-    def spectrum(f: Column) -> Column:
-        return F.zip_with(times(F.col("_cos"), f), times(F.col("_sin"), f), lambda a, b: (a * a + b * b) / s.n_fft)
+    table = spark.createDataFrame(*coefficients(s))
 
     def frame(f: Column) -> Column:
-        energy = let(spectrum(f), lambda p: times(F.col("_mel"), p))
-        return let(F.transform(energy, lambda e: F.log(F.greatest(e, F.lit(1e-10)))), lambda logs: times(F.col("_dct"), logs))
+        energy = let(spectrum(f, s.n_fft), lambda p: F.transform("_mel", lambda m: dot(F.slice(p, m["at"], F.size(m["w"])), m["w"])))
+        return let(F.transform(energy, lambda e: F.log(F.greatest(e, F.lit(1e-10)))), lambda logs: F.transform("_dct", lambda r: dot(r, logs)))
 
     x = F.transform(F.col(signal), lambda v: F.coalesce(v.cast("double"), F.lit(0.0)))
     static = F.transform(frames(emphasised(x, s.preemphasis), s.window, s.hop), frame)
     none = F.array().cast("array<array<double>>")
     made = signals.crossJoin(F.broadcast(table)).withColumn(out, F.when(F.size(signal) > 0, with_slopes(static, s.orders)).otherwise(none))
-    return made.drop(*[f"_{n}" for n in m])
+    return made.drop(*table.columns)
 
 
 def with_slopes(static: Column, orders: int) -> Column:
