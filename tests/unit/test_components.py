@@ -49,6 +49,22 @@ def test_all_removed(spark):
     assert M.replay(spark, spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect() == []
 
 
+def test_removal_comes_first(spark, tmp_path):
+    """A state that has seen only removals takes vectors later."""
+    spark.conf.set(M._PROVIDER, M._ROCKS)
+    got = {}
+
+    def take(df, n):
+        got.update({r["component"]: (r["n"], r["sums"]) for r in df.collect()})
+
+    for rows in ([(1, 1, 5, True, None)], [(1, 1, 4, False, [9.0]), (1, 2, 1, False, [3.0])]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        M.component_sums(stream, 1).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/log").foreachBatch(take).trigger(availableNow=True).start().awaitTermination()
+    spark.conf.unset(M._PROVIDER)
+    assert got == {1: (1, [3.0])}
+
+
 def test_items_end_after_span(spark, tmp_path):
     """Timers take out items whose span is over; a component that saw nothing new
     is updated too."""

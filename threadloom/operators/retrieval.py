@@ -23,23 +23,35 @@ def n_best(scores: DataFrame, n: int, query: str = "query_id", item: str = "item
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def true_ranks(scores: DataFrame, truth: Column, query: str = "query_id", item: str = "item_id", score: str = "score") -> DataFrame:
-    """Rank of the best-placed true item of each query, counted without sorting:
-    one plus the items placed before it."""
-    s = scores.withColumn("_t", truth)
-    best = s.where("_t").groupBy(query).agg(F.max(F.struct(score, item)).alias("_b"))
-    j = s.join(best, query)
-    ahead = (F.struct(F.col(score), F.col(item)) > F.col("_b")).cast("long")
-    return j.groupBy(query).agg((F.sum(ahead) + 1).alias("rank"))
+def in_blocks(left: DataFrame, right: DataFrame, most_left: int = 16384, most_right: int = 65536, least: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_lb`` and ``_rb``: a grid of blocks. Rows are dealt to
+    blocks of their own side by hash, so that a task that runs again deals alike, and
+    copied to each block of the other, so that in an equi-join on both no task
+    holds more than about ``most_left`` and ``most_right`` rows however many
+    there are. At least ``least`` blocks of the right side keep the cores busy."""
+    a, b = -(-left.count() // most_left) or 1, max(least, -(-right.count() // most_right))
+    deal = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return left.withColumn("_lb", deal(left, a)).withColumn("_rb", copies(b)), right.withColumn("_rb", deal(right, b)).withColumn("_lb", copies(a))
 
 
 def score_all(queries: DataFrame, items: DataFrame, score: Column, blocks: int = 64) -> DataFrame:
-    """Every query (a stated set) against every item, in blocks: items are
-    dealt by hash, each block meets a copy of the queries in an equi-join, so a
-    task holds its share of the items whatever their number is."""
-    q = queries.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    i = items.withColumn("_iblk", F.pmod(F.xxhash64(*items.columns), F.lit(blocks)).cast("int"))
-    return q.join(i, F.col("_blk") == F.col("_iblk")).drop("_blk", "_iblk").withColumn("score", score)
+    """Every query (a stated set) against every item, ``in_blocks``, of which
+    there are ``blocks`` at least."""
+    q, i = in_blocks(queries, items, least=blocks)
+    return q.join(i, ["_lb", "_rb"]).drop("_lb", "_rb").withColumn("score", score)
+
+
+def true_ranks(queries: DataFrame, items: DataFrame, score: Column, truth: Column, where: Column, query: str = "query_id", item: str = "item_id") -> DataFrame:
+    """Rank of the best-placed true item of each query among the items that
+    ``where`` lets it meet, counted without sorting: one plus the items placed
+    before it. Scores are made twice, in blocks: first for the best true item, a
+    row a query, then to count what is ahead of it. Both sums combine inside the
+    blocks' tasks; no score is written to a shuffle."""
+    met = score_all(queries, items, score).where(where & truth)
+    best = keep(met.groupBy(query).agg(F.max(F.struct("score", item)).alias("_b")))
+    ahead = score_all(queries.join(best, query), items, score).where(where)
+    return ahead.groupBy(query).agg((F.sum((F.struct("score", item) > F.col("_b")).cast("long")) + 1).alias("rank"))
 
 
 def cosine(u: Column, v: Column) -> Column:
@@ -183,8 +195,10 @@ def match_maps(audio: DataFrame, image: DataFrame) -> DataFrame:
 def jaccard_best(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """For each left row the right row of the same key with the largest
     Jaccard similarity of token sets; 0 is rejected, ties go to the lower id, a
-    row never matches its own id."""
-    j = left.join(right, key).where("l_id <> r_id")
+    row never matches its own id. Sides meet in blocks, so a frequent key is shared
+    by many tasks."""
+    l, r = in_blocks(left, right)
+    j = l.join(r, [key, "_lb", "_rb"]).where("l_id <> r_id")
     inter = F.size(F.array_intersect("l_tokens", "r_tokens"))
     sim = inter / F.size(F.array_union("l_tokens", "r_tokens"))
     j = j.withColumn("sim", F.round(sim, 9)).where(inter > 0)

@@ -9,7 +9,7 @@ from threadloom.functions import numeric as N
 from threadloom.operators import em
 from threadloom.operators import encode as E
 from threadloom.operators import segments as S
-from threadloom.sources import media, npz, sinks, splits, text
+from threadloom.sources import media, npz, records, sinks, splits, text
 from threadloom.sources.shared import new_path
 
 from . import corpora as C
@@ -204,6 +204,21 @@ def s05_alignment_json(spark: Spark, d: str) -> DataFrame:
     return rows.select("index", "pos", F.col("z.caption").alias("token"), F.col("z.alignment").alias("alignment"), F.get("z.align_probs", F.lit(0)).alias("p"), "is_phoneme")
 
 
+def _kept(spark: Spark, df: DataFrame, key: str) -> DataFrame:
+    """Written to the keyed_records source and read back."""
+    path = new_path(spark)
+    records.register(spark)
+    df.write.format(records.FORMAT).option("key", key).mode("append").save(path)
+    return spark.read.format(records.FORMAT).option("key", key).load(path)
+
+
+@query("WITH " + SQL_EV + ' SELECT pair_index AS "index", pos, token, gold AS alignment, CAST(pred AS DOUBLE) AS p, true AS is_phoneme FROM ev')
+def s05_keyed_records(spark: Spark, d: str) -> DataFrame:
+    """S05, S08 by the data source with committed manifests."""
+    rows = _kept(spark, _records(spark, d), "index").select("index", "is_phoneme", F.posexplode(F.arrays_zip("caption", "alignment", "align_probs")).alias("pos", "z"))
+    return rows.select("index", "pos", F.col("z.caption").alias("token"), F.col("z.alignment").alias("alignment"), F.get("z.align_probs", F.lit(0)).alias("p"), "is_phoneme")
+
+
 @query("WITH " + SQL_EV + " SELECT pair_index || ' ' || pos || ' ' || gold AS line FROM ev")
 def s08_alignment_text(spark: Spark, d: str) -> DataFrame:
     path = new_path(spark)
@@ -219,6 +234,12 @@ def s06_parameter_table(spark: Spark, d: str) -> DataFrame:
     return text.parameters(spark, path, "concept string, token string, p double").withColumn("p", F.round("p", 9))
 
 
+@query("WITH " + SQL_SRC + ", " + SQL_TRG + ", co AS (SELECT token, concept, count(*) AS n FROM src JOIN trg USING (pair_index) GROUP BY 1, 2) SELECT concept, token, round(n / sum(n) OVER (PARTITION BY concept), 9) AS p FROM co")
+def s06_keyed_parameters(spark: Spark, d: str) -> DataFrame:
+    """S06, S07 by the same data source, with ranges of concepts."""
+    return _kept(spark, em.counted_translation(em.cooccurrences(C.src_tokens(spark, d), C.trg_tokens(spark, d))), "concept").withColumn("p", F.round("p", 9))
+
+
 @query("WITH " + SQL_EV + " SELECT CAST(pair_index AS VARCHAR) AS path, CAST(1000 AS BIGINT) AS rate, count(*) AS n, CAST(sum(gold * 100 - pred) AS DOUBLE) AS total FROM ev WHERE pos BETWEEN 2 AND 4 GROUP BY 1")
 def s20_wav_slice(spark: Spark, d: str) -> DataFrame:
     """Samples written as WAV at 1000 Hz, read back from 2 to 5 ms."""

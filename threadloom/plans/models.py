@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import numeric as N
-from threadloom.operators import chains, corrlda, em, hmm, neural, sampling, segmental, variational, wordseg
+from threadloom.operators import bigrams, chains, corrlda, em, hmm, neural, sampling, segmental, variational, wordseg
 from threadloom.operators import retrieval as R
+from threadloom.streaming import components
 
 from . import corpora as C
 from .corpora import SQL_EV, SQL_SRC, SQL_TRG, SQL_VEC
@@ -155,6 +156,23 @@ def m06_kmeans_seeded(spark: Spark, d: str) -> DataFrame:
     return em.kmeans(f, t, m=2, iterations=0, start=em.kmeans_seeds(f, t, m=2))[1].select(PAIR, "pos", "concept", "m")
 
 
+@query("WITH " + SQL_VEC + """, mb AS (SELECT CASE WHEN vec_id % 4 = 0 THEN label + 1 ELSE label END AS component, vec FROM vec WHERE vec_id % 7 <> 3),
+ex AS (SELECT component, unnest(range(len(vec))) AS i, unnest(vec) AS x FROM mb), ct AS (SELECT component, count(*) AS n FROM mb GROUP BY 1)
+SELECT component, n, CAST(i AS BIGINT) AS i, round(avg(x), 6) AS x FROM ex JOIN ct USING (component) GROUP BY 1, 2, 3""")
+def m06_stream_centroids(spark: Spark, d: str) -> DataFrame:
+    """Centroids kept as state over a replayed stream: every vector joins the
+    component of its label, a quarter moves to the next one, a seventh leaves,
+    and a fifth of the joins comes twice."""
+    v = C.vectors(spark, d).select("vec_id", "label", "vec")
+    change = lambda when, component, at, gone: F.when(when, F.struct(component.alias("component"), F.lit(at).cast("long").alias("at"), F.lit(gone).alias("gone")))
+    here, move, leave = F.col("label"), F.col("vec_id") % 4 == 0, F.col("vec_id") % 7 == 3
+    now = F.when(move, here + 1).otherwise(here)
+    every = F.array(change(F.lit(True), here, 0, False), change(F.col("vec_id") % 5 == 0, here, 0, False), change(move, here, 1, True), change(move, now, 1, False), change(leave, now, 2, True))
+    changes = v.select(F.explode(F.filter(every, lambda c: c.isNotNull())).alias("c"), F.col("vec_id").alias("item"), "vec").select("c.component", "item", "c.at", "c.gone", F.when(~F.col("c.gone"), F.col("vec")).alias("vec"))
+    # changes of one item come in any order, in different batches
+    return components.replay(spark, changes.repartition(6, F.xxhash64("item", "at", "gone", "component"))).select("component", "n", F.posexplode("mean").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
 SQL_GMM = SQL_FR + f""", l0 AS (SELECT fr.pair_index, pos, concept, m, vec, {SQL_DENSITY} AS l FROM fr JOIN tg USING (pair_index) JOIN c0 USING (concept)), r0 AS (SELECT *, exp(l - max(l) OVER (PARTITION BY pair_index, pos)) AS e FROM l0), g0 AS (SELECT *, e / sum(e) OVER (PARTITION BY pair_index, pos) AS post FROM r0),
 gx AS (SELECT concept, m, post, unnest(range(64)) AS i, unnest(vec) AS x FROM g0), m1 AS (SELECT concept, m, i, sum(x * post) / sum(post) AS mean FROM gx GROUP BY ALL)"""
 
@@ -229,12 +247,13 @@ def _hmm(spark: Spark, d: str, kind: str, emission: str = "unigram", **kw) -> Da
     return _aligned(pairs, hmm.train(pairs, p, 2, rate=0.1)[0])
 
 
-def sql_chain(rounds: int = 0, tied: bool = False) -> str:
+def sql_chain(rounds: int = 0, tied: bool = False, bigram: bool = False) -> str:
     """The alignment HMM over the order corpus by recursion, after ``rounds`` of
     EM: ``em`` (emissions of each step), ``tm`` (chain per number of targets),
     ``fw`` and ``bw`` (scaled passes), ``ga`` (state posteriors) and ``xi`` (moves),
     of the last parameters. Starts at 1 / (i + 1), jumps at 1 / (1 + |j - i|),
-    emissions at co-occurrence shares."""
+    emissions at co-occurrence shares. ``bigram``: emissions given the token
+    before too, and a chain that stays as it is."""
     sql = "WITH RECURSIVE " + SQL_SRC + ", " + SQL_TRG + """, ty AS (SELECT concept, row_number() OVER (ORDER BY concept) - 1 AS k FROM (SELECT DISTINCT concept FROM trg)),
 co AS (SELECT s.pair_index, s.pos AS spos, token, t.pos AS tpos, concept FROM src s JOIN trg t USING (pair_index)), sz AS (SELECT pair_index, count(DISTINCT tpos) AS m, max(spos) AS last FROM co GROUP BY 1),
 ob0 AS (SELECT concept, token, count(*) / sum(count(*)) OVER (PARTITION BY concept) AS p FROM co GROUP BY 1, 2),
@@ -250,12 +269,20 @@ bw{n} AS (SELECT pair_index, spos, list_transform(range(m), lambda i: CAST(1.0 A
   UNION ALL SELECT o.pair_index, o.spos - 1, list_transform(range(1, m + 1), lambda i: list_sum(list_transform(range(1, m + 1), lambda j: t[i][j] * e[j] * b[j])) / c) FROM bw{n} w JOIN em{n} o ON o.pair_index = w.pair_index AND o.spos = w.spos JOIN fw{n} f ON f.pair_index = o.pair_index AND f.spos = o.spos JOIN tm{n} USING (m) WHERE o.spos > 0),
 ga{n} AS (SELECT pair_index, spos, any_value(m) AS m, unnest(range(any_value(m))) AS tpos, unnest(list_transform(range(1, any_value(m) + 1), lambda i: any_value(a)[i] * any_value(b)[i])) AS post FROM fw{n} JOIN bw{n} USING (pair_index, spos) JOIN sz USING (pair_index) GROUP BY 1, 2),
 xi{n} AS (SELECT m, i, j, sum(f.a[i + 1] * t[i + 1][j + 1] * o.e[j + 1] * w.b[j + 1] / g.c) AS n FROM fw{n} f JOIN em{n} o ON o.pair_index = f.pair_index AND o.spos = f.spos + 1 JOIN bw{n} w ON w.pair_index = o.pair_index AND w.spos = o.spos JOIN fw{n} g ON g.pair_index = o.pair_index AND g.spos = o.spos JOIN tm{n} USING (m) JOIN cell USING (m) GROUP BY 1, 2, 3)"""
-        if n < rounds:
+        if n < rounds and bigram:
+            sql += f""",
+in{n + 1} AS (SELECT * FROM in{n}), tr{n + 1} AS (SELECT * FROM tr{n}), ob{n + 1} AS (SELECT concept, prev, token, sum(post) / sum(sum(post)) OVER (PARTITION BY concept, prev) AS p FROM ga{n} JOIN co USING (pair_index, spos, tpos) GROUP BY 1, 2, 3)"""
+        elif n < rounds:
             moves = f"(SELECT m, i, j, sum(n) OVER (PARTITION BY m, j - i) AS n FROM xi{n})" if tied else f"xi{n}"
             sql += f""",
 in{n + 1} AS (SELECT m, tpos AS i, (sum(post) + 1e-12) / sum(sum(post) + 1e-12) OVER (PARTITION BY m) AS p FROM ga{n} WHERE spos = 0 GROUP BY 1, 2),
 tr{n + 1} AS (SELECT m, i, j, (coalesce(n, 0) + 1e-12) / sum(coalesce(n, 0) + 1e-12) OVER (PARTITION BY m, i) AS p FROM cell LEFT JOIN {moves} x USING (m, i, j)),
 ob{n + 1} AS (SELECT concept, token, (coalesce(n, 0) + 1e-12) / sum(coalesce(n, 0) + 1e-12) OVER (PARTITION BY concept) AS p FROM (SELECT * FROM ty, (SELECT DISTINCT token FROM src)) LEFT JOIN (SELECT concept, token, sum(post) AS n FROM ga{n} JOIN co USING (pair_index, spos, tpos) GROUP BY 1, 2) USING (concept, token))"""
+    if bigram:
+        sql = sql.replace("s.pos AS spos, token, t.pos", "s.pos AS spos, token, prev, t.pos").replace("FROM src s JOIN trg t", "FROM (SELECT *, coalesce(lag(token) OVER (PARTITION BY pair_index ORDER BY pos), '') AS prev FROM src) s JOIN trg t")
+        sql = sql.replace("SELECT concept, token, count(*) / sum(count(*)) OVER (PARTITION BY concept) AS p FROM co GROUP BY 1, 2", "SELECT concept, prev, token, count(*) / sum(count(*)) OVER (PARTITION BY concept, prev) AS p FROM co GROUP BY 1, 2, 3")
+        for n in range(rounds + 1):
+            sql = sql.replace(f"JOIN ob{n} USING (concept, token)", f"JOIN ob{n} USING (concept, prev, token)")
     return sql
 
 
@@ -511,6 +538,29 @@ def m16_hmm_bigram(spark: Spark, d: str) -> DataFrame:
     return _hmm(spark, d, "linear", "bigram")
 
 
+def _bigram_inputs(spark: Spark, d: str) -> tuple[DataFrame, chains.Chain]:
+    """Bigrams of the order corpus with their targets, and the chain of each size."""
+    trg = C.trg_tokens(spark, d)
+    co = em.keep(bigrams.bigram_cooccurrences(C.src_tokens(spark, d), trg))
+    most = trg.agg(F.max("pos")).first()[0]
+    share = lambda w: w / w.sum(-1, keepdims=True)
+    return co, {n: (share(1 / (np.arange(n) + 1.0)), share(1 / (1.0 + abs(np.subtract.outer(np.arange(n), np.arange(n)))))) for n in range(1, (-1 if most is None else most) + 2)}
+
+
+@query(sql_chain(2, bigram=True) + " SELECT concept, prev, token, round(p, 6) AS p FROM ob2")
+def m16_bigram_table(spark: Spark, d: str) -> DataFrame:
+    """Two rounds of bigram emissions as a sparse table."""
+    return rounded(bigrams.train(*_bigram_inputs(spark, d), rounds=2), "p").select("concept", "prev", "token", "p")
+
+
+@query(sql_chain(1, bigram=True) + " SELECT pair_index, round(sum(ln(c)), 6) AS ll FROM fw1 GROUP BY 1")
+def m16_bigram_likelihood(spark: Spark, d: str) -> DataFrame:
+    """Log-likelihood of each pair after one round."""
+    co, chain = _bigram_inputs(spark, d)
+    steps = em.keep(bigrams.emissions(co, bigrams.train(co, chain, rounds=1)))
+    return chains.posteriors(steps, chain)[1].select(PAIR, F.round("ll", 6).alias("ll"))
+
+
 def _frames_hmm(spark: Spark, d: str, concept: str, phone: str) -> DataFrame:
     pairs = em.keep(vector_pairs(spark, d))
     m, _, dim, f = _sizes(pairs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import numeric as N
@@ -411,17 +411,21 @@ def j03_hash_lookup(spark: Spark, d: str) -> DataFrame:
 SQL_COS = SQL_VEC + """, q AS (SELECT * FROM vec WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, q.label AS ql, v.label AS il, round(list_sum(list_transform(list_zip(q.vec, v.vec), lambda z: z[1] * z[2])) / sqrt(list_sum(list_transform(q.vec, lambda x: x * x)) * list_sum(list_transform(v.vec, lambda x: x * x))), 6) AS score FROM q JOIN vec v ON v.vec_id <> q.vec_id)"""
 
 
-def cosine_scores(spark: Spark, d: str) -> DataFrame:
-    """The stated query set (every fiftieth vector) against all vectors."""
+def cosine_sides(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stated query set (every fiftieth vector), and all vectors."""
     v = C.vectors(spark, d)
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qv"), F.col("label").alias("ql"))
-    i = v.select(F.col("vec_id").alias("item_id"), F.col("vec").alias("iv"), F.col("label").alias("il"))
-    return R.score_all(q, i, F.round(R.cosine(F.col("qv"), F.col("iv")), 6)).where("query_id <> item_id")
+    return q, v.select(F.col("vec_id").alias("item_id"), F.col("vec").alias("iv"), F.col("label").alias("il"))
+
+
+def cosine_score() -> Column:
+    return F.round(R.cosine(F.col("qv"), F.col("iv")), 6)
 
 
 @query("WITH " + SQL_COS + "SELECT query_id, item_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id DESC) AS rank FROM s) WHERE rank <= 5")
 def j04_score_top_k(spark: Spark, d: str) -> DataFrame:
-    return R.n_best(cosine_scores(spark, d), 5).select("query_id", "item_id", "rank")
+    scores = R.score_all(*cosine_sides(spark, d), cosine_score()).where("query_id <> item_id")
+    return R.n_best(scores.select("query_id", "item_id", "score"), 5).select("query_id", "item_id", "rank")
 
 
 SQL_GOLD_RUNS = """gchg AS (SELECT *, CASE WHEN gold IS DISTINCT FROM lag(gold) OVER w OR pos = 0 THEN 1 ELSE 0 END AS c FROM ev WINDOW w AS (PARTITION BY pair_index ORDER BY pos)),

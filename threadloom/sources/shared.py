@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The configured checkpoint folder. Without one a local master gets a
     temporary folder of its own; on a cluster, whose executors don't share their
-    disks, that is an error. Work is done the same way in both cases."""
+    disks, that is an error. Work is done the same way in both cases. This module
+    needs a classic session, as it reaches the context behind it."""
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="threadloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
+    # what keep() wrote is removed once no DataFrame reads it any more
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return named.rstrip("/")
 
 

@@ -28,7 +28,8 @@ class Members(StatefulProcessor):
     """State of one (component, salt): its items with their vectors, and their sum.
 
     Of an item's changes the one of highest ``at`` holds, whatever the order in
-    which they come; at equal ``at`` a removal holds. A repeated or older change
+    which they come; at equal ``at`` a removal holds, and joins carry the same
+    vector. A repeated or older change
     has no effect. A removed item stays as a mark without a vector, so that a
     late older change doesn't bring it back. With ``span`` (``at`` in
     milliseconds of event time) items and marks end ``span`` after their ``at``:
@@ -48,10 +49,10 @@ class Members(StatefulProcessor):
         if not self.total.exists():
             return 0, 0, None
         version, n, sums = self.total.get()
-        return version, n, np.array(sums, float)
+        return version, n, np.array(sums, float) if len(sums) else None  # only removals so far
 
-    def _store(self, key: tuple, version: int, n: int, sums: np.ndarray) -> Iterator[pd.DataFrame]:
-        sums = sums if n else np.zeros_like(sums)  # an empty component keeps no rounding
+    def _store(self, key: tuple, version: int, n: int, sums: np.ndarray | None) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(0) if sums is None else sums if n else np.zeros_like(sums)  # an empty component keeps no rounding
         self.total.update((version + 1, n, sums.tolist()))
         yield pd.DataFrame({"component": [key[0]], "salt": [key[1]], "version": [version + 1], "n": [n], "sums": [sums.tolist()]})
 
@@ -85,7 +86,7 @@ class Members(StatefulProcessor):
                 self.handle.registerTimer(ends)
             self.due.updateValue((ends,), (items,))
         if changed:
-            yield from self._store(key, version, n, np.zeros(0) if sums is None else sums)
+            yield from self._store(key, version, n, sums)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ends = expiredTimerInfo.getExpiryTimeInMs()
