@@ -36,3 +36,27 @@ def test_half_up(spark):
     x = [0.5, -0.0000005, 0.0000005, 0.1234565, -0.1234565, 0.1234564999, 1 / 3, 0.0, 1.0]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
     assert R.half_up(np.array(x), 6).tolist() == want
+
+
+def test_jaccard_by_loops(spark):
+    r = random.Random(2)
+    docs = [(i, r.choice(["a", "b", None]), sorted({f"w{int(r.paretovariate(0.6)) % 300}" for _ in range(r.randrange(0, 40))})) for i in range(150)] + [(500, "a", None), (501, "a", [])]
+    df = spark.createDataFrame(docs, "id long, lang string, t array<string>")
+    left = df.where("id % 5 = 0").select("lang", F.col("id").alias("l_id"), F.col("t").alias("l_tokens"))
+    got = {x.l_id: (x.r_id, x.sim) for x in R.jaccard_best(left, df.select("lang", F.col("id").alias("r_id"), F.col("t").alias("r_tokens")), "lang").collect()}
+    want = {}
+    for i, lang, t in docs:
+        of = [(round(len(set(t) & set(u)) / len(set(t) | set(u)), 9), -j) for j, other, u in docs if i % 5 == 0 and t and u and j != i and other == lang is not None]
+        if of and max(of)[0] > 0:
+            want[i] = (-max(of)[1], max(of)[0])
+    assert got == want
+
+
+def test_overlaps_dense_and_rare():
+    import pyarrow as pa
+
+    r = random.Random(1)
+    l, x = ([[f"t{k}" for k in {int(r.expovariate(0.02)) for _ in range(12)}] for _ in range(n)] for n in (40, 70))
+    la, xa = pa.array(l, pa.list_(pa.string())), pa.array(x, pa.list_(pa.string()))
+    got = np.concatenate([b for _, b in R._overlaps(la, xa, pa.array(sorted({t for s in l for t in s})), chunk=16, width=8)])
+    assert got.tolist() == [[len(set(a) & set(b)) for a in l] for b in x]
