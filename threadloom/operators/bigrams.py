@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.sources.shared import keep
+from threadloom.sources.shared import release, stored
 
 from . import chains
 
@@ -56,8 +56,10 @@ def expected(co: DataFrame, post: DataFrame) -> DataFrame:
 def train(co: DataFrame, chain: chains.Chain, rounds: int = 2, size: int = 4096) -> DataFrame:
     """The cells after ``rounds`` of expectation-maximisation under a given chain,
     from co-occurrence shares. ``co`` is read twice a round: pass it kept."""
-    cells = keep(shares(co.withColumn("n", F.lit(1.0))))
+    cells = stored(shares(co.withColumn("n", F.lit(1.0))))
     for _ in range(rounds):
-        post, _ = chains.posteriors(keep(emissions(co, cells)), chain, size)
-        cells = keep(shares(expected(co, post)))
+        steps, made = stored(emissions(co, cells)), []
+        post, _ = chains.posteriors(steps, chain, size, made)
+        old, cells = cells, stored(shares(expected(co, post)))
+        release(steps, old, *made)
     return cells

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.sources.shared import keep
+from threadloom.sources.shared import release, stored
 
 PAIR = "pair_index"
 #: Chain of each number of states: first probabilities and moves.
@@ -125,7 +125,8 @@ def _follow(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def scan(rows: DataFrame, combine: Callable, dtype: type, forward: bool = True, square: bool = True) -> DataFrame:
     """``rows`` (``pair_index, chunk, p, scale``) with each ``p`` combined with
-    all before it (or, backward, after it) of its pair, by doubling."""
+    all before it (or, backward, after it) of its pair, by doubling. Tables of
+    earlier steps go as soon as the next is written; ``rows`` itself stays."""
     last = rows.agg(F.max("chunk")).first()[0] or 0
     kind = rows.schema["p"].dataType.simpleString()
     shape = f"{PAIR} {rows.schema[PAIR].dataType.simpleString()}, chunk long, p {kind}, scale double"
@@ -152,11 +153,13 @@ def scan(rows: DataFrame, combine: Callable, dtype: type, forward: bool = True,
                     out[r], scale[r] = made[i], scale[r] + more[i]
             yield _rows(b, [PAIR, "chunk"], p=pa.array(out, pa.list_(kind_pa)), scale=pa.array(scale))
 
-    step = 1
+    step, given = 1, rows
     while step <= last:
         mate = rows.select(PAIR, (F.col("chunk") + (step if forward else -step)).alias("chunk"), F.col("p").alias("p_2"), F.col("scale").alias("scale_2"))
         joined = rows.join(mate, [PAIR, "chunk"], "left").withColumn("scale_2", F.coalesce("scale_2", F.lit(0.0)))
-        rows = keep(joined.mapInArrow(run, shape))
+        old, rows = rows, stored(joined.mapInArrow(run, shape))
+        if old is not given:
+            release(old)
         step *= 2
     return rows
 
@@ -171,15 +174,35 @@ def _entered(chunks: DataFrame, before: DataFrame | None, after: DataFrame | Non
     return chunks
 
 
-def posteriors(steps: DataFrame, chain: Chain, size: int = 4096) -> tuple[DataFrame, DataFrame]:
+def _ends(before: DataFrame) -> DataFrame:
+    width = F.sqrt(F.size("p")).cast("int")
+    ends = before.select(PAIR, "chunk", (F.col("scale") + F.log(F.greatest(F.aggregate(F.slice("p", 1, width), F.lit(0.0), lambda x, y: x + y), F.lit(1e-300)))).alias("ll"))
+    return ends.groupBy(PAIR).agg(F.max_by("ll", "chunk").alias("ll"))
+
+
+def likelihoods(steps: DataFrame, chain: Chain, size: int = 4096) -> DataFrame:
+    """K01 of ``posteriors`` alone: no backward products, no chunks are kept."""
+    products = stored(sum_products(chunked(steps, size), chain))
+    before = scan(products, _times, np.float64)
+    if before is not products:
+        release(products)
+    return _ends(before)
+
+
+def posteriors(steps: DataFrame, chain: Chain, size: int = 4096, made: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(K05: ``pair_index, pos, state, post``; K01: ``pair_index, ll``) of
-    ``steps`` (``pair_index, pos, e``) by chunks of ``size`` positions.
+    ``steps`` (``pair_index, pos, e``) by chunks of ``size`` positions. Tables that
+    both read are appended to ``made``, for ``release`` once both are used up.
 
     A source whose every path is impossible has posteriors of 0 and a
     log-likelihood near -690 or lower."""
-    chunks = keep(chunked(steps, size))
-    products = keep(sum_products(chunks, chain))
+    chunks = stored(chunked(steps, size))
+    products = stored(sum_products(chunks, chain))
     before, after = scan(products, _times, np.float64), scan(products, _times, np.float64, forward=False)
+    if before is not products:
+        release(products)
+    if made is not None:
+        made += [chunks, before, after]
     sent = steps.sparkSession.sparkContext.broadcast(chain)
 
     def run(it):
@@ -210,9 +233,7 @@ def posteriors(steps: DataFrame, chain: Chain, size: int = 4096) -> tuple[DataFr
 
     kind = steps.schema[PAIR].dataType.simpleString()
     post = _entered(chunks, before, after).mapInArrow(run, f"{PAIR} {kind}, pos long, state long, post double")
-    width = F.sqrt(F.size("p")).cast("int")
-    ends = before.select(PAIR, "chunk", (F.col("scale") + F.log(F.greatest(F.aggregate(F.slice("p", 1, width), F.lit(0.0), lambda x, y: x + y), F.lit(1e-300)))).alias("ll"))
-    return post, ends.groupBy(PAIR).agg(F.max_by("ll", "chunk").alias("ll"))
+    return post, _ends(before)
 
 
 def _walk(e: np.ndarray, init: np.ndarray, trans: np.ndarray, enter: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray | None]:
@@ -242,9 +263,11 @@ def best_paths(steps: DataFrame, chain: Chain, size: int = 4096) -> DataFrame:
 
     Two scans: best scores into every chunk, then the maps from a chunk's end
     state to that of the chunk before, composed from the end."""
-    chunks = keep(chunked(steps, size))
-    before = scan(keep(best_products(chunks, chain)), _best, np.int64)
-    chunks = keep(_entered(chunks, before, None))
+    plain = stored(chunked(steps, size))
+    products = stored(best_products(plain, chain))
+    before = scan(products, _best, np.int64)
+    chunks = stored(_entered(plain, before, None))
+    release(plain, products, before)
     sent = steps.sparkSession.sparkContext.broadcast({m: tuple(map(whole_logs, c)) for m, c in chain.items()})
     kind = steps.schema[PAIR].dataType.simpleString()
 
@@ -264,7 +287,7 @@ def best_paths(steps: DataFrame, chain: Chain, size: int = 4096) -> DataFrame:
                 out[r] = (door[_back(np.arange(m), back)] if door is not None else np.zeros(m, np.int64)).tolist()
             yield _rows(b, [PAIR, "chunk"], p=pa.array(out, pa.list_(pa.int64())), scale=pa.array(np.zeros(b.num_rows)), end=pa.array(end))
 
-    maps = keep(chunks.mapInArrow(doors, f"{PAIR} {kind}, chunk long, p array<long>, scale double, end long"))
+    maps = stored(chunks.mapInArrow(doors, f"{PAIR} {kind}, chunk long, p array<long>, scale double, end long"))
     follow = scan(maps.drop("end"), _follow, np.int64, forward=False, square=False)
     last = maps.groupBy(PAIR).agg(F.max("chunk").alias("last"), F.max_by("end", "chunk").alias("end"))
     ends = follow.join(last, PAIR).select(PAIR, (F.col("chunk") - 1).alias("chunk"), F.get("p", F.col("end").cast("int")).alias("exit")).where(F.col("chunk") >= 0)
