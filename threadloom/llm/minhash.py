@@ -413,8 +413,8 @@ def near_groups(docs: DataFrame, threshold: int = 85, width: int = 3, id_col: st
         sig = cut(ids.mapInArrow(_signed(plan), "doc_id bigint, n bigint, h binary, bands array<bigint>"))
         some = sig.where("n > 0 and doc_id is not null")
         classes = cut(some.groupBy("h").agg(F.min("doc_id").alias("rep")))
-        reps = some.join(classes, (some["h"] == classes["h"]) & (some["doc_id"] == classes["rep"])).select("rep", "bands")
-        banded = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("bkey"))
+        reps = some.join(classes, (some["h"] == classes["h"]) & (some["doc_id"] == classes["rep"])).select("rep", "n", "bands")
+        banded = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bkey"))
         buckets = (
             banded.groupBy("bkey")
             .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
@@ -423,7 +423,7 @@ def near_groups(docs: DataFrame, threshold: int = 85, width: int = 3, id_col: st
             .agg(F.min("bkey").alias("bkey"))
         )
         buckets = cut(buckets.select("bkey", "lo", "hi", "n"))
-        members = cut(banded.join(buckets.where("n > 2").select("bkey", F.col("n").alias("size")), "bkey").select("bkey", "id", "size"))
+        members = cut(banded.join(buckets.where("n > 2").select("bkey", F.col("n").alias("size")), "bkey").select("bkey", "id", "n", "size"))
         twos = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
         wanted = twos.select(F.col("a").alias("id")).unionByName(twos.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct()
         sets = cut(ids.join(wanted.hint("merge"), ids["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets(plan), "id bigint, n bigint, set binary, odd array<bigint>").where("n > 0"))
@@ -437,7 +437,8 @@ def near_groups(docs: DataFrame, threshold: int = 85, width: int = 3, id_col: st
         blocks = F.ceil(F.col("size") / plan.forest).cast("int")
         # Two different divisions into blocks, so that parts of a large bucket meet.
         at = F.when(blocks <= 1, F.array(F.lit(0))).otherwise(F.array(F.pmod(F.xxhash64("id", F.lit(0)), blocks).cast("int"), (F.pmod(F.xxhash64("id", F.lit(1)), blocks) + blocks).cast("int")))
-        blocked = members.select("bkey", "id", F.explode(at).alias("blk")).join(odd, "id")
+        # sketches are joined to a row a member, and dealt to blocks after that
+        blocked = members.drop("n").join(odd, "id").select("bkey", "id", F.explode(at).alias("blk"), "n", "odd")
         tries = blocked.repartition("bkey", "blk").sortWithinPartitions("bkey", "blk").mapInArrow(_forests(plan), "a bigint, b bigint")
         tries = cut(tries.unionByName(twos).distinct())
 
@@ -449,8 +450,8 @@ def near_groups(docs: DataFrame, threshold: int = 85, width: int = 3, id_col: st
         links = confirmed(tries)
         labels = cut(components(links))
 
-        named = members.join(labels, members["id"] == labels["node"], "left").select("bkey", "id", F.coalesce("label", "id").alias("label"))
-        named = cut(named.join(sets.select("id", "n").hint("merge"), "id"))
+        named = members.join(labels, members["id"] == labels["node"], "left").select("bkey", "id", F.coalesce("label", "id").alias("label"), "n")
+        named = cut(named)
 
         def mixed(named: DataFrame) -> DataFrame:
             """Buckets of several components, their main one, and into how many blocks
