@@ -176,7 +176,7 @@ def concept_posterior(init, trans, pz, px):
     a[:] = init * mixed[:, 0][:, None, None, :]
     a[:, own, :, own] = init[:, None, None] * px[:, 0]
     for s in range(1, t):
-        a = a @ trans
+        a = (a.reshape(-1, m) @ trans).reshape(a.shape)  # one product for all
         clamped = a[:, own, :, own] * px[:, s]
         a *= mixed[:, s][:, None, None, :]
         a[:, own, :, own] = clamped
@@ -253,20 +253,55 @@ def update(p: Params, s: dict[str, np.ndarray], rate: float, momentum: float = 0
     return replace(p, init=init, trans=trans, obs=norm(s["obs"].reshape(p.obs.shape)), first=norm(s["first"].reshape(p.first.shape)) if p.first is not None else None, concept=step(p.concept, "concept"), phone=step(p.phone, "phone"))
 
 
-def shaped_batches(b: pa.RecordBatch, concepts: int = 64, most_bytes: int = 128 << 20) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def nested(c: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A column of lists as (lengths, first places, values) without a Python
+    object a value; null counts as empty. Lists of vectors: values are rows."""
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    n = c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    v = c.flatten()
+    if pa.types.is_list(v.type):
+        width = v.value_lengths().to_numpy(zero_copy_only=False)
+        if len(width) and (width != width[0]).any():
+            raise ValueError("vectors of different lengths")
+        v = v.flatten().to_numpy(zero_copy_only=False).reshape(len(width), -1 if len(width) else 0)
+    else:
+        v = v.to_numpy(zero_copy_only=False)
+    return n, np.cumsum(n) - n, v.astype(np.int64) if v.dtype.kind in "iu" else v
+
+
+def picked(first: np.ndarray, length: int, values: np.ndarray) -> np.ndarray:
+    """The lists that begin at ``first``, all of one length, stacked."""
+    return values[first[:, None] + np.arange(length)]
+
+
+def lists(n: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """The reverse of ``nested``: lists of lengths ``n``, one after another."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values, kind))
+
+
+def of_one_shape(*lengths: np.ndarray) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """(shape, row numbers in order) of the rows with the same lengths."""
+    if not len(lengths[0]):
+        return
+    order = np.lexsort((np.arange(len(lengths[0])), *lengths[::-1]))
+    at = np.stack([n[order] for n in lengths], 1)
+    for rows in np.split(order, np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1):
+        yield tuple(int(n[rows[0]]) for n in lengths), rows
+
+
+def shaped_batches(b: pa.RecordBatch, concepts: int = 64, most_bytes: int = 128 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row numbers, x, y) of the rows of equal shape in a batch; as many at once
     as keep the largest arrays of the kernels (T x m x K and m x K x m a row, K up
     to ``concepts``) within ``most_bytes``, one row at least."""
-    xs, ys = b.column("x").to_pylist(), b.column("y").to_pylist()
-    groups: dict[tuple[int, int], list[int]] = {}
-    for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
-        if x and y:
-            groups.setdefault((len(x), len(y)), []).append(i)
-    for (t, m), rows in groups.items():
+    nx, fx, xs = nested(b.column("x"))
+    ny, fy, ys = nested(b.column("y"))
+    for (t, m), rows in of_one_shape(nx, ny):
+        if not t or not m:
+            continue
         step = max(1, min(512, most_bytes // (8 * (t + m) * m * concepts)))
         for lo in range(0, len(rows), step):
             part = rows[lo : lo + step]
-            yield part, np.array([xs[i] for i in part]), np.array([ys[i] for i in part], float)
+            yield part, picked(fx[part], t, xs), picked(fy[part], m, ys).astype(float)
 
 
 def add_up(df: DataFrame, stats) -> dict[str, np.ndarray]:
@@ -312,7 +347,7 @@ def state_posteriors(pairs: DataFrame, p: Params) -> DataFrame:
 
     def run(it):
         for b in it:
-            p, ids = sent.value, b.column("pair_index").to_pylist()
+            p, ids = sent.value, b.column("pair_index").to_numpy(zero_copy_only=False)
             for rows, x, y in shaped_batches(b):
                 init, trans = p.chain(y.shape[1])
                 pz = classify(p.concept_kind, p.concept, y, p.width)
@@ -321,8 +356,7 @@ def state_posteriors(pairs: DataFrame, p: Params) -> DataFrame:
                 g = (a * backward(trans, pz, px, c)).sum(-1)
                 n, t, m = g.shape
                 at = np.indices(g.shape).reshape(3, -1)
-                own = np.array([ids[i] for i in rows])
-                yield pa.RecordBatch.from_arrays([pa.array(own[at[0]]), pa.array(at[1]), pa.array(at[2]), pa.array(g.ravel()), pa.array(np.log(c).sum(1)[at[0]])], ["pair_index", "pos", "state", "post", "ll"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][at[0]]), pa.array(at[1]), pa.array(at[2]), pa.array(g.ravel()), pa.array(np.log(c).sum(1)[at[0]])], ["pair_index", "pos", "state", "post", "ll"])
 
     return pairs.select("pair_index", "x", "y").mapInArrow(run, "pair_index long, pos long, state long, post double, ll double")
 
@@ -334,15 +368,19 @@ def decode(pairs: DataFrame, p: Params) -> DataFrame:
     def run(it):
         for b in it:
             p = sent.value
-            path, kind = [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
+            nx, ny = (nested(b.column(c))[0] for c in ("x", "y"))
+            some = (nx > 0) & (ny > 0)
+            nx, ny = nx * some, ny * some
+            fx, fy = np.cumsum(nx) - nx, np.cumsum(ny) - ny
+            path, kind = np.empty(nx.sum(), np.int32), np.empty(ny.sum(), np.int32)
             for rows, x, y in shaped_batches(b):
                 init, trans = p.chain(y.shape[1])
                 pz = classify(p.concept_kind, p.concept, y, p.width)
                 px, _ = emissions(p, x)
                 best = viterbi(init, trans, np.einsum("bmk,btk->btm", pz, px))
-                for i, a, z in zip(rows, best.tolist(), cluster(pz, px, best).tolist(), strict=True):
-                    path[i], kind[i] = a, z
-            yield pa.RecordBatch.from_arrays([b.column("pair_index"), pa.array(path, pa.list_(pa.int32())), pa.array(kind, pa.list_(pa.int32()))], ["pair_index", "alignment", "concepts"])
+                path[fx[rows][:, None] + np.arange(x.shape[1])] = best
+                kind[fy[rows][:, None] + np.arange(y.shape[1])] = cluster(pz, px, best)
+            yield pa.RecordBatch.from_arrays([b.column("pair_index"), lists(nx, path, pa.int32()), lists(ny, kind, pa.int32())], ["pair_index", "alignment", "concepts"])
 
     return pairs.select("pair_index", "x", "y").mapInArrow(run, "pair_index long, alignment array<int>, concepts array<int>")
 

@@ -7,13 +7,13 @@ numbers as large as the parameters.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .hmm import add_up, softmax, with_one
+from .hmm import add_up, lists, nested, of_one_shape, picked, softmax, with_one
 
 Weights = dict[str, np.ndarray]
 #: What CTC calls blank.
@@ -103,6 +103,66 @@ def attention_gradient(w: Weights, src: list[int], trg: list[int]) -> tuple[floa
     return float(logp[np.arange(len(trg)), trg].sum()), out
 
 
+def _attentions(w: Weights, b: pa.RecordBatch) -> Iterator[tuple]:
+    """``attention`` for all rows of equal shape at once: row numbers, sources,
+    targets, tokens before, and embeddings, queries, attentions, contexts."""
+    nx, fx, xs = nested(b.column("x"))
+    ny, fy, ys = nested(b.column("y"))
+    for (t, n), every in of_one_shape(nx, ny):
+        if not n:
+            continue
+        if not t:
+            raise ValueError("targets without a source")
+        for lo in range(0, len(every), step := max(1, min(4096, (1 << 22) // (t * n + t + n)))):
+            rows = every[lo : lo + step]
+            src, trg = picked(fx[rows], t, xs), picked(fy[rows], n, ys)
+            last = np.concatenate([np.zeros((len(rows), 1), np.int64), trg[:, :-1] + 1], 1)
+            s, q = w["S"][src], w["Q"][last]
+            att = softmax(np.einsum("bnd,btd->bnt", q @ w["A"], s))
+            yield rows, src, trg, last, s, q, att, np.einsum("bnt,btd->bnd", att, s)
+
+
+def _summed(at: np.ndarray, v: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of ``v`` added up by their place."""
+    return np.stack([np.bincount(at.ravel(), v[..., d].ravel(), minlength=rows) for d in range(v.shape[-1])], 1)
+
+
+def attention_sums(w: Weights, b: pa.RecordBatch) -> Iterator[Weights]:
+    """Log-likelihoods and gradients (``attention_gradient``) of all rows of a
+    batch, added up for each shape. Rows without targets count and add nothing."""
+    yield {"n": np.array([float(b.num_rows)]), "value": np.zeros(1)} | {k: np.zeros_like(v) for k, v in w.items()}
+    for rows, src, trg, last, s, q, att, context in _attentions(w, b):
+        p = softmax(with_one(context) @ w["O"].T)
+        flat = np.arange(trg.size), trg.ravel()
+        d = -p.reshape(trg.size, -1)
+        value = np.log(-d[flat]).sum()
+        d[flat] += 1
+        dc = (d @ w["O"][:, :-1]).reshape(context.shape)
+        da = np.einsum("bnd,btd->bnt", dc, s)
+        de = att * (da - (att * da).sum(2, keepdims=True))
+        des = np.einsum("bnt,btd->bnd", de, s)
+        out = {"O": d.T @ with_one(context).reshape(trg.size, -1), "A": q.reshape(trg.size, -1).T @ des.reshape(trg.size, -1)}
+        out["S"] = _summed(src, np.einsum("bnt,bnd->btd", att, dc) + np.einsum("bnt,bnd->btd", de, q @ w["A"]), len(w["S"]))
+        out["Q"] = _summed(last, des @ w["A"].T, len(w["Q"]))
+        yield {"value": np.array([value]), **out}
+
+
+def attended(rows: DataFrame, w: Weights) -> DataFrame:
+    """``pair_index, out``: for each target the source position it attends to
+    most; ties (to 12 digits) to the lower position."""
+    sent = rows.sparkSession.sparkContext.broadcast(w)
+
+    def run(it):
+        for b in it:
+            n, first, _ = nested(b.column("y"))
+            out = np.empty(n.sum(), np.int64)
+            for at, _, trg, _, _, _, att, _ in _attentions(sent.value, b):
+                out[first[at][:, None] + np.arange(trg.shape[1])] = np.round(att, 12).argmax(2)
+            yield pa.RecordBatch.from_arrays([b.column("pair_index").cast(pa.int64()), lists(n, out, pa.int64())], ["pair_index", "out"])
+
+    return rows.select("pair_index", "x", "y").mapInArrow(run, "pair_index long, out array<long>")
+
+
 def convolved(w: Weights, image: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Log probabilities of classes of an image (H, W): 3 x 3 filters, ReLU,
     2 x 2 maxima, a dense softmax. H and W are even + 2 (no border)."""
@@ -130,17 +190,22 @@ def convolved_gradient(w: Weights, image: np.ndarray, label: int) -> tuple[float
 
 
 Gradient = Callable[[Weights, dict], tuple[float, Weights]]
+#: Of a whole batch: parts with sums, among them ``value`` and ``n``.
+Sums = Callable[[Weights, pa.RecordBatch], Iterator[Weights]]
 
 
-def train_net(rows: DataFrame, w: Weights, gradient: Gradient, rounds: int, rate: float = 0.05) -> tuple[Weights, list[float]]:
+def train_net(rows: DataFrame, w: Weights, gradient: Gradient | None, rounds: int, rate: float = 0.05, batched: Sums | None = None) -> tuple[Weights, list[float]]:
     """Full-batch Adam: ``gradient(weights, row)`` gives a row's log-likelihood
-    and gradient. Returns the weights and the mean log-likelihood before each
-    step. All rows count in every round."""
+    and gradient, or ``batched`` the sums of many. Returns the weights and the mean
+    log-likelihood before each step. All rows count in every round."""
     m, v, history = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, []
     for step in range(1, rounds + 1):
         sent = rows.sparkSession.sparkContext.broadcast(w)
 
         def sums(b, sent=sent):
+            if batched:
+                yield from batched(sent.value, b)
+                return
             for row in b.to_pylist():
                 value, g = gradient(sent.value, row)
                 yield {"value": np.array([value]), "n": np.array([1.0]), **g}
