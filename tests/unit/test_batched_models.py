@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from threadloom.operators import hmm, neural
+from threadloom.operators import corrlda, hmm, neural
 
 
 def batch(x, y):
@@ -51,3 +51,13 @@ def test_decoded_rows_keep_their_order_and_empty_ones(spark):
     df = spark.createDataFrame(rows, "pair_index long, x array<int>, y array<array<double>>").coalesce(1)
     got = {r.pair_index: (len(r.alignment), r.concepts) for r in hmm.decode(df, p).collect()}
     assert got == {7: (3, [0, 1]), 3: (0, []), 5: (1, [2]), 9: (3, [2, 0]), 1: (0, [])}
+
+
+def test_posterior_rows_of_any_shape(spark):
+    eye = np.eye(3).tolist()
+    rows = [(i, [i % 4, (i + 1) % 4][: 1 + i % 2], [eye[i % 3], eye[(i + 1) % 3]][: 1 + i % 3 % 2]) for i in range(12)]
+    df = spark.createDataFrame(rows, "pair_index long, x array<int>, y array<array<double>>")
+    m, post, _ = corrlda.train(df, corrlda.start([1, 2], 3, np.eye(3)[:, None, :] * 0.8, 0.1, v=4), 2)
+    got = {r.pair_index: r for r in post.collect()}
+    assert all(np.allclose(got[i].x, x) and got[i].y == y and len(got[i].align) == len(x) * len(y) and len(got[i].z) == 3 * len(y) for i, x, y in rows)
+    assert {r.pair_index: (len(r.alignment), len(r.concepts)) for r in corrlda.decode(post, m).collect()} == {i: (len(x), len(y)) for i, x, y in rows}

@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.special import digamma, log_gaussian, logsumexp
+from threadloom.sources.shared import release, stored
 
-from .em import keep
-from .hmm import add_up, tie, viterbi
+from .hmm import add_up, lists, nested, of_one_shape, picked, tie, viterbi
 
 
 @dataclass
@@ -111,9 +111,10 @@ def posterior(m: Model, x: np.ndarray, y: np.ndarray, align: np.ndarray) -> tupl
     return z, post, moves
 
 
-def likelihood(m: Model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log p(y) + log p(x|y) at the expected parameters, for each pair (B,)."""
-    ry = m.logs["prior"] + logsumexp(region_terms(m, y))
+def likelihood(m: Model, x: np.ndarray, y: np.ndarray, regions: np.ndarray | None = None) -> np.ndarray:
+    """Log p(y) + log p(x|y) at the expected parameters, for each pair (B,).
+    ``regions``: the ``region_terms``, if they are at hand."""
+    ry = m.logs["prior"] + logsumexp(region_terms(m, y) if regions is None else regions)
     ly = logsumexp(ry)
     sx, _ = source_terms(m, x)
     e = logsumexp(sx[:, :, None, :] + (ry - ly[..., None])[:, None])
@@ -131,11 +132,11 @@ def likelihood(m: Model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def counts(m: Model, x, y, z, post, moves) -> dict[str, np.ndarray]:
     """Sums that a batch adds to the hyper-parameters and observation models."""
     n, k = y.shape[1], z.shape[2]
+    r = region_terms(m, y)
     later = np.concatenate([np.cumsum(z[..., ::-1], 2)[..., ::-1][..., 1:], np.zeros((*z.shape[:2], 1))], 2)
-    out = {"sticks": np.stack([z.sum((0, 1)), later.sum((0, 1))], 1), f"starts/{n}": post[:, 0].sum(0) if m.chain else post.sum((0, 1)), "n": np.array([float(len(y))]), "ll": np.array([likelihood(m, x, y).sum()])}
+    out = {"sticks": np.stack([z.sum((0, 1)), later.sum((0, 1))], 1), f"starts/{n}": post[:, 0].sum(0) if m.chain else post.sum((0, 1)), "n": np.array([float(len(y))]), "ll": np.array([likelihood(m, x, y, r).sum()])}
     if m.chain:
         out[f"moves/{n}"] = moves.sum(0)
-    r = region_terms(m, y)
     r = np.exp(r - logsumexp(r, -1, True)) * z[..., None]
     out["mix_v"], out["sum_v"] = r.sum((0, 1)), np.einsum("bnkm,bnd->kmd", r, y)
     if m.free_variance:
@@ -183,29 +184,34 @@ _NAMES = ["pair_index", "x", "xd", "y", "align", "z", "moves"]
 
 def _shapes(b: pa.RecordBatch):
     """Rows of equal shape as stacked arrays: ids, xd, x, y, align, z, moves."""
-    cols = [b.column(c).to_pylist() for c in _NAMES]
-    groups: dict[tuple[int, int, int], list[int]] = {}
-    for i, (x, xd, y) in enumerate(zip(cols[1], cols[2], cols[3], strict=True)):
-        groups.setdefault((len(x), xd, len(y)), []).append(i)
-    for (size, xd, n), rows in groups.items():
-        for lo in range(0, len(rows), 512):
-            ids, x, _, y, align, z, moves = ([c[i] for i in rows[lo : lo + 512]] for c in cols)
-            x = np.array(x, float)
-            x = x if xd == 0 else x.reshape(len(x), -1, xd)
-            t = x.shape[1]
-            yield ids, xd, x, np.array(y, float), np.array(align, float).reshape(-1, t, n), (np.array(z, float).reshape(len(ids), n, -1) if z[0] else None), (np.array(moves, float).reshape(-1, n, n) if moves[0] else None)
+    ids, wide = (b.column(c).to_numpy(zero_copy_only=False) for c in ("pair_index", "xd"))
+    (nx, fx, xs), (ny, fy, ys), (_, fa, aligns), (nz, fz, zs), (nm, fm, ms) = (nested(b.column(c)) for c in ("x", "y", "align", "z", "moves"))
+    for (size, xd, n, of_z, of_m), every in of_one_shape(nx, wide, ny, nz, nm):
+        t = size // xd if xd else size
+        for lo in range(0, len(every), 512):
+            rows = every[lo : lo + 512]
+            x = picked(fx[rows], size, xs)
+            x = x if xd == 0 else x.reshape(len(x), t, xd)
+            z, moves = picked(fz[rows], of_z, zs).reshape(len(rows), n, -1) if of_z else None, picked(fm[rows], of_m, ms).reshape(-1, n, n) if of_m else None
+            yield ids[rows], xd, x, picked(fy[rows], n, ys), picked(fa[rows], t * n, aligns).reshape(-1, t, n), z, moves
+
+
+def _listed(v: np.ndarray) -> pa.ListArray:
+    """Rows of an array as lists, of lists if there are three axes."""
+    if v.ndim == 3:
+        inner = lists(np.full(v.shape[0] * v.shape[1], v.shape[2]), v.ravel(), pa.float64())
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), inner)
+    return lists(np.full(len(v), v.shape[1]), v.ravel(), pa.float64())
 
 
 def _step(sent):
     def run(it):
         m = sent.value
-        kinds = [pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.list_(pa.float64())), *[pa.list_(pa.float64())] * 3]
         for b in it:
             for ids, xd, x, y, align, _, _ in _shapes(b):
                 z, post, moves = posterior(m, x, y, align)
-                flat = lambda v: v.reshape(len(v), -1).tolist()
-                rows = (ids, flat(x), [xd] * len(ids), y.tolist(), flat(post), flat(z), flat(moves))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], _NAMES)
+                flat = lambda v: _listed(v.reshape(len(v), -1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), flat(x), pa.array(np.full(len(ids), xd), pa.int32()), _listed(y), flat(post), flat(z), flat(moves)], _NAMES)
 
     return run
 
@@ -224,7 +230,8 @@ def train(pairs: DataFrame, m: Model, iterations: int) -> tuple[Model, DataFrame
     rows, history = begin(pairs, m.tokens is None), []
     for _ in range(iterations):
         sent = pairs.sparkSession.sparkContext.broadcast(m)
-        rows = keep(rows.mapInArrow(_step(sent), _STATE))
+        before, rows = rows, stored(rows.mapInArrow(_step(sent), _STATE))
+        release(before)
 
         def stats(b, sent=sent):
             for _, _, x, y, align, z, moves in _shapes(b):
@@ -260,7 +267,8 @@ def decode(rows: DataFrame, m: Model) -> DataFrame:
                     path = viterbi(m.starts[n] / m.starts[n].sum(), m.moves[n] / m.moves[n].sum(1, keepdims=True), np.exp(e - e.max(2, keepdims=True)))
                 else:
                     path = align.argmax(2)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(path.tolist(), pa.list_(pa.int32())), pa.array(z.argmax(2).tolist(), pa.list_(pa.int32()))], ["pair_index", "alignment", "concepts"])
+                best = lambda v: lists(np.full(len(v), v.shape[1]), v.ravel(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), best(path), best(z.argmax(2))], ["pair_index", "alignment", "concepts"])
 
     return rows.mapInArrow(run, "pair_index long, alignment array<int>, concepts array<int>")
 
