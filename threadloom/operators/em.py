@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.numeric import gaussian_log, squared_distance
-from threadloom.sources.shared import keep
+from threadloom.sources.shared import keep, release, stored
 
 PAIR = "pair_index"
 #: Fixed value: the floor of a probability.
@@ -62,30 +62,76 @@ def translation_update(post: DataFrame, floor: float | None = None) -> DataFrame
     return c.select("concept", "token", (F.greatest(p, F.lit(floor)) if floor else p).alias("p"))
 
 
+def positions(src: DataFrame, trg: DataFrame) -> DataFrame:
+    """A row per source position: ``pair_index, spos, token``, ``targets`` (the
+    concepts of its pair by position, which count from 0) and ``lf`` (the number
+    of the pair's source positions). Pairs without targets are left out."""
+    t = trg.groupBy(PAIR).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "concept"))), lambda x: x["concept"]).alias("targets"))
+    return src.select(PAIR, F.col("pos").alias("spos"), "token", F.count(F.lit(1)).over(Window.partitionBy(PAIR)).alias("lf")).join(t, PAIR)
+
+
+def patterns(at: DataFrame, *by: str) -> DataFrame:
+    """Source positions with the same token, targets and ``by`` behave alike in
+    the translation models: one row for all of them with their number ``n`` and an
+    ``id``. Never more rows than positions; counts combine before the shuffle."""
+    p = at.groupBy("token", "targets", *by).agg(F.count(F.lit(1)).alias("n"))
+    return stored(p.withColumn("id", F.monotonically_increasing_id()))
+
+
+def pattern_pairs(pats: DataFrame) -> DataFrame:
+    """``cooccurrences`` of patterns: ``id`` is the pair, ``n`` its weight."""
+    return pats.select(F.col("id").alias(PAIR), F.lit(0).alias("spos"), *[c for c in pats.columns if c not in ("id", "targets")], F.posexplode("targets").alias("tpos", "concept"))
+
+
+def at_patterns(at: DataFrame, pats: DataFrame, of: DataFrame, *by: str) -> DataFrame:
+    """What ``of`` says of each pattern (``pair_index`` is the id), at all of the
+    positions. Small tables of patterns are broadcast."""
+    said = pats.select("id", "token", "targets", *by).join(of.withColumnRenamed(PAIR, "id"), "id").drop("id")
+    return at.join(said, ["token", "targets", *by])
+
+
+def pattern_counts(pats: DataFrame) -> DataFrame:
+    """A03 from patterns: p(token|concept) by co-occurrence counts."""
+    c = pattern_pairs(pats).groupBy("concept", "token").agg(F.sum("n").alias("n"))
+    return c.select("concept", "token", (F.col("n") / F.sum("n").over(Window.partitionBy("concept"))).alias("p"))
+
+
 def ibm1(src: DataFrame, trg: DataFrame, iterations: int = 5, tolerance: float | None = None) -> DataFrame:
     """Translation table ``concept, token, p``. Stops early once the average
     log-likelihood changes by less than ``tolerance`` (relative)."""
-    co = keep(cooccurrences(src, trg)) if iterations > 1 or tolerance is not None else cooccurrences(src, trg)
+    at = positions(src, trg)
+    return ibm1_patterns(patterns(at) if tolerance is None else patterns(at, "lf"), iterations, tolerance)
+
+
+def ibm1_patterns(pats: DataFrame, iterations: int = 5, tolerance: float | None = None) -> DataFrame:
+    """``ibm1`` over ``patterns`` (by ``lf`` too if ``tolerance`` is given)."""
+    co = pattern_pairs(pats)
     params, last = uniform_translation(co), None
     for _ in range(iterations):
-        params = keep(translation_update(posteriors(co, params)))
+        params = stored(translation_update(posteriors(co, params).withColumn("post", F.col("post") * F.col("n"))))
         if tolerance is not None:
-            now = ibm1_likelihood(src, trg, params, co).first()[0]
+            now = ibm1_pattern_likelihood(pats, params).first()[0]
             if last is not None and abs(now - last) <= tolerance * abs(last):
                 break
             last = now
     return params
 
 
-def ibm1_likelihood(src: DataFrame, trg: DataFrame, params: DataFrame, co: DataFrame | None = None) -> DataFrame:
+def ibm1_likelihood(src: DataFrame, trg: DataFrame, params: DataFrame) -> DataFrame:
     """Average over pairs of log q(lf|lt) - lf log(lt + 1) + the sum over
-    source positions of the log of the summed translation probabilities. ``co``:
-    the pairs' co-occurrences, if they are at hand."""
-    co = cooccurrences(src, trg) if co is None else co
-    at = co.join(params, ["concept", "token"], "left").na.fill({"p": 0.0}).groupBy(PAIR, "spos").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("lt"))
-    pair = at.groupBy(PAIR).agg(F.sum(F.log(F.greatest("s", F.lit(FLOOR)))).alias("ll"), F.first("lt").alias("lt"), F.count(F.lit(1)).alias("lf"))
-    q = length_model(src, trg).withColumnRenamed("p", "q")
-    return pair.join(q, ["lt", "lf"]).agg(F.avg(F.col("ll") + F.log("q") - F.col("lf") * F.log(F.col("lt") + 1)).alias("avg_ll"))
+    source positions of the log of the summed translation probabilities."""
+    return ibm1_pattern_likelihood(patterns(positions(src, trg), "lf"), params)
+
+
+def ibm1_pattern_likelihood(pats: DataFrame, params: DataFrame) -> DataFrame:
+    """The same over ``patterns`` by ``lf``: both sums weigh a pattern by the
+    number of its positions; a pair has ``lf`` of them."""
+    s = pattern_pairs(pats).join(params, ["concept", "token"], "left").na.fill({"p": 0.0}).groupBy(PAIR).agg(F.sum("p").alias("s"), F.first("n").alias("n"))
+    tokens = s.agg(F.sum(F.col("n") * F.log(F.greatest("s", F.lit(FLOOR)))).alias("tokens"))
+    cells = pats.groupBy(F.size("targets").alias("lt"), "lf").agg((F.sum("n") / F.col("lf")).alias("n"))
+    q = F.col("n") / F.sum("n").over(Window.partitionBy("lt"))
+    cells = cells.withColumn("q", q).agg(F.sum(F.col("n") * (F.log("q") - F.col("lf") * F.log(F.col("lt") + 1))).alias("lengths"), F.sum("n").alias("pairs"))
+    return tokens.crossJoin(cells).select(((F.col("tokens") + F.col("lengths")) / F.col("pairs")).alias("avg_ll"))
 
 
 def best_targets(co: DataFrame, params: DataFrame, prior: DataFrame | None = None) -> DataFrame:
@@ -110,24 +156,37 @@ def _with_prior(j: DataFrame, prior: DataFrame) -> DataFrame:
     return sized.join(prior, ["lt", "lf", "spos", "tpos"], "left").withColumn("a", F.coalesce("a", 1 / F.col("lt")))
 
 
+def sized(at: DataFrame) -> DataFrame:
+    """Patterns of IBM-2: by position and by the lengths of the pair."""
+    return patterns(at.withColumn("lt", F.size("targets")), "spos", "lt", "lf")
+
+
+def sized_pairs(pats: DataFrame) -> DataFrame:
+    return pats.select(F.col("id").alias(PAIR), "token", "spos", "lt", "lf", "n", F.posexplode("targets").alias("tpos", "concept"))
+
+
 def ibm2(src: DataFrame, trg: DataFrame, iterations: int = 5, floor: float = FLOOR) -> tuple[DataFrame, DataFrame]:
-    """(translation table, alignment prior ``lt, lf, spos, tpos, a``).
+    """(translation table, alignment prior ``lt, lf, spos, tpos, a``). Source
+    positions count from 0, as targets do.
 
     A06: the prior of a target position given the source position and both
     lengths; it starts uniform, the lengths include NULL."""
-    co = cooccurrences(src, trg)
-    w = Window.partitionBy(PAIR)
-    sized = keep(co.withColumns({"lt": F.max("tpos").over(w) + 1, "lf": F.max("spos").over(w) + 1}))
+    return ibm2_patterns(sized(positions(src, trg)), iterations, floor)
+
+
+def ibm2_patterns(pats: DataFrame, iterations: int = 5, floor: float = FLOOR) -> tuple[DataFrame, DataFrame]:
+    """``ibm2`` over ``sized`` patterns."""
+    co, key = sized_pairs(pats), ["lt", "lf", "spos", "tpos"]
     params = uniform_translation(co)
-    prior = sized.select("lt", "lf", "spos", "tpos").distinct().withColumn("a", 1 / F.col("lt"))
+    prior = co.select(key).distinct().withColumn("a", 1 / F.col("lt"))
     for _ in range(iterations):
-        j = sized.join(params, ["concept", "token"]).join(prior, ["lt", "lf", "spos", "tpos"])
+        j = co.join(params, ["concept", "token"]).join(prior, key)
         s = F.col("p") * F.col("a")
-        post = keep(j.withColumn("post", s / F.sum(s).over(Window.partitionBy(PAIR, "spos"))))
-        params = translation_update(post, floor)
-        c = post.groupBy("lt", "lf", "spos", "tpos").agg(F.sum("post").alias("c"))
-        prior = c.select("lt", "lf", "spos", "tpos", (F.col("c") / F.sum("c").over(Window.partitionBy("lt", "lf", "spos"))).alias("a"))
-        params, prior = keep(params), keep(prior)
+        post = stored(j.withColumn("post", F.col("n") * s / F.sum(s).over(Window.partitionBy(PAIR))))
+        params = stored(translation_update(post, floor))
+        c = post.groupBy(key).agg(F.sum("post").alias("c"))
+        prior = stored(c.select(*key, (F.col("c") / F.sum("c").over(Window.partitionBy("lt", "lf", "spos"))).alias("a")))
+        release(post)
     return params, prior
 
 

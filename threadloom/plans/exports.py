@@ -230,14 +230,14 @@ def s08_alignment_text(spark: Spark, d: str) -> DataFrame:
 def s06_parameter_table(spark: Spark, d: str) -> DataFrame:
     """A translation table written as tab-separated text and read back."""
     path = new_path(spark)
-    sinks.write_parameters(em.counted_translation(em.cooccurrences(C.src_tokens(spark, d), C.trg_tokens(spark, d))), path)
+    sinks.write_parameters(em.pattern_counts(em.patterns(C.order_positions(spark, d))), path)
     return text.parameters(spark, path, "concept string, token string, p double").withColumn("p", F.round("p", 9))
 
 
 @query("WITH " + SQL_SRC + ", " + SQL_TRG + ", co AS (SELECT token, concept, count(*) AS n FROM src JOIN trg USING (pair_index) GROUP BY 1, 2) SELECT concept, token, round(n / sum(n) OVER (PARTITION BY concept), 9) AS p FROM co")
 def s06_keyed_parameters(spark: Spark, d: str) -> DataFrame:
     """S06, S07 by the same data source, with ranges of concepts."""
-    return _kept(spark, em.counted_translation(em.cooccurrences(C.src_tokens(spark, d), C.trg_tokens(spark, d))), "concept").withColumn("p", F.round("p", 9))
+    return _kept(spark, em.pattern_counts(em.patterns(C.order_positions(spark, d))), "concept").withColumn("p", F.round("p", 9))
 
 
 @query("WITH " + SQL_EV + " SELECT CAST(pair_index AS VARCHAR) AS path, CAST(1000 AS BIGINT) AS rate, count(*) AS n, CAST(sum(gold * 100 - pred) AS DOUBLE) AS total FROM ev WHERE pos BETWEEN 2 AND 4 GROUP BY 1")
