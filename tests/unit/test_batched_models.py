@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from threadloom.operators import corrlda, hmm, neural
+from threadloom.operators import corrlda, hmm, neural, segmental
 
 
 def batch(x, y):
@@ -61,3 +61,12 @@ def test_posterior_rows_of_any_shape(spark):
     got = {r.pair_index: r for r in post.collect()}
     assert all(np.allclose(got[i].x, x) and got[i].y == y and len(got[i].align) == len(x) * len(y) and len(got[i].z) == 3 * len(y) for i, x, y in rows)
     assert {r.pair_index: (len(r.alignment), len(r.concepts)) for r in corrlda.decode(post, m).collect()} == {i: (len(x), len(y)) for i, x, y in rows}
+
+
+def test_segments_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(segmental, "SEGMENTS", 4)
+    rows = [(i, [[float(i), float(j)] for j in range(3)], [0, 1, 2, 3]) for i in range(5)]
+    df = spark.createDataFrame(rows, "pair_index long, x array<array<double>>, marks array<int>")
+    got = {(r.pair_index, r.start, r.end): r.vec for r in segmental.embed_segments(df, 2, "interpolate", 2).collect()}
+    assert set(got) == {(i, s, e) for i in range(5) for s in range(3) for e in range(s + 1, min(3, s + 2) + 1)}
+    assert got[4, 0, 2] == [4.0, 4.0, 0.0, 1.0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.special import embed, log_gaussian, logsumexp
 
 from .em import keep
-from .hmm import add_up, viterbi
+from .hmm import add_up, nested, viterbi
 
 
 def segment(marks: list[int], score: Callable[[int, int], float], shortest: int = 1, longest: int | None = None) -> tuple[list[int], float]:
@@ -160,20 +161,29 @@ def train_segments(pairs: DataFrame, models: dict[str, np.ndarray], n: int, roun
     return models
 
 
+#: Fixed value: embedded segments that a task holds at once.
+SEGMENTS = 1024
+
+
 def embed_segments(pairs: DataFrame, n: int, technique: str = "resample", longest: int = 6) -> DataFrame:
     """Embeddings of all segments between landmarks up to ``longest`` apart:
     ``pair_index, start, end, vec``."""
 
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
+
+    def segments(b):
+        (nx, fx, xs), (nm, fm, every) = nested(b.column("x")), nested(b.column("marks"))
+        for r, p in enumerate(b.column("pair_index").to_pylist()):
+            x, marks = xs[fx[r] : fx[r] + nx[r]], every[fm[r] : fm[r] + nm[r]].tolist()
+            for i, s in enumerate(marks):
+                for e in marks[i + 1 : i + 1 + longest]:
+                    yield p, s, e, embed(x[s:e], n, technique)
+
     def run(it):
         for b in it:
-            out = [[], [], [], []]
-            for p, x, marks in zip(*(b.column(c).to_pylist() for c in ("pair_index", "x", "marks")), strict=True):
-                x = np.array(x, float)
-                for i, s in enumerate(marks):
-                    for e in marks[i + 1 : i + 1 + longest]:
-                        for c, v in zip(out, (p, s, e, embed(x[s:e], n, technique).tolist()), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["pair_index", "start", "end", "vec"])
+            rows = segments(b)
+            while out := list(islice(rows, SEGMENTS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["pair_index", "start", "end", "vec"])
 
     return pairs.mapInArrow(run, "pair_index long, start long, end long, vec array<double>")
 
