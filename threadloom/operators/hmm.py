@@ -1,10 +1,13 @@
 """Alignment HMMs: target positions are states, each with a latent concept.
 
-One kernel serves the whole family. It works on batches of pairs of equal shape
-(B pairs, T source positions, m targets, K concepts):
+One kernel serves the whole family. It works on batches of pairs with the same
+number of targets (B pairs, N source positions in all, m targets, K concepts),
+pairs along the last axis and positions step by step (``Steps``), so that pairs of
+any length advance together:
 
 * concept model p(z|y): ``table`` (given), ``linear`` softmax, ``rbf`` softmax,
-  ``mlp`` (one ReLU layer) over target vectors;
+  ``mlp`` (one ReLU layer) over target vectors; integers stand for one-hot
+  vectors, and with an identity table the concept of a state is known;
 * emission p(x|z): ``unigram`` or ``bigram`` over token ids, or ``phones``: a
   latent phone with p(phone|frame) linear or RBF and p(phone|z) a table.
 
@@ -75,8 +78,16 @@ class Params:
         return np.full(m, 1 / m), np.full((m, m), 1 / m)
 
 
+def inputs(kind: str, w: dict[str, np.ndarray]) -> int:
+    """Width of a classifier's vectors."""
+    return {"table": lambda: len(w["p"]), "linear": lambda: w["W"].shape[1] - 1, "rbf": lambda: w["mu"].shape[1], "mlp": lambda: w["W1"].shape[1] - 1}[kind]()
+
+
 def classify(kind: str, w: dict[str, np.ndarray], v: np.ndarray, width: float) -> np.ndarray:
-    """p(class|vector) for the last axis of ``v``; ``table``: v is it already."""
+    """p(class|vector) for the last axis of ``v``; ``table``: v is it already.
+    Integers are the places of the ones in one-hot vectors."""
+    if v.dtype.kind in "iu":
+        return classify(kind, w, np.eye(inputs(kind, w)), width)[v]
     if kind == "table":
         return v @ w["p"] if "p" in w else v
     if kind == "linear":
@@ -90,8 +101,13 @@ def classify(kind: str, w: dict[str, np.ndarray], v: np.ndarray, width: float) -
 
 def classifier_gradient(kind: str, w: dict[str, np.ndarray], v: np.ndarray, diff: np.ndarray, width: float) -> dict[str, np.ndarray]:
     """Sum over rows of the gradient of the expected log-likelihood; ``diff`` is
-    posterior minus prediction."""
-    v, diff = v.reshape(-1, v.shape[-1]), diff.reshape(-1, diff.shape[-1])
+    posterior minus prediction. It is linear in ``diff``, which for integers is
+    first added up by vector."""
+    diff = diff.reshape(-1, diff.shape[-1])
+    if v.dtype.kind in "iu":
+        d = inputs(kind, w)
+        v, diff = np.eye(d), np.stack([np.bincount(v.ravel(), c, minlength=d) for c in diff.T], 1)
+    v = v.reshape(-1, v.shape[-1])
     if kind == "linear":
         return {"W": diff.T @ with_one(v)}
     if kind == "rbf":
@@ -103,143 +119,237 @@ def classifier_gradient(kind: str, w: dict[str, np.ndarray], v: np.ndarray, diff
     return {}
 
 
-def emissions(p: Params, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-    """p(x_t|z): (B, T, K), and for ``phones`` p(phone|frame): (B, T, P)."""
+class Steps:
+    """Rows of any lengths step by step: rows in falling order of length, so those
+    with a step t are the first ``n[t]``, and (t, row) is at ``at[t] + row``."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.n = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+        self.at = np.cumsum(self.n) - self.n
+        self.step = np.repeat(np.arange(len(self.n)), self.n)
+        self.row = np.arange(len(self.step)) - self.at[self.step]
+        self.rows = len(lengths)
+
+    def before(self) -> np.ndarray:
+        """The place one step earlier of all places but those of the first step."""
+        return self.at[self.step[self.rows :] - 1] + self.row[self.rows :]
+
+
+def emitted(p: Params, s: Steps, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """p(x_t|z): (1, K, N), and for ``phones`` p(phone|frame): (N, P)."""
     if p.emission == "unigram":
-        return np.moveaxis(p.obs[:, x], 0, -1), None
+        return p.obs[None, :, x], None
     if p.emission == "bigram":
-        px = np.empty((*x.shape, len(p.obs)))
-        px[:, 0] = np.moveaxis(p.first[:, x[:, 0]], 0, -1)
-        px[:, 1:] = np.moveaxis(p.obs[:, x[:, :-1], x[:, 1:]], 0, -1)
-        return px, None
+        k, v, _ = p.obs.shape
+        return np.concatenate([p.first[:, x[: s.rows]], p.obs.reshape(k, -1)[:, x[s.before()] * v + x[s.rows :]]], 1)[None], None
     q = classify(p.phone_kind, p.phone, x, p.width)
-    return q @ p.obs.T, q
+    return (p.obs @ q.T)[None], q
 
 
-def forward(init, trans, pz, px):
-    """Scaled alpha (B, T, m, K) and scales (B, T)."""
-    b, t, k = px.shape
-    m = pz.shape[1]
-    a, c = np.empty((b, t, m, k)), np.empty((b, t))
+def known(p: Params, y: np.ndarray) -> bool:
+    """Whether every state has one concept, which ``y`` names."""
+    return p.concept_kind == "table" and y.dtype.kind in "iu" and p.emission == "unigram" and np.array_equal(p.concept["p"], np.eye(len(p.obs)))
+
+
+def densities(p: Params, s: Steps, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(p(z|y): (m, K, B), p(x_t|z): (1, K, N), p(phone|frame)). Known concepts are
+    left out: one concept, with emissions by state (m, 1, N)."""
+    if known(p, y):
+        return np.ones((y.shape[1], 1, len(y))), p.obs[y.T[:, s.row], x][:, None], None
+    return np.moveaxis(classify(p.concept_kind, p.concept, y, p.width), 0, -1), *emitted(p, s, x)
+
+
+def forward_steps(init, trans, pz, px, s: Steps):
+    """Scaled alpha (m, K, N) and scales (N)."""
+    a, c = np.empty((*pz.shape[:2], len(s.row))), np.empty(len(s.row))
     stay = np.diag(trans)
-    move = trans - np.diag(stay)
-    for s in range(t):
-        if s == 0:
-            now = init[None, :, None] * pz * px[:, 0, None, :]
+    move = (trans - np.diag(stay)).T
+    for t, (lo, n) in enumerate(zip(s.at, s.n, strict=True)):
+        if t == 0:
+            now = init[:, None, None] * pz
         else:
-            drawn = np.einsum("ij,bi->bj", move, a[:, s - 1].sum(-1))
-            now = (stay[None, :, None] * a[:, s - 1] + drawn[..., None] * pz) * px[:, s, None, :]
-        c[:, s] = np.maximum(now.sum((1, 2)), 1e-300)
-        a[:, s] = now / c[:, s, None, None]
+            last = a[..., s.at[t - 1] : s.at[t - 1] + n]
+            now = stay[:, None, None] * last + (move @ last.sum(1))[:, None] * pz[..., :n]
+        now *= px[..., lo : lo + n]
+        c[lo : lo + n] = np.maximum(now.sum((0, 1)), 1e-300)
+        a[..., lo : lo + n] = now / c[lo : lo + n]
     return a, c
 
 
-def backward(trans, pz, px, c):
+def backward_steps(trans, pz, px, c, s: Steps):
     """Beta scaled by the same scales; sum of alpha * beta is 1 at every t."""
-    b, t, k = px.shape
-    out = np.ones((b, t, pz.shape[1], k))
+    out = np.ones((*pz.shape[:2], len(s.row)))
     stay = np.diag(trans)
     move = trans - np.diag(stay)
-    for s in range(t - 1, 0, -1):
-        seen = out[:, s] * px[:, s, None, :]
-        drawn = np.einsum("ij,bj->bi", move, (pz * seen).sum(-1))
-        out[:, s - 1] = (stay[None, :, None] * seen + drawn[..., None]) / c[:, s, None, None]
+    for t in range(len(s.n) - 1, 0, -1):
+        lo, n = s.at[t], s.n[t]
+        seen = out[..., lo : lo + n] * px[..., lo : lo + n]
+        drawn = move @ (pz[..., :n] * seen).sum(1)
+        out[..., s.at[t - 1] : s.at[t - 1] + n] = (stay[:, None, None] * seen + drawn[:, None]) / c[lo : lo + n]
     return out
 
 
-def transition_counts(trans, pz, px, a, be, tied: bool):
-    """Expected moves (m, m) summed over pairs; each step is normalised."""
-    b, t, m, _ = a.shape
-    total = np.zeros((m, m))
+def transition_sums(trans, pz, px, a, be, tied: bool, s: Steps):
+    """Expected moves (m, m) summed over pairs; each step is normalised. The
+    floor of a step's moves is below rounding unless the whole step is tiny."""
     stay = np.diag(trans)
     move = trans - np.diag(stay)
-    for s in range(t - 1):
-        seen = be[:, s + 1] * px[:, s + 1, None, :]
-        step = a[:, s].sum(-1)[:, :, None] * move * (pz * seen).sum(-1)[:, None, :]
-        i = np.arange(m)
-        step[:, i, i] += (a[:, s] * stay[None, :, None] * seen).sum(-1)
+    seen = (be * px)[..., s.rows :]
+    start = a[..., s.before()]
+    own = stay[:, None] * (start * seen).sum(1)
+    start, end = start.sum(1), (pz[..., s.row[s.rows :]] * seen).sum(1)
+    whole = (start * (move @ end)).sum(0) + own.sum(0)
+    plain = whole > 1e-30
+    share = np.divide(1.0, whole, out=np.zeros_like(whole), where=plain)
+    total = (start * share) @ end.T * move + np.diag(own @ share)
+    if not plain.all():
+        step = start[:, None, ~plain] * move[..., None] * end[None][..., ~plain]
+        step[np.arange(len(move)), np.arange(len(move))] += own[:, ~plain]
         step = np.maximum(step, EPS)
-        step /= step.sum((1, 2), keepdims=True)
-        total += (tie(step) if tied else step).sum(0)
-    return total
+        total += (step / step.sum((0, 1))).sum(-1)
+    return tie(total) if tied else total
 
 
-def concept_posterior(init, trans, pz, px):
-    """p(z_i|x, y) (B, m, K), by clamping each concept of each state in turn
+def concept_posterior_steps(init, trans, pz, px, s: Steps):
+    """p(z_i|x, y) (m, K, B), by clamping each concept of each state in turn
     in the chain whose emissions mix the concepts at every step. All clamped
     chains advance together; only the messages of one step are held."""
-    b, t, k = px.shape
-    m = pz.shape[1]
-    mixed = np.einsum("bmk,btk->btm", pz, px)
-    own = np.arange(m)
-    a = np.empty((b, m, k, m))
-    a[:] = init * mixed[:, 0][:, None, None, :]
-    a[:, own, :, own] = init[:, None, None] * px[:, 0]
-    for s in range(1, t):
-        a = (a.reshape(-1, m) @ trans).reshape(a.shape)  # one product for all
-        clamped = a[:, own, :, own] * px[:, s]
-        a *= mixed[:, s][:, None, None, :]
-        a[:, own, :, own] = clamped
-        a /= np.maximum(a.max((1, 2, 3), keepdims=True), 1e-300)
-    p = np.maximum(pz * a.sum(-1), EPS)
-    return p / p.sum(-1, keepdims=True)
+    m, k, rows = pz.shape
+    px = px[0]
+    mixed = (pz[..., s.row] * px).sum(1)
+    a = np.empty((m, k, m, rows))
+    a[:] = init[:, None] * mixed[:, :rows]
+    for i in range(m):
+        a[i, :, i] = init[i] * px[:, :rows]
+    for lo, n in zip(s.at[1:], s.n[1:], strict=True):
+        now = np.matmul(trans.T, a[..., :n])
+        clamped = [now[i, :, i] * px[:, lo : lo + n] for i in range(m)]
+        now *= mixed[:, lo : lo + n]
+        for i in range(m):
+            now[i, :, i] = clamped[i]
+        now /= np.maximum(now.max((0, 1, 2)), 1e-300)
+        a[..., :n] = now
+    p = np.maximum(pz * a.sum(2), EPS)
+    return p / p.sum(1, keepdims=True)
+
+
+def viterbi_steps(init, trans, em, s: Steps):
+    """Best state paths (N) for emissions (m, N), in log space; ties to the
+    lower state."""
+    with np.errstate(divide="ignore"):
+        le, lt = np.log(em), np.log(trans)
+        score = np.log(init)[:, None] + le[:, : s.rows]
+    back, path = np.zeros(em.shape, np.int32), np.empty(em.shape[1], np.int64)
+    for lo, n in zip(s.at[1:], s.n[1:], strict=True):
+        best, of = score[0, :n] + lt[0][:, None], back[:, lo : lo + n]
+        for i in range(1, len(init)):
+            other = score[i, :n] + lt[i][:, None]
+            of[other > best] = i
+            np.maximum(best, other, out=best)
+        score[:, :n] = best + le[:, lo : lo + n]
+    now = score.argmax(0)
+    for t in range(len(s.n) - 1, -1, -1):
+        lo, n = s.at[t], s.n[t]
+        path[lo : lo + n] = now[:n]
+        now[:n] = back[now[:n], np.arange(lo, lo + n)]
+    return path
+
+
+def cluster_steps(pz, px, path, s: Steps):
+    """Concept of each state given the path (m, B): prior times emissions."""
+    m, k, rows = pz.shape
+    with np.errstate(divide="ignore"):
+        score, lp = np.log(pz), np.log(px[0])
+    lp = np.where(np.isfinite(lp), lp, -700)
+    for z in range(k):
+        score[:, z] += np.bincount(path * rows + s.row, lp[z], minlength=m * rows).reshape(m, rows)
+    return score.argmax(1)
+
+
+def _level(b: int, t: int) -> Steps:
+    return Steps(np.full(b, t))
+
+
+def _by_step(v: np.ndarray) -> np.ndarray:
+    """(B, T, ...) as (T * B, ...)."""
+    return v.swapaxes(0, 1).reshape(-1, *v.shape[2:])
+
+
+def _by_row(v: np.ndarray, b: int) -> np.ndarray:
+    """(..., T * B) as (B, T, ...)."""
+    return np.moveaxis(v.reshape(*v.shape[:-1], -1, b), (-1, -2), (0, 1))
+
+
+def emissions(p: Params, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """For rows of equal length, as the functions below: p(x_t|z): (B, T, K), and
+    for ``phones`` p(phone|frame): (B, T, P)."""
+    px, q = emitted(p, _level(*x.shape[:2]), _by_step(x))
+    return _by_row(px[0], len(x)), q if q is None else _by_row(q.T, len(x))
+
+
+def _last(pz, px):
+    return np.moveaxis(pz, 0, -1), _by_step(px).T[None], _level(*px.shape[:2])
+
+
+def forward(init, trans, pz, px):
+    """Scaled alpha (B, T, m, K) and scales (B, T)."""
+    a, c = forward_steps(init, trans, *_last(pz, px))
+    return _by_row(a, len(px)), _by_row(c, len(px))
+
+
+def backward(trans, pz, px, c):
+    """Beta (B, T, m, K)."""
+    z, x, s = _last(pz, px)
+    return _by_row(backward_steps(trans, z, x, _by_step(c), s), len(px))
+
+
+def transition_counts(trans, pz, px, a, be, tied: bool):
+    """Expected moves (m, m)."""
+    z, x, s = _last(pz, px)
+    a, be = (np.moveaxis(_by_step(v), 0, -1) for v in (a, be))
+    return transition_sums(trans, z, x, a, be, tied, s)
+
+
+def concept_posterior(init, trans, pz, px):
+    """p(z_i|x, y): (B, m, K)."""
+    return np.moveaxis(concept_posterior_steps(init, trans, *_last(pz, px)), -1, 0)
 
 
 def viterbi(init, trans, em):
-    """Best state paths (B, T) for emissions (B, T, m), in log space; ties
-    to the lower state."""
-    with np.errstate(divide="ignore"):
-        le, lt, s = np.log(em), np.log(trans), np.log(init) + np.log(em[:, 0])
-    back = []
-    for t in range(1, em.shape[1]):
-        c = s[:, :, None] + lt
-        back.append(c.argmax(1))
-        s = c.max(1) + le[:, t]
-    path = [s.argmax(1)]
-    for bk in reversed(back):
-        path.append(np.take_along_axis(bk, path[-1][:, None], 1)[:, 0])
-    return np.stack(path[::-1], 1)
-
-
-def cluster(pz, px, path):
-    """Concept of each state given the path: prior times its emissions."""
-    b, t, k = px.shape
-    with np.errstate(divide="ignore"):
-        score, lp = np.log(pz), np.log(px)
-    for i in range(pz.shape[1]):
-        score[:, i] += ((path == i)[..., None] * np.where(np.isfinite(lp), lp, -700)).sum(1)
-    return score.argmax(-1)
+    """Best paths (B, T) for emissions (B, T, m)."""
+    return _by_row(viterbi_steps(init, trans, _by_step(em).T, _level(*em.shape[:2])), len(em))
 
 
-def expected_counts(p: Params, x: np.ndarray, y: np.ndarray, tied: bool = False, all_steps: bool = False) -> dict[str, np.ndarray]:
-    """Sums over a batch of equal shape. ``all_steps`` counts initial states at
-    every step, as an older variant of the update does."""
+def expected_counts(p: Params, s: Steps, x: np.ndarray, y: np.ndarray, tied: bool = False, all_steps: bool = False) -> dict[str, np.ndarray]:
+    """Sums over a batch with m targets each. ``all_steps`` counts initial states
+    at every step, as an older variant of the update does."""
     m = y.shape[1]
     init, trans = p.chain(m)
-    pz = classify(p.concept_kind, p.concept, y, p.width)
-    px, q = emissions(p, x)
-    a, c = forward(init, trans, pz, px)
-    be = backward(trans, pz, px, c)
+    pz, px, q = densities(p, s, x, y)
+    a, c = forward_steps(init, trans, pz, px, s)
+    be = backward_steps(trans, pz, px, c, s)
     g = a * be
-    g /= np.maximum(g.sum((2, 3), keepdims=True), EPS)
-    states = g.sum(-1)
-    out = {f"init/{m}": (states.sum((0, 1)) if all_steps else states[:, 0].sum(0)), f"trans/{m}": transition_counts(trans, pz, px, a, be, tied), "ll": np.array([np.log(c).sum()]), "n": np.array([float(len(x))])}
-    z = g.sum(2)  # K05: (B, T, K)
-    k, v = z.shape[-1], p.obs.shape[-1]
-    if p.emission == "unigram":
-        out["obs"] = np.stack([np.bincount(x.ravel(), z[..., j].ravel(), minlength=v) for j in range(k)])
+    g /= np.maximum(g.sum((0, 1)), EPS)
+    states = g.sum(1)
+    out = {f"init/{m}": (states if all_steps else states[:, : s.rows]).sum(1), f"trans/{m}": transition_sums(trans, pz, px, a, be, tied, s), "ll": np.array([np.log(c).sum()]), "n": np.array([float(s.rows)])}
+    z = g.sum(0)  # K05: (K, N)
+    k, v = len(p.obs), p.obs.shape[-1]
+    if known(p, y):
+        out["obs"] = np.bincount((y.T[:, s.row] * v + x).ravel(), states.ravel(), minlength=k * v).reshape(k, v)
+    elif p.emission == "unigram":
+        out["obs"] = np.stack([np.bincount(x, w, minlength=v) for w in z])
     elif p.emission == "bigram":
-        out["first"] = np.stack([np.bincount(x[:, 0], z[:, 0, j], minlength=v) for j in range(k)])
-        code = (x[:, :-1] * v + x[:, 1:]).ravel()
-        out["obs"] = np.stack([np.bincount(code, z[:, 1:, j].ravel(), minlength=v * v) for j in range(k)])
+        out["first"] = np.stack([np.bincount(x[: s.rows], w[: s.rows], minlength=v) for w in z])
+        code = x[s.before()] * v + x[s.rows :]
+        out["obs"] = np.stack([np.bincount(code, w[s.rows :], minlength=v * v) for w in z])
     else:
-        joint = z[..., None] * q[..., None, :] * p.obs / np.maximum(px[..., None], EPS)  # (B, T, K, P)
-        out["obs"] = joint.sum((0, 1))
-        for name, grad in classifier_gradient(p.phone_kind, p.phone, x, joint.sum(2) - q, p.width).items():
+        joint = z.T[..., None] * q[:, None, :] * p.obs / np.maximum(px[0].T[..., None], EPS)  # (N, K, P)
+        out["obs"] = joint.sum(0)
+        for name, grad in classifier_gradient(p.phone_kind, p.phone, x, joint.sum(1) - q, p.width).items():
             out[f"phone/{name}"] = grad
     if p.concept_kind != "table":
-        post = concept_posterior(init, trans, pz, px)
-        for name, grad in classifier_gradient(p.concept_kind, p.concept, y, post - pz, p.width).items():
+        post = concept_posterior_steps(init, trans, pz, px, s)
+        for name, grad in classifier_gradient(p.concept_kind, p.concept, y, np.moveaxis(post - pz, -1, 0), p.width).items():
             out[f"concept/{name}"] = grad
     return out
 
@@ -289,19 +399,30 @@ def of_one_shape(*lengths: np.ndarray) -> Iterator[tuple[tuple[int, ...], np.nda
         yield tuple(int(n[rows[0]]) for n in lengths), rows
 
 
-def shaped_batches(b: pa.RecordBatch, concepts: int = 64, most_bytes: int = 128 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row numbers, x, y) of the rows of equal shape in a batch; as many at once
-    as keep the largest arrays of the kernels (T x m x K and m x K x m a row, K up
-    to ``concepts``) within ``most_bytes``, one row at least."""
+#: Rows that advance together at most: the arrays of a step stay in the cache.
+ROWS = 2048
+
+
+def batches(b: pa.RecordBatch, concepts: int = 64, most_bytes: int = 128 << 20) -> Iterator[tuple[np.ndarray, Steps, np.ndarray, np.ndarray]]:
+    """(row numbers, steps, x by step, y) of the rows of a batch with the same
+    number of targets; as many at once as keep the largest arrays of the kernels
+    (T x m x K and m x K x m a row, K up to ``concepts``) within ``most_bytes``, one
+    row at least. Integer ``y`` stay as they are."""
     nx, fx, xs = nested(b.column("x"))
     ny, fy, ys = nested(b.column("y"))
-    for (t, m), rows in of_one_shape(nx, ny):
-        if not t or not m:
-            continue
-        step = max(1, min(512, most_bytes // (8 * (t + m) * m * concepts)))
-        for lo in range(0, len(rows), step):
-            part = rows[lo : lo + step]
-            yield part, picked(fx[part], t, xs), picked(fy[part], m, ys).astype(float)
+    order = np.lexsort((-nx, ny))
+    order = order[(nx[order] > 0) & (ny[order] > 0)]
+    for rows in np.split(order, np.flatnonzero(np.diff(ny[order])) + 1) if len(order) else ():
+        m = int(ny[rows[0]])
+        size = np.cumsum(8 * (nx[rows] + m) * m * concepts)
+        lo = 0
+        while lo < len(rows):
+            hi = int(np.searchsorted(size, most_bytes + (size[lo - 1] if lo else 0), "right"))
+            part = rows[lo : max(lo + 1, min(hi, lo + ROWS))]
+            s = Steps(nx[part])
+            y = picked(fy[part], m, ys)
+            yield part, s, xs[fx[part][s.row] + s.step], y if y.dtype.kind in "iu" and y.ndim == 2 else y.astype(float)
+            lo += len(part)
 
 
 def add_up(df: DataFrame, stats) -> dict[str, np.ndarray]:
@@ -335,7 +456,7 @@ def train(pairs: DataFrame, p: Params, iterations: int, rate: float = 1.0, momen
     history = []
     for n in range(iterations):
         sent = pairs.sparkSession.sparkContext.broadcast(p)
-        s = add_up(pairs, lambda b, sent=sent: (expected_counts(sent.value, x, y, tied, all_steps) for _, x, y in shaped_batches(b)))
+        s = add_up(pairs, lambda b, sent=sent: (expected_counts(sent.value, s, x, y, tied, all_steps) for _, s, x, y in batches(b)))
         history.append(float(s["ll"][0] / s["n"][0]))
         p = update(p, s, rate / 10 ** (n // 10), momentum)
     return p, history
@@ -348,15 +469,14 @@ def state_posteriors(pairs: DataFrame, p: Params) -> DataFrame:
     def run(it):
         for b in it:
             p, ids = sent.value, b.column("pair_index").to_numpy(zero_copy_only=False)
-            for rows, x, y in shaped_batches(b):
+            for rows, s, x, y in batches(b):
                 init, trans = p.chain(y.shape[1])
-                pz = classify(p.concept_kind, p.concept, y, p.width)
-                px, _ = emissions(p, x)
-                a, c = forward(init, trans, pz, px)
-                g = (a * backward(trans, pz, px, c)).sum(-1)
-                n, t, m = g.shape
-                at = np.indices(g.shape).reshape(3, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][at[0]]), pa.array(at[1]), pa.array(at[2]), pa.array(g.ravel()), pa.array(np.log(c).sum(1)[at[0]])], ["pair_index", "pos", "state", "post", "ll"])
+                pz, px, _ = densities(p, s, x, y)
+                a, c = forward_steps(init, trans, pz, px, s)
+                g = (a * backward_steps(trans, pz, px, c, s)).sum(1)
+                ll = np.bincount(s.row, np.log(c))
+                m, at = len(g), np.tile(s.row, len(g))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][at]), pa.array(np.tile(s.step, m)), pa.array(np.repeat(np.arange(m), len(s.row))), pa.array(g.ravel()), pa.array(ll[at])], ["pair_index", "pos", "state", "post", "ll"])
 
     return pairs.select("pair_index", "x", "y").mapInArrow(run, "pair_index long, pos long, state long, post double, ll double")
 
@@ -373,13 +493,12 @@ def decode(pairs: DataFrame, p: Params) -> DataFrame:
             nx, ny = nx * some, ny * some
             fx, fy = np.cumsum(nx) - nx, np.cumsum(ny) - ny
             path, kind = np.empty(nx.sum(), np.int32), np.empty(ny.sum(), np.int32)
-            for rows, x, y in shaped_batches(b):
+            for rows, s, x, y in batches(b):
                 init, trans = p.chain(y.shape[1])
-                pz = classify(p.concept_kind, p.concept, y, p.width)
-                px, _ = emissions(p, x)
-                best = viterbi(init, trans, np.einsum("bmk,btk->btm", pz, px))
-                path[fx[rows][:, None] + np.arange(x.shape[1])] = best
-                kind[fy[rows][:, None] + np.arange(y.shape[1])] = cluster(pz, px, best)
+                pz, px, _ = densities(p, s, x, y)
+                best = viterbi_steps(init, trans, (pz[..., s.row] * px).sum(1), s)
+                path[fx[rows][s.row] + s.step] = best
+                kind[fy[rows][:, None] + np.arange(y.shape[1])] = y if known(p, y) else cluster_steps(pz, px, best, s).T
             yield pa.RecordBatch.from_arrays([b.column("pair_index"), lists(nx, path, pa.int32()), lists(ny, kind, pa.int32())], ["pair_index", "alignment", "concepts"])
 
     return pairs.select("pair_index", "x", "y").mapInArrow(run, "pair_index long, alignment array<int>, concepts array<int>")
@@ -431,10 +550,11 @@ def concept_posteriors(pairs: DataFrame, p: Params) -> DataFrame:
     def run(it):
         for b in it:
             p, ids = sent.value, b.column("pair_index").to_numpy(zero_copy_only=False)
-            for rows, x, y in shaped_batches(b):
+            for rows, s, x, y in batches(b):
                 init, trans = p.chain(y.shape[1])
-                pz = classify(p.concept_kind, p.concept, y, p.width)
-                post = concept_posterior(init, trans, pz, emissions(p, x)[0])
+                pz = np.moveaxis(classify(p.concept_kind, p.concept, y, p.width), 0, -1)
+                post = np.moveaxis(concept_posterior_steps(init, trans, pz, emitted(p, s, x)[0], s), -1, 0)
+                pz = np.moveaxis(pz, -1, 0)
                 at = np.indices(post.shape).reshape(3, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows][at[0]]), pa.array(at[1]), pa.array(at[2]), pa.array(pz.ravel()), pa.array(post.ravel())], names)
 
@@ -448,10 +568,10 @@ def concept_gradient(pairs: DataFrame, p: Params) -> dict[str, np.ndarray]:
 
     def stats(b):
         p = sent.value
-        for _, x, y in shaped_batches(b):
+        for _, s, x, y in batches(b):
             init, trans = p.chain(y.shape[1])
-            pz = classify(p.concept_kind, p.concept, y, p.width)
-            post = concept_posterior(init, trans, pz, emissions(p, x)[0])
-            yield classifier_gradient(p.concept_kind, p.concept, y, post - pz, p.width)
+            pz = np.moveaxis(classify(p.concept_kind, p.concept, y, p.width), 0, -1)
+            post = concept_posterior_steps(init, trans, pz, emitted(p, s, x)[0], s)
+            yield classifier_gradient(p.concept_kind, p.concept, y, np.moveaxis(post - pz, -1, 0), p.width)
 
     return {n: v.reshape(p.concept[n].shape) for n, v in add_up(pairs, stats).items()}
