@@ -52,3 +52,19 @@ def test_patterns_at_all_positions(spark):
     got = em.at_patterns(at, pats, best).collect()
     assert len(got) == at.count()
     assert len({(r.token, *r.targets, r.alignment) for r in got}) == 6
+
+
+def test_small_patterns_go_to_the_positions(spark, monkeypatch):
+    at = em.positions(*corpus(spark))
+    pats = em.patterns(at)
+    best = em.best_targets(em.pattern_pairs(pats), em.ibm1_patterns(pats, 2)).select("pair_index", "alignment")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda: em.at_patterns(at, pats, best)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [token" in plan()
+        monkeypatch.setattr(em, "CELLS", 3)
+        assert "BroadcastHashJoin" not in plan()
+        assert em.at_patterns(at, pats, best).count() == at.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -64,6 +64,16 @@ def test_impossible_steps_count_evenly():
 @pytest.mark.parametrize("size", [1, 2, 3, 11])
 def test_orders_over_batches(size):
     lines = [(None, 0, 1), (None, 1, 0), (0, 1, 2), (4, 3, 1), (4, 0, 1), (4, 2, 0), (4, 3, 2), (5, 1, None), (9, 0, None), (9, 2, 1), (9, 1, 1)]
-    t = pa.table({"l_orderkey": pa.array([k for k, _, _ in lines], pa.int64()), "code": pa.array([4 * x + (0 if y is None else y + 1) for _, x, y in lines], pa.int64())})
+    t = pa.table({"l_orderkey": pa.array([k for k, _, _ in lines], pa.int64()), "code": pa.array([4 * (x + 1) + (0 if y is None else y + 1) for _, x, y in lines], pa.int64())})
     got = [r for b in models._whole_orders(iter(t.to_batches(max_chunksize=size)), 3) for r in b.to_pylist()]
     assert [tuple(r.values()) for r in got] == [(None, [0, 1], [0, 1]), (0, [1], [2]), (4, [3, 0, 2, 3], [0, 1, 2]), (5, [1], []), (9, [0, 2, 1], [1])]
+
+
+def test_order_ids_without_brand_or_type(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "b", "u"), (2, None, "v"), (3, "a", None)], "p_partkey long, p_brand string, p_type string").write.parquet(f"{d}/part.parquet")
+    lines = [(7, 2, 1), (7, 1, 2), (7, 3, 3), (7, 3, 1), (8, 1, 3), (9, 1, 5)]
+    spark.createDataFrame([(*r, "1995-01-01") for r in lines], "l_orderkey long, l_linenumber int, l_partkey long, l_shipdate string").write.parquet(f"{d}/lineitem.parquet")
+    got = lambda **kw: {r.pair_index: (r.x, r.y) for r in models.order_ids(spark, d, **kw)[0].collect()}
+    assert got() == {7: ([1, 1, 0], [0]), 8: ([0], [])}
+    assert got(unknown=True) == {7: ([-1, 1, 1, 0], [0, 1]), 8: ([0], [])}

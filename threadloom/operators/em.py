@@ -15,6 +15,8 @@ from threadloom.sources.shared import keep, release, stored
 PAIR = "pair_index"
 #: Fixed value: the floor of a probability.
 FLOOR = 1e-11
+#: Targets of all patterns that are broadcast at most (about 50 bytes each).
+CELLS = 1 << 19
 
 
 def cooccurrences(src: DataFrame, trg: DataFrame) -> DataFrame:
@@ -85,9 +87,12 @@ def pattern_pairs(pats: DataFrame) -> DataFrame:
 
 def at_patterns(at: DataFrame, pats: DataFrame, of: DataFrame, *by: str) -> DataFrame:
     """What ``of`` says of each pattern (``pair_index`` is the id), at all of the
-    positions. Small tables of patterns are broadcast."""
+    positions. Patterns of at most ``CELLS`` targets in all are broadcast, so that
+    positions are neither shuffled by pattern, of which some are frequent, nor
+    sorted; more are joined as Spark sees fit."""
     said = pats.select("id", "token", "targets", *by).join(of.withColumnRenamed(PAIR, "id"), "id").drop("id")
-    return at.join(said, ["token", "targets", *by])
+    small = (pats.agg(F.sum(F.size("targets"))).first()[0] or 0) <= CELLS
+    return at.join(F.broadcast(said) if small else said, ["token", "targets", *by])
 
 
 def pattern_counts(pats: DataFrame) -> DataFrame:
