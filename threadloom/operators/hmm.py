@@ -138,10 +138,10 @@ class Steps:
 def emitted(p: Params, s: Steps, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     """p(x_t|z): (1, K, N), and for ``phones`` p(phone|frame): (N, P)."""
     if p.emission == "unigram":
-        return p.obs[None, :, x], None
+        return np.take(p.obs, x, 1)[None], None
     if p.emission == "bigram":
         k, v, _ = p.obs.shape
-        return np.concatenate([p.first[:, x[: s.rows]], p.obs.reshape(k, -1)[:, x[s.before()] * v + x[s.rows :]]], 1)[None], None
+        return np.concatenate([np.take(p.first, x[: s.rows], 1), np.take(p.obs.reshape(k, -1), x[s.before()] * v + x[s.rows :], 1)], 1)[None], None
     q = classify(p.phone_kind, p.phone, x, p.width)
     return (p.obs @ q.T)[None], q
 
@@ -151,12 +151,17 @@ def known(p: Params, y: np.ndarray) -> bool:
     return p.concept_kind == "table" and y.dtype.kind in "iu" and p.emission == "unigram" and np.array_equal(p.concept["p"], np.eye(len(p.obs)))
 
 
+def prior(p: Params, y: np.ndarray) -> np.ndarray:
+    """p(z|y): (m, K, B), pairs next to each other in memory."""
+    return np.ascontiguousarray(np.moveaxis(classify(p.concept_kind, p.concept, y, p.width), 0, -1))
+
+
 def densities(p: Params, s: Steps, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(p(z|y): (m, K, B), p(x_t|z): (1, K, N), p(phone|frame)). Known concepts are
     left out: one concept, with emissions by state (m, 1, N)."""
     if known(p, y):
         return np.ones((y.shape[1], 1, len(y))), p.obs[y.T[:, s.row], x][:, None], None
-    return np.moveaxis(classify(p.concept_kind, p.concept, y, p.width), 0, -1), *emitted(p, s, x)
+    return prior(p, y), *emitted(p, s, x)
 
 
 def forward_steps(init, trans, pz, px, s: Steps):
@@ -195,9 +200,9 @@ def transition_sums(trans, pz, px, a, be, tied: bool, s: Steps):
     stay = np.diag(trans)
     move = trans - np.diag(stay)
     seen = (be * px)[..., s.rows :]
-    start = a[..., s.before()]
+    start = np.take(a, s.before(), -1)
     own = stay[:, None] * (start * seen).sum(1)
-    start, end = start.sum(1), (pz[..., s.row[s.rows :]] * seen).sum(1)
+    start, end = start.sum(1), (np.take(pz, s.row[s.rows :], -1) * seen).sum(1)
     whole = (start * (move @ end)).sum(0) + own.sum(0)
     plain = whole > 1e-30
     share = np.divide(1.0, whole, out=np.zeros_like(whole), where=plain)
@@ -216,7 +221,7 @@ def concept_posterior_steps(init, trans, pz, px, s: Steps):
     chains advance together; only the messages of one step are held."""
     m, k, rows = pz.shape
     px = px[0]
-    mixed = (pz[..., s.row] * px).sum(1)
+    mixed = (np.take(pz, s.row, -1) * px).sum(1)
     a = np.empty((m, k, m, rows))
     a[:] = init[:, None] * mixed[:, :rows]
     for i in range(m):
@@ -496,7 +501,7 @@ def decode(pairs: DataFrame, p: Params) -> DataFrame:
             for rows, s, x, y in batches(b):
                 init, trans = p.chain(y.shape[1])
                 pz, px, _ = densities(p, s, x, y)
-                best = viterbi_steps(init, trans, (pz[..., s.row] * px).sum(1), s)
+                best = viterbi_steps(init, trans, (np.take(pz, s.row, -1) * px).sum(1), s)
                 path[fx[rows][s.row] + s.step] = best
                 kind[fy[rows][:, None] + np.arange(y.shape[1])] = y if known(p, y) else cluster_steps(pz, px, best, s).T
             yield pa.RecordBatch.from_arrays([b.column("pair_index"), lists(nx, path, pa.int32()), lists(ny, kind, pa.int32())], ["pair_index", "alignment", "concepts"])
@@ -552,7 +557,7 @@ def concept_posteriors(pairs: DataFrame, p: Params) -> DataFrame:
             p, ids = sent.value, b.column("pair_index").to_numpy(zero_copy_only=False)
             for rows, s, x, y in batches(b):
                 init, trans = p.chain(y.shape[1])
-                pz = np.moveaxis(classify(p.concept_kind, p.concept, y, p.width), 0, -1)
+                pz = prior(p, y)
                 post = np.moveaxis(concept_posterior_steps(init, trans, pz, emitted(p, s, x)[0], s), -1, 0)
                 pz = np.moveaxis(pz, -1, 0)
                 at = np.indices(post.shape).reshape(3, -1)
@@ -570,7 +575,7 @@ def concept_gradient(pairs: DataFrame, p: Params) -> dict[str, np.ndarray]:
         p = sent.value
         for _, s, x, y in batches(b):
             init, trans = p.chain(y.shape[1])
-            pz = np.moveaxis(classify(p.concept_kind, p.concept, y, p.width), 0, -1)
+            pz = prior(p, y)
             post = concept_posterior_steps(init, trans, pz, emitted(p, s, x)[0], s)
             yield classifier_gradient(p.concept_kind, p.concept, y, np.moveaxis(post - pz, -1, 0), p.width)
 
