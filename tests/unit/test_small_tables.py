@@ -33,3 +33,10 @@ def orders(tmp_path_factory):
 
 def test_chain_search(spark, orders):
     assert len(equal(spark, orders, "m31_chain_search")) == 60
+
+
+def test_math_of_odd_values(spark, tmp_path):
+    """Below 0, next to halves of the last digit, null, large, minus 0 after rounding."""
+    values = "-10.37, -1e-9, 8.0496445, 4412.92, 42377.0, 0.9999999999, 987654321.12345678, null, 0, -0.0, 10"
+    duckdb.execute(f"copy (select i::bigint event_id, v::double as value from (select unnest(range(11)) i, unnest([{values}]) v)) to '{tmp_path}/events.parquet' (format parquet)")
+    assert len(equal(spark, tmp_path, "p38_math")) == 11

@@ -14,6 +14,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def round_binary(x: Column, digits: int) -> Column:
+    """``x`` times 10^digits in binary, rounded, halves away from zero, and divided
+    again: as C and DuckDB round. Spark's ``round`` takes the shortest decimal of
+    ``x`` instead, which differs next to a half (8.0496445) and beyond 2^53 units."""
+    unit = 10.0**digits
+    size = F.abs(x * unit)
+    near = F.rint(size)
+    whole = F.when(size - near == 0.5, near + 1).otherwise(near)  # rint gives the even one
+    return F.when(size == float("inf"), x).otherwise(F.signum(x) * whole / unit)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
