@@ -1,9 +1,14 @@
 """Queries against their SQL on small tables with odd rows."""
 
+import random
+
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from threadloom.operators import retrieval as R
 
 
 def equal(spark, folder, name):
@@ -40,3 +45,37 @@ def test_math_of_odd_values(spark, tmp_path):
     values = "-10.37, -1e-9, 8.0496445, 4412.92, 42377.0, 0.9999999999, 987654321.12345678, null, 0, -0.0, 10"
     duckdb.execute(f"copy (select i::bigint event_id, v::double as value from (select unnest(range(11)) i, unnest([{values}]) v)) to '{tmp_path}/events.parquet' (format parquet)")
     assert len(equal(spark, tmp_path, "p38_math")) == 11
+
+
+@pytest.mark.parametrize("parts", [2, 40])
+def test_jaccard_without_copies(spark, monkeypatch, parts):
+    """Many parts and tiles of left rows give what one gives; no side is copied to blocks."""
+    monkeypatch.setattr(R, "in_blocks", None)
+    r = random.Random(4)
+    docs = [(i, r.choice("ab"), [f"w{int(r.paretovariate(0.8)) % 90}" for _ in range(r.randrange(30))]) for i in range(200)]
+    df = spark.createDataFrame(docs, "id long, lang string, t array<string>").repartition(6)
+    left, right = df.where("id % 3 = 0").selectExpr("lang", "id l_id", "t l_tokens"), df.selectExpr("lang", "id r_id", "t r_tokens")
+    got = {x.l_id: (x.r_id, x.sim) for x in R.jaccard_best(left, right, "lang", most_rows=-(-67 // parts)).collect()}
+    want = {}
+    for i, lang, t in docs[::3]:
+        of = [(round(len(set(t) & set(u)) / len(set(t) | set(u)), 9), -j) for j, other, u in docs if t and u and j != i and other == lang]
+        if of and max(of)[0] > 0:
+            want[i] = (-max(of)[1], max(of)[0])
+    assert got == want
+    assert R.jaccard_best(left.limit(0), right, "lang").count() == R.jaccard_best(left, right.limit(0), "lang").count() == 0
+
+
+def test_jaccard_tiles(monkeypatch):
+    """Left rows by tiles and right rows by batches, in any order."""
+    r = random.Random(5)
+    rows = [[f"w{int(r.paretovariate(0.7)) % 60}" for _ in range(r.randrange(12))] for _ in range(90)]
+    rows = [sorted(set(x)) for x in rows]
+    ids, found = np.arange(90), []
+    for tile, order in ((4096, [range(90)]), (7, [range(50, 90), range(20), range(20, 50)])):
+        monkeypatch.setattr(R._Nearest, "TILE", tile)
+        near = R._Nearest(ids[:40], pa.array(rows[:40], pa.list_(pa.string())))
+        best = near.start()
+        for part in order:
+            near.meet(*best, ids[list(part)], pa.array([rows[i] for i in part], pa.list_(pa.string())))
+        found.append([x.tolist() for x in best])
+    assert found[0] == found[1]
