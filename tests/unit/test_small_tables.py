@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from threadloom.operators import chains, hmm
 from threadloom.operators import retrieval as R
 
 
@@ -79,3 +80,40 @@ def test_jaccard_tiles(monkeypatch):
             near.meet(*best, ids[list(part)], pa.array([rows[i] for i in part], pa.list_(pa.string())))
         found.append([x.tolist() for x in best])
     assert found[0] == found[1]
+
+
+def share(w):
+    return w / w.sum(-1, keepdims=True)
+
+
+@pytest.fixture(scope="module")
+def sources(spark):
+    """(pairs of ids, emissions, chain, what the sequential kernels make of each pair)."""
+    rng = np.random.default_rng(6)
+    obs = share(rng.random((9, 7)) + 0.01)
+    chain = {m: (share(rng.random(m) + 0.1), share(rng.random((m, m)) + 0.05)) for m in (1, 2, 4)}
+    rows, want = [], {}
+    for i, (t, m) in enumerate([(1, 1), (1, 4), (2, 2), (5, 4), (6, 2), (7, 4), (12, 1), (13, 4), (31, 2), (48, 4), (0, 2), (3, 0)]):
+        x, y = rng.integers(0, 7, t), rng.choice(9, m, replace=False)
+        rows.append((i, x.tolist(), y.tolist()))
+        if t and m:
+            (init, trans), e = chain[m], obs[y][:, x].T
+            a, c = hmm.forward(init, trans, np.eye(m)[None], e[None])
+            b = hmm.backward(trans, np.eye(m)[None], e[None], c)
+            want[i] = (a * b).sum(-1)[0], np.log(c).sum(), hmm.viterbi(init, trans, e[None])[0]
+    return spark.createDataFrame(rows, "pair_index long, x array<int>, y array<int>").repartition(3), obs, chain, want
+
+
+@pytest.mark.parametrize("held", [6, 4096])
+def test_sums_of_sources(monkeypatch, sources, held):
+    """Chunks that meet in memory and, of sources of more than one row, in joins."""
+    pairs, obs, chain, want = sources
+    monkeypatch.setattr(chains, "HELD", held)
+    s = chains.sources(pairs, obs, 2)
+    assert s.last == {6: 7, 4096: 0}[held]
+    post, ll = chains.posteriors(s, chain, 2)
+    got = {(r.pair_index, r.pos, r.state): r.post for r in post.collect()}
+    assert len(got) == sum(p.size for p, _, _ in want.values())
+    assert all(abs(got[i, t, j] - p[t, j]) < 1e-12 for i, (p, _, _) in want.items() for t, j in np.ndindex(p.shape))
+    for found in (ll, chains.likelihoods(s, chain, 2)):
+        assert {r.pair_index: r.ll for r in found.collect()} == pytest.approx({i: x for i, (_, x, _) in want.items()}, abs=1e-10)

@@ -1,11 +1,16 @@
 """W08, K01, K02, K05, K09 over sources of any length, by parallel prefix.
 
-A source is cut into chunks of positions, keyed (pair, chunk). A chunk's product
-of transition and emission matrices is one m x m matrix: over (+, x) for sums,
-over (max, +) for best paths. Products up to, and from, every chunk come from
-log2(chunks) joins of a chunk with the one 1, 2, 4, ... before it; a second pass
-inside each chunk starts from what enters and leaves it. No task ever holds more
-of a source than one chunk.
+A source is cut into chunks of positions. A chunk's product of transition and
+emission matrices is one m x m matrix: over (+, x) for sums, over (max, +) for best
+paths. Products up to, and from, every chunk come from log2(chunks) meetings of a
+chunk with the one 1, 2, 4, ... before it; a second pass inside each chunk starts
+from what enters and leaves it.
+
+Chunks are rows keyed (pair, chunk) that meet in joins (``steps``), or a row holds
+some chunks next to each other (``Sources``): these meet in memory, those of
+different rows in joins, and sources of one row need none. No row has more of a
+source than one chunk or ``HELD`` positions. Rows with the same number of states
+advance together.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from pyspark.sql import functions as F
 
 from threadloom.sources.shared import release, stored
 
+from .hmm import lists, nested, picked
+
 PAIR = "pair_index"
 #: Chain of each number of states: first probabilities and moves.
 Chain = dict[int, tuple[np.ndarray, np.ndarray]]
@@ -26,6 +33,9 @@ Chain = dict[int, tuple[np.ndarray, np.ndarray]]
 #: ties are ties. Impossible is far below any path.
 UNIT = float(1 << 32)
 NEVER = -(1 << 61)
+#: Positions of a source that a row holds, if no chunk is longer, and that a kernel
+#: takes at once, one row at least.
+HELD, MOST = 4096, 1 << 16
 
 
 def whole_logs(p: np.ndarray) -> np.ndarray:
@@ -55,57 +65,146 @@ def _matrices(column, dtype) -> Iterator[tuple[list[int], np.ndarray]]:
         yield at, values.reshape(len(at), -1)
 
 
-def _emissions(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    col = b.column("e")
-    for r in range(b.num_rows):
-        steps = col[r].values
-        yield r, steps.flatten().to_numpy(zero_copy_only=False).reshape(len(steps), -1)
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places ``first`` to ``first + n`` of all rows, one after another."""
+    return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+
+
+def _groups(m: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+    """Row numbers by number of states, for at most about ``MOST`` positions."""
+    order = np.argsort(m, kind="stable")
+    order = order[(m[order] > 0) & (n[order] > 0)]
+    for rows in np.split(order, np.flatnonzero(np.diff(m[order])) + 1) if len(order) else ():
+        part = np.cumsum(n[rows]) // MOST
+        yield from np.split(rows, np.flatnonzero(np.diff(part)) + 1)
+
+
+def _given(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row numbers, lengths, emissions by position) of column ``e``."""
+    steps = b.column("e").flatten()
+    n = b.column("e").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    width, values = steps.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), steps.flatten().to_numpy(zero_copy_only=False)
+    m = np.zeros(len(n), np.int64)
+    m[n > 0] = width[(np.cumsum(n) - n)[n > 0]]
+    first = np.cumsum(n * m) - n * m
+    for rows in _groups(m, n):
+        yield rows, n[rows], values[_spread(first[rows], n[rows] * m[rows])].reshape(-1, m[rows[0]])
+
+
+class Sources:
+    """Rows of ``held`` positions, ``pair_index, chunk`` (the row's number) and what
+    ``read`` makes emissions of."""
+
+    def __init__(self, rows: DataFrame, held: int, read: Callable = _given):
+        self.rows, self.held, self.read = rows, held, read
+        self.spark = rows.sparkSession
+        self.key = rows.schema[PAIR].dataType.simpleString()
+        self.last = rows.agg(F.max("chunk")).first()[0] or 0
+
+
+def sources(pairs: DataFrame, obs: np.ndarray, size: int) -> Sources:
+    """``pairs`` (``pair_index, x`` token ids, ``y`` concept ids) whose states are
+    the concepts, with emissions ``obs`` (concepts x tokens)."""
+    held = max(size, HELD // size * size)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / held).cast("int")), lambda i: F.slice("x", i * held + 1, F.lit(held)))
+    rows = pairs.where((F.size("x") > 0) & (F.size("y") > 0)).select(PAIR, "y", F.posexplode(parts).alias("chunk", "x"))
+    sent = pairs.sparkSession.sparkContext.broadcast(obs)
+
+    def read(b):
+        (nx, fx, x), (ny, fy, y) = nested(b.column("x")), nested(b.column("y"))
+        for rows in _groups(ny, nx):
+            n = nx[rows]
+            own = picked(fy[rows], ny[rows[0]], y)
+            yield rows, n, sent.value[np.repeat(own, n, 0), x[_spread(fx[rows], n)][:, None]]
+
+    return Sources(rows.select(PAIR, F.col("chunk").cast("long").alias("chunk"), "x", "y"), held, read)
+
+
+def _cut(steps: DataFrame | Sources, size: int) -> tuple[Sources, list[DataFrame]]:
+    """Sources, and the table written for them, if any."""
+    if isinstance(steps, Sources):
+        return steps, []
+    chunks = stored(chunked(steps, size))
+    return Sources(chunks, size), [chunks]
+
+
+class Chunks:
+    """Rows of ``n`` positions cut into chunks of ``size``: of each chunk its row,
+    number from the row's start and end, first position and length."""
+
+    def __init__(self, n: np.ndarray, size: int):
+        k = -(-n // size)
+        self.row, self.head = np.repeat(np.arange(len(n)), k), np.cumsum(k) - k
+        self.tail = self.head + k - 1
+        self.no = np.arange(len(self.row)) - self.head[self.row]
+        self.after = k[self.row] - 1 - self.no
+        self.at = (np.cumsum(n) - n)[self.row] + self.no * size
+        length = np.minimum(size, n[self.row] - self.no * size)
+        order = np.argsort(-length, kind="stable")
+        #: The chunks that have a step t.
+        self.steps = [order[:c] for c in np.searchsorted(-length[order], -np.arange(length.max(initial=0)), "left")]
+
+    def scan(self, p: np.ndarray, scale: np.ndarray, combine: Callable, forward: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """``scan`` inside rows."""
+        p, scale, place, step = p.copy(), scale.copy(), self.no if forward else self.after, 1
+        while step <= place.max(initial=0):
+            i = np.flatnonzero(place >= step)
+            j = i - step if forward else i + step
+            made, more = combine(p[j], p[i]) if forward else combine(p[i], p[j])
+            p[i], scale[i] = made, scale[i] + scale[j] + more
+            step *= 2
+        return p, scale
 
 
 def _rows(b: pa.RecordBatch, names: list[str], **new) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *new.values()], [*names, *new])
 
 
-def sum_products(chunks: DataFrame, chain: Chain) -> DataFrame:
-    """``pair_index, chunk, p, scale``: each chunk's matrix, divided by exp(scale).
-    The first chunk's rows are all the vector that its start gives."""
-    sent = chunks.sparkSession.sparkContext.broadcast(chain)
+def _sums(e: np.ndarray, c: Chunks, first: np.ndarray, init: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each chunk's matrix, divided by exp(scale), and scales. The rows of a source's
+    first chunk are all the vector that its start gives."""
+    p, scale = np.where(first[:, None, None], init, trans) * e[c.at][:, None], np.zeros(len(c.at))
+    for t, i in enumerate(c.steps[1:], 1):
+        top = np.maximum(p[i].max((1, 2)), 1e-300)
+        scale[i] += np.log(top)
+        p[i] = (p[i] / top[:, None, None]) @ trans * e[c.at[i] + t][:, None]
+    top = np.maximum(p.max((1, 2)), 1e-300)
+    return p / top[:, None, None], scale + np.log(top)
+
+
+def _bests(e: np.ndarray, c: Chunks, first: np.ndarray, init: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each chunk's best scores from entry to end state, and zeros; ``e`` are logs."""
+    p = _plus(np.where(first[:, None, None], init, trans), e[c.at][:, None])
+    for t, i in enumerate(c.steps[1:], 1):
+        p[i] = _plus(_best(p[i], np.broadcast_to(trans, p[i].shape))[0], e[c.at[i] + t][:, None])
+    return p, np.zeros(len(p))
 
-    def run(it):
-        for b in it:
-            out, scales, first = [None] * b.num_rows, np.zeros(b.num_rows), b.column("chunk").to_numpy() == 0
-            for r, e in _emissions(b):
-                init, trans = sent.value[e.shape[1]]
-                p = (np.repeat(init[None], len(init), 0) if first[r] else trans) * e[0]
-                for x in e[1:]:
-                    top = max(p.max(), 1e-300)
-                    scales[r] += np.log(top)
-                    p = (p / top) @ trans * x
-                top = max(p.max(), 1e-300)
-                scales[r] += np.log(top)
-                out[r] = (p / top).ravel()
-            yield _rows(b, [PAIR, "chunk"], p=pa.array(out, pa.list_(pa.float64())), scale=pa.array(scales))
-
-    return chunks.mapInArrow(run, f"{PAIR} {chunks.schema[PAIR].dataType.simpleString()}, chunk long, p array<double>, scale double")
-
-
-def best_products(chunks: DataFrame, chain: Chain) -> DataFrame:
-    """``pair_index, chunk, p, scale``: each chunk's best scores from entry to end state."""
-    sent = chunks.sparkSession.sparkContext.broadcast({m: tuple(map(whole_logs, c)) for m, c in chain.items()})
+
+def _products(s: Sources, chain: Chain, size: int, make: Callable, combine: Callable, log: Callable, kind: str) -> DataFrame:
+    """``pair_index, chunk, p, scale``: each row's matrix."""
+    sent, read = s.spark.sparkContext.broadcast({m: tuple(map(log, c)) for m, c in chain.items()}), s.read
+    kind_pa = pa.float64() if kind == "double" else pa.int64()
 
     def run(it):
         for b in it:
-            out, first = [None] * b.num_rows, b.column("chunk").to_numpy() == 0
-            for r, e in _emissions(b):
-                init, trans = sent.value[e.shape[1]]
-                e = whole_logs(e)
-                p = _plus(np.repeat(init[None], len(init), 0) if first[r] else trans, e[0])
-                for x in e[1:]:
-                    p = _plus(_plus(p[:, :, None], trans[None]).max(1), x)
-                out[r] = p.ravel()
-            yield _rows(b, [PAIR, "chunk"], p=pa.array(out, pa.list_(pa.int64())), scale=pa.array(np.zeros(b.num_rows)))
+            start = b.column("chunk").to_numpy() == 0
+            for rows, n, e in read(b):
+                c = Chunks(n, size)
+                p, scale = c.scan(*make(log(e), c, start[rows][c.row] & (c.no == 0), *sent.value[e.shape[1]]), combine)
+                p, scale = p[c.tail], scale[c.tail]
+                yield _rows(b.select([PAIR, "chunk"]).take(pa.array(rows)), [PAIR, "chunk"], p=lists(np.full(len(p), p[0].size), p.ravel(), kind_pa), scale=pa.array(scale))
+
+    return s.rows.mapInArrow(run, f"{PAIR} {s.key}, chunk long, p array<{kind}>, scale double")
 
-    return chunks.mapInArrow(run, f"{PAIR} {chunks.schema[PAIR].dataType.simpleString()}, chunk long, p array<long>, scale double")
+
+def sum_products(s: Sources, chain: Chain, size: int) -> DataFrame:
+    """Each row's sums over paths, divided by exp(scale)."""
+    return _products(s, chain, size, _sums, _times, lambda x: x, "double")
+
+
+def best_products(s: Sources, chain: Chain, size: int) -> DataFrame:
+    """Each row's best scores from entry to end state."""
+    return _products(s, chain, size, _bests, _best, whole_logs, "bigint")
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +214,10 @@ def _times(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _best(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _plus(a[:, :, :, None], b[:, None, :, :]).max(2), np.zeros(len(a))
+    out = a[:, :, 0, None] + b[:, 0, None]
+    for k in range(1, a.shape[2]):
+        np.maximum(out, a[:, :, k, None] + b[:, k, None], out)
+    return np.maximum(out, NEVER), np.zeros(len(a))
 
 
 def _follow(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,14 +266,15 @@ def scan(rows: DataFrame, combine: Callable, dtype: type, forward: bool = True,
     return rows
 
 
-def _entered(chunks: DataFrame, before: DataFrame | None, after: DataFrame | None) -> DataFrame:
-    """Chunks with ``enter`` (product up to the chunk before) and ``leave``
-    (product from the chunk after on), null at the ends."""
+def _entered(s: Sources, before: DataFrame | None, after: DataFrame | None) -> DataFrame:
+    """Rows with ``enter`` (product up to the row before) and ``leave`` (product
+    from the row after on), null at the ends."""
+    rows = s.rows
     if before is not None:
-        chunks = chunks.join(before.select(PAIR, (F.col("chunk") + 1).alias("chunk"), F.col("p").alias("enter")), [PAIR, "chunk"], "left")
+        rows = rows.join(before.select(PAIR, (F.col("chunk") + 1).alias("chunk"), F.col("p").alias("enter")), [PAIR, "chunk"], "left")
     if after is not None:
-        chunks = chunks.join(after.select(PAIR, (F.col("chunk") - 1).alias("chunk"), F.col("p").alias("leave")), [PAIR, "chunk"], "left")
-    return chunks
+        rows = rows.join(after.select(PAIR, (F.col("chunk") - 1).alias("chunk"), F.col("p").alias("leave")), [PAIR, "chunk"], "left")
+    return rows
 
 
 def _ends(before: DataFrame) -> DataFrame:
@@ -180,130 +283,182 @@ def _ends(before: DataFrame) -> DataFrame:
     return ends.groupBy(PAIR).agg(F.max_by("ll", "chunk").alias("ll"))
 
 
-def likelihoods(steps: DataFrame, chain: Chain, size: int = 4096) -> DataFrame:
+def _beside(b: pa.RecordBatch, name: str, rows: np.ndarray, m: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """(whether, matrix) of what the rows have of ``enter`` or ``leave``."""
+    some, out = np.zeros(len(rows), bool), np.zeros((len(rows), m, m), dtype)
+    if name in b.schema.names:
+        col = b.column(name).take(pa.array(rows))
+        some = col.is_valid().to_numpy(zero_copy_only=False)
+        out[some] = col.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, m, m)
+    return some, out
+
+
+def _share(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(v.sum(-1, keepdims=True), 1e-300)
+
+
+def _inside(e: np.ndarray, c: Chunks, first: np.ndarray, init: np.ndarray, trans: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """Posteriors by position. ``enter`` and ``leave``: of each row what comes in (any
+    for first rows) and what goes on, as vectors."""
+    v, w = enter[c.row], leave[c.row]
+    if c.no.max(initial=0):
+        p = _sums(e, c, first, init, trans)
+        i = np.flatnonzero(c.no)
+        up = c.scan(*p, _times)[0][i - 1]
+        begun = first[c.head][c.row[i]]
+        v[i] = _share(np.where(begun[:, None], up[:, 0], (v[i][:, None] @ up)[:, 0]))
+        i = np.flatnonzero(c.after)
+        w[i] = (c.scan(*p, _times, forward=False)[0][i + 1] @ w[i][:, :, None])[:, :, 0]
+    a = np.empty_like(e)
+    v = np.where(first[:, None], init, v @ trans)
+    for t, i in enumerate(c.steps):
+        v[i] = _share((v[i] if t == 0 else v[i] @ trans) * e[c.at[i] + t])
+        a[c.at[i] + t] = v[i]
+    for t, i in reversed([*enumerate(c.steps)]):
+        x = w[i] / np.maximum(w[i].max(1, keepdims=True), 1e-300)
+        a[c.at[i] + t] *= x
+        w[i] = (e[c.at[i] + t] * x) @ trans.T
+    return _share(a)
+
+
+def likelihoods(steps: DataFrame | Sources, chain: Chain, size: int = 4096) -> DataFrame:
     """K01 of ``posteriors`` alone: no backward products, no chunks are kept."""
-    products = stored(sum_products(chunked(steps, size), chain))
+    s, made = _cut(steps, size)
+    if not s.last and not made:
+        return _ends(sum_products(s, chain, size))
+    products = stored(sum_products(s, chain, size))
+    release(*made)
     before = scan(products, _times, np.float64)
     if before is not products:
         release(products)
     return _ends(before)
 
 
-def posteriors(steps: DataFrame, chain: Chain, size: int = 4096, made: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def _posts(s: Sources, chain: Chain, size: int, before: DataFrame | None, after: DataFrame | None) -> tuple[DataFrame, Callable]:
+    """Rows with what enters and leaves, and of a batch of these (row numbers,
+    lengths, first positions, posteriors by position)."""
+    sent, read, held = s.spark.sparkContext.broadcast(chain), s.read, s.held
+
+    def run(b):
+        number = b.column("chunk").to_numpy()
+        for rows, n, e in read(b):
+            m = e.shape[1]
+            init, trans = sent.value[m]
+            enter, (some, leave) = _beside(b, "enter", rows, m, np.float64)[1][:, 0], _beside(b, "leave", rows, m, np.float64)
+            leave = np.where(some[:, None], leave.sum(2), 1.0)
+            c = Chunks(n, size)
+            yield rows, n, number[rows] * held, _inside(e, c, (number[rows] == 0)[c.row] & (c.no == 0), init, trans, enter, leave)
+
+    return _entered(s, before, after), run
+
+
+def posteriors(steps: DataFrame | Sources, chain: Chain, size: int = 4096, made: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(K05: ``pair_index, pos, state, post``; K01: ``pair_index, ll``) of
-    ``steps`` (``pair_index, pos, e``) by chunks of ``size`` positions. Tables that
-    both read are appended to ``made``, for ``release`` once both are used up.
+    ``steps`` (``pair_index, pos, e``) by chunks of ``size`` positions, or of
+    ``Sources``. Tables that both read are appended to ``made``, for ``release``
+    once both are used up.
 
     A source whose every path is impossible has posteriors of 0 and a
     log-likelihood near -690 or lower."""
-    chunks = stored(chunked(steps, size))
-    products = stored(sum_products(chunks, chain))
-    before, after = scan(products, _times, np.float64), scan(products, _times, np.float64, forward=False)
-    if before is not products:
+    s, tables = _cut(steps, size)
+    products = sum_products(s, chain, size)
+    before = after = None
+    if s.last:
+        products = stored(products)
+        before, after = scan(products, _times, np.float64), scan(products, _times, np.float64, forward=False)
         release(products)
+        tables += [before, after]
     if made is not None:
-        made += [chunks, before, after]
-    sent = steps.sparkSession.sparkContext.broadcast(chain)
+        made += tables
+    rows, kernel = _posts(s, chain, size, before, after)
 
     def run(it):
         for b in it:
-            at, pos, state, post = [], [], [], []
-            first, enter, leave = b.column("chunk").to_numpy(), b.column("enter"), b.column("leave")
-            for r, e in _emissions(b):
-                t, m = e.shape
-                init, trans = sent.value[m]
-                a = np.empty((t, m))
-                v = init if not enter[r].is_valid else np.array(enter[r].as_py()[:m]) @ trans
-                for s in range(t):
-                    v = (v if s == 0 else v @ trans) * e[s]
-                    v = v / max(v.sum(), 1e-300)
-                    a[s] = v
-                w = np.ones(m) if not leave[r].is_valid else np.array(leave[r].as_py()).reshape(m, m).sum(1)
-                for s in range(t - 1, -1, -1):
-                    w = w / max(w.max(), 1e-300)
-                    a[s] *= w
-                    w = trans @ (e[s] * w)
-                a /= np.maximum(a.sum(1, keepdims=True), 1e-300)
-                at += [r] * (t * m)
-                pos.append(np.repeat(first[r] * size + np.arange(t), m))
-                state.append(np.tile(np.arange(m), t))
-                post.append(a.ravel())
-            flat = lambda x, k: pa.array(np.concatenate(x) if x else [], k)
-            yield pa.RecordBatch.from_arrays([b.column(PAIR).take(pa.array(at, pa.int64())), flat(pos, pa.int64()), flat(state, pa.int64()), flat(post, pa.float64())], [PAIR, "pos", "state", "post"])
-
-    kind = steps.schema[PAIR].dataType.simpleString()
-    post = _entered(chunks, before, after).mapInArrow(run, f"{PAIR} {kind}, pos long, state long, post double")
-    return post, _ends(before)
-
-
-def _walk(e: np.ndarray, init: np.ndarray, trans: np.ndarray, enter: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray | None]:
-    """Scores at the chunk's end, back pointers inside, and those into the chunk before."""
-    back, door = [], None
-    if enter is None:
-        s = _plus(init, e[0])
-    else:
-        c = _plus(enter[:, None], trans)
-        door, s = c.argmax(0), _plus(c.max(0), e[0])
-    for x in e[1:]:
-        c = _plus(s[:, None], trans)
-        back.append(c.argmax(0))
-        s = _plus(c.max(0), x)
-    return s, back, door
-
-
-def _back(state: np.ndarray, back: list[np.ndarray]) -> np.ndarray:
-    for step in reversed(back):
-        state = step[state]
-    return state
-
-
-def best_paths(steps: DataFrame, chain: Chain, size: int = 4096) -> DataFrame:
+            for rows, n, first, post in kernel(b):
+                m = post.shape[1]
+                at = np.repeat(rows, n * m)
+                pos = np.repeat(_spread(first, n), m)
+                yield pa.RecordBatch.from_arrays([b.column(PAIR).take(pa.array(at)), pa.array(pos), pa.array(np.tile(np.arange(m), len(post))), pa.array(post.ravel())], [PAIR, "pos", "state", "post"])
+
+    return rows.mapInArrow(run, f"{PAIR} {s.key}, pos long, state long, post double"), _ends(products if before is None else before)
+
+
+def _walk(e: np.ndarray, c: Chunks, first: np.ndarray, init: np.ndarray, trans: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each chunk the scores at its end and the map from its end states to those of
+    the chunk before (0 in a source's first), and of each position the back pointers."""
+    v, back = enter[c.row], np.zeros(e.shape, np.int64)
+    if c.no.max(initial=0):
+        i = np.flatnonzero(c.no)
+        up = c.scan(*_bests(e, c, first, init, trans), _best)[0][i - 1]
+        v[i] = np.where(first[c.head][c.row[i]][:, None], up[:, 0], _best(v[i][:, None], up)[0][:, 0])
+    for t, i in enumerate(c.steps):
+        if t == 0:
+            i = np.flatnonzero(~first)
+        x = _plus(v[i][:, :, None], trans)
+        back[c.at[i] + t] = x.argmax(1)
+        x = x.max(1)
+        if t == 0:
+            start = np.where(first[:, None], init, 0)
+            start[i] = x
+            v = _plus(start, e[c.at])
+        else:
+            v[i] = _plus(x, e[c.at[i] + t])
+    door = np.broadcast_to(np.arange(e.shape[1]), v.shape).copy()
+    for t, i in reversed([*enumerate(c.steps)]):
+        door[i] = np.take_along_axis(back[c.at[i] + t], door[i], 1)
+    return v, door, back
+
+
+def best_paths(steps: DataFrame | Sources, chain: Chain, size: int = 4096) -> DataFrame:
     """``pair_index, pos, state`` of the best path, ties to the lower state
     from the end backward. Scores are whole, so chunks of any size agree.
 
     Two scans: best scores into every chunk, then the maps from a chunk's end
     state to that of the chunk before, composed from the end."""
-    plain = stored(chunked(steps, size))
-    products = stored(best_products(plain, chain))
-    before = scan(products, _best, np.int64)
-    chunks = stored(_entered(plain, before, None))
-    release(plain, products, before)
-    sent = steps.sparkSession.sparkContext.broadcast({m: tuple(map(whole_logs, c)) for m, c in chain.items()})
-    kind = steps.schema[PAIR].dataType.simpleString()
+    s, plain = _cut(steps, size)
+    rows, read, held, key = s.rows, s.read, s.held, s.key
+    if s.last:
+        products = stored(best_products(s, chain, size))
+        before = scan(products, _best, np.int64)
+        rows = stored(_entered(s, before, None))
+        release(*plain, products, before)
+    sent = s.spark.sparkContext.broadcast({m: tuple(map(whole_logs, c)) for m, c in chain.items()})
 
     def walked(b):
-        for r, e in _emissions(b):
-            m = e.shape[1]
-            enter = b.column("enter")[r]
-            yield r, m, _walk(whole_logs(e), *sent.value[m], np.array(enter.as_py()[:m], np.int64) if enter.is_valid else None)
+        start = b.column("chunk").to_numpy() == 0
+        for rows, n, e in read(b):
+            c, m = Chunks(n, size), e.shape[1]
+            enter = _beside(b, "enter", rows, m, np.int64)[1][:, 0]
+            yield rows, n, c, *_walk(whole_logs(e), c, start[rows][c.row] & (c.no == 0), *sent.value[m], enter)
 
     def doors(it):
-        """For each end state of a chunk that of the chunk before, or a source's
-        last state where the chunk is the last."""
+        """For each end state of a row that of the row before, or a source's last
+        state where the row is the last."""
         for b in it:
-            out, end = [None] * b.num_rows, np.zeros(b.num_rows, np.int64)
-            for r, m, (s, back, door) in walked(b):
-                end[r] = int(s.argmax())
-                out[r] = (door[_back(np.arange(m), back)] if door is not None else np.zeros(m, np.int64)).tolist()
-            yield _rows(b, [PAIR, "chunk"], p=pa.array(out, pa.list_(pa.int64())), scale=pa.array(np.zeros(b.num_rows)), end=pa.array(end))
-
-    maps = stored(chunks.mapInArrow(doors, f"{PAIR} {kind}, chunk long, p array<long>, scale double, end long"))
-    follow = scan(maps.drop("end"), _follow, np.int64, forward=False, square=False)
-    last = maps.groupBy(PAIR).agg(F.max("chunk").alias("last"), F.max_by("end", "chunk").alias("end"))
-    ends = follow.join(last, PAIR).select(PAIR, (F.col("chunk") - 1).alias("chunk"), F.get("p", F.col("end").cast("int")).alias("exit")).where(F.col("chunk") >= 0)
-    ends = ends.unionByName(last.select(PAIR, F.col("last").alias("chunk"), F.col("end").alias("exit")))
+            for rows, _, c, score, door, _ in walked(b):
+                p = c.scan(door, np.zeros(len(door)), _follow)[0][c.tail]
+                yield _rows(b.select([PAIR, "chunk"]).take(pa.array(rows)), [PAIR, "chunk"], p=lists(np.full(len(p), p.shape[1]), p.ravel(), pa.int64()), scale=pa.array(np.zeros(len(p))), end=pa.array(score[c.tail].argmax(1)))
+
+    if s.last:
+        maps = stored(rows.mapInArrow(doors, f"{PAIR} {key}, chunk long, p array<long>, scale double, end long"))
+        follow = scan(maps.drop("end"), _follow, np.int64, forward=False, square=False)
+        last = maps.groupBy(PAIR).agg(F.max("chunk").alias("last"), F.max_by("end", "chunk").alias("end"))
+        ends = follow.join(last, PAIR).select(PAIR, (F.col("chunk") - 1).alias("chunk"), F.get("p", F.col("end").cast("int")).alias("exit")).where(F.col("chunk") >= 0)
+        ends = ends.unionByName(last.select(PAIR, F.col("last").alias("chunk"), F.col("end").alias("exit")))
+        rows = rows.join(ends, [PAIR, "chunk"])
 
     def paths(it):
         for b in it:
-            at, pos, state = [], [], []
-            first, leave = b.column("chunk").to_numpy(), b.column("exit").to_numpy()
-            for r, _, (_, back, _) in walked(b):
-                path = [int(leave[r])]
-                for step in reversed(back):
-                    path.append(int(step[path[-1]]))
-                at += [r] * len(path)
-                pos += range(first[r] * size, first[r] * size + len(path))
-                state += path[::-1]
-            yield pa.RecordBatch.from_arrays([b.column(PAIR).take(pa.array(at, pa.int64())), pa.array(pos, pa.int64()), pa.array(state, pa.int64())], [PAIR, "pos", "state"])
-
-    return chunks.join(ends, [PAIR, "chunk"]).mapInArrow(paths, f"{PAIR} {kind}, pos long, state long")
+            number = b.column("chunk").to_numpy()
+            for rows, n, c, score, door, back in walked(b):
+                at_end = b.column("exit").to_numpy()[rows] if "exit" in b.schema.names else score[c.tail].argmax(1)
+                now, i = at_end[c.row], np.flatnonzero(c.after)
+                follow = c.scan(door, np.zeros(len(door)), _follow, forward=False)[0]
+                now[i] = follow[i + 1, now[i]]
+                state = np.empty(len(back), np.int64)
+                for t, i in reversed([*enumerate(c.steps)]):
+                    state[c.at[i] + t] = now[i]
+                    now[i] = back[c.at[i] + t, now[i]]
+                yield pa.RecordBatch.from_arrays([b.column(PAIR).take(pa.array(np.repeat(rows, n))), pa.array(_spread(number[rows] * held, n)), pa.array(state)], [PAIR, "pos", "state"])
+
+    return rows.mapInArrow(paths, f"{PAIR} {key}, pos long, state long")
