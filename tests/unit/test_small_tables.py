@@ -117,3 +117,12 @@ def test_sums_of_sources(monkeypatch, sources, held):
     assert all(abs(got[i, t, j] - p[t, j]) < 1e-12 for i, (p, _, _) in want.items() for t, j in np.ndindex(p.shape))
     for found in (ll, chains.likelihoods(s, chain, 2)):
         assert {r.pair_index: r.ll for r in found.collect()} == pytest.approx({i: x for i, (_, x, _) in want.items()}, abs=1e-10)
+
+
+@pytest.mark.parametrize("held", [6, 4096])
+def test_paths_of_sources(monkeypatch, sources, held):
+    pairs, obs, chain, want = sources
+    monkeypatch.setattr(chains, "HELD", held)
+    for size in (2, 3):
+        got = {(r.pair_index, r.pos): r.state for r in chains.best_paths(chains.sources(pairs, obs, size), chain, size).collect()}
+        assert got == {(i, t): j for i, (_, _, path) in want.items() for t, j in enumerate(path.tolist())}
