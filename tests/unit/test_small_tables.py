@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
-from threadloom.operators import chains, hmm
+from threadloom.operators import bigrams, chains, hmm
 from threadloom.operators import retrieval as R
 
 
@@ -126,3 +126,36 @@ def test_paths_of_sources(monkeypatch, sources, held):
     for size in (2, 3):
         got = {(r.pair_index, r.pos): r.state for r in chains.best_paths(chains.sources(pairs, obs, size), chain, size).collect()}
         assert got == {(i, t): j for i, (_, _, path) in want.items() for t, j in enumerate(path.tolist())}
+
+
+@pytest.mark.parametrize("held,most", [(3, 1 << 20), (4096, 60), (4096, 10), (3, 10)])
+def test_bigrams_from_ids(spark, monkeypatch, held, most):
+    """As from rows of text: sources of several rows, counts without an array, cells joined."""
+    r = random.Random(held + most)
+    src, trg, ids = [], [], []
+    for p in range(14):
+        x, y = [r.randrange(5) for _ in range(r.randint(1, 9))], sorted(r.sample(range(3), r.randint(1, 3)))
+        src += [(p, t, "abcd"[k - 1] if k else None) for t, k in enumerate(x)]
+        trg += [(p, j, "XYZ"[k]) for j, k in enumerate(y)]
+        ids.append((p, x, y))
+    chain = {m: (share(np.arange(1.0, m + 1)), share(np.eye(m) + 0.3)) for m in (1, 2, 3)}
+    co = bigrams.bigram_cooccurrences(spark.createDataFrame(src, "pair_index long, pos long, token string"), spark.createDataFrame(trg, "pair_index long, pos long, concept string")).cache()
+    table = bigrams.train(co, chain, 2)
+    want = {(c.concept, c.prev, c.token): c.p for c in table.collect()}
+    ll = {x.pair_index: x.ll for x in chains.likelihoods(bigrams.emissions(co, table), chain).collect()}
+    monkeypatch.setattr(chains, "HELD", held)
+    monkeypatch.setattr(bigrams, "MOST", most)
+    coded = bigrams.Coded(spark.createDataFrame(ids, "pair_index long, x array<int>, y array<int>"), 3, 4, chain, min(held, 4096))
+    cells = coded.train(2)
+    name = ["", *"abcd"]
+    assert {("XYZ"[c.concept], name[c.prev], name[c.token]): c.p for c in cells.collect()} == pytest.approx(want, abs=1e-12)
+    assert {x.pair_index: x.ll for x in coded.likelihoods(cells).collect()} == pytest.approx(ll, abs=1e-10)
+    none = bigrams.Coded(spark.createDataFrame([], "pair_index long, x array<int>, y array<int>"), 3, 4, chain)
+    assert none.likelihoods(none.train(1)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["m16_bigram_table", "m16_bigram_likelihood", "k01_chunked_likelihood", "k09_chunked_paths"])
+def test_long_orders(spark, monkeypatch, orders, name):
+    """Orders of up to 23 lines, in rows of four positions."""
+    monkeypatch.setattr(chains, "HELD", 4)
+    equal(spark, orders, name)

@@ -102,24 +102,35 @@ class Sources:
         self.last = rows.agg(F.max("chunk")).first()[0] or 0
 
 
-def sources(pairs: DataFrame, obs: np.ndarray, size: int) -> Sources:
+def ids(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row numbers, lengths, tokens by position, concepts of the row by position)
+    of columns ``x`` and ``y``."""
+    (nx, fx, x), (ny, fy, y) = nested(b.column("x")), nested(b.column("y"))
+    for rows in _groups(ny, nx):
+        n = nx[rows]
+        yield rows, n, x[_spread(fx[rows], n)], np.repeat(picked(fy[rows], ny[rows[0]], y), n, 0)
+
+
+def emitting(pairs: DataFrame, emit: Callable, size: int) -> Sources:
     """``pairs`` (``pair_index, x`` token ids, ``y`` concept ids) whose states are
-    the concepts, with emissions ``obs`` (concepts x tokens)."""
+    the concepts, with emissions ``emit(tokens, concepts)`` by position."""
     held = max(size, HELD // size * size)
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / held).cast("int")), lambda i: F.slice("x", i * held + 1, F.lit(held)))
     rows = pairs.where((F.size("x") > 0) & (F.size("y") > 0)).select(PAIR, "y", F.posexplode(parts).alias("chunk", "x"))
-    sent = pairs.sparkSession.sparkContext.broadcast(obs)
 
     def read(b):
-        (nx, fx, x), (ny, fy, y) = nested(b.column("x")), nested(b.column("y"))
-        for rows in _groups(ny, nx):
-            n = nx[rows]
-            own = picked(fy[rows], ny[rows[0]], y)
-            yield rows, n, sent.value[np.repeat(own, n, 0), x[_spread(fx[rows], n)][:, None]]
+        for rows, n, x, y in ids(b):
+            yield rows, n, emit(x, y)
 
     return Sources(rows.select(PAIR, F.col("chunk").cast("long").alias("chunk"), "x", "y"), held, read)
 
 
+def sources(pairs: DataFrame, obs: np.ndarray, size: int) -> Sources:
+    """The same with emissions ``obs`` (concepts x tokens)."""
+    sent = pairs.sparkSession.sparkContext.broadcast(obs)
+    return emitting(pairs, lambda x, y: sent.value[y, x[:, None]], size)
+
+
 def _cut(steps: DataFrame | Sources, size: int) -> tuple[Sources, list[DataFrame]]:
     """Sources, and the table written for them, if any."""
     if isinstance(steps, Sources):
@@ -334,10 +345,17 @@ def likelihoods(steps: DataFrame | Sources, chain: Chain, size: int = 4096) -> D
     return _ends(before)
 
 
-def _posts(s: Sources, chain: Chain, size: int, before: DataFrame | None, after: DataFrame | None) -> tuple[DataFrame, Callable]:
-    """Rows with what enters and leaves, and of a batch of these (row numbers,
-    lengths, first positions, posteriors by position)."""
+def _passes(s: Sources, chain: Chain, size: int) -> tuple[DataFrame, DataFrame, list[DataFrame], Callable]:
+    """Rows with what enters and leaves; products up to each row; tables written; and
+    of a batch of the rows (row numbers, lengths, first positions, posteriors by
+    position)."""
     sent, read, held = s.spark.sparkContext.broadcast(chain), s.read, s.held
+    products, after, tables = sum_products(s, chain, size), None, []
+    if s.last:
+        own = stored(products)
+        products, after = scan(own, _times, np.float64), scan(own, _times, np.float64, forward=False)
+        release(own)
+        tables = [products, after]
 
     def run(b):
         number = b.column("chunk").to_numpy()
@@ -349,7 +367,14 @@ def _posts(s: Sources, chain: Chain, size: int, before: DataFrame | None, after:
             c = Chunks(n, size)
             yield rows, n, number[rows] * held, _inside(e, c, (number[rows] == 0)[c.row] & (c.no == 0), init, trans, enter, leave)
 
-    return _entered(s, before, after), run
+    return _entered(s, products if s.last else None, after), products, tables, run
+
+
+def counted(s: Sources, chain: Chain, count: Callable, schema: str, size: int = 4096) -> tuple[DataFrame, list[DataFrame]]:
+    """What ``count`` yields of each partition of (batch, row numbers, posteriors of
+    these rows by position), and tables to ``release`` once it is used up."""
+    rows, _, tables, kernel = _passes(s, chain, size)
+    return rows.mapInArrow(lambda it: count((b, at, post) for b in it for at, _, _, post in kernel(b)), schema), tables
 
 
 def posteriors(steps: DataFrame | Sources, chain: Chain, size: int = 4096, made: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -361,16 +386,9 @@ def posteriors(steps: DataFrame | Sources, chain: Chain, size: int = 4096, made:
     A source whose every path is impossible has posteriors of 0 and a
     log-likelihood near -690 or lower."""
     s, tables = _cut(steps, size)
-    products = sum_products(s, chain, size)
-    before = after = None
-    if s.last:
-        products = stored(products)
-        before, after = scan(products, _times, np.float64), scan(products, _times, np.float64, forward=False)
-        release(products)
-        tables += [before, after]
+    rows, before, more, kernel = _passes(s, chain, size)
     if made is not None:
-        made += tables
-    rows, kernel = _posts(s, chain, size, before, after)
+        made += tables + more
 
     def run(it):
         for b in it:
@@ -380,7 +398,7 @@ def posteriors(steps: DataFrame | Sources, chain: Chain, size: int = 4096, made:
                 pos = np.repeat(_spread(first, n), m)
                 yield pa.RecordBatch.from_arrays([b.column(PAIR).take(pa.array(at)), pa.array(pos), pa.array(np.tile(np.arange(m), len(post))), pa.array(post.ravel())], [PAIR, "pos", "state", "post"])
 
-    return rows.mapInArrow(run, f"{PAIR} {s.key}, pos long, state long, post double"), _ends(products if before is None else before)
+    return rows.mapInArrow(run, f"{PAIR} {s.key}, pos long, state long, post double"), _ends(before)
 
 
 def _walk(e: np.ndarray, c: Chunks, first: np.ndarray, init: np.ndarray, trans: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
