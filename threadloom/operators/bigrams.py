@@ -11,8 +11,6 @@ more cells the table is joined as above.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -113,31 +111,36 @@ class Coded:
         return shares(self._cells(self.pairs.select("x", "y").mapInArrow(run, "code long, n double")))
 
     def sent(self, cells: DataFrame) -> tuple:
-        """The codes of the cells in order and their probabilities, for all tasks."""
+        """For all tasks: codes of the cells in order, their probabilities and, if
+        ids allow few enough, the place of each code or -1; and how to find them."""
         t = cells.select((F.col("concept") * self.base**2 + F.col("prev") * self.base + F.col("token")).alias("code"), "p").toArrow()
         code, p = (t[c].to_numpy() for c in ("code", "p"))
-        order = np.argsort(code)
-        return cells.sparkSession.sparkContext.broadcast((code[order], p[order])), self._find()
-
-    def _find(self) -> Callable:
-        width = self.base**2
-
-        def find(codes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Places in ``codes``, and whether they hold what is looked for."""
+        order, place, width = np.argsort(code), None, self.base**2
+        code, p = code[order], p[order]
+        if width * self.kinds <= MOST:
+            place = np.full(width * self.kinds, -1, np.int32)
+            place[code] = np.arange(len(code))
+        sent = cells.sparkSession.sparkContext.broadcast((code, p, place))
+
+        def find(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Places by position and concept, and whether there is a cell."""
+            code, _, place = sent.value
             wanted = y.astype(np.int64) * width + x[:, None]
-            at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
-            return at, codes[at] == wanted
+            if place is not None:
+                at = place[wanted]
+                return at, at >= 0
+            at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+            return at, code[at] == wanted
 
-        return find
+        return sent, find
 
     def sources(self, table: tuple, floor: float = 1e-12) -> chains.Sources:
         """Sources with ``emissions`` of what ``sent`` returned."""
         sent, find = table
 
         def emit(x, y):
-            codes, p = sent.value
-            at, known = find(codes, x, y)
-            return np.where(known, p[at], floor)
+            at, known = find(x, y)
+            return np.where(known, sent.value[1][at], floor)
 
         return chains.emitting(self.pairs, emit, self.size)
 
@@ -150,7 +153,7 @@ class Coded:
             for b, rows, post in parts:
                 b = b.select(["x", "y"]).take(pa.array(rows))
                 for _, _, x, y in chains.ids(b):  # these rows, all of one number of targets, in their order
-                    at, known = find(codes, x, y)
+                    at, known = find(x, y)
                     n = len(x)
                     total = total + np.bincount(at[known], post[:n][known], minlength=len(codes))
                     post = post[n:]

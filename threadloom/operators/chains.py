@@ -173,8 +173,9 @@ def _rows(b: pa.RecordBatch, names: list[str], **new) -> pa.RecordBatch:
 
 def _sums(e: np.ndarray, c: Chunks, first: np.ndarray, init: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each chunk's matrix, divided by exp(scale), and scales. The rows of a source's
-    first chunk are all the vector that its start gives."""
-    p, scale = np.where(first[:, None, None], init, trans) * e[c.at][:, None], np.zeros(len(c.at))
+    first chunk are all the vector that its start gives, and one row where there are
+    first chunks alone."""
+    p, scale = (init[None, None] if first.all() else np.where(first[:, None, None], init, trans)) * e[c.at][:, None], np.zeros(len(c.at))
     for t, i in enumerate(c.steps[1:], 1):
         top = np.maximum(p[i].max((1, 2)), 1e-300)
         scale[i] += np.log(top)
@@ -202,7 +203,7 @@ def _products(s: Sources, chain: Chain, size: int, make: Callable, combine: Call
             for rows, n, e in read(b):
                 c = Chunks(n, size)
                 p, scale = c.scan(*make(log(e), c, start[rows][c.row] & (c.no == 0), *sent.value[e.shape[1]]), combine)
-                p, scale = p[c.tail], scale[c.tail]
+                p, scale = np.broadcast_to(p[c.tail], (len(rows), *[e.shape[1]] * 2)), scale[c.tail]
                 yield _rows(b.select([PAIR, "chunk"]).take(pa.array(rows)), [PAIR, "chunk"], p=lists(np.full(len(p), p[0].size), p.ravel(), kind_pa), scale=pa.array(scale))
 
     return s.rows.mapInArrow(run, f"{PAIR} {s.key}, chunk long, p array<{kind}>, scale double")
@@ -335,8 +336,18 @@ def _inside(e: np.ndarray, c: Chunks, first: np.ndarray, init: np.ndarray, trans
 def likelihoods(steps: DataFrame | Sources, chain: Chain, size: int = 4096) -> DataFrame:
     """K01 of ``posteriors`` alone: no backward products, no chunks are kept."""
     s, made = _cut(steps, size)
-    if not s.last and not made:
-        return _ends(sum_products(s, chain, size))
+    if not s.last and not made:  # a row is a source
+        sent, read = s.spark.sparkContext.broadcast(chain), s.read
+
+        def run(it):
+            for b in it:
+                for rows, n, e in read(b):
+                    c = Chunks(n, size)
+                    p, scale = c.scan(*_sums(e, c, c.no == 0, *sent.value[e.shape[1]]), _times)
+                    ll = scale[c.tail] + np.log(np.maximum(p[c.tail, 0].sum(1), 1e-300))
+                    yield pa.RecordBatch.from_arrays([b.column(PAIR).take(pa.array(rows)), pa.array(ll)], [PAIR, "ll"])
+
+        return s.rows.mapInArrow(run, f"{PAIR} {s.key}, ll double")
     products = stored(sum_products(s, chain, size))
     release(*made)
     before = scan(products, _times, np.float64)
