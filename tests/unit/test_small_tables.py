@@ -159,3 +159,11 @@ def test_long_orders(spark, monkeypatch, orders, name):
     """Orders of up to 23 lines, in rows of four positions."""
     monkeypatch.setattr(chains, "HELD", 4)
     equal(spark, orders, name)
+
+
+def test_kernels_take_cells(monkeypatch):
+    """Rows of many states are taken in smaller groups."""
+    m, n = np.array([2, 9, 2, 9, 0, 9]), np.array([5, 5, 0, 5, 5, 5])
+    assert [g.tolist() for g in chains._groups(m, n)] == [[0], [1, 3, 5]]
+    monkeypatch.setattr(chains, "MOST", 500)
+    assert [g.tolist() for g in chains._groups(m, n)] == [[0], [1], [3], [5]]

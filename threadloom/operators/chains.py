@@ -33,9 +33,9 @@ Chain = dict[int, tuple[np.ndarray, np.ndarray]]
 #: ties are ties. Impossible is far below any path.
 UNIT = float(1 << 32)
 NEVER = -(1 << 61)
-#: Positions of a source that a row holds, if no chunk is longer, and that a kernel
-#: takes at once, one row at least.
-HELD, MOST = 4096, 1 << 16
+#: Positions of a source that a row holds, if no chunk is longer; cells (positions
+#: by states by states) that a kernel takes at once, one row at least.
+HELD, MOST = 4096, 1 << 22
 
 
 def whole_logs(p: np.ndarray) -> np.ndarray:
@@ -71,11 +71,11 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _groups(m: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
-    """Row numbers by number of states, for at most about ``MOST`` positions."""
+    """Row numbers by number of states, for at most about ``MOST`` cells."""
     order = np.argsort(m, kind="stable")
     order = order[(m[order] > 0) & (n[order] > 0)]
     for rows in np.split(order, np.flatnonzero(np.diff(m[order])) + 1) if len(order) else ():
-        part = np.cumsum(n[rows]) // MOST
+        part = np.cumsum(n[rows]) * int(m[rows[0]]) ** 2 // MOST
         yield from np.split(rows, np.flatnonzero(np.diff(part)) + 1)
 
 
